@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import fingerprint, language, packing, quality, secrets, sharding
+from . import fingerprint, language, packing, pii, quality, secrets, sharding
 from .common import documents
 
 QUERIES = {
     "op1_sharding": lambda spark, sf_dir: sharding.digest(documents(spark, sf_dir)),
     "op2_fingerprint": lambda spark, sf_dir: fingerprint.digest(documents(spark, sf_dir)),
+    "op3_pii": lambda spark, sf_dir: pii.digest(documents(spark, sf_dir)),
     "op4_secrets": lambda spark, sf_dir: secrets.digest(documents(spark, sf_dir)),
     "op5_packing": lambda spark, sf_dir: packing.digest(documents(spark, sf_dir)),
     "op7_language": lambda spark, sf_dir: language.digest(documents(spark, sf_dir)),
