@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprint, language, packing, pii, quality, secrets, sharding
+from . import dedup, fingerprint, language, packing, pii, quality, secrets, sharding
 from .common import documents
 
 QUERIES = {
@@ -12,6 +12,7 @@ QUERIES = {
     "op4_secrets": lambda spark, sf_dir: secrets.digest(documents(spark, sf_dir)),
     "op5_packing": lambda spark, sf_dir: packing.digest(documents(spark, sf_dir)),
     "op7_language": lambda spark, sf_dir: language.digest(documents(spark, sf_dir)),
+    "op8_dedup": lambda spark, sf_dir: dedup.digest(documents(spark, sf_dir)),
     "op9_quality": lambda spark, sf_dir: quality.digest(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")),
 }
 
