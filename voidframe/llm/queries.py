@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import dedup, fingerprint, language, packing, pii, quality, secrets, sharding
+from . import decontaminate, dedup, fingerprint, html_text, language, packing, pii, quality, secrets, sharding
 from .common import documents
 
 QUERIES = {
@@ -11,9 +11,21 @@ QUERIES = {
     "op3_pii": lambda spark, sf_dir: pii.digest(documents(spark, sf_dir)),
     "op4_secrets": lambda spark, sf_dir: secrets.digest(documents(spark, sf_dir)),
     "op5_packing": lambda spark, sf_dir: packing.digest(documents(spark, sf_dir)),
+    "op6_html": lambda spark, sf_dir: html_text.digest(spark.read.parquet(f"{sf_dir}/pages.parquet")),
     "op7_language": lambda spark, sf_dir: language.digest(documents(spark, sf_dir)),
     "op8_dedup": lambda spark, sf_dir: dedup.digest(documents(spark, sf_dir)),
     "op9_quality": lambda spark, sf_dir: quality.digest(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")),
+    "op10_decontaminate": lambda spark, sf_dir: decontaminate.digest(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")),
 }
 
+
+
+def _pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = _pipeline
+
 ORACLE_SQL: dict[str, str] = {}

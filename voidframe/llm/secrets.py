@@ -174,6 +174,20 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return joined.withColumn("found", F.array_sort(F.concat(*[F.coalesce(x, none) for x in each]))).drop("_rules")
 
 
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """docs with every span replaced by <secret:kind>; spans that overlap are one, of the first one's kind. A null text stays null."""
+    text = F.col("text")
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        before = F.substring(text, acc["at"] + 1, x["start"] - acc["at"])
+        mark = F.concat(acc["out"], before, F.lit("<secret:"), x["kind"], F.lit(">"))
+        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] >= acc["at"], mark).otherwise(acc["out"]).alias("out"))
+
+    done = F.aggregate("found", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return scan(docs, rules).withColumn("text", F.when(F.size("found") > 0, done).otherwise(text)).select(docs.columns)
+
+
 def listing(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
