@@ -1,15 +1,16 @@
 """Near-duplicate documents by a multi-index Hamming join of b-bit MinHash signatures.
 
-A document's set is its distinct shingles of `words` words. The signature has SLOTS minima of independent hashes, 16 bits of each.
-Two documents are candidates if at most MOST slots differ. To find all of these without comparing all, the slots are split into CHUNKS
-chunks: among MOST errors some chunk has at most one (pigeonhole, CHUNKS * 2 > MOST), so every way to leave one slot of a chunk
-out is a key, and a candidate pair shares a key. Candidates are confirmed on the full sets.
+A document's set is its distinct shingles of `words` words. The signature has SLOTS minima of independent hashes, 16 bits of each, and
+FINE further ones of 4 bits. Two documents are candidates if at most MOST of the SLOTS differ. To find all of these without comparing all,
+the slots are split into CHUNKS chunks: among MOST errors some chunk has at most one (pigeonhole, CHUNKS * 2 > MOST), so every way to
+leave one slot of a chunk out is a key, and a candidate pair shares a key. A candidate pair that differs in more than MOST_ALL of all
+slots is dropped; the others are confirmed on the full sets.
 
 Equal sets are folded first. Large buckets are not expanded into pairs: in a first round every member meets only the least member
 of its bucket; components of the confirmed links follow; then only members of different components that still share a bucket
-are compared, all of them, so no link that could join two components is lost.
+are compared, all of them, each pair in one bucket only, so no link that could join two components is lost.
 
-A pair with similarity s is missed with the probability that more than MOST of SLOTS slots differ: below 1e-5 at s = 0.8.
+A pair of similarity 0.8 is missed with a probability below 1e-4 (that more than MOST of SLOTS, or MOST_ALL of all slots differ).
 
 Null or empty text has an empty set and is linked with nothing. A null doc_id is kept and linked with nothing. Rows that share a
 doc_id count as one node. An empty table gives an empty result. Further columns are ignored.
@@ -31,9 +32,10 @@ from ..plans.components import connected_components
 from .common import text_of, written
 
 SLOTS, CHUNKS, MOST = 64, 14, 27
+FINE, MOST_ALL = 192, 77
 _rng = np.random.default_rng(20240229)
-_MULTIPLIERS = _rng.integers(1, 1 << 63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_OFFSETS = _rng.integers(0, 1 << 63, SLOTS, dtype=np.uint64)
+_MULTIPLIERS = _rng.integers(1, 1 << 63, SLOTS + FINE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_OFFSETS = _rng.integers(0, 1 << 63, SLOTS + FINE, dtype=np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _KEPT_WORDS = 500_000
 
@@ -65,37 +67,42 @@ def shingles(text: str, words: int = 4) -> np.ndarray:
     return np.unique(out)
 
 
-def signature(found: np.ndarray) -> np.ndarray:
-    """SLOTS 16-bit values; found must not be empty."""
-    low = np.full(SLOTS, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(found), 2048):
-        low = np.minimum(low, (found[i : i + 2048, None] * _MULTIPLIERS + _OFFSETS).min(axis=0))
-    return ((low ^ (low >> np.uint64(31))) * _MIX >> np.uint64(48)).astype("<u2")
+def signature(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """SLOTS 16-bit values, four to a long, and FINE 4-bit values, sixteen to a long; found must not be empty."""
+    low = np.full(SLOTS + FINE, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(found), 512):
+        low = np.minimum(low, (found[i : i + 512, None] * _MULTIPLIERS + _OFFSETS).min(axis=0))
+    mixed = (low ^ (low >> np.uint64(31))) * _MIX
+    fine = (mixed[SLOTS:] >> np.uint64(60)).astype(np.uint8)
+    return (mixed[:SLOTS] >> np.uint64(48)).astype("<u2").view("<i8"), (fine[::2] | fine[1::2] << 4).view("<i8")
 
 
 def sketches(docs: DataFrame, words: int = 4) -> DataFrame:
-    """doc_id, n (set size), h1, h2 (hash of the set), sig (array of longs, four slots each; null for an empty set)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("sig", pa.list_(pa.int64()))])
+    """doc_id, n (set size), h1, h2 (hash of the set), sig and fine (the signature; null for an empty set)."""
+    longs = pa.list_(pa.int64())
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("sig", longs), ("fine", longs)])
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, h1, h2, sig = [], [], [], []
+            rows = []
             for text in batch.column(1):
                 found = shingles(text.as_py(), words)
                 both = np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), "<i8")
-                n.append(len(found))
-                h1.append(int(both[0]))
-                h2.append(int(both[1]))
-                sig.append(signature(found).view("<i8").tolist() if len(found) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, f.type) for x, f in zip((n, h1, h2, sig), list(schema)[1:], strict=True))], schema=schema)
+                sig, fine = signature(found) if len(found) else (None, None)
+                rows.append((len(found), int(both[0]), int(both[1]), sig, fine))
+            columns = zip(*rows, strict=True) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, f.type) for x, f in zip(columns, list(schema)[1:], strict=True))], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), text_of().alias("_text")).mapInArrow(sketch, "doc_id long, n long, h1 long, h2 long, sig array<long>")
+    return docs.select(F.col("doc_id").cast("long"), text_of().alias("_text")).mapInArrow(sketch, "doc_id long, n long, h1 long, h2 long, sig array<long>, fine array<long>")
+
+
+_PARTS = np.array_split(np.arange(SLOTS), CHUNKS)
 
 
 def chunk_keys(sig: np.ndarray) -> np.ndarray:
     """rows x keys: hashes of every chunk with every one of its slots left out."""
     out = []
-    for c, own in enumerate(np.array_split(np.arange(SLOTS), CHUNKS)):
+    for c, own in enumerate(_PARTS):
         for left in own:
             h = np.full(len(sig), c * SLOTS + int(left) + 1, np.uint64)
             for s in own[own != left]:
@@ -106,7 +113,8 @@ def chunk_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def keyed(reps: DataFrame) -> DataFrame:
-    """(key, rep) for each key of each signature."""
+    """(key, slot, rep) for each key of each signature; slot is the one left out."""
+    slots = np.concatenate(_PARTS).astype(np.int8)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,81 +123,123 @@ def keyed(reps: DataFrame) -> DataFrame:
                 flat = part.column(1).flatten().to_numpy(zero_copy_only=False)
                 keys = chunk_keys(np.ascontiguousarray(flat, "<i8").view("<u2").reshape(-1, SLOTS))
                 rep = np.repeat(part.column(0).to_numpy(zero_copy_only=False), keys.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(rep)], names=["key", "rep"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(slots, len(keys))), pa.array(rep)], names=["key", "slot", "rep"])
+
+    return reps.select("rep", "sig").mapInArrow(spread, "key long, slot byte, rep long")
+
+
+def _folded(x: Column, width: int, ones: int) -> Column:
+    """The lowest bit of each lane set where the lane is not zero."""
+    by = width // 2
+    while by:
+        x = x.bitwiseOR(F.shiftrightunsigned(x, by))
+        by //= 2
+    return x.bitwiseAND(F.lit(ones))
+
+
+def fine_differing(a: Column, b: Column) -> Column:
+    """How many of the FINE slots differ."""
+    return reduce(lambda x, y: x + y, [F.bit_count(_folded(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i))), 4, 0x1111111111111111)) for i in range(FINE // 16)])
+
+
+def slot_mask(a: Column, b: Column) -> Column:
+    """A long with bit i set where slot i differs."""
 
-    return reps.select("rep", "sig").mapInArrow(spread, "key long, rep long")
+    def four(i: int) -> Column:
+        z = _folded(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i))), 16, 0x0001000100010001)
+        near = z.bitwiseOR(F.shiftrightunsigned(z, 15)).bitwiseOR(F.shiftrightunsigned(z, 30)).bitwiseOR(F.shiftrightunsigned(z, 45))
+        return F.shiftleft(near.bitwiseAND(F.lit(15).cast("long")), 4 * i)
 
+    return reduce(lambda x, y: x.bitwiseOR(y), [four(i) for i in range(SLOTS // 4)])
 
-def differing(a: Column, b: Column) -> Column:
-    """How many of the 16-bit slots differ."""
-    ones = F.lit(0x0001000100010001)
 
-    def lanes(i: int) -> Column:
-        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
-        for by in (8, 4, 2, 1):
-            # what comes from the lane above is masked out before it counts
-            mask = sum(((1 << (16 - by)) - 1) << (16 * k) for k in range(4))
-            x = x.bitwiseOR(F.shiftrightunsigned(x, by).bitwiseAND(F.lit(mask if mask < 1 << 63 else mask - (1 << 64))))
-        return F.bit_count(x.bitwiseAND(ones))
+def _signed(mask: int) -> Column:
+    return F.lit(mask if mask < 1 << 63 else mask - (1 << 64)).cast("long")
 
-    return reduce(lambda x, y: x + y, [lanes(i) for i in range(SLOTS // 4)])
 
+def candidate(a: str, b: str, slot: str | None = None) -> Column:
+    """Whether two signatures allow a link; with slot, only in the bucket that stands first for the pair: of the first chunk with at
+    most one error, the one that leaves out the error (or the chunk's first slot)."""
+    seen = F.struct(slot_mask(F.col(f"{a}.sig"), F.col(f"{b}.sig")).alias("m"), fine_differing(F.col(f"{a}.fine"), F.col(f"{b}.fine")).alias("f"))
 
-def confirmed(pairs: DataFrame, docs: DataFrame, words: int, at_least: int) -> DataFrame:
-    """Of the pairs (a, b), those whose full sets meet 100 * intersection >= at_least * union. Sets are made anew from the texts, of
-    documents that occur in a pair only."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    def judged(x: Column) -> Column:
+        n = F.bit_count(x["m"])
+        near = (n <= MOST) & (n + x["f"] <= MOST_ALL)
+        if slot is None:
+            return near
+        masks = [sum(1 << int(s) for s in part) for part in _PARTS]
+        first = F.coalesce(*[F.when(F.bit_count(x["m"].bitwiseAND(_signed(m))) <= 1, F.struct(F.lit(int(part[0])).alias("at"), x["m"].bitwiseAND(_signed(m)).alias("error"))) for m, part in zip(masks, _PARTS, strict=True)])
+        place = F.transform(F.array(first), lambda c: F.when(c["error"] == 0, c["at"]).otherwise(F.bit_count(c["error"] - 1)))
+        return near & (F.element_at(place, 1) == F.col(slot))
+
+    quick = fine_differing(F.col(f"{a}.fine"), F.col(f"{b}.fine")) <= MOST_ALL
+    return quick & F.element_at(F.transform(F.array(seen), judged), 1)
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """doc_id and its set (sorted 40-bit hashes) for the documents wanted."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py(), words).tobytes() for t in batch.column(1)], pa.binary())], names=["doc_id", "set"])
+            packed = [np.unique(shingles(t.as_py(), words) >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["doc_id", "set"])
+
+    return docs.select(F.col("doc_id").cast("long"), text_of().alias("_text")).join(wanted, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, set binary")
+
 
-    own = docs.select(F.col("doc_id").cast("long"), text_of().alias("_text")).join(asked, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, set binary")
-    own = written(own, "sets")
+def _unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, at_least: int) -> DataFrame:
+    """Of the pairs (a, b), those whose full sets meet 100 * intersection >= at_least * union."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(z.as_py(), np.uint64) for z in (x, y))
+                x, y = _unpacked(x.as_py()), _unpacked(y.as_py())
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= at_least * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    first = pairs.join(own.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), "a")
-    both = first.join(own.select(F.col("doc_id").alias("b"), F.col("set").alias("y")), "b")
+    first = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), "a")
+    both = first.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, at_least: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable over links) of each document."""
     all_docs = written(sketches(docs, words), "sketches")
-    reps = written(all_docs.where("n > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
+    reps = written(all_docs.where("n > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("fine").alias("fine")), "classes")
     per_key = Window.partitionBy("key")
-    buckets = keyed(reps).select("key", "rep", F.min("rep").over(per_key).alias("least"), F.max("rep").over(per_key).alias("last")).where("least < last")
-    buckets = written(buckets.select("key", "rep", "least"), "buckets")
-
-    def near(pairs: DataFrame) -> DataFrame:
-        """Of (a, b), those whose sizes and signatures allow a link."""
-        side = lambda s: reps.select(F.col("rep").alias(s), F.col("n").alias(f"n{s}"), F.col("sig").alias(f"s{s}"))
-        sized = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * at_least
-        return pairs.join(side("a"), "a").join(side("b"), "b").where(sized & (differing(F.col("sa"), F.col("sb")) <= MOST)).select("a", "b")
-
-    stars = written(near(buckets.where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()), "stars")
-    links = written(confirmed(stars, docs, words, at_least), "links")
+    buckets = keyed(reps).select("key", "slot", "rep", F.min("rep").over(per_key).alias("least"), F.max("rep").over(per_key).alias("last")).where("least < last")
+    buckets = written(buckets.select("key", "slot", "rep", "least"), "buckets")
+    sets = written(shingle_sets(docs, buckets.select(F.col("rep").alias("doc_id")).distinct(), words), "sets")
+    side = reps.select("rep", "n", "sig", "fine")
+
+    def sized(a: str, b: str) -> Column:
+        return F.least(f"{a}.n", f"{b}.n") * 100 >= F.greatest(f"{a}.n", f"{b}.n") * at_least
+
+    pairs = buckets.where("rep <> least").select("least", "rep").distinct()
+    a, b = side.alias("a"), side.alias("b")
+    near = pairs.alias("p").join(a, F.col("p.least") == F.col("a.rep")).join(b, F.col("p.rep") == F.col("b.rep")).where(sized("a", "b") & candidate("a", "b"))
+    stars = written(near.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")), "stars")
+    links = written(confirmed(stars, sets, at_least), "links")
     comp = written(connected_components(links, "a", "b"), "components")
 
     # Members of different components that share a bucket: all pairs of them. Signatures go along, so pairs are judged inside the join.
-    placed = buckets.select("key", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
+    placed = buckets.select("key", "slot", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "slot", "rep", F.coalesce("component", "rep").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    left = written(placed.join(mixed, "key", "left_semi").join(reps.select("rep", "n", "sig"), "rep"), "mixed")
+    left = placed.join(mixed, "key", "left_semi").join(side, "rep")
     a, b = left.alias("a"), left.alias("b")
     meets = (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep")) & (F.col("a.comp") != F.col("b.comp"))
-    sized = F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * at_least
-    rest = a.join(b, meets & sized & (differing(F.col("a.sig"), F.col("b.sig")) <= MOST)).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
+    rest = a.join(b, meets & sized("a", "b") & candidate("a", "b", "a.slot")).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
     rest = written(rest.join(stars, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
-        more = confirmed(rest, docs, words, at_least)
+        more = confirmed(rest, sets, at_least)
         comp = written(connected_components(links.union(more), "a", "b"), "components")
     named = reps.select("n", "h1", "h2", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("_comp"))
     out = all_docs.select("doc_id", "n", "h1", "h2").join(named, ["n", "h1", "h2"], "left")
