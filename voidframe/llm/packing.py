@@ -17,6 +17,7 @@ import heapq
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ CAPACITY, PIECE, END_ID = 2048, 512, 1
 #: Characters on which the quick split agrees with the tokenizer's own: ASCII without its odd separators, Latin-1 letters and some marks.
 _ODD = re.compile("[^\\x00-\\x1b\\x20-\\x7eÀ-ÖØ-öø-ÿŒœ–—‘’“”…]|<\\|")
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
-_KEPT_WORDS = 400_000
+_KEPT_WORDS = 500_000
 _loaded: dict[str, tuple] = {}
 
 
@@ -40,28 +41,50 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class _Known(dict):
+    """Ids of words met before. When full, it becomes the older half, and what is asked for again moves back."""
+
+    def __init__(self):
+        self.older: dict = {}
+
+    def lacking(self, words: set) -> list:
+        lacking = words.difference(self)
+        if self.older:
+            again = lacking & self.older.keys()
+            self.update((w, self.older[w]) for w in again)
+            lacking -= again
+        return list(lacking)
+
+    def turn(self) -> None:
+        if len(self) > _KEPT_WORDS:
+            self.older = dict(self)
+            self.clear()
+
+
 def _tokenizer(path: str) -> tuple:
     if path not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _loaded[path] = (Tokenizer.from_file(path), {})
+        _loaded[path] = (Tokenizer.from_file(path), _Known(), _Known())
     return _loaded[path]
 
 
 def encode(texts: list[str], path: str) -> list[bytes]:
-    """Each text's ids as little-endian unsigned 32-bit numbers. The tokenizer treats words alone, so a word met before is looked up."""
-    model, known = _tokenizer(path)
-    pack = lambda ids: np.array(ids, "<u4").tobytes()
-    split = [None if _ODD.search(t) else _SPLIT.findall(t.lower()) for t in texts]
-    if len(known) > _KEPT_WORDS:
-        known.clear()
-    new = {w for ws in split if ws is not None for w in ws} - known.keys()
-    todo = list(new)
+    """Each text's ids as little-endian unsigned 32-bit numbers. The tokenizer's words never cross white space and are treated alone, so
+    a stretch between white space, or a word in it, that was met before is looked up."""
+    model, stretches, words = _tokenizer(path)
+    stretches.turn()
+    words.turn()
+    split = [None if _ODD.search(t) else t.split() for t in texts]
+    new = stretches.lacking(set().union(*(s for s in split if s is not None)))
+    cut = [_SPLIT.findall(s.lower()) for s in new]
+    todo = words.lacking(set().union(*cut))
     for i in range(0, len(todo), 4096):
         part = todo[i : i + 4096]
-        known.update(zip(part, (pack(e.ids) for e in model.encode_batch(part, add_special_tokens=False)), strict=True))
-    return [pack(model.encode(t, add_special_tokens=False).ids) if ws is None else b"".join(map(known.__getitem__, ws)) for t, ws in zip(texts, split, strict=True)]
+        words.update(zip(part, (array("I", e.ids).tobytes() for e in model.encode_batch_fast(part, add_special_tokens=False)), strict=True))
+    stretches.update(zip(new, (b"".join(map(words.__getitem__, c)) for c in cut), strict=True))
+    return [array("I", model.encode(t, add_special_tokens=False).ids).tobytes() if s is None else b"".join(map(stretches.__getitem__, s)) for t, s in zip(texts, split, strict=True)]
 
 
 def cuts(tokens: int, capacity: int, piece: int) -> list[tuple[int, int]]:
