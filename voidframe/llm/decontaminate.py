@@ -36,35 +36,44 @@ UNITS = frozenset(
     "day days week weeks month months year years % percent degrees °c °f c f k v w kw a hz khz mhz ghz n j kj cal kcal pa kpa bar "
     "usd eur gbp dollars euros pounds cents dollar euro pound cent meters metres meter metre miles mile inches feet grams kilograms liters litres".split()
 )
-_EDGE = re.compile(r"^[^\w%°+-]+|[^\w%°]+$")
+_EDGES = "!\"#$&'()*,./:;<=>?@[\\]^_`{|}~«»“”‘’„…¿¡"
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,/:]*")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_KEPT_WORDS = 400_000
+_KEPT_WORDS = 700_000
 #: Kinds of token, then the hashes that stand for the three sorts of placeholder.
 _LITERAL, _NUM, _UNITWORD, _CAPITAL = 0, 1, 2, 4
 _ENDS = 8
 _SLOT = np.array([0, 0xA1, 0xA2, 0xA3], np.uint64)
-_known: dict[str, int] = {}
-_hashes: list[int] = []
-_kinds: list[int] = []
-_cores: list[str] = []
-
-
-def _learn(token: str) -> int:
-    core = _EDGE.sub("", token)
-    low = core.lower()
-    kind = _NUM if _NUMBER.fullmatch(core) else _LITERAL
-    if low in UNITS:
-        kind |= _UNITWORD
-    if core[:1].isupper() and len(core) > 1 and not core.isupper():
-        kind |= _CAPITAL
-    if token[-1:] in ".!?:|" or token.rstrip("\"')»”’")[-1:] in ".!?":
-        kind |= _ENDS
-    _known[token] = n = len(_hashes)
-    _hashes.append(xxhash.xxh64_intdigest(low.encode("utf-8", "replace")))
-    _kinds.append(kind)
-    _cores.append(low)
-    return n
+
+
+class _Tokens(dict):
+    """Tokens met before, numbered; hash and kind by number in arrays that grow by doubling."""
+
+    def __init__(self):
+        self.hash, self.kind, self.core = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int64), []
+
+    def __missing__(self, token: str) -> int:
+        core = token.strip(_EDGES).rstrip("+-")
+        low = core.lower()
+        kind = _LITERAL
+        if not core.isalpha() and _NUMBER.fullmatch(core):
+            kind = _NUM
+        if low in UNITS:
+            kind |= _UNITWORD
+        if core[:1].isupper() and len(core) > 1 and not core.isupper():
+            kind |= _CAPITAL
+        if token[-1] in ".!?:|" or token.rstrip("\"')»”’")[-1:] in (".", "!", "?"):
+            kind |= _ENDS
+        n = len(self.core)
+        if n == len(self.hash):
+            self.hash, self.kind = (np.concatenate([x, np.zeros_like(x)]) for x in (self.hash, self.kind))
+        self[token] = n
+        self.hash[n], self.kind[n] = xxhash.xxh64_intdigest(low.encode("utf-8", "replace")), kind
+        self.core.append(low)
+        return n
+
+
+_tokens = _Tokens()
 
 
 class Template:
@@ -72,13 +81,12 @@ class Template:
 
     def __init__(self, text: str, inside: bool = False):
         """inside: the text is taken to begin inside a sentence, so that its first word may be a name."""
-        if len(_known) > _KEPT_WORDS:
-            _known.clear(), _hashes.clear(), _kinds.clear(), _cores.clear()
-            _tables.clear()
-        ids = [_known[t] if t in _known else _learn(t) for t in text.split()]
-        self.ids = np.array(ids, np.int64)
-        hashes, kinds = _arrays()
-        k = kinds[self.ids]
+        if len(_tokens) > _KEPT_WORDS:
+            _tokens.clear()
+            _tokens.core.clear()
+        ids = text.split()
+        self.ids = np.fromiter(map(_tokens.__getitem__, ids), np.int64, len(ids))
+        hashes, k = _tokens.hash, _tokens.kind[self.ids]
         starts = np.r_[not inside, (k[:-1] & _ENDS) > 0] if len(ids) else np.zeros(0, bool)
         number = (k & _NUM) > 0
         unit = ((k & _UNITWORD) > 0) & np.r_[False, number[:-1]] if len(ids) else number
@@ -99,19 +107,7 @@ class Template:
         return out, literal[n:] - literal[:-n] >= LEAST
 
     def slots(self, at: int, n: int) -> list[str]:
-        return [f"{s}{_cores[i]}" for s, i in zip(self.sort[at : at + n].tolist(), self.ids[at : at + n].tolist(), strict=True) if s]
-
-
-_tables: list[np.ndarray] = []
-
-
-def _arrays() -> tuple[np.ndarray, np.ndarray]:
-    """The hash and kind tables as arrays, extended as words come in."""
-    if not _tables or len(_tables[0]) != len(_hashes):
-        done = len(_tables[0]) if _tables else 0
-        new = [np.array(_hashes[done:], np.uint64), np.array(_kinds[done:], np.int64)]
-        _tables[:] = [np.concatenate([a, b]) for a, b in zip(_tables, new, strict=True)] if _tables else new
-    return _tables[0], _tables[1]
+        return [f"{s}{_tokens.core[i]}" for s, i in zip(self.sort[at : at + n].tolist(), self.ids[at : at + n].tolist(), strict=True) if s]
 
 
 def template_windows(texts: DataFrame, key: str, lengths: list[int] | None = None, bloom=None) -> DataFrame:
