@@ -19,12 +19,11 @@ doc_id count as one node. An empty table gives an empty result. Further columns
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -128,52 +127,113 @@ def keyed(reps: DataFrame) -> DataFrame:
     return reps.select("rep", "sig").mapInArrow(spread, "key long, slot byte, rep long")
 
 
-def _folded(x: Column, width: int, ones: int) -> Column:
-    """The lowest bit of each lane set where the lane is not zero."""
-    by = width // 2
-    while by:
-        x = x.bitwiseOR(F.shiftrightunsigned(x, by))
-        by //= 2
-    return x.bitwiseAND(F.lit(ones))
+def _slots(column: pa.ListArray, kind: str, width: int) -> np.ndarray:
+    """rows x slots of a column of equally long lists of longs."""
+    flat = np.ascontiguousarray(column.flatten().to_numpy(zero_copy_only=False), "<i8")
+    return flat.view(kind).reshape(len(column), width)
 
 
-def fine_differing(a: Column, b: Column) -> Column:
-    """How many of the FINE slots differ."""
-    return reduce(lambda x, y: x + y, [F.bit_count(_folded(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i))), 4, 0x1111111111111111)) for i in range(FINE // 16)])
+def _fine_slots(column: pa.ListArray) -> np.ndarray:
+    both = _slots(column, np.uint8, FINE // 2)
+    return np.concatenate([both & 15, both >> 4], axis=1)
 
 
-def slot_mask(a: Column, b: Column) -> Column:
-    """A long with bit i set where slot i differs."""
+_STARTS = np.array([p[0] for p in _PARTS])
 
-    def four(i: int) -> Column:
-        z = _folded(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i))), 16, 0x0001000100010001)
-        near = z.bitwiseOR(F.shiftrightunsigned(z, 15)).bitwiseOR(F.shiftrightunsigned(z, 30)).bitwiseOR(F.shiftrightunsigned(z, 45))
-        return F.shiftleft(near.bitwiseAND(F.lit(15).cast("long")), 4 * i)
 
-    return reduce(lambda x, y: x.bitwiseOR(y), [four(i) for i in range(SLOTS // 4)])
+def near(i: np.ndarray, j: np.ndarray, n: np.ndarray, sig: np.ndarray, fine: np.ndarray, at_least: int, slot: np.ndarray | None = None) -> np.ndarray:
+    """Which pairs of rows (i, j) sizes and signatures allow a link; with slot, only those for which this bucket stands first: of the first
+    chunk with at most one error, the one that leaves out the error (or the chunk's first slot)."""
+    keep = np.zeros(len(i), bool)
+    for at in range(0, len(i), 20_000):
+        a, b = i[at : at + 20_000], j[at : at + 20_000]
+        fits = np.flatnonzero(np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * at_least)
+        differs = sig[a[fits]] != sig[b[fits]]
+        d = differs.sum(axis=1)
+        good = np.flatnonzero(d <= MOST)
+        fits, differs, d = fits[good], differs[good], d[good]
+        good = np.flatnonzero(d + (fine[a[fits]] != fine[b[fits]]).sum(axis=1) <= MOST_ALL)
+        fits, differs = fits[good], differs[good]
+        if slot is not None and len(fits):
+            errors = np.add.reduceat(differs, _STARTS, axis=1, dtype=np.int64)
+            first = (errors <= 1).argmax(axis=1)
+            inside = np.arange(SLOTS) >= _STARTS[first][:, None]
+            inside &= np.arange(SLOTS) < np.r_[_STARTS[1:], SLOTS][first][:, None]
+            hit = differs & inside
+            place = np.where(hit.any(axis=1), hit.argmax(axis=1), _STARTS[first])
+            fits = fits[place == slot[a[fits]]]
+        keep[at + fits] = True
+    return keep
 
 
-def _signed(mask: int) -> Column:
-    return F.lit(mask if mask < 1 << 63 else mask - (1 << 64)).cast("long")
+def near_pairs(pairs: DataFrame, reps: DataFrame, at_least: int) -> DataFrame:
+    """Of (a, b), those whose sizes and signatures allow a link."""
 
-
-def candidate(a: str, b: str, slot: str | None = None) -> Column:
-    """Whether two signatures allow a link; with slot, only in the bucket that stands first for the pair: of the first chunk with at
-    most one error, the one that leaves out the error (or the chunk's first slot)."""
-    seen = F.struct(slot_mask(F.col(f"{a}.sig"), F.col(f"{b}.sig")).alias("m"), fine_differing(F.col(f"{a}.fine"), F.col(f"{b}.fine")).alias("f"))
-
-    def judged(x: Column) -> Column:
-        n = F.bit_count(x["m"])
-        near = (n <= MOST) & (n + x["f"] <= MOST_ALL)
-        if slot is None:
-            return near
-        masks = [sum(1 << int(s) for s in part) for part in _PARTS]
-        first = F.coalesce(*[F.when(F.bit_count(x["m"].bitwiseAND(_signed(m))) <= 1, F.struct(F.lit(int(part[0])).alias("at"), x["m"].bitwiseAND(_signed(m)).alias("error"))) for m, part in zip(masks, _PARTS, strict=True)])
-        place = F.transform(F.array(first), lambda c: F.when(c["error"] == 0, c["at"]).otherwise(F.bit_count(c["error"] - 1)))
-        return near & (F.element_at(place, 1) == F.col(slot))
-
-    quick = fine_differing(F.col(f"{a}.fine"), F.col(f"{b}.fine")) <= MOST_ALL
-    return quick & F.element_at(F.transform(F.array(seen), judged), 1)
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = batch.num_rows
+            if m:
+                n = np.concatenate([batch.column(k).to_numpy() for k in (2, 3)])
+                sig = np.concatenate([_slots(batch.column(k), "<u2", SLOTS) for k in (4, 5)])
+                fine = np.concatenate([_fine_slots(batch.column(k)) for k in (6, 7)])
+                keep = near(np.arange(m), np.arange(m) + m, n, sig, fine, at_least)
+                yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep))
+
+    side = lambda s: reps.select(F.col("rep").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "sig", "fine")])
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.select("a", "b", "n_a", "n_b", "sig_a", "sig_b", "fine_a", "fine_b").mapInArrow(judge, "a long, b long")
+
+
+def bucket_pairs(members: DataFrame, at_least: int, block: int = 1024) -> DataFrame:
+    """(a, b), a < b, of members (key, slot, rep, comp, n, sig, fine, size) that share a bucket, have different comp and signatures that
+    allow a link. A bucket larger than `block` is cut into blocks, and every two blocks meet in a group of their own, so no group is
+    larger than two blocks."""
+    blocks = F.ceil(F.col("size") / block).cast("int")
+    own = members.withColumn("own", F.pmod(F.xxhash64(F.lit(5), "rep"), blocks).cast("int"))
+    meets = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("lo"), F.greatest(o, F.col("own")).alias("hi")))
+    spread = own.withColumn("g", F.explode(meets)).select("key", "g.lo", "g.hi", "own", "slot", "rep", "comp", "n", "sig", "fine")
+
+    def found(table: pa.Table) -> pa.RecordBatch:
+        table = table.combine_chunks()
+        col = lambda k: table.column(k).to_numpy()
+        own, slot, rep, comp = col("own"), col("slot"), col("rep"), col("comp")
+        lo, hi = col("lo"), col("hi")
+        edges = np.flatnonzero(np.r_[True, (np.diff(col("key")) != 0) | (np.diff(lo) != 0) | (np.diff(hi) != 0), True])
+        i, j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for start, end in zip(edges, edges[1:], strict=False):
+            if end - start == 2:
+                x, y = np.array([start]), np.array([start + 1])
+            else:
+                x, y = (k + start for k in np.triu_indices(end - start, 1))
+            ok = comp[x] != comp[y]
+            if lo[start] != hi[start]:
+                ok &= own[x] != own[y]
+            i.append(x[ok])
+            j.append(y[ok])
+        i, j = np.concatenate(i), np.concatenate(j)
+        one = lambda k: table.column(k).chunk(0)
+        keep = near(i, j, col("n"), _slots(one("sig"), "<u2", SLOTS), _fine_slots(one("fine")), at_least, slot)
+        a, b = rep[i[keep]], rep[j[keep]]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = pa.Table.from_batches([batch])
+            held = new if held is None else pa.concat_tables([held, new])
+            # the last group may go on in the next batch
+            last = [held.column(k)[-1].as_py() for k in ("key", "lo", "hi")]
+            open_ = np.logical_and.reduce([held.column(k).to_numpy() == v for k, v in zip(("key", "lo", "hi"), last, strict=True)])
+            cut = held.num_rows - int(open_.sum())
+            if cut:
+                yield found(held.slice(0, cut))
+                held = held.slice(cut)
+        if held is not None:
+            yield found(held)
+
+    return spread.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(judge, "a long, b long")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -218,25 +278,15 @@ def near_duplicates(docs: DataFrame, words: int = 4, at_least: int = 80) -> Data
     buckets = keyed(reps).select("key", "slot", "rep", F.min("rep").over(per_key).alias("least"), F.max("rep").over(per_key).alias("last")).where("least < last")
     buckets = written(buckets.select("key", "slot", "rep", "least"), "buckets")
     sets = written(shingle_sets(docs, buckets.select(F.col("rep").alias("doc_id")).distinct(), words), "sets")
-    side = reps.select("rep", "n", "sig", "fine")
-
-    def sized(a: str, b: str) -> Column:
-        return F.least(f"{a}.n", f"{b}.n") * 100 >= F.greatest(f"{a}.n", f"{b}.n") * at_least
-
-    pairs = buckets.where("rep <> least").select("least", "rep").distinct()
-    a, b = side.alias("a"), side.alias("b")
-    near = pairs.alias("p").join(a, F.col("p.least") == F.col("a.rep")).join(b, F.col("p.rep") == F.col("b.rep")).where(sized("a", "b") & candidate("a", "b"))
-    stars = written(near.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")), "stars")
+    pairs = buckets.where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
+    stars = written(near_pairs(pairs, reps, at_least), "stars")
     links = written(confirmed(stars, sets, at_least), "links")
     comp = written(connected_components(links, "a", "b"), "components")
 
-    # Members of different components that share a bucket: all pairs of them. Signatures go along, so pairs are judged inside the join.
+    # Members of different components that share a bucket: all pairs of them.
     placed = buckets.select("key", "slot", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "slot", "rep", F.coalesce("component", "rep").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    left = placed.join(mixed, "key", "left_semi").join(side, "rep")
-    a, b = left.alias("a"), left.alias("b")
-    meets = (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep")) & (F.col("a.comp") != F.col("b.comp"))
-    rest = a.join(b, meets & sized("a", "b") & candidate("a", "b", "a.slot")).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi").select("key", "size")
+    rest = bucket_pairs(placed.join(mixed, "key").join(reps.select("rep", "n", "sig", "fine"), "rep"), at_least)
     rest = written(rest.join(stars, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         more = confirmed(rest, sets, at_least)
