@@ -301,9 +301,12 @@ def all_spans(model: Model, texts: list[str]) -> list[tuple[list, list]]:
 
 
 def learn(docs: DataFrame, most_docs: int = 600, most_chars: int = 20_000) -> Model:
-    """A model from windows of at most most_docs documents with a digit or an @ (of a very long one, most_chars characters)."""
+    """A model from windows of about most_docs documents, drawn by hash, with a digit or an @ (of a very long one, most_chars characters)."""
     marked = docs.where(F.col("text").rlike("[0-9@]")).select(F.xxhash64(F.lit(23), "doc_id", "text").alias("_h"), F.substring("text", 1, most_chars).alias("text"))
-    rows = marked.orderBy("_h").limit(most_docs).collect()
+    million = 1_000_000
+    share = min(million, -(-million * most_docs // max(1, marked.count())))
+    rows = marked.where(F.pmod("_h", F.lit(million)) < share).limit(2 * most_docs).collect()
+    rows.sort(key=lambda r: r["_h"])
     return train([r["text"] for r in rows])
 
 
