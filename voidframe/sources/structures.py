@@ -73,9 +73,6 @@ def read_pdb(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     return _atoms(atoms, "at", 0.1), _box(all_ids, [F.col(c) for c in "abc"], 0.1)
 
 
-_TERM = r"([+-]?)\s*(?:(\d+(?:\.\d+)?)(?:/(\d+(?:\.\d+)?))?)?\s*\*?\s*([xyz]?)"
-
-
 def _applied(op: Column) -> Column:
     """One coordinate of a symmetry operator such as 1/2-x, at the fractional position fx, fy, fz."""
     parts = F.regexp_extract_all(F.lower(F.regexp_replace(op, r"\s+", "")), F.lit(r"[+-]?[^+-]+"), F.lit(0))
@@ -100,10 +97,12 @@ def read_cif(found: DataFrame, tolerance: float = 1e-3) -> tuple[DataFrame, Data
     cell = cut.select("structure_id", *[tag(f"_cell_length_{x}").alias(x) for x in "abc"], *[tag(f"_cell_angle_{x}").alias(x) for x in ("alpha", "beta", "gamma")])
     right = F.greatest(*[F.abs(F.coalesce(F.col(x), F.lit(90.0)) - 90) for x in ("alpha", "beta", "gamma")]) <= 1e-6
     cell = cell.withColumn("a", F.when(right, F.col("a")).otherwise(F.raise_error(F.lit("CIF: only orthorhombic cells"))))
-    loops = cut.select("structure_id", F.explode(F.split("text", r"(?mi)^\s*loop_\s*$")).alias("loop")).withColumn("lines", F.filter(F.transform(F.split("loop", "\n"), F.trim), lambda x: x != ""))
-    loops = loops.withColumn("tags", F.transform(F.filter("lines", lambda x: x.startswith("_")), F.lower))
-    # Values end where the next tag or data block begins.
-    with_values = loops.withColumn("n", F.size("tags")).withColumn("values", F.slice("lines", F.col("n") + 1, F.greatest(F.size("lines") - F.col("n"), F.lit(0))))
+    loops = cut.select("structure_id", F.explode(F.split("text", r"(?mi)^\s*loop_\s*$")).alias("loop")).withColumn("lines", F.filter(F.transform(F.split("loop", "\n"), lambda x: F.trim(x)), lambda x: x != ""))
+    until = lambda xs, stop: F.coalesce(F.nullif(F.array_position(F.transform(xs, stop), True), F.lit(0).cast("long")), F.size(xs) + 1).cast("int")
+    loops = loops.withColumn("n", until(F.col("lines"), lambda x: ~x.startswith("_")) - 1)
+    loops = loops.withColumn("tags", F.transform(F.slice("lines", F.lit(1), F.col("n")), F.lower)).withColumn("values", F.slice("lines", F.col("n") + 1, F.size("lines")))
+    # values end where the next tag or data block begins
+    with_values = loops.withColumn("values", F.slice("values", F.lit(1), until(F.col("values"), lambda x: x.rlike("^(_|data_|#|;)")) - 1))
     is_ops = F.exists("tags", lambda t: t.isin("_symmetry_equiv_pos_as_xyz", "_space_group_symop_operation_xyz"))
     ops = with_values.where(is_ops).select("structure_id", F.explode("values").alias("v")).select("structure_id", F.regexp_extract("v", r"([0-9xyzXYZ+\-/.* ]+,[0-9xyzXYZ+\-/.* ]+,[0-9xyzXYZ+\-/.* ]+)", 1).alias("op")).where("op <> ''")
     ops = ops.withColumn("op", F.trim(F.regexp_replace("op", r"^\s*\d+\s+(?=[-+xyzXYZ0-9])", "")))
@@ -116,12 +115,19 @@ def read_cif(found: DataFrame, tolerance: float = 1e-3) -> tuple[DataFrame, Data
     sites = sites.select("structure_id", "site", F.regexp_extract(named, r"^([A-Z][a-z]?)", 1).alias("element"), *[number(f"_atom_site_fract_{x}").alias(f"f{x}") for x in "xyz"])
     spread = sites.join(ops, "structure_id").withColumn("p", F.split("op", ","))
     pos = spread.select("structure_id", "site", "element", *[F.pmod(_applied(F.col("p")[i]), F.lit(1.0)).alias(f"f{x}") for i, x in enumerate("xyz")])
-    cells = int(round(1 / tolerance))
-    key = [F.pmod(F.rint(F.col(f"f{x}") * cells), F.lit(cells)).alias(f"k{x}") for x in "xyz"]
-    # Two copies on either side of a rounding edge fall into one group of the coarser, shifted key.
-    pos = pos.select("*", *key).groupBy("structure_id", "site", "kx", "ky", "kz").agg(F.first("element").alias("element"), *[F.min(f"f{x}").alias(f"f{x}") for x in "xyz"])
-    shifted = [F.floor(F.pmod(F.col(f"f{x}") * cells + 0.25, F.lit(cells)) + 0.25).alias(f"s{x}") for x in "xyz"]
-    pos = pos.select("*", *shifted).groupBy("structure_id", "site", "sx", "sy", "sz").agg(F.first("element").alias("element"), *[F.min(f"f{x}").alias(f"f{x}") for x in "xyz"])
+    # A copy goes if an earlier one lies within the tolerance: copies meet in buckets of the cell and the buckets around.
+    edge = 64
+    pos = pos.withColumn("n", F.row_number().over(Window.partitionBy("structure_id").orderBy("site", "fx", "fy", "fz")))
+    pos = pos.withColumns({f"b{x}": F.pmod(F.floor(F.col(f"f{x}") * edge), F.lit(edge)).cast("int") for x in "xyz"})
+    around = pos
+    for x in "xyz":
+        around = around.withColumn(f"b{x}", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.pmod(F.col(f"b{x}") + d, F.lit(edge)))))
+    p, q = pos.alias("p"), around.alias("q")
+    meets = (F.col("p.structure_id") == F.col("q.structure_id")) & (F.col("q.n") < F.col("p.n"))
+    for x in "xyz":
+        gap = F.col(f"p.f{x}") - F.col(f"q.f{x}")
+        meets = meets & (F.col(f"p.b{x}") == F.col(f"q.b{x}")) & (F.abs(gap - F.rint(gap)) < tolerance)
+    pos = p.join(q, meets, "left_anti")
     atoms = pos.join(cell, "structure_id").select("structure_id", F.struct("site", "fx", "fy", "fz").alias("at"), "element", *[(F.col(f"f{x}") * F.col(c)).alias(x) for x, c in zip("xyz", "abc", strict=True)])
     return _atoms(atoms, "at", 0.1), _box(cell, [F.col(c) for c in "abc"], 0.1)
 
