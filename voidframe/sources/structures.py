@@ -117,6 +117,7 @@ def read_cif(found: DataFrame, tolerance: float = 1e-3) -> tuple[DataFrame, Data
     pos = spread.select("structure_id", "site", "element", *[F.pmod(_applied(F.col("p")[i]), F.lit(1.0)).alias(f"f{x}") for i, x in enumerate("xyz")])
     # A copy goes if an earlier one lies within the tolerance: copies meet in buckets of the cell and the buckets around.
     edge = 64
+    pos = pos.distinct()  # so that the numbering has no ties
     pos = pos.withColumn("n", F.row_number().over(Window.partitionBy("structure_id").orderBy("site", "fx", "fy", "fz")))
     pos = pos.withColumns({f"b{x}": F.pmod(F.floor(F.col(f"f{x}") * edge), F.lit(edge)).cast("int") for x in "xyz"})
     around = pos
