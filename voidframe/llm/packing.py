@@ -31,7 +31,7 @@ CAPACITY, PIECE, END_ID = 2048, 512, 1
 #: Characters on which the quick split agrees with the tokenizer's own: ASCII without its odd separators, Latin-1 letters and some marks.
 _ODD = re.compile("[^\\x00-\\x1b\\x20-\\x7eÀ-ÖØ-öø-ÿŒœ–—‘’“”…]|<\\|")
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
-_KEPT_WORDS = 500_000
+_KEPT_WORDS = 300_000
 _loaded: dict[str, tuple] = {}
 
 
