@@ -217,6 +217,29 @@ def test_language(spark, odd, none):
     assert all(r.lang_pred == "und" for r in language.predict(odd, language.learn(none)).collect())
 
 
+def test_whole_runs_of_letters_count():
+    rng = np.random.default_rng(4)
+    draw = {"ja": lambda n: "".join(chr(c) for c in rng.integers(0x3041, 0x3090, n)), "zh": lambda n: "".join(chr(c) for c in rng.integers(0x4E00, 0x4E60, n))}
+    model = language.train([(" ".join(f(k) for k in rng.integers(3, 30, 60)), lang) for _ in range(30) for lang, f in draw.items()])
+
+    def share(text):
+        scores = model.scores(language.words(text))
+        return language.forward_backward(scores, np.array([len(scores)]), model.transitions, model.start)[0].mean(0)
+
+    # one run of letters, of which the first part is in another language than the rest
+    assert share(draw["ja"](48) + draw["zh"](400)).argmax() == 1 and share(draw["zh"](48) + draw["ja"](400)).argmax() == 0
+    assert all(0.1 < x < 0.9 for x in share(draw["ja"](200) + draw["zh"](200)))
+    for n in (1, 25, 26, 27, 28, 50, 51, 500):
+        run = draw["zh"](n)
+        pieces = language.words(run)
+        seen = {p.strip("-")[i : i + 3] for p in pieces for i in range(len(p.strip("-")) - 2)}
+        assert seen == {run[i : i + 3] for i in range(n - 2)} and len("".join(p.strip("-") for p in pieces)) == n + 2 * (len(pieces) - 1)
+    # 1-grams, affixes of whole letters, and the real end of a long word
+    assert {zlib.crc32(c.encode()) % language.BUCKETS for c in "añ"} <= set(language.features("ñandúa"))
+    assert zlib.crc32("日本語$".encode(), 2) % language.BUCKETS in language.features("私日本語")
+    assert set(language.features("a" * 60 + "x")) != set(language.features("a" * 60 + "y"))
+
+
 def test_forward_backward_against_enumeration():
     import itertools
 

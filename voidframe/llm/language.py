@@ -2,7 +2,8 @@
 
 Every word is labelled with a language. A word's features are its affixes, its character n-grams and its identity (the
 lexicon), hashed into one weight table; learned transitions tie neighbouring words, so a text that switches languages is
-labelled piece by piece. Posteriors come from forward-backward over the whole text. The document's language is the one with
+labelled piece by piece. A run of more than LONGEST + 2 letters (a clause of a script without spaces) is read as consecutive
+pieces, each a word of its own, so that all of it counts and a switch inside it is seen. Posteriors come from forward-backward over the whole text. The document's language is the one with
 the most posterior mass; its share is the score.
 
 Training: a bounded, documented sample (`per_language` documents of each language, chosen by hash among the rows it may learn
@@ -29,24 +30,42 @@ from .common import text_of
 
 BUCKETS = 1 << 16
 _WORD = re.compile(r"[^\W\d_]+")
+LONGEST = 24
 _KEPT_WORDS = 1_000_000
 
 
 def words(text: str) -> list[str]:
-    """Lower-cased runs of letters."""
+    """Lower-cased runs of letters, long ones in pieces."""
     found = _WORD.findall(text.lower())
-    if text.isascii() or all(map(str.isalpha, found)):
-        return found
-    return [x for w in found if (x := w if w.isalpha() else "".join(filter(str.isalpha, w)))]
+    if not text.isascii() and not all(map(str.isalpha, found)):
+        found = [x for w in found if (x := w if w.isalpha() else "".join(filter(str.isalpha, w)))]
+    if max(map(len, found), default=0) > LONGEST + 2:
+        return [p for w in found for p in _pieces(w)]
+    return found
+
+
+def _pieces(run: str) -> list[str]:
+    """A piece for every LONGEST letters with the two that follow, so that each n-gram is in one; - stands where the run goes on."""
+    n = len(run)
+    if n <= LONGEST + 2:
+        return [run]
+    return [("-" if i else "") + run[i : i + LONGEST + 2] + ("-" if i + LONGEST + 2 < n else "") for i in range(0, n - 2, LONGEST)]
 
 
 def features(word: str) -> list[int]:
-    """Hashed affixes up to 3, n-grams of 2 and 3 and the word itself, all in UTF-8 bytes."""
-    w = b"^" + word.encode("utf-8", "replace")[:40] + b"$"
-    crc, grams = zlib.crc32, {w[i : i + 2] for i in range(len(w) - 1)}
-    grams.update(w[i : i + 3] for i in range(len(w) - 2))
-    own = [crc(w, 9), crc(w[:2], 1), crc(w[:3], 1), crc(w[:4], 1), crc(w[-2:], 2), crc(w[-3:], 2), crc(w[-4:], 2)]
-    return [h & (BUCKETS - 1) for h in (*own, *map(crc, grams))]
+    """Hashed affixes up to 3, n-grams of 1 to 3 and the word itself, all of whole letters in UTF-8."""
+    w = ("" if word[0] == "-" else "^") + word + ("" if word[-1] == "-" else "$")
+    if w.isascii():
+        w = w.encode()
+    n = len(w)
+    grams = {w[i : i + 2] for i in range(n - 1)}
+    grams.update([w[i : i + 3] for i in range(n - 2)])
+    grams.update([w[i : i + 1] for i in range(1, n - 1)])
+    own = (w, w[:2], w[:3], w[:4], w[-2:], w[-3:], w[-4:])
+    if isinstance(w, str):
+        own, grams = ([x.encode("utf-8", "replace") for x in part] for part in (own, grams))
+    crc, mask = zlib.crc32, BUCKETS - 1
+    return [h & mask for h in (*map(crc, own, (9, 1, 1, 1, 2, 2, 2)), *map(crc, grams))]
 
 
 @dataclass
