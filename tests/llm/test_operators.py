@@ -339,6 +339,13 @@ def test_quality(spark, odd, none):
     assert all(0 <= r.score <= 1 for r in quality.score(odd, quality.learn(d, lab, most=200)).collect())
 
 
+def test_every_word_counts_for_quality():
+    line = "Alpha b c d e f g h i j\n"
+    for text in (line * 200, "x " + line * 200, line[6:] * 50 + line * 400, line * 3):
+        words = text.split()
+        assert quality.counts(text)[-1] == sum(w.istitle() for w in words) / len(words)
+
+
 ITEMS = [(1, "A train leaves Boston at 9 am and travels 120 km to Denver. How far is Boston from Denver?"), (2, "Short one."), (3, None), (4, "The quick brown fox jumps over the lazy dog near the old river bank today.")]
 HOLDERS = [
     (10, "Intro text. A train leaves Paris at 7 am and travels 250 km to London. How far is Paris from London? More."),

@@ -45,7 +45,7 @@ WIDTH = len(_CLASSES) + 7
 
 
 def counts(text: str) -> list[float]:
-    """Shares of character classes; length; share of distinct words and lines, of words equal to the one before; word length."""
+    """Shares of character classes; length; share of distinct words and lines, of words equal to the one before; word length; share of capitalised words."""
     raw = text.encode("utf-8", "replace")
     shares = np.bincount(np.frombuffer(raw, np.uint8), minlength=256) @ _TABLE / max(1, len(raw))
     words, lines = text.split(), text.split("\n")
@@ -59,7 +59,7 @@ def counts(text: str) -> list[float]:
         sum(map(operator.eq, words, words[1:])) / max(1, n),
         len(set(lines)) / len(lines),
         (len(text) - n) / max(1, n) / 10,
-        sum(w.istitle() for w in words[:: max(1, n // 200)]) / max(1, len(range(0, n, max(1, n // 200)))),
+        sum(map(str.istitle, words)) / max(1, n),
     ]
 
 
