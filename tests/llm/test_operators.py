@@ -366,6 +366,22 @@ def test_decontamination(spark, odd, none):
     assert decontaminate.digest(docs, items.limit(0)).count() == 0
 
 
+def test_decontamination_reads_names_units_and_dense_items(spark):
+    items = [(1, "Maria has 5 apples. Maria eats 2 of them. How many are left over?"), (2, "3 kg 7 km Rome 9 cm Paris 4 h 8"), (3, "Add 20% to 5kg of flour and mix it well now."), (4, "Yesterday she flew from Boston to see all her friends again.")]
+    docs = [
+        (10, "Intro here. John has 7 apples. John eats 3 of them. How many are left over? End."),
+        (11, "We saw 3 kg 7 km Rome 9 cm Paris 4 h 8 there."),
+        (12, "We saw 3 kg 7 km Rome 9 cm Paris 5 h 6 there, 2 kg 8 km Bonn 1 cm Kiel."),
+        (13, "First add 35% to 8kg of flour and mix it well now."),
+        (14, "Yesterday she flew from New York to see all her friends again."),
+        (15, "Ana Maria Diaz has 7 apples. Ana Maria Diaz eats 3 of them. How many are left over?"),
+        (16, "John has 7 apples. Paul eats 3 of them. Where are the rest of these now?"),
+    ]
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.digest(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(got) == {(10, 1), (11, 2), (13, 3), (14, 4), (15, 1)}
+    assert {k for k, r in got.items() if not r.reparameterised} == {(11, 2)}
+
+
 def test_pipeline(spark, odd, tmp_path):
     import corpus_pipeline as cp
 
