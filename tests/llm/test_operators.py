@@ -206,6 +206,12 @@ def test_pages(spark):
     assert html_text.digest(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("tag", ["<svg x='1'/>", "<iframe/>", "<object />", "<title>", "<select>", "<video src='a'>"])
+def test_unclosed_and_empty_elements_drop_no_text(tag):
+    assert html_text.blocks(f"<article><p>one</p>{tag}<p>two</p></article>")[0] == ["one", "two"]
+    assert html_text.blocks(f"<body>{tag}<article><p>one</p><svg><text>no</text></svg><p>two<script>x")[0] == ["one", "two"]
+
+
 def test_language(spark, odd, none):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = {r.doc_id: r for r in language.digest(docs).collect()}

@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from .common import text_of, written
 
 RUN = 8
-_PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|title|object|canvas|audio|video)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
+#: Script and style run to the end of the page where no end tag follows; of the others only the opening tag is skipped then.
+_PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(?:svg|iframe|object|canvas|audio|video)\b[^>]*/>|<(noscript|template|svg|iframe|textarea|select|title|object|canvas|audio|video)\b[^>]*>.*?</\2\s*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
 _CUT_OFF = re.compile(r"<[a-zA-Z/!][^>]*\Z")
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true", re.I)
@@ -63,7 +64,7 @@ def blocks(page: str) -> tuple[list[str], list[str], list[str]]:
         if m.start() > at:
             held.append(page[at : m.start()])
         at = m.end()
-        tag = m[3]
+        tag = m[4]
         if tag is None:
             continue
         tag = tag.lower()
@@ -72,14 +73,14 @@ def blocks(page: str) -> tuple[list[str], list[str], list[str]]:
         close()
         if tag in VOID:
             continue
-        if m[2]:
+        if m[3]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     del stack[i:]
                     break
             place = stack[-1][1] if stack else "open"
             continue
-        if m[4].endswith("/"):
+        if m[5].endswith("/"):
             continue
         if tag == "p" or tag == "li":
             # an open paragraph or item ends where the next begins
@@ -90,7 +91,7 @@ def blocks(page: str) -> tuple[list[str], list[str], list[str]]:
             stack.pop()
             place = stack[-1][1] if stack else "open"
         if place != "boiler":
-            if tag in BOILER_TAGS or (m[4] and _is_boiler(tag, m[4])):
+            if tag in BOILER_TAGS or (m[5] and _is_boiler(tag, m[5])):
                 place = "boiler"
             elif tag == "article" or (tag == "main" and place == "open"):
                 place = tag
