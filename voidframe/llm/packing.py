@@ -8,7 +8,8 @@ the other, until one is left. Its windows are near-equal. If the heaviest exceed
 and starts again.
 
 Null text counts as empty: such a document has its end id only. A null doc_id is kept. Repeated rows are documents of their
-own. An empty table gives no sequences.
+own, and copies may lie in different sequences; ties of length are settled by the order of the pieces. A very long text is encoded
+whole, apart from others, and gives as many full windows as it fills. An empty table gives no sequences.
 """
 
 from __future__ import annotations
@@ -22,17 +23,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import portions, text_of, written
 
 CAPACITY, PIECE, END_ID = 2048, 512, 1
-#: Characters on which the quick split agrees with the tokenizer's own: ASCII without its odd separators, Latin-1 letters and some marks.
-_ODD = re.compile("[^\\x00-\\x1b\\x20-\\x7eÀ-ÖØ-öø-ÿŒœ–—‘’“”…]|<\\|")
-_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
-_KEPT_WORDS = 300_000
-_loaded: dict[str, tuple] = {}
+#: What is not among the characters on which the quick split agrees with the tokenizer's own: ASCII without its odd separators, Latin-1 letters and some marks.
+_ODD = "[^\\x00-\\x1b\\x20-\\x7eÀ-ÖØ-öø-ÿŒœ–—‘’“”…]|<\\|"
+_SPLIT = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+_KEPT_WORDS = 200_000
+_loaded: dict[str, _Quick] = {}
 
 
 def tokenizer_path() -> str:
@@ -41,50 +43,77 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class _Known(dict):
-    """Ids of words met before. When full, it becomes the older half, and what is asked for again moves back."""
+class _Quick:
+    """The tokenizer with the ids of words met before. When they are many, they become the older half, and what is asked for again moves back."""
 
-    def __init__(self):
-        self.older: dict = {}
-
-    def lacking(self, words: set) -> list:
-        lacking = words.difference(self)
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.model, self.words_only = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        # words that are cut and lower-cased already need the merges only
+        self.words_only.normalizer = None
+        self.words_only.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ends = np.zeros(self.model.get_vocab_size(), bool)
+        self.ends[[i for token, i in self.model.get_vocab().items() if token.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def of(self, words: list[str]) -> list[bytes]:
+        """The ids of each word. New words are encoded as texts of many words; an id that ends a word ends its share."""
+        if len(self.known) > _KEPT_WORDS:
+            self.known, self.older = {}, self.known
+        new = [w for w in words if w not in self.known]
         if self.older:
-            again = lacking & self.older.keys()
-            self.update((w, self.older[w]) for w in again)
-            lacking -= again
-        return list(lacking)
-
-    def turn(self) -> None:
-        if len(self) > _KEPT_WORDS:
-            self.older = dict(self)
-            self.clear()
-
-
-def _tokenizer(path: str) -> tuple:
+            self.known.update((w, self.older[w]) for w in new if w in self.older)
+            new = [w for w in new if w not in self.known]
+        for i in range(0, len(new), 65536):
+            part = new[i : i + 65536]
+            found = self.words_only.encode_batch_fast([" ".join(part[k : k + 1024]) for k in range(0, len(part), 1024)], add_special_tokens=False)
+            ids = np.concatenate([np.array(e.ids, "<u4") for e in found])
+            edges = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+            raw = ids.tobytes()
+            self.known.update(zip(part, (raw[a:b] for a, b in zip(edges, edges[1:], strict=False)), strict=True))
+        return list(map(self.known.__getitem__, words))
+
+
+def _tokenizer(path: str) -> _Quick:
     if path not in _loaded:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        _loaded[path] = (Tokenizer.from_file(path), _Known(), _Known())
+        _loaded[path] = _Quick(path)
     return _loaded[path]
 
 
-def encode(texts: list[str], path: str) -> list[bytes]:
+def _expanded(number: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parts lie one after another, `sizes` of each. The places of the parts of `number`, item by item, and where each item's end."""
+    n = sizes[number]
+    ends = np.cumsum(n)
+    return np.repeat((np.cumsum(sizes) - sizes)[number] - ends + n, n) + np.arange(n.sum()), ends
+
+
+def encode(texts: pa.Array, path: str) -> list[bytes]:
     """Each text's ids as little-endian unsigned 32-bit numbers. The tokenizer's words never cross white space and are treated alone, so
-    a stretch between white space, or a word in it, that was met before is looked up."""
-    model, stretches, words = _tokenizer(path)
-    stretches.turn()
-    words.turn()
-    split = [None if _ODD.search(t) else t.split() for t in texts]
-    new = stretches.lacking(set().union(*(s for s in split if s is not None)))
-    cut = [_SPLIT.findall(s.lower()) for s in new]
-    todo = words.lacking(set().union(*cut))
-    for i in range(0, len(todo), 4096):
-        part = todo[i : i + 4096]
-        words.update(zip(part, (array("I", e.ids).tobytes() for e in model.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-    stretches.update(zip(new, (b"".join(map(words.__getitem__, c)) for c in cut), strict=True))
-    return [array("I", model.encode(t, add_special_tokens=False).ids).tobytes() if s is None else b"".join(map(stretches.__getitem__, s)) for t, s in zip(texts, split, strict=True)]
+    the stretches between white space are numbered, each distinct one is cut into words once, these are numbered too, each distinct word is
+    looked up or encoded, and ids are put in place by number."""
+    own = _tokenizer(path)
+    odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False).astype(bool)
+    out = [b""] * len(texts)
+    for i in np.flatnonzero(odd):
+        out[i] = array("I", own.model.encode(texts[i].as_py(), add_special_tokens=False).ids).tobytes()
+    split = pc.ascii_split_whitespace(pc.utf8_lower(texts.filter(pa.array(~odd))))
+    stretches = split.flatten().dictionary_encode()
+    words = pa.array(_SPLIT.findall("".join(f"{s}\n" for s in stretches.dictionary.to_pylist())), pa.string()).dictionary_encode()
+    distinct, word = words.dictionary.to_pylist(), words.indices.to_numpy(zero_copy_only=False)
+    marks = np.flatnonzero(word == distinct.index("\n")) if distinct else np.zeros(0, np.int64)  # the end of each stretch
+    at_word, stretch_ends = _expanded(stretches.indices.to_numpy(zero_copy_only=False), np.diff(marks, prepend=-1))
+    found = own.of([w for w in distinct if w != "\n"])
+    if distinct:
+        found.insert(distinct.index("\n"), b"")
+    at_id, word_ends = _expanded(word[at_word], np.fromiter(map(len, found), np.int64, len(found)) // 4)
+    ids = np.frombuffer(b"".join(found), "<u4")[at_id].tobytes()
+    edges = 4 * np.r_[0, word_ends][np.r_[0, stretch_ends][split.offsets.to_numpy() - split.offsets[0].as_py()]]
+    for i, a, b in zip(np.flatnonzero(~odd), edges, edges[1:], strict=False):
+        out[i] = ids[a:b]
+    return out
 
 
 def cuts(tokens: int, capacity: int, piece: int) -> list[tuple[int, int]]:
@@ -106,10 +135,9 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, piece: int = PI
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in portions(batch, 1):
                 rows = []
-                for doc_id, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist(), path), strict=True):
+                for doc_id, ids in zip(part.column(0).to_pylist(), encode(part.column(1), path), strict=True):
                     ids += end
                     n = len(ids) // 4
                     for start, length in cuts(n, capacity, piece):
