@@ -226,7 +226,7 @@ def test_language(spark, odd, none):
 def test_whole_runs_of_letters_count():
     rng = np.random.default_rng(4)
     draw = {"ja": lambda n: "".join(chr(c) for c in rng.integers(0x3041, 0x3090, n)), "zh": lambda n: "".join(chr(c) for c in rng.integers(0x4E00, 0x4E60, n))}
-    model = language.train([(" ".join(f(k) for k in rng.integers(3, 30, 60)), lang) for _ in range(30) for lang, f in draw.items()])
+    model = language.train([(run, lang) for _ in range(30) for lang, f in draw.items() for run in language.runs(" ".join(f(k) for k in rng.integers(3, 30, 60)))])
 
     def share(text):
         scores = model.scores(language.words(text))
@@ -240,10 +240,36 @@ def test_whole_runs_of_letters_count():
         pieces = language.words(run)
         seen = {p.strip("-")[i : i + 3] for p in pieces for i in range(len(p.strip("-")) - 2)}
         assert seen == {run[i : i + 3] for i in range(n - 2)} and len("".join(p.strip("-") for p in pieces)) == n + 2 * (len(pieces) - 1)
-    # 1-grams, affixes of whole letters, and the real end of a long word
-    assert {zlib.crc32(c.encode()) % language.BUCKETS for c in "añ"} <= set(language.features("ñandúa"))
-    assert zlib.crc32("日本語$".encode(), 2) % language.BUCKETS in language.features("私日本語")
-    assert set(language.features("a" * 60 + "x")) != set(language.features("a" * 60 + "y"))
+    # 1-grams, n-grams and affixes of whole letters, and the real end of a long word
+    of = lambda w: set(language.features([w])[0].tolist())
+
+    def gram(letters):
+        h = np.full(1, 3, np.uint64)
+        for c in letters:
+            h = language._mixed(h, np.uint64(ord(c)))
+        return int(h[0] >> np.uint64(64 - language.BITS))
+
+    assert {gram(c) for c in "añ"} <= of("ñandúa") and {gram("日本語"), gram("本語$"), gram("^私")} <= of("私日本語")
+    assert of("a" * 60 + "x") != of("a" * 60 + "y")
+    both, sizes = language.features(["a", "私日本語", "word"])
+    assert [set(x.tolist()) for x in np.split(both, np.cumsum(sizes)[:-1])] == [of(w) for w in ("a", "私日本語", "word")]
+
+
+def test_runs_come_from_the_whole_text():
+    text = " ".join(f"{'a' * (i % 23 + 1)}b{'c' * (i // 23)}" for i in range(2000))
+    found = language.runs(text)
+    assert len(found) == 6 and all(len(x) == 24 for x in found) and max(len(w) for x in found for w in x) > 20
+    assert language.runs("one two three") == [["one", "two", "three"]] and language.runs("1 2") == []
+
+
+def test_few_words_are_kept(monkeypatch):
+    rng = np.random.default_rng(1)
+    model = language.Model(["a", "b"], rng.normal(size=(language.BUCKETS, 2)).astype(np.float32), np.zeros((2, 2)), np.zeros(2))
+    monkeypatch.setattr(language, "_KEPT_WORDS", 50)
+    scored = language._Scored(model)
+    for i in range(40):
+        own = [f"common{k}" for k in range(9)] + [f"x{i}y{k}z" for k in range(20)]
+        assert np.allclose(scored.of(own), model.scores(own)) and len(scored.at) <= 80
 
 
 def test_forward_backward_against_enumeration():

@@ -7,7 +7,7 @@ pieces, each a word of its own, so that all of it counts and a switch inside it
 the most posterior mass; its share is the score.
 
 Training: a bounded, documented sample (`per_language` documents of each language, chosen by hash among the rows it may learn
-from), cut into runs of words; runs of different documents are joined so that transitions between languages are seen.
+from), of which a few runs of words from anywhere in the text are read; runs of different documents are joined so that transitions between languages are seen.
 
 Null text, or text without a letter: `und`, score 0. Without any labelled row every text is `und`. Ties go to the first
 language by name. Repeated rows are predicted alike; a null doc_id is kept.
@@ -16,22 +16,23 @@ language by name. Repeated rows are predicted alike; a null doc_id is kept.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import text_of
+from .common import portions
 
-BUCKETS = 1 << 16
+BITS = 16
+BUCKETS = 1 << BITS
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 _WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 24
-_KEPT_WORDS = 1_000_000
+_KEPT_WORDS = 150_000
 
 
 def words(text: str) -> list[str]:
@@ -52,20 +53,39 @@ def _pieces(run: str) -> list[str]:
     return [("-" if i else "") + run[i : i + LONGEST + 2] + ("-" if i + LONGEST + 2 < n else "") for i in range(0, n - 2, LONGEST)]
 
 
-def features(word: str) -> list[int]:
-    """Hashed affixes up to 3, n-grams of 1 to 3 and the word itself, all of whole letters in UTF-8."""
-    w = ("" if word[0] == "-" else "^") + word + ("" if word[-1] == "-" else "$")
-    if w.isascii():
-        w = w.encode()
-    n = len(w)
-    grams = {w[i : i + 2] for i in range(n - 1)}
-    grams.update([w[i : i + 3] for i in range(n - 2)])
-    grams.update([w[i : i + 1] for i in range(1, n - 1)])
-    own = (w, w[:2], w[:3], w[:4], w[-2:], w[-3:], w[-4:])
-    if isinstance(w, str):
-        own, grams = ([x.encode("utf-8", "replace") for x in part] for part in (own, grams))
-    crc, mask = zlib.crc32, BUCKETS - 1
-    return [h & mask for h in (*map(crc, own, (9, 1, 1, 1, 2, 2, 2)), *map(crc, grams))]
+def _mixed(h: np.ndarray, code: np.ndarray) -> np.ndarray:
+    h = (h ^ code) * _MIX
+    return h ^ (h >> np.uint64(29))
+
+
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashed features of many words, word after word, and how many each has: n-grams of 1 to 3, affixes of up to 3 and the word
+    itself, all of whole letters; ^ and $ stand for its ends."""
+    marked = [("" if w[0] == "-" else "^") + w + ("" if w[-1] == "-" else "$") for w in words]
+    n = np.fromiter(map(len, marked), np.int64, len(marked))
+    sizes, first = 3 * n + 7, np.cumsum(n) - n
+    if not len(n):
+        return np.zeros(0, np.int64), sizes
+    none = np.zeros(3, np.uint64)
+    code = np.r_[none, np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64), none]
+    word = np.repeat(np.arange(len(n)), n)
+    at = np.arange(len(word)) - first[word]
+    start = np.cumsum(sizes) - sizes
+    out = np.empty(sizes.sum(), np.uint64)
+    h, place = np.full(len(word), 3, np.uint64), start[word] + at
+    for k in range(3):  # the n-grams that begin at each letter; beyond the end they read zeros
+        h = _mixed(h, np.where(at + k < n[word], code[3 + k : 3 + k + len(word)], 0))
+        out[place + k * n[word]] = h
+    place = start + 3 * n
+    power = np.cumprod(np.full(int(n.max()), _MIX))
+    out[place] = _mixed(np.add.reduceat(code[3:-3] * power[at], first), np.uint64(9))
+    for side in (0, 1):
+        h = np.full(len(n), 1 + side, np.uint64)
+        for k in range(4):
+            h = _mixed(h, np.where(k < n, code[3 + (first + n - 1 - k if side else first + k)], 0))
+            if k:
+                out[place + 3 * side + k] = h
+    return (out >> np.uint64(64 - BITS)).astype(np.int64), sizes
 
 
 @dataclass
@@ -79,10 +99,8 @@ class Model:
         """Each word's label scores."""
         if not new:
             return np.zeros((0, len(self.languages)), np.float32)
-        rows = [features(w) for w in new]
-        sizes = np.array([len(r) for r in rows])
-        flat = np.fromiter((x for r in rows for x in r), np.int64, sizes.sum())
-        sums = np.add.reduceat(self.weights[flat], np.r_[0, np.cumsum(sizes)[:-1]], axis=0)
+        flat, sizes = features(new)
+        sums = np.add.reduceat(self.weights[flat], np.cumsum(sizes) - sizes, axis=0)
         return (sums / np.sqrt(sizes)[:, None]).astype(np.float32)
 
 
@@ -95,7 +113,7 @@ def forward_backward(scores: np.ndarray, lengths: np.ndarray, transitions: np.nd
     offsets = (np.cumsum(lengths) - lengths)[order]
     sizes, T = lengths[order], int(lengths.max())
     active = np.searchsorted(-sizes, -np.arange(T), side="left")
-    e = np.exp(scores - scores.max(axis=1, keepdims=True)).astype(np.float64)
+    e = np.exp(scores - scores.max(axis=1, keepdims=True))  # of the scores' own type, as what is kept of each step is
     A, alpha, beta = np.exp(transitions), np.empty_like(e), np.empty_like(e)
     a = np.exp(start) * e[offsets]
     a /= a.sum(1, keepdims=True)
@@ -123,38 +141,42 @@ def forward_backward(scores: np.ndarray, lengths: np.ndarray, transitions: np.nd
     return post / post.sum(1, keepdims=True), expected
 
 
-def train(rows: list[tuple[str, str]], run: int = 24, epochs: int = 4, batch: int = 48, rate: float = 0.4, seed: int = 3) -> Model:
-    """A model from (text, language) rows, by adaptive gradient steps on the conditional likelihood."""
+def runs(text: str, run: int = 24, most: int = 6) -> list[list[str]]:
+    """Runs of words to learn from: all of a short text, of a longer one `most`, drawn from the whole of it."""
+    own = words(text)
+    if len(own) <= run * most:
+        return [own[i : i + run] for i in range(0, len(own), run)]
+    drawn = np.random.default_rng(len(own)).choice(len(own) - run, most, replace=False)
+    return [own[i : i + run] for i in sorted(drawn)]
+
+
+def train(rows: list[tuple[list[str], str]], epochs: int = 4, batch: int = 48, rate: float = 0.4, seed: int = 3) -> Model:
+    """A model from (run of words, language) rows, by adaptive gradient steps on the conditional likelihood."""
     rng = np.random.default_rng(seed)
     languages = sorted({lang for _, lang in rows})
     L = len(languages)
     model = Model(languages, np.zeros((BUCKETS, L), np.float32), np.zeros((L, L)), np.zeros(L))
-    runs = []
-    for text, lang in rows:
-        ws = words(text)
-        at = range(0, len(ws), run) if len(ws) <= 6 * run else rng.choice(len(ws) - run, 6, replace=False)
-        runs += [(ws[i : i + run], languages.index(lang)) for i in at]
-    runs = [r for r in runs if r[0]]
-    if not runs:
+    if not rows:
         return model
-    squares, t_squares = np.full((BUCKETS, L), 1e-6, np.float32), np.full((L, L), 1e-6)
-    known: dict[str, list[int]] = {}
+    distinct = sorted({w for ws, _ in rows for w in ws})
+    number = dict(zip(distinct, range(len(distinct)), strict=True))
+    hashed, per_word = features(distinct)
+    first = np.cumsum(per_word) - per_word
+    coded = [(np.array([number[w] for w in ws]), languages.index(lang)) for ws, lang in rows]
+    squares, t_squares, s_squares = np.full((BUCKETS, L), 1e-6, np.float32), np.full((L, L), 1e-6), np.full(L, 1e-6)
     for _ in range(epochs):
-        order = rng.permutation(len(runs))
+        order = rng.permutation(len(coded))
         for i in range(0, len(order) - len(order) % batch or len(order), batch):
-            part = [runs[j] for j in order[i : i + batch]]
-            group = [[part[j] for j in range(k, min(k + 3, len(part)))] for k in range(0, len(part), 3)]
-            seqs = [[w for ws, _ in g for w in ws] for g in group]
-            y = np.concatenate([np.full(len(ws), lang) for g in group for ws, lang in g])
-            lengths = np.array([len(s) for s in seqs])
-            flat_words = [w for s in seqs for w in s]
-            for w in flat_words:
-                if w not in known:
-                    known[w] = features(w)
-            sizes = np.array([len(known[w]) for w in flat_words])
-            flat = np.fromiter((x for w in flat_words for x in known[w]), np.int64, sizes.sum())
+            part = [coded[j] for j in order[i : i + batch]]
+            group = [part[k : k + 3] for k in range(0, len(part), 3)]  # runs of several documents in one sequence
+            flat_words = np.concatenate([ws for ws, _ in part])
+            y = np.concatenate([np.full(len(ws), lang) for ws, lang in part])
+            lengths = np.array([sum(len(ws) for ws, _ in g) for g in group])
+            sizes = per_word[flat_words]
+            ends = np.cumsum(sizes)
+            flat = hashed[np.repeat(first[flat_words] - ends + sizes, sizes) + np.arange(ends[-1])]
             scale = 1 / np.sqrt(sizes)
-            scores = np.add.reduceat(model.weights[flat], np.r_[0, np.cumsum(sizes)[:-1]], axis=0) * scale[:, None]
+            scores = np.add.reduceat(model.weights[flat], ends - sizes, axis=0) * scale[:, None]
             post, expected = forward_backward(scores, lengths, model.transitions, model.start)
             g = post.copy()
             g[np.arange(len(y)), y] -= 1
@@ -163,6 +185,10 @@ def train(rows: list[tuple[str, str]], run: int = 24, epochs: int = 4, batch: in
             grad = np.stack([np.bincount(where, per[:, c], len(touched)) for c in range(L)], 1).astype(np.float32)
             squares[touched] += grad**2
             model.weights[touched] -= rate * grad / np.sqrt(squares[touched])
+            begins = np.cumsum(lengths) - lengths
+            sg = g[begins].mean(axis=0)
+            s_squares += sg**2
+            model.start -= 0.1 * sg / np.sqrt(s_squares)
             inside = np.ones(len(y), bool)
             inside[np.cumsum(lengths) - 1] = False
             seen = np.zeros((L, L))
@@ -174,68 +200,89 @@ def train(rows: list[tuple[str, str]], run: int = 24, epochs: int = 4, batch: in
     return model
 
 
-def learn(docs: DataFrame, per_language: int = 400, most_chars: int = 20_000) -> Model:
-    """A model from about per_language rows of each lang (of a very long one most_chars characters), among rows with text and lang whose crc32(doc_id) mod 3 is not 1."""
+def learn(docs: DataFrame, per_language: int = 400) -> Model:
+    """A model from about per_language rows of each lang, drawn by hash among the rows with text and lang whose crc32(doc_id) mod 3 is not 1.
+    Of each drawn text a few runs of words reach the driver."""
     usable = docs.where("text is not null and lang is not null and not (crc32(cast(coalesce(cast(doc_id as string), '') as binary)) % 3 <=> 1)").select("doc_id", "text", "lang")
     counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
     if not counts:
         return Model(["und"], np.zeros((BUCKETS, 1), np.float32), np.zeros((1, 1)), np.zeros(1))
     million = 1_000_000
     share = F.create_map(*[x for lang, n in sorted(counts.items()) for x in (F.lit(lang), F.lit(min(million, -(-million * per_language // n))))])
-    drawn = usable.where(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(million)) < share[F.col("lang")]).select(F.substring("text", 1, most_chars).alias("text"), "lang")
-    rows = drawn.limit(2 * per_language * len(counts)).collect()
-    return train(sorted((r["text"], r["lang"]) for r in rows))
+    drawn = usable.where(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(million)) < share[F.col("lang")]).select("text", "lang")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in portions(batch, 0):
+                yield pa.RecordBatch.from_arrays([pa.array([runs(t) for t in part.column(0).to_pylist()], pa.list_(pa.list_(pa.string()))), part.column(1)], names=["runs", "lang"])
+
+    rows = drawn.mapInArrow(cut, "runs array<array<string>>, lang string").limit(2 * per_language * len(counts)).collect()
+    return train(sorted((list(x), r["lang"]) for r in rows for x in r["runs"] if x))
+
+
+class _Scored:
+    """Label scores of words met before, a bounded number of them, in a table that grows by doubling. When it is full, words that were
+    met in one call only go."""
+
+    def __init__(self, model: Model):
+        self.model, self.at = model, {}
+        self.table = np.zeros((1 << 12, len(model.languages)), np.float32)
+        self.met = np.zeros(1 << 12, np.int32)
+
+    def of(self, words: list[str]) -> np.ndarray:
+        """The scores of each word."""
+        if len(self.at) > _KEPT_WORDS:
+            keep = [(w, i) for w, i in self.at.items() if self.met[i] > 1]
+            keep = keep if len(keep) < _KEPT_WORDS // 2 else []
+            self.table[: len(keep)] = self.table[[i for _, i in keep]]
+            self.at = {w: k for k, (w, _) in enumerate(keep)}
+            self.met[:] = 0
+        new = list(set(words).difference(self.at))
+        n = len(self.at)
+        if n + len(new) > len(self.table):
+            size = 1 << (n + len(new)).bit_length()
+            self.table = np.resize(self.table, (size, self.table.shape[1]))
+            self.met = np.r_[self.met, np.zeros(size - len(self.met), np.int32)]
+        for i in range(0, len(new), 16384):
+            part = new[i : i + 16384]
+            self.table[n + i : n + i + len(part)] = self.model.scores(part)
+        self.at.update(zip(new, range(n, n + len(new)), strict=True))
+        found = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+        self.met[np.unique(found)] += 1
+        return self.table[found]
+
+
+def _judged(texts: list[str | None], scored: _Scored) -> tuple[np.ndarray, np.ndarray]:
+    """The best language's number (-1: none) and the score of each text."""
+    split = [words(t or "") for t in texts]
+    lengths = np.array([len(ws) for ws in split], np.int64)
+    share = np.zeros((len(split), len(scored.model.languages)))
+    some = np.flatnonzero(lengths)
+    if len(some) and scored.model.languages != ["und"]:
+        post, _ = forward_backward(scored.of([w for ws in split for w in ws]), lengths[some], scored.model.transitions, scored.model.start)
+        share[some] = np.add.reduceat(post, np.cumsum(lengths[some]) - lengths[some], axis=0) / lengths[some][:, None]
+    most = share.max(axis=1, initial=0)
+    return np.where(most > 0, share.argmax(axis=1), -1), np.clip(np.round(most, 9), 0, 1)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred and score, from the whole text alone."""
+    """docs with lang_pred and score, from the whole text alone. A task holds the words of about 4 MB of text at a time (or of one longer text)."""
     docs = docs.drop("lang_pred", "score")
+    docs = docs.withColumn("text", F.col("text").cast("string"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: the weight table
     columns = docs.columns
-    known: dict[str, int] = {}
-    held: list[np.ndarray] = []
+    place = columns.index("text")
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        L = len(own.languages)
+        scored = _Scored(shared.value)
+        names = pa.array([*shared.value.languages, "und"], pa.string())
         for batch in batches:
-            for part in _portions(batch, len(columns)):
-                split = [words(t) for t in part.column(len(columns)).to_pylist()]
-                if len(known) > _KEPT_WORDS:
-                    known.clear()
-                    held.clear()
-                new = list({w for ws in split for w in ws} - known.keys())
-                table = held[0] if held else np.zeros((0, L), np.float32)
-                known.update(zip(new, range(len(table), len(table) + len(new)), strict=True))
-                table = np.concatenate([table, own.scores(new)])
-                held[:] = [table]
-                lengths = np.array([len(ws) for ws in split])
-                share = np.zeros((len(split), L))
-                some = np.flatnonzero(lengths)
-                if len(some) and own.languages != ["und"]:
-                    rows = np.fromiter((known[w] for ws in split for w in ws), np.int64, lengths.sum())
-                    post, _ = forward_backward(table[rows], lengths[some], own.transitions, own.start)
-                    starts = np.cumsum(lengths[some]) - lengths[some]
-                    share[some] = np.add.reduceat(post, starts, axis=0) / lengths[some][:, None]
-                best = share.argmax(1)
-                named = pa.array([own.languages[b] if share[i, b] > 0 else "und" for i, b in enumerate(best)], pa.string())
-                score = pa.array(np.clip(np.round(share.max(1), 9), 0, 1), pa.float64())
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(columns)], named, score], names=[*columns, "lang_pred", "score"])
-
-    schema = docs.schema.add("lang_pred", "string").add("score", "double")
-    return docs.withColumn("_whole", text_of()).mapInArrow(label, schema)
-
-
-def _portions(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices with about `most` bytes of text each, so that a batch of long texts is not held word by word at once."""
-    at, size = 0, 0
-    for i, n in enumerate(pa.compute.binary_length(batch.column(column)).to_pylist()):
-        size += n or 0
-        if size >= most:
-            yield batch.slice(at, i + 1 - at)
-            at, size = i + 1, 0
-    if at < batch.num_rows:
-        yield batch.slice(at)
+            for part in portions(batch, place, 4 << 20):
+                best, score = _judged(part.column(place).to_pylist(), scored)
+                named = names.take(pa.array(np.where(best < 0, len(names) - 1, best)))
+                yield pa.RecordBatch.from_arrays([*part.columns, named, pa.array(score, pa.float64())], names=[*columns, "lang_pred", "score"])
+
+    return docs.mapInArrow(label, T.StructType([*docs.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def digest(docs: DataFrame) -> DataFrame:
