@@ -346,18 +346,51 @@ def test_dedup(spark, odd, none, docs, texts):
 
 
 def test_large_buckets_are_cut_into_blocks(spark):
+    """Whatever the blocks, the links of the buckets lead to the components of all confirmed pairs, and are fewer than the members."""
     from pyspark.sql import functions as F
 
     texts = chained()
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     reps = dedup.sketches(df).select(F.col("doc_id").alias("rep"), "n", "sig", "fine")
-    keys = dedup.keyed(reps)
-    size = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = keys.join(size, "key").join(reps, "rep").withColumn("comp", F.col("rep"))
-    got = [sorted((r.a, r.b) for r in dedup.bucket_pairs(members, 80, block).collect()) for block in (1024, 2)]
-    assert got[0] == got[1] == sorted(set(got[0])) and got[0]
-    all_pairs = reps.select(F.col("rep").alias("a")).crossJoin(reps.select(F.col("rep").alias("b"))).where("a < b")
-    assert sorted((r.a, r.b) for r in dedup.near_pairs(all_pairs, reps, 80).collect()) == got[0]
+    members = dedup.keyed(reps).join(reps, "rep").withColumn("comp", F.when(F.col("rep") % 1000 < 60, F.col("rep") - F.col("rep") % 3).otherwise(F.col("rep")))
+    sets = dedup.shingle_sets(df, df.select("doc_id"), 4).withColumnRenamed("doc_id", "rep")
+    whole, start = dedup_brute(texts, 4), {r.rep: r.comp for r in members.select("rep", "comp").distinct().collect()}
+    for block in (1024, 2):
+        groups = dedup.in_blocks(members, block)
+        assert groups.groupBy("key", "lo", "hi").agg(F.count_distinct("own").alias("n")).agg(F.max("n")).first()[0] <= 2
+        held = dedup.suspects(groups, 80)
+        found = dedup.joining(held.join(sets, ["rep", "n"]), 80).collect()
+        assert 0 < len(found) < held.count()
+        up = dict(start)
+        for _ in texts:
+            for a, b in [(r.a, r.b) for r in found] + list(start.items()):
+                low = min(up.get(a, a), up.get(b, b))
+                up[a] = up[b] = low
+        assert all(r.a < r.b and whole[r.a][1] == whole[r.b][1] for r in found)
+        # the comps given at the start join members of one chain only
+        groups_of = lambda of: {frozenset(i for i in texts if of[i] == c) for c in {of[i] for i in texts}}
+        assert groups_of(up) == groups_of({i: whole[i][1] for i in texts})
+
+
+def test_rows_of_one_doc_id_are_one_node(spark):
+    t = [" ".join(f"{w}{k}" for k in range(30)) for w in "abc"]
+    rows = [(3, t[0]), (5, t[0]), (5, t[1]), (9, t[1]), (11, t[2]), (11, t[2]), (12, None), (5, "")]
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(3, 27, 3), (5, 27, 3), (9, 27, 3), (11, 27, 11), (12, 0, 12), (5, 0, 5)}
+
+
+def test_a_group_of_near_copies_that_are_not_linked_to_each_other(spark):
+    """Copies of one text, each changed in places of its own: linked with the text, hardly with each other."""
+    rng = np.random.default_rng(8)
+    base = [f"w{x}" for x in rng.integers(0, 10**6, 200)]
+    own = {50_000: " ".join(base)}
+    for i in range(120):
+        words = list(base)
+        for k in rng.choice(200, 5, replace=False):
+            words[k] = f"v{i}x{k}"
+        own[i] = " ".join(words)
+    df = spark.createDataFrame(list(own.items()), "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in dedup.digest(df).collect()} == dedup_brute(own, 4)
 
 
 def test_quality(spark, odd, none):

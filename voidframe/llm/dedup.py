@@ -7,13 +7,17 @@ leave one slot of a chunk out is a key, and a candidate pair shares a key. A can
 slots is dropped; the others are confirmed on the full sets.
 
 Equal sets are folded first. Large buckets are not expanded into pairs: in a first round every member meets only the least member
-of its bucket; components of the confirmed links follow; then only members of different components that still share a bucket
-are compared, all of them, each pair in one bucket only, so no link that could join two components is lost.
+of its bucket; components of the confirmed links follow; then only members of different components that still share a bucket are
+compared, inside the bucket's task, each pair in one bucket only. Members that no signature speaks for drop out; the others' full sets
+join them, pairs are taken by rising signature distance, those that links have joined by then are passed over, the rest are confirmed,
+and only links that join components leave the task, fewer than it has members. So no link that could join two components is lost.
+A large bucket is cut into blocks that meet two by two; blocks of its largest component do not meet each other.
 
 A pair of similarity 0.8 is missed with a probability below 1e-4 (that more than MOST of SLOTS, or MOST_ALL of all slots differ).
 
-Null or empty text has an empty set and is linked with nothing. A null doc_id is kept and linked with nothing. Rows that share a
-doc_id count as one node. An empty table gives an empty result. Further columns are ignored.
+Null or empty text has an empty set and is linked with nothing, whatever else has its doc_id. A null doc_id is kept and linked with
+nothing. Rows that share a doc_id count as one node. Very long texts are read whole. An empty table gives an empty result. Further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,10 +29,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from ..plans.components import connected_components
-from .common import text_of, written
+from .common import portions, text_of, written
 
 SLOTS, CHUNKS, MOST = 64, 14, 27
 FINE, MOST_ALL = 192, 77
@@ -36,20 +39,6 @@ _rng = np.random.default_rng(20240229)
 _MULTIPLIERS = _rng.integers(1, 1 << 63, SLOTS + FINE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _OFFSETS = _rng.integers(0, 1 << 63, SLOTS + FINE, dtype=np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_KEPT_WORDS = 500_000
-
-
-class _Hashes(dict):
-    """Hashes of words, computed once a process."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > _KEPT_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_words = _Hashes()
 
 
 def shingles(text: str, words: int = 4) -> np.ndarray:
@@ -57,7 +46,7 @@ def shingles(text: str, words: int = 4) -> np.ndarray:
     own = text.encode("utf-8", "replace").lower().split()
     if not own:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, own), np.uint64, len(own))
+    h = np.fromiter(map(xxhash.xxh64_intdigest, own), np.uint64, len(own))
     n = min(words, len(own))
     out = np.full(len(own) - n + 1, n, np.uint64)
     for i in range(n):
@@ -141,10 +130,11 @@ def _fine_slots(column: pa.ListArray) -> np.ndarray:
 _STARTS = np.array([p[0] for p in _PARTS])
 
 
-def near(i: np.ndarray, j: np.ndarray, n: np.ndarray, sig: np.ndarray, fine: np.ndarray, at_least: int, slot: np.ndarray | None = None) -> np.ndarray:
-    """Which pairs of rows (i, j) sizes and signatures allow a link; with slot, only those for which this bucket stands first: of the first
-    chunk with at most one error, the one that leaves out the error (or the chunk's first slot)."""
-    keep = np.zeros(len(i), bool)
+def near(i: np.ndarray, j: np.ndarray, n: np.ndarray, sig: np.ndarray, fine: np.ndarray, at_least: int, slot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of rows (i, j), the places of those whose sizes and signatures allow a link, and how many slots differ; with slot, only of
+    those for which this bucket stands first: of the first chunk with at most one error, the one that leaves out the error (or the chunk's
+    first slot)."""
+    places, apart = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for at in range(0, len(i), 20_000):
         a, b = i[at : at + 20_000], j[at : at + 20_000]
         fits = np.flatnonzero(np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * at_least)
@@ -152,18 +142,20 @@ def near(i: np.ndarray, j: np.ndarray, n: np.ndarray, sig: np.ndarray, fine: np.
         d = differs.sum(axis=1)
         good = np.flatnonzero(d <= MOST)
         fits, differs, d = fits[good], differs[good], d[good]
-        good = np.flatnonzero(d + (fine[a[fits]] != fine[b[fits]]).sum(axis=1) <= MOST_ALL)
-        fits, differs = fits[good], differs[good]
+        d = d + (fine[a[fits]] != fine[b[fits]]).sum(axis=1)
+        good = np.flatnonzero(d <= MOST_ALL)
+        fits, differs, d = fits[good], differs[good], d[good]
         if slot is not None and len(fits):
             errors = np.add.reduceat(differs, _STARTS, axis=1, dtype=np.int64)
             first = (errors <= 1).argmax(axis=1)
             inside = np.arange(SLOTS) >= _STARTS[first][:, None]
             inside &= np.arange(SLOTS) < np.r_[_STARTS[1:], SLOTS][first][:, None]
             hit = differs & inside
-            place = np.where(hit.any(axis=1), hit.argmax(axis=1), _STARTS[first])
-            fits = fits[place == slot[a[fits]]]
-        keep[at + fits] = True
-    return keep
+            good = np.where(hit.any(axis=1), hit.argmax(axis=1), _STARTS[first]) == slot[a[fits]]
+            fits, d = fits[good], d[good]
+        places.append(at + fits)
+        apart.append(d)
+    return np.concatenate(places), np.concatenate(apart)
 
 
 def near_pairs(pairs: DataFrame, reps: DataFrame, at_least: int) -> DataFrame:
@@ -176,81 +168,156 @@ def near_pairs(pairs: DataFrame, reps: DataFrame, at_least: int) -> DataFrame:
                 n = np.concatenate([batch.column(k).to_numpy() for k in (2, 3)])
                 sig = np.concatenate([_slots(batch.column(k), "<u2", SLOTS) for k in (4, 5)])
                 fine = np.concatenate([_fine_slots(batch.column(k)) for k in (6, 7)])
-                keep = near(np.arange(m), np.arange(m) + m, n, sig, fine, at_least)
-                yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep))
+                keep, _ = near(np.arange(m), np.arange(m) + m, n, sig, fine, at_least)
+                yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).take(pa.array(keep))
 
     side = lambda s: reps.select(F.col("rep").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "sig", "fine")])
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     return both.select("a", "b", "n_a", "n_b", "sig_a", "sig_b", "fine_a", "fine_b").mapInArrow(judge, "a long, b long")
 
 
-def bucket_pairs(members: DataFrame, at_least: int, block: int = 1024) -> DataFrame:
-    """(a, b), a < b, of members (key, slot, rep, comp, n, sig, fine, size) that share a bucket, have different comp and signatures that
-    allow a link. A bucket larger than `block` is cut into blocks, and every two blocks meet in a group of their own, so no group is
-    larger than two blocks."""
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    own = members.withColumn("own", F.pmod(F.xxhash64(F.lit(5), "rep"), blocks).cast("int"))
-    meets = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("lo"), F.greatest(o, F.col("own")).alias("hi")))
-    spread = own.withColumn("g", F.explode(meets)).select("key", "g.lo", "g.hi", "own", "slot", "rep", "comp", "n", "sig", "fine")
-
-    def found(table: pa.Table) -> pa.RecordBatch:
-        table = table.combine_chunks()
-        col = lambda k: table.column(k).to_numpy()
-        own, slot, rep, comp = col("own"), col("slot"), col("rep"), col("comp")
-        lo, hi = col("lo"), col("hi")
-        edges = np.flatnonzero(np.r_[True, (np.diff(col("key")) != 0) | (np.diff(lo) != 0) | (np.diff(hi) != 0), True])
-        i, j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for start, end in zip(edges, edges[1:], strict=False):
-            if end - start == 2:
-                x, y = np.array([start]), np.array([start + 1])
-            else:
-                x, y = (k + start for k in np.triu_indices(end - start, 1))
-            ok = comp[x] != comp[y]
-            if lo[start] != hi[start]:
-                ok &= own[x] != own[y]
-            i.append(x[ok])
-            j.append(y[ok])
-        i, j = np.concatenate(i), np.concatenate(j)
-        one = lambda k: table.column(k).chunk(0)
-        keep = near(i, j, col("n"), _slots(one("sig"), "<u2", SLOTS), _fine_slots(one("fine")), at_least, slot)
-        a, b = rep[i[keep]], rep[j[keep]]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+_GROUP = ("key", "lo", "hi")
+
+
+def in_blocks(members: DataFrame, block: int = 1024, usual: int = 512) -> DataFrame:
+    """members (key, slot, rep, comp, n, sig, fine) of buckets with several comp, in groups (key, lo, hi) of two blocks at most. A block holds
+    about `block` members (fewer if their sets are larger than `usual`); own is a member's block. Members of a bucket's largest comp
+    have blocks of their own, numbered behind the others', which meet only the others'."""
+    weighed = members.withColumn("_w", F.greatest(F.lit(1), F.ceil(F.col("n") / usual)).cast("long"))
+    by_comp = weighed.groupBy("key", "comp").agg(F.sum("_w").alias("w"))
+    mixed = by_comp.groupBy("key").agg(F.max(F.struct("w", "comp")).alias("_top"), F.sum("w").alias("_all")).where(F.col("_top.w") < F.col("_all"))
+    blocks = lambda w: F.ceil(w / block).cast("int")
+    mixed = mixed.select("key", F.col("_top.comp").alias("_main"), blocks(F.col("_all") - F.col("_top.w")).alias("_few"), blocks(F.col("_top.w")).alias("_many"))
+    own = weighed.join(mixed, "key").withColumn("_is_main", F.col("comp") == F.col("_main"))
+    h = F.xxhash64(F.lit(5), "rep")
+    own = own.withColumn("own", F.when(F.col("_is_main"), F.col("_few") + F.pmod(h, F.col("_many"))).otherwise(F.pmod(h, F.col("_few"))).cast("int"))
+    others = F.sequence(F.lit(0), F.when(F.col("_is_main"), F.col("_few")).otherwise(F.col("_few") + F.col("_many")) - 1)
+    meets = F.transform(others, lambda o: F.struct(F.least(o, F.col("own")).alias("lo"), F.greatest(o, F.col("own")).alias("hi")))
+    return own.withColumn("g", F.explode(meets)).select("key", "g.lo", "g.hi", "own", "slot", "rep", "comp", "n", "sig", "fine")
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole groups, from rows sorted by group."""
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = pa.Table.from_batches([batch])
+        held = new if held is None else pa.concat_tables([held, new])
+        # the last group may go on in the next batch
+        last = np.logical_and.reduce([c == c[-1] for c in (held.column(k).to_numpy() for k in _GROUP)])
+        cut = held.num_rows - int(last.sum())
+        if cut:
+            yield held.slice(0, cut).combine_chunks()
+            held = held.slice(cut)
+    if held is not None:
+        yield held.combine_chunks()
+
+
+def _near_in_groups(table: pa.Table, at_least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, slots apart) of the rows of one group that differ in comp and may be linked, group after group."""
+    col = lambda k: table.column(k).to_numpy()
+    own, comp, lo, hi = col("own"), col("comp"), col("lo"), col("hi")
+    edges = np.flatnonzero(np.r_[True, (np.diff(col("key")) != 0) | (np.diff(lo) != 0) | (np.diff(hi) != 0), True])
+    n, sig, fine = col("n"), _slots(table.column("sig").chunk(0), "<u2", SLOTS), _fine_slots(table.column("fine").chunk(0))
+    slot, found, held, m = col("slot"), [np.zeros((3, 0), np.int64)], [], 0
+    for start, end in zip(edges, edges[1:], strict=False):
+        x, y = np.array([[start], [start + 1]]) if end - start == 2 else np.array(np.triu_indices(end - start, 1)) + start
+        ok = comp[x] != comp[y]
+        if lo[start] != hi[start]:
+            ok &= own[x] != own[y]
+        held.append((x[ok], y[ok]))
+        m += len(held[-1][0])
+        if m > 20_000 or end == edges[-1]:
+            i, j = (np.concatenate(p) for p in zip(*held, strict=True))
+            at, apart = near(i, j, n, sig, fine, at_least, slot)
+            found.append(np.stack([i[at], j[at], apart]))
+            held, m = [], 0
+    return tuple(np.concatenate(found, axis=1))
+
+
+def suspects(groups: DataFrame, at_least: int) -> DataFrame:
+    """The rows of groups whose signature allows a link to another row of their group, of another comp."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            new = pa.Table.from_batches([batch])
-            held = new if held is None else pa.concat_tables([held, new])
-            # the last group may go on in the next batch
-            last = [held.column(k)[-1].as_py() for k in ("key", "lo", "hi")]
-            open_ = np.logical_and.reduce([held.column(k).to_numpy() == v for k, v in zip(("key", "lo", "hi"), last, strict=True)])
-            cut = held.num_rows - int(open_.sum())
-            if cut:
-                yield found(held.slice(0, cut))
-                held = held.slice(cut)
-        if held is not None:
-            yield found(held)
-
-    return spread.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(judge, "a long, b long")
+        for table in _whole_groups(batches):
+            i, j, _ = _near_in_groups(table, at_least)
+            yield from table.take(pa.array(np.unique(np.r_[i, j]))).to_batches()
+
+    dealt = groups.repartition(*_GROUP).sortWithinPartitions(*_GROUP)
+    return dealt.mapInArrow(judge, groups.schema)
+
+
+class _Joined(dict):
+    """Sets that are joined one by one: each name leads to its set's."""
+
+    def __missing__(self, x: int) -> int:
+        return x
+
+    def find(self, x: int) -> int:
+        while (up := self[x]) != x:
+            self[x] = x = self[up]
+        return x
+
+
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of bits per set, for the members that several sets hold."""
+    value, number = np.unique(np.concatenate(sets), return_inverse=True)
+    several = np.bincount(number, minlength=len(value)) > 1
+    column = np.where(several, np.cumsum(several) - 1, -1)[number]
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    width = -(-int(several.sum()) // 64)
+    out = np.zeros((len(sets), width), np.uint64)
+    np.bitwise_or.at(out, (row[column >= 0], column[column >= 0] >> 6), np.uint64(1) << (column[column >= 0] & 63).astype(np.uint64))
+    return out
+
+
+def joining(groups: DataFrame, at_least: int) -> DataFrame:
+    """(a, b), a < b, confirmed on full sets, that join the comps of each group; groups has `set` too. A pair whose comps are joined already is
+    passed over, so a group gives fewer links than it has members."""
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches):
+            i, j, apart = _near_in_groups(table, at_least)
+            rep, comp, n = (table.column(k).to_numpy() for k in ("rep", "comp", "n"))
+            group = np.cumsum(np.r_[False, np.logical_or.reduce([np.diff(table.column(k).to_numpy()) != 0 for k in _GROUP])])[i]
+            a, b = [], []
+            for g in np.split(np.arange(len(i)), np.flatnonzero(np.diff(group)) + 1):
+                if not len(g):
+                    continue
+                g = g[np.argsort(apart[g], kind="stable")]
+                rows, place = np.unique(np.r_[i[g], j[g]], return_inverse=True)
+                bits = _shared([np.frombuffer(table.column("set")[int(r)].as_buffer(), "<u8") for r in rows])
+                x, y = place[: len(g)], place[len(g) :]
+                joined = _Joined()
+                step = max(1, (1 << 20) // max(1, bits.shape[1]))
+                at, much = 0, 64  # few pairs first: they join most
+                while at < len(g):
+                    part = np.arange(at, min(at + much, len(g)))
+                    at, much = part[-1] + 1, min(step, much * 4)
+                    part = np.array([k for k in part if joined.find(int(comp[rows[x[k]]])) != joined.find(int(comp[rows[y[k]]]))], np.int64)
+                    both = np.bitwise_count(bits[x[part]] & bits[y[part]]).sum(axis=1, dtype=np.int64)
+                    for k in part[100 * both >= at_least * (n[rows[x[part]]] + n[rows[y[part]]] - both)]:
+                        p, q = joined.find(int(comp[rows[x[k]]])), joined.find(int(comp[rows[y[k]]]))
+                        if p != q:
+                            joined[max(p, q)] = min(p, q)
+                            a.append(min(rep[rows[x[k]]], rep[rows[y[k]]]))
+                            b.append(max(rep[rows[x[k]]], rep[rows[y[k]]]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return groups.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(judge, "a long, b long")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """doc_id and its set (sorted 40-bit hashes) for the documents wanted."""
+    """doc_id, n and the set (sorted 64-bit hashes) of the documents wanted."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = [np.unique(shingles(t.as_py(), words) >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["doc_id", "set"])
-
-    return docs.select(F.col("doc_id").cast("long"), text_of().alias("_text")).join(wanted, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, set binary")
+            for part in portions(batch, 1):
+                packed = [shingles(t, words).tobytes() for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 8 for x in packed], pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "n", "set"])
 
-
-def _unpacked(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    return out.view("<u8").ravel()
+    return docs.select(F.col("doc_id").cast("long"), text_of().alias("_text")).join(wanted, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, n long, set binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, at_least: int) -> DataFrame:
@@ -260,7 +327,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, at_least: int) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = _unpacked(x.as_py()), _unpacked(y.as_py())
+                x, y = (np.frombuffer(v.as_buffer(), "<u8") for v in (x, y))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= at_least * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -273,28 +340,32 @@ def confirmed(pairs: DataFrame, sets: DataFrame, at_least: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 4, at_least: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable over links) of each document."""
     all_docs = written(sketches(docs, words), "sketches")
-    reps = written(all_docs.where("n > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("fine").alias("fine")), "classes")
-    per_key = Window.partitionBy("key")
-    buckets = keyed(reps).select("key", "slot", "rep", F.min("rep").over(per_key).alias("least"), F.max("rep").over(per_key).alias("last")).where("least < last")
-    buckets = written(buckets.select("key", "slot", "rep", "least"), "buckets")
+    linkable = all_docs.where("n > 0 and doc_id is not null")
+    reps = written(linkable.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("fine").alias("fine")), "classes")
+    keys = written(keyed(reps), "keys")
+    several = keys.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("last")).where("least < last")
+    buckets = written(keys.join(several.select("key", "least"), "key"), "buckets")
     sets = written(shingle_sets(docs, buckets.select(F.col("rep").alias("doc_id")).distinct(), words), "sets")
+
     pairs = buckets.where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
-    stars = written(near_pairs(pairs, reps, at_least), "stars")
-    links = written(confirmed(stars, sets, at_least), "links")
+    links = confirmed(near_pairs(pairs, reps, at_least), sets, at_least)
+    # a doc_id with rows in several classes ties these together
+    repeated = linkable.groupBy("doc_id").agg(F.min("h1").alias("_lo"), F.max("h1").alias("_hi")).where("_lo < _hi").select("doc_id")
+    same = linkable.join(repeated, "doc_id", "left_semi").join(reps.select("n", "h1", "h2", "rep"), ["n", "h1", "h2"]).where("rep < doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    links = written(links.union(same), "links")
     comp = written(connected_components(links, "a", "b"), "components")
 
-    # Members of different components that share a bucket: all pairs of them.
+    # members of different components that share a bucket
     placed = buckets.select("key", "slot", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "slot", "rep", F.coalesce("component", "rep").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi").select("key", "size")
-    rest = bucket_pairs(placed.join(mixed, "key").join(reps.select("rep", "n", "sig", "fine"), "rep"), at_least)
-    rest = written(rest.join(stars, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        more = confirmed(rest, sets, at_least)
+    groups = in_blocks(placed.join(reps.select("rep", "n", "sig", "fine"), "rep"))
+    held = written(suspects(groups, at_least), "suspects")
+    more = written(joining(held.join(sets.select(F.col("doc_id").alias("rep"), "n", "set"), ["rep", "n"]), at_least), "joining")
+    if not more.isEmpty():
         comp = written(connected_components(links.union(more), "a", "b"), "components")
     named = reps.select("n", "h1", "h2", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("_comp"))
-    out = all_docs.select("doc_id", "n", "h1", "h2").join(named, ["n", "h1", "h2"], "left")
-    own = F.when(F.col("doc_id").isNull() | (F.col("n") == 0), F.col("doc_id")).otherwise(F.col("_comp"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    out = linkable.select("doc_id", "n", "h1", "h2").join(named, ["n", "h1", "h2"]).select("doc_id", "n", "_comp")
+    alone = all_docs.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("_comp"))
+    return out.union(alone).select("doc_id", F.col("n").alias("n_shingles"), F.col("_comp").alias("component_id"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
