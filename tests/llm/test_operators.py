@@ -441,12 +441,25 @@ def test_decontamination_reads_names_units_and_dense_items(spark):
         (14, "Yesterday she flew from New York to see all her friends again."),
         (15, "Ana Maria Diaz has 7 apples. Ana Maria Diaz eats 3 of them. How many are left over?"),
         (16, "John has 7 apples. Paul eats 3 of them. Where are the rest of these now?"),
+        (17, "So Ann has eight apples. Ann eats twenty two of them. How many are left over?"),
+        (18, "Yesterday she flew from Las Vegas to see all her friends again."),
     ]
     got = {(r.doc_id, r.item_id): r for r in decontaminate.digest(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
-    assert set(got) == {(10, 1), (11, 2), (13, 3), (14, 4), (15, 1)}
+    assert set(got) == {(10, 1), (11, 2), (13, 3), (14, 4), (15, 1), (17, 1), (18, 4)}
     assert {k for k, r in got.items() if not r.reparameterised} == {(11, 2)}
 
 
+def test_a_phrase_of_all_items_and_texts_in_one_batch(spark):
+    """Items share a phrase; texts follow one another in a batch and must not run on; a null doc_id matches too."""
+    items = [(i, f"Please answer the following question with care: how do {a} {b} {c} find their way home?") for i, (a, b, c) in enumerate(zip("abcdefgh", "ijklmnop", "qrstuvwx", strict=True))]
+    docs = [(100 + i, t) for i, t in items] + [(None, items[3][1]), (300, "Please answer the following question with care: how do"), (301, "a i q find their way home?"), (302, "Please answer the following question with care: how do x y z find their way home?")]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.digest(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(100 + i, i) for i, _ in items} | {(None, 3)}
+    one, many = decontaminate.Template([items[0][1]]), decontaminate.Template([t for _, t in items])
+    h, at, *_ = many.windows(5)
+    assert set(h[many.of[at] == 0]) == set(one.windows(5)[0]) and len(h) == 8 * len(one.windows(5)[0])
+
+
 def test_pipeline(spark, odd, tmp_path):
     import corpus_pipeline as cp
 

@@ -179,7 +179,7 @@ def near_pairs(pairs: DataFrame, reps: DataFrame, at_least: int) -> DataFrame:
 _GROUP = ("key", "lo", "hi")
 
 
-def in_blocks(members: DataFrame, block: int = 1024, usual: int = 512) -> DataFrame:
+def in_blocks(members: DataFrame, block: int = 256, usual: int = 512) -> DataFrame:
     """members (key, slot, rep, comp, n, sig, fine) of buckets with several comp, in groups (key, lo, hi) of two blocks at most. A block holds
     about `block` members (fewer if their sets are larger than `usual`); own is a member's block. Members of a bucket's largest comp
     have blocks of their own, numbered behind the others', which meet only the others'."""
