@@ -1,15 +1,19 @@
 """Personal data: a character-level bidirectional LSTM with a CRF on top, beside four fixed patterns.
 
-The patterns (email, ip, card, phone) give the base spans. The network adds spans that they miss: it reads windows of characters,
-its scores on overlapping windows are averaged, and one Viterbi pass over each whole region decides, so a span that crosses
-windows is found once. All four kinds need a digit or an @, so regions without one hold nothing and are not read.
+The patterns (email, ip, card, phone) give the base spans. The network adds spans that they cannot see: mail addresses written out
+("jane (at) example dot org"), ip addresses with guarded dots or in hexadecimal groups, cards with other separators or 13 to 15 digits,
+phone numbers without a plus. It reads windows of characters, its scores on overlapping windows are averaged, and one Viterbi pass over
+each whole region decides, so a span that crosses windows is found once. All that it is taught to find holds a digit, an @ or a
+written "at" between marks or before a "dot", so stretches of a text without one of these hold nothing for it and are not read.
 
-Training, in numpy, on labelled spans: windows around digits and @ in a bounded sample of documents with the base spans as
-labels, and windows of the same documents into which spans of the four kinds were planted.
+Training, in numpy, on labelled spans: windows around marks anywhere in a bounded sample of documents with the base spans as
+labels, and windows of the same documents into which spans of the four kinds, in base and other forms, or numbers that are none (dates,
+prices, versions, references) were planted. An added span must also hold what its kind cannot do without (`_whole`).
 
 Spans are in code points, end exclusive; base matches are leftmost and non-overlapping per kind, and a match that fails its test
-(parts at most 255, Luhn, digit counts) is dropped without another try. Null text counts as empty and has no spans. Repeated
-rows are each read; a null doc_id is kept; an empty table gives an empty result.
+(parts at most 255, Luhn, digit counts) is dropped without another try. Of added spans none touches another or a base span. Null
+text counts as empty and has no spans. Very long texts are read whole, and texts in portions. Repeated rows are each read; a null doc_id is kept;
+an empty table gives an empty result. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import portions, text_of
 from .language import forward_backward
 
 KINDS = ("email", "ip", "card", "phone")
@@ -34,6 +38,10 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _MARK = re.compile("[0-9@]")
+#: Where the network looks: beside digits and @ also at a written "at".
+_SEEN = re.compile(r"[0-9@]|[(\[{<] ?at ?[)\]}>]| at (?=[\w-]+ dot )", re.I)
+_AT = re.compile(r"\w ?(?:@|[(\[{<] ?at ?[)\]}>]| at ) ?\w", re.I)
+_DATE = re.compile(r"\d{1,4}([-/.])\d{1,2}\1\d{1,4}")
 _DIGITS = re.compile("[^0-9]")
 
 
@@ -42,6 +50,11 @@ def luhn(digits: str) -> bool:
     return (sum(map(int, odd)) + sum(sum(divmod(2 * int(d), 10)) for d in even)) % 10 == 0
 
 
+def _byte(digits: str) -> bool:
+    digits = digits.lstrip("0")
+    return len(digits) <= 3 and int(digits or 0) <= 255
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) by kind as listed, then start."""
     if not _MARK.search(text):
@@ -56,7 +69,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
             out.append(("email", start, m.end()))
             last = m.end()
         at = text.find("@", max(at + 1, last))
-    out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(int(x) <= 255 for x in m[0].split("."))]
+    out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(map(_byte, m[0].split(".")))]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 16 and 16 <= len(d := _DIGITS.sub("", m[0])) <= 19 and luhn(d):
             out.append(("card", m.start(), m.end()))
@@ -78,9 +91,9 @@ def classes(text: str) -> np.ndarray:
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """Stretches around digits and @, MARGIN characters either side, merged where they meet."""
+    """Stretches around marks, MARGIN characters either side, merged where they meet."""
     out: list[list[int]] = []
-    for m in _MARK.finditer(text):
+    for m in _SEEN.finditer(text):
         a, b = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
         if out and a <= out[-1][1]:
             out[-1][1] = b
@@ -150,51 +163,70 @@ class Model:
         return grads
 
 
-def _planted(rng: np.random.Generator) -> tuple[str, str]:
+def _planted(rng: np.random.Generator) -> tuple[str | None, str]:
+    """A span of some kind, in one of its forms, or a number that is none (None)."""
     d = lambda n: "".join(map(str, rng.integers(0, 10, n)))
-    w = lambda n: "".join(chr(97 + c) for c in rng.integers(0, 26, n))
-    kind = KINDS[rng.integers(0, 4)]
+    w = lambda a, b: "".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(a, b)))
+    pick = lambda *xs: xs[rng.integers(0, len(xs))]
+    kind = pick(*KINDS, None)
     if kind == "email":
-        return kind, f"{w(rng.integers(2, 9))}{rng.choice(['', '.', '_'])}{d(rng.integers(0, 4))}@{w(rng.integers(3, 8))}.{w(rng.integers(2, 4))}".replace("_@", "@").replace(".@", "@")
+        name = f"{w(2, 9)}{pick('', '.', '_')}{w(1, 6)}{d(rng.integers(0, 4))}"
+        top = pick("com", "org", "net", "de", "fr", "edu", "io", w(2, 4))
+        at, dot = pick(("@", "."), (" @ ", "."), (" (at) ", "."), (" [at] ", "."), (" [at] ", " [dot] "), (" (at) ", " (dot) "), ("(at)", "(dot)"), (" (at) ", " dot "), (" at ", " dot "), (" AT ", " DOT "))
+        return kind, f"{name}{at}{pick('', '', w(3, 7) + dot)}{w(3, 9)}{dot}{top}"
     if kind == "ip":
-        return kind, ".".join(str(x) for x in rng.integers(0, 256, 4))
+        if rng.random() < 0.25:
+            return kind, ":".join(f"{x:x}" for x in rng.integers(0, 1 << 16, 8))
+        return kind, pick(".", ".", "[.]", "(.)", " . ").join(str(x) for x in rng.integers(0, 256, 4))
     if kind == "card":
-        body = d(15)
+        n = pick(16, 16, 15)
+        body = d(n - 1)
         body += next(c for c in "0123456789" if luhn(body + c))
-        return kind, rng.choice([body, " ".join(body[i : i + 4] for i in (0, 4, 8, 12)), "-".join(body[i : i + 4] for i in (0, 4, 8, 12))])
-    return kind, rng.choice([f"+{d(1)} ({d(3)}) {d(3)}-{d(4)}", f"+{d(2)} {d(3)} {d(3)} {d(3)}", f"+{d(11)}"])
+        cut = (0, 4, 8, 12, 16) if n == 16 else (0, 4, 10, 15)
+        return kind, pick("", " ", "-", ".", "/", "_", " - ").join(body[i:j] for i, j in zip(cut, cut[1:], strict=False))
+    if kind == "phone":
+        return kind, pick(f"+{d(1)} ({d(3)}) {d(3)}-{d(4)}", f"+{d(2)} {d(3)} {d(3)} {d(3)}", f"+{d(11)}", f"({d(3)}) {d(3)}-{d(4)}", f"({d(3)}) {d(3)} {d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"00{d(2)} {d(3)} {d(7)}", f"0{d(3)} {d(3)} {d(4)}", f"0{d(3)}/{d(7)}")
+    y, m, n = int(rng.integers(1900, 2040)), int(rng.integers(1, 13)), int(rng.integers(1, 29))
+    return None, pick(f"{y}-{m:02}-{n:02}", f"{n}.{m}.{y}", f"{m}/{n}/{y}", f"{n:02}:{m:02}:{n:02}", f"{d(1)},{d(3)},{d(3)}.{d(2)}", f"${d(4)}.{d(2)}", f"v{d(1)}.{d(1)}.{d(2)}", f"No. {d(8)}", d(rng.integers(1, 10)), f"{d(3)} + {d(2)} = {d(3)}", f"{d(2)}.{d(2)}%", f"978-{d(1)}-{d(2)}-{d(6)}-{d(1)}", f"{y}-{y + 1}", f"{d(3)} {d(3)}", f"pp. {d(3)}-{d(3)}", f"we met at {w(3, 9)} and {w(3, 6)}")
+
+
+def stretches(text: str, most: int = 5, reach: int = 300) -> list[str]:
+    """Parts of a text around `most` of its marks, drawn from all of them."""
+    at = [m.start() for m in _SEEN.finditer(text)]
+    if len(at) > most:
+        at = sorted(np.random.default_rng(len(at)).choice(at, most, replace=False))
+    return [text[max(0, i - reach) : i + reach] for i in at]
 
 
 def examples(texts: list[str], most: int, seed: int = 9) -> tuple[np.ndarray, np.ndarray]:
-    """Windows and their tags: natural ones with base spans, and as many with planted spans."""
+    """Windows and their tags: a quarter natural ones with base spans, the rest with planted spans."""
     rng = np.random.default_rng(seed)
     xs, ys = [], []
 
-    def add(text: str, at: int) -> None:
+    def add(text: str, at: int, spans: list[tuple[str, int, int]]) -> None:
         a = max(0, min(at - int(rng.integers(0, WIDTH)), len(text) - WIDTH))
         x, y = np.full(WIDTH, _OF[10]), np.zeros(WIDTH, np.int64)
-        part = text[a : a + WIDTH]
-        near = [(k, s - a, e - a) for k, s, e in base_spans(text[max(0, a - 200) : a + WIDTH + 200]) for s, e in [(s + max(0, a - 200), e + max(0, a - 200))]]
-        whole = tags([(k, s + 300, e + 300) for k, s, e in near if -300 <= s < WIDTH], WIDTH + 1100)
-        x[: len(part)] = classes(part)
-        y[: len(part)] = whole[300 : 300 + len(part)]
+        x[: len(text) - a] = classes(text[a : a + WIDTH])
+        y[: len(text) - a] = tags(spans, len(text))[a : a + WIDTH]
         xs.append(x)
         ys.append(y)
 
-    for text in texts:
-        for m in list(_MARK.finditer(text))[:40:8]:
-            if len(xs) < most // 2:
-                add(text, m.start())
+    for text in texts[: most // 4]:
+        if m := _SEEN.search(text, max(0, len(text) // 2 - 1)) or _SEEN.search(text):
+            add(text, m.start(), base_spans(text))
     for i in range(most - len(xs)):
         text = texts[i % len(texts)] if texts else ""
         at = int(rng.integers(0, len(text) + 1))
-        _, span = _planted(rng)
-        text = f"{text[max(0, at - 150) : at]} {span}{rng.choice(['', '.', ','])} {text[at : at + 150]}"
-        add(text, min(at, 150) + int(rng.integers(0, len(span))))
+        kind, span = _planted(rng)
+        before, after = text[max(0, at - 150) : at] + " ", f"{['', '.', ','][rng.integers(0, 3)]} {text[at : at + 150]}"
+        start = len(before)
+        own = [(kind, start, start + len(span))] if kind else []
+        others = [(k, s, e) for part, shift in ((before, 0), (after, start + len(span))) for k, s, e in ((k, s + shift, e + shift) for k, s, e in base_spans(part))]
+        add(before + span + after, start + int(rng.integers(0, len(span))), own + others)
     return np.array(xs), np.array(ys)
 
 
-def train(texts: list[str], most: int = 1600, hidden: int = 16, epochs: int = 6, batch: int = 64, rate: float = 0.02, seed: int = 9) -> Model:
+def train(texts: list[str], most: int = 3000, hidden: int = 20, epochs: int = 7, batch: int = 64, rate: float = 0.02, seed: int = 9) -> Model:
     rng = np.random.default_rng(seed)
     x, y = examples(texts, most, seed)
     par = {"out": rng.normal(0, 0.2, (2 * hidden, TAGS)), "bo": np.zeros(TAGS), "trans": np.zeros((TAGS, TAGS))}
@@ -267,8 +299,15 @@ def decode(model: Model, found: list[np.ndarray]) -> list[np.ndarray]:
 
 def _whole(kind: str, text: str) -> bool:
     """What the kind cannot do without."""
-    digits = len(_DIGITS.sub("", text))
-    return {"email": re.search(r"\w@\w", text) is not None, "ip": text.count(".") == 3 and digits >= 4, "card": 13 <= digits <= 19 and luhn(_DIGITS.sub("", text)), "phone": 8 <= digits <= 15}[kind]
+    digits = _DIGITS.sub("", text)
+    if kind == "email":
+        return _AT.search(text) is not None
+    if kind == "ip":
+        parts = re.split(r"[^0-9A-Fa-f]+", text.strip())
+        return len(parts) == 4 and all(p.isascii() and p.isdigit() and _byte(p) for p in parts) or text.count(":") == 7 and len(parts) == 8 and all(len(p) in (1, 2, 3, 4) for p in parts)
+    if kind == "card":
+        return 13 <= len(digits) <= 19 and luhn(digits)
+    return 8 <= len(digits) <= 15 and not _DATE.fullmatch(text.strip())
 
 
 def tagged_spans(tag: np.ndarray, offset: int, text: str) -> list[tuple[str, int, int]]:
@@ -300,34 +339,39 @@ def all_spans(model: Model, texts: list[str]) -> list[tuple[list, list]]:
     return [(b, sorted(o, key=lambda s: (KINDS.index(s[0]), s[1]))) for b, o in zip(base, out, strict=True)]
 
 
-def learn(docs: DataFrame, most_docs: int = 600, most_chars: int = 20_000) -> Model:
-    """A model from windows of about most_docs documents, drawn by hash, with a digit or an @ (of a very long one, most_chars characters)."""
-    marked = docs.where(F.col("text").rlike("[0-9@]")).select(F.xxhash64(F.lit(23), "doc_id", "text").alias("_h"), F.substring("text", 1, most_chars).alias("text"))
+def learn(docs: DataFrame, most_docs: int = 600) -> Model:
+    """A model from stretches of about most_docs documents with a digit or an @, drawn by hash; at most five stretches of each reach the driver."""
+    marked = docs.where(F.col("text").rlike("[0-9@]")).select(F.xxhash64(F.lit(23), "doc_id", "text").alias("_h"), F.col("text").cast("string").alias("text"))
     million = 1_000_000
     share = min(million, -(-million * most_docs // max(1, marked.count())))
-    rows = marked.where(F.pmod("_h", F.lit(million)) < share).limit(2 * most_docs).collect()
-    rows.sort(key=lambda r: r["_h"])
-    return train([r["text"] for r in rows])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (p for batch in batches for p in portions(batch, 1)):
+            found = [stretches(t) for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.string()))], names=["_h", "found"])
+
+    rows = marked.where(F.pmod("_h", F.lit(million)) < share).mapInArrow(cut, "_h long, found array<string>").limit(2 * most_docs).collect()
+    rows.sort(key=lambda r: (r["_h"], r["found"]))
+    return train([x for k in range(5) for r in rows for x in r["found"][k : k + 1]])
 
 
 def find(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_<kind>, base_sha256 and spans of every whole text."""
+    """doc_id, n_<kind>, base_sha256, spans and n_spans (base and added ones) of every whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         listing = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for part in portions(batch, 1, 2 << 20):
                 found = all_spans(shared.value, part.column(1).to_pylist())
                 n = [pa.array([sum(k == s[0] for s in base) for base, _ in found], pa.int64()) for k in KINDS]
                 sha = pa.array([hashlib.sha256(listing(base).encode()).hexdigest() for base, _ in found], pa.string())
-                yield pa.RecordBatch.from_arrays([part.column(0), *n, sha, pa.array([listing(spans) for _, spans in found], pa.string())], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *n, sha, pa.array([listing(spans) for _, spans in found], pa.string()), pa.array([len(spans) for _, spans in found], pa.int64())], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_spans"])
 
     schema = docs.select("doc_id").schema
     for k in KINDS:
         schema = schema.add(f"n_{k}", "long")
-    return docs.select("doc_id", text_of().alias("_text")).mapInArrow(look, schema.add("base_sha256", "string").add("spans", "string"))
+    return docs.select("doc_id", text_of().alias("_text")).mapInArrow(look, schema.add("base_sha256", "string").add("spans", "string").add("n_spans", "long"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
