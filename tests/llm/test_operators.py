@@ -76,6 +76,32 @@ def test_fingerprints_are_homomorphic(spark):
     assert fp(back).first().f == got[3]
 
 
+def test_insertion_and_deletion_form_a_group(spark):
+    rows = [(1, "A.\nB.\nB.\n", "x"), (2, "Q. R.\n", "x"), (3, "only here", "x")]
+    of = lambda ids: fingerprint.fingerprints(spark.createDataFrame([r for r in rows if r[0] in ids], "k int, text string, g string"), ["g"])
+    shown = lambda df: df.select("g", fingerprint.fingerprint_column().alias("f")).collect()
+    a, b = of([1]), of([2])
+    assert shown(fingerprint.insert(fingerprint.delete(a, b, ["g"]), b, ["g"])) == shown(a)
+    assert shown(fingerprint.delete(fingerprint.insert(a, b, ["g"]), a, ["g"])) == shown(b)
+    assert shown(fingerprint.insert(a, b, ["g"])) == shown(fingerprint.insert(b, a, ["g"])) == shown(of([1, 2]))
+    none = a.where("n < 0")
+    assert shown(fingerprint.insert(none, b, ["g"])) == shown(b) and shown(fingerprint.insert(a, none, ["g"])) == shown(a)
+
+
+def test_lanes_against_brute_force(spark):
+    """The lanes add up hash bits of the pieces; the likeness is their cosine. Many pieces leave each lane to itself."""
+    text = "One. Two! Two!\nThree | four\nend"
+    cut = [p for p in re.split(fingerprint.CUTS, text)]
+    row = fingerprint.fingerprints(spark.createDataFrame([(1, text)], "k int, text string"), ["k"]).first()
+    bits = spark.createDataFrame([(p,) for p in cut], "p string").selectExpr("xxhash64(101, p) a", "xxhash64(202, p) b", *[f"xxhash64({k}, p) & 4294967295 s{k}" for k in range(4)]).collect()
+    assert row.n == len(cut) and all(row[f"s{k}"] == sum(r[f"s{k}"] for r in bits) for k in range(4))
+    for w in range(fingerprint.WORDS):
+        own, at = [(r.a if w < 32 else r.b) & (1 << 64) - 1 for r in bits], w % 32
+        assert row[f"w{w}"] & (1 << 32) - 1 == sum(x >> at & 1 for x in own) and row[f"w{w}"] >> 32 == sum(x >> at + 32 & 1 for x in own)
+    many = fingerprint.fingerprints(spark.range(1).selectExpr("1 k", "repeat('.', 2500000) text"), ["k"]).first()
+    assert many.n == 2_500_001 and all(many[f"w{w}"] >> 32 <= many.n and many[f"w{w}"] & (1 << 32) - 1 <= many.n for w in range(fingerprint.WORDS))
+
+
 def pii_brute(t):
     def luhn(s):
         n = [int(c) for c in reversed(s)]

@@ -4,17 +4,17 @@ A text is a multiset of pieces: its paragraphs, long ones taken sentence by sent
 hashes to a wide vector; a text's fingerprint is the sum of its pieces' vectors, each lane modulo a power of two. So the order
 of pieces does not matter, and a piece is put in or taken out by adding or subtracting its vector (`insert`, `delete`).
 
-Lanes: 4 of 32 bits, for equality, and 126 of one hash bit each, packed three to a 63-bit word (20, 20 and 23 bits wide; a carry
-between them keeps the sum a sum). The second sort also carries likeness: with the piece count n, 2 * lane - n is a sum of random
-signs, and the cosine of two such vectors estimates the pieces they share.
+Lanes: 4 of 32 bits, for equality, and 126 of one hash bit each, packed two to a 63-bit word (32 and 31 bits wide, modulo 2^32 and 2^31,
+so lanes never run into each other below 2^31 pieces). The second sort also carries likeness: with the piece count n, 2 * lane - n is a
+sum of random signs, and the cosine of two such vectors estimates the pieces they share. `insert` and `delete` work lane by lane and undo
+each other in any order, below zero too.
 
-Null text counts as empty; an empty text is one empty piece. Repeated rows and equal texts have equal fingerprints.
+Null text counts as empty; an empty text is one empty piece. Repeated rows and equal texts have equal fingerprints. Ties on doc_id are
+ordered by text; null ids come first. Very long texts are hashed whole, piece by piece. An empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -22,11 +22,8 @@ from pyspark.sql import Window
 from .common import text_of
 
 STRONG = 4
-WORDS = 42
-_MASK32 = (1 << 32) - 1
-#: One bit in each of the three lanes of a word.
-_PICK = 1 | 1 << 20 | 1 << 40
-_WIDTHS = ((0, 20), (20, 20), (40, 23))
+WORDS = 63
+_MASK32, _MASK31 = (1 << 32) - 1, (1 << 31) - 1
 #: A cut after every mark that ends a sentence, a table cell or a paragraph.
 CUTS = r"(?<=[.!?|])(?!\n)|(?<=\n)"
 
@@ -40,10 +37,9 @@ def lane_sums(piece: str) -> list[Column]:
     strong = [F.sum(F.xxhash64(F.lit(k), F.col(piece)).bitwiseAND(F.lit(_MASK32))).alias(f"s{k}") for k in range(STRONG)]
     packed = []
     for w in range(WORDS):
-        # bits w, w+21, w+42 of one of two hashes land in the three lanes
-        h, at = F.col("_h0" if w < 21 else "_h1"), w % 21
-        bits = [F.shiftleft(F.shiftrightunsigned(h, at + 21 * j).bitwiseAND(F.lit(1).cast("long")), 20 * j) for j in range(3)]
-        packed.append(F.sum(reduce(lambda a, b: a.bitwiseOR(b), bits)).alias(f"w{w}"))
+        # bits w and w + 32 of one of two hashes land in the two lanes
+        h, at = F.col("_h0" if w < 32 else "_h1"), w % 32
+        packed.append(F.sum(F.shiftrightunsigned(h, at).bitwiseAND(F.lit(1 | 1 << 32))).alias(f"w{w}"))
     return [F.count(F.lit(1)).alias("n"), *strong, *packed]
 
 
@@ -58,11 +54,8 @@ def signs_column() -> Column:
     """2 * lane - n for each one-bit lane."""
     words = F.array(*[F.col(f"w{w}") for w in range(WORDS)])
 
-    def lanes(at: int, width: int) -> Column:
-        return F.transform(words, lambda x: (F.shiftright(x, at).bitwiseAND(F.lit((1 << width) - 1)) * 2 - F.col("n")).cast("double"))
-
-    parts = [lanes(at, width) for at, width in _WIDTHS]
-    return F.concat(*parts)
+    low = F.transform(words, lambda x: (x.bitwiseAND(F.lit(_MASK32)) * 2 - F.col("n")).cast("double"))
+    return F.concat(low, F.transform(words, lambda x: (F.shiftrightunsigned(x, 32) * 2 - F.col("n")).cast("double")))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -81,20 +74,26 @@ def fingerprints(texts: DataFrame, keys: list[str], text: str = "text") -> DataF
 
 
 def _merge(a: DataFrame, b: DataFrame, keys: list[str], sign: int) -> DataFrame:
-    lanes = [("n", 32), *[(f"s{k}", 32) for k in range(STRONG)], *[(f"w{w}", 63) for w in range(WORDS)]]
     a, b = a.alias("a"), b.alias("b")
-    both = a.join(b, keys, "left")
-    value = lambda c, bits: (F.col(f"a.{c}") + sign * F.coalesce(F.col(f"b.{c}"), F.lit(0))).bitwiseAND(F.lit((1 << bits) - 1)).alias(c)
-    return both.select(*keys, *[value(c, bits) for c, bits in lanes])
+    both = a.join(b, keys, "full")
+    side = lambda s, c: F.coalesce(F.col(f"{s}.{c}"), F.lit(0).cast("long"))
+    whole = [(side("a", c) + sign * side("b", c)).bitwiseAND(F.lit(_MASK32)).alias(c) for c in ("n", *(f"s{k}" for k in range(STRONG)))]
+
+    def word(c: str) -> Column:
+        low = (side("a", c).bitwiseAND(F.lit(_MASK32)) + sign * side("b", c).bitwiseAND(F.lit(_MASK32))).bitwiseAND(F.lit(_MASK32))
+        high = (F.shiftrightunsigned(side("a", c), 32) + sign * F.shiftrightunsigned(side("b", c), 32)).bitwiseAND(F.lit(_MASK31))
+        return F.shiftleft(high, 32).bitwiseOR(low).alias(c)
+
+    return both.select(*keys, *whole, *[word(f"w{w}") for w in range(WORDS)])
 
 
 def insert(prints: DataFrame, more: DataFrame, keys: list[str]) -> DataFrame:
-    """The fingerprints after the pieces behind `more` joined those of the same key."""
+    """The fingerprints after the pieces behind `more` joined those of the same key; a key that prints lacks starts from nothing."""
     return _merge(prints, more, keys, 1)
 
 
 def delete(prints: DataFrame, less: DataFrame, keys: list[str]) -> DataFrame:
-    """The fingerprints after the pieces behind `less` left those of the same key."""
+    """The fingerprints after the pieces behind `less` left those of the same key, even if they were not there (modulo the lanes, a later `insert` makes up for it)."""
     return _merge(prints, less, keys, -1)
 
 
