@@ -260,10 +260,88 @@ def test_pages(spark):
     assert html_text.digest(df.limit(0)).count() == 0
 
 
+def kept_blocks(page):
+    return [t for _, t in html_text.settled(html_text.blocks(page))[0]]
+
+
 @pytest.mark.parametrize("tag", ["<svg x='1'/>", "<iframe/>", "<object />", "<title>", "<select>", "<video src='a'>"])
 def test_unclosed_and_empty_elements_drop_no_text(tag):
-    assert html_text.blocks(f"<article><p>one</p>{tag}<p>two</p></article>")[0] == ["one", "two"]
-    assert html_text.blocks(f"<body>{tag}<article><p>one</p><svg><text>no</text></svg><p>two<script>x")[0] == ["one", "two"]
+    assert kept_blocks(f"<article><p>one</p>{tag}<p>two</p></article>") == ["one", "two"]
+    assert kept_blocks(f"<body>{tag}<article><p>one</p><svg><text>no</text></svg><p>two<script>x") == ["one", "two"]
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<", "<svg>", "<script ", "<!--", "<a \"", "<a '\"", "</", "<p class='x>", "<div><p>", "&", "<select><title>", "<a b=\"'>"])
+def test_time_grows_with_the_length_only(piece):
+    import time
+
+    took = []
+    for n in (100_000, 400_000):
+        began = time.process_time()
+        html_text.blocks("<article>x " + piece * (n // len(piece)))
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * max(took[0], 0.2)
+
+
+def test_names_and_headings():
+    page = "<div id='main-ad-free'><article><header><h1>Head</h1></header><p>text</p><section class='related-work'><p>work</p></section><div class='site-ads'>ad</div><div class='user-comments'>no</div><p>a &lt; b <5 c</p></article></div>"
+    assert kept_blocks(page) == ["Head", "text", "work", "a < b <5 c"]
+    assert [o for o, _ in html_text.settled(html_text.blocks("<article><p>a</p><div class='related-work'>b</div></article>"))[0]] == [False, True]
+    assert kept_blocks("<article>x<p title='a>b'>y</p><p class=\"z>w</p></article>")[:2] == ["x", "y"]
+
+
+def pages_brute(rows):
+    """Texts of open pages: plain loops over all windows of a host, and over blocks shorter than a window."""
+    hosts, out = defaultdict(dict), {}
+    for i, host, page in rows:
+        own, other = html_text.settled(html_text.blocks(page))
+        hosts[host][page] = ([t.split() for o, t in own if o], [t.split() for t in other])
+    for i, host, page in rows:
+        pages = hosts[host]
+
+        def runs(parts):
+            found = set()
+            for blocks in parts:
+                flat = [t for b in blocks for t in b]
+                found |= {(tuple(flat[k : k + html_text.RUN]), 0) for k in range(len(flat) - html_text.RUN + 1)}
+                found |= {(tuple(b), 1) for b in blocks if len(b) < html_text.RUN}
+            return found
+
+        count = Counter(x for parts in pages.values() for x in runs(parts))
+        common = {x for x, n in count.items() if n > 1 and n >= len(pages) * (html_text.SHORT_SHARE if x[1] else html_text.SHARE)}
+        own = pages[page][0]
+        flat = [t for b in own for t in b]
+        gone, at = [False] * len(flat), 0
+        for k in range(len(flat)):
+            if (tuple(flat[k : k + html_text.RUN]), 0) in common:
+                gone[k : k + html_text.RUN] = [True] * html_text.RUN
+        for b in own:
+            if (tuple(b), 1) in common:
+                gone[at : at + len(b)] = [True] * len(b)
+            at += len(b)
+        out[i] = " ".join(t for t, g in zip(flat, gone, strict=True) if not g)
+    return out
+
+
+def test_hosts_without_articles_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 400, n))
+    rows = []
+    for host in range(4):
+        menu, foot, note = words(12), words(5), words(30)
+        for i in range(6):
+            parts = [f"<div>{m}</div>" for m in menu.split()] + [f"<p>{words(40)}</p>" for _ in range(3)] + [f"<p>{foot}</p>"] + ([f"<div>{note}</div>"] if i % 2 else [])
+            rows.append((host * 10 + i, f"h{host}.x", "".join(parts)))
+    rows += [(90, "h0.x", rows[0][2]), (91, "h0.x", "")]
+    df = spark.createDataFrame([(i, f"http://{h}/{i}", p, "x", "y", "z") for i, h, p in rows], "page_id long, url string, html string, host string, page string, text string")
+    got = {r.page_id: r.text for r in html_text.digest(df).collect()}
+    assert got == pages_brute(rows) and len(got[0].split()) > 100 and len(got) == len(rows)
+
+
+def test_doubtful_parts_of_articles(spark):
+    block = "<div class='promo-facts'>Read all about the great offers of this season in our shop now</div>"
+    rows = [(i, f"http://a.b/{i}", f"<article><p>Text number {i}</p>{block if i < 3 else ''}<div class='ad-hoc'>{i} remarks {i} that {i} are {i} ad hoc</div></article>") for i in range(5)]
+    got = {r.page_id: r.text for r in html_text.digest(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Text number {i} {i} remarks {i} that {i} are {i} ad hoc" for i in range(5)}
 
 
 def test_language(spark, odd, none):
