@@ -118,12 +118,42 @@ def test_maxima_and_pruning(cell):
         assert sorted(x.node_id for x in kept.collect()) == sorted(np.array(want)[alive].tolist())
 
 
-def test_limiting_diameter(cell):
-    spanning = lambda r: (coarse(cell["dmin"] >= r) == 2).any()
-    values = np.unique(cell["dmin"][cell["dmin"] >= 0])
-    best = max((v for v in values if spanning(v)), default=0.0)
-    got = pores.limiting_diameter(cell["vox"], cell["grids"], G, compat=False).first().pld
-    assert abs(got - 2 * best) < 1e-9
+def bisected(d, tol, spanning):
+    """The compatible search, step by step."""
+    if d.max() <= 0 or not spanning(0.0):
+        return 0.0
+    if spanning(d.max()):
+        return 2 * d.max()
+    values = np.unique(d[d >= 0])
+    lo, hi, best = 0, len(values) - 1, 0
+    while lo <= hi:
+        mid = (lo + hi) // 2
+        if spanning(values[mid]):
+            best, lo = mid, mid + 1
+        else:
+            hi = mid - 1
+        if values[hi] - values[lo] < tol:
+            best = mid
+            break
+    return 2 * values[best]
+
+
+def test_limiting_diameter(cell, spark):
+    """Of several boxes at once; the last has no void."""
+    rng = np.random.default_rng(11)
+    fields = {"a": cell["dmin"], "b": rng.normal(0.1, 0.1, (N, N, N)), "c": rng.random((N, N, N)), "d": np.full((N, N, N), 0.25), "e": np.full((N, N, N), -1.0)}
+    ids = np.arange(N**3).reshape(N, N, N)
+    rows = [(k, *map(int, p), int(ids[p]), float(f[p])) for k, f in fields.items() for p in zip(*np.nonzero(ids >= 0), strict=True)]
+    vox = checkpointed(spark.createDataFrame(rows, "structure_id string, ix int, iy int, iz int, vid long, dmin double"))
+    grids = checkpointed(grid.sized(spark.createDataFrame([(k, L, L, L) for k in fields], "structure_id string, lx double, ly double, lz double"), G))
+    plain = {r.structure_id: r.pld for r in pores.limiting_diameter(vox, grids, G, 0.01, compat=False).collect()}
+    compat = {r.structure_id: r.pld for r in pores.limiting_diameter(vox, grids, G, 0.01).collect()}
+    for k, f in fields.items():
+        spanning = lambda r, f=f: (coarse(f >= r) == 2).any()
+        best = max((v for v in np.unique(f[f >= 0]) if spanning(v)), default=0.0)
+        assert abs(plain[k] - 2 * best) < 1e-9, k
+        assert abs(compat[k] - bisected(f - 0.01, G / 2, lambda r, f=f: (coarse(f - 0.01 >= r) == 2).any())) < 1e-9, k
+    assert plain["a"] > 0 and plain["d"] == 0.5 and plain["e"] == 0
 
 
 def test_octree_volume_nears_the_sphere(spark):

@@ -139,47 +139,60 @@ def percolates(vox: DataFrame, grids: DataFrame, value: str, at_least: Column) -
     return grids.select("structure_id").join(found, "structure_id", "left").select("structure_id", F.coalesce(F.col("label") == ACCESSIBLE, F.lit(False)).alias("hit"))
 
 
-def limiting_diameter(vox: DataFrame, grids: DataFrame, grid: float, probe: float = 0.0, compat: bool = True) -> DataFrame:
-    """(structure_id, pld): twice the largest radius whose voxels span the grid, by bisection over the distinct values of dmin; all
-    structures are bisected together, one labelling a step. compat: the probe is subtracted once more, and a search that narrows
-    below half a grid step ends with its last middle, spanning or not; else the best spanning value is kept to the end."""
-    from pyspark.sql import types as T
+def spanning_levels(d: DataFrame, values: DataFrame, grids: DataFrame, ways: int = 15) -> DataFrame:
+    """(structure_id, spans): the greatest k whose voxels (_d >= the value of k) span the grid, -1 if none does; values has (structure_id,
+    k, _d), k from 0 by rising _d. A voxel set only shrinks as k rises, so each round asks `ways` levels of every structure in one labelling
+    and keeps the gap in which the answer lies."""
+    size = values.groupBy("structure_id").agg((F.max("k") + 1).alias("hi"))
+    state = checkpointed(grids.select("structure_id").join(size, "structure_id", "left").select("structure_id", F.lit(-1).alias("lo"), F.coalesce("hi", F.lit(0)).cast("int").alias("hi")))
+    while not (open_ := state.where("hi - lo > 1")).isEmpty():
+        between = F.transform(F.sequence(F.lit(1), F.lit(ways)), lambda j: (F.col("lo") + F.floor((F.col("hi") - F.col("lo")) * j / (ways + 1))).cast("int"))
+        asked = open_.select("structure_id", F.explode(F.array_distinct(F.filter(between, lambda k: k > F.col("lo")))).alias("k"))
+        asked = checkpointed(asked.join(values, ["structure_id", "k"]))
+        levels = asked.groupBy("structure_id").agg(F.collect_list(F.struct("k", "_d")).alias("_levels"))  # at most `ways` of them
+        copies = d.join(levels, "structure_id").withColumn("_l", F.explode(F.filter("_levels", lambda x: x["_d"] <= F.col("_d"))))
+        both = F.struct("structure_id", F.col("_l.k").alias("k"))
+        near = copies.select(both.alias("structure_id"), "ix", "iy", "iz", "vid", "_d")
+        own = grids.join(asked.select("structure_id", "k"), "structure_id").withColumn("structure_id", F.struct("structure_id", "k"))
+        hits = percolates(near, own, "_d", F.lit(0.0)).select("structure_id.*", "hit").groupBy("structure_id").agg(F.max(F.when(F.col("hit"), F.col("k"))).alias("_lo"), F.min(F.when(~F.col("hit"), F.col("k"))).alias("_hi"))
+        state = checkpointed(state.join(hits, "structure_id", "left").select("structure_id", F.coalesce("_lo", "lo").alias("lo"), F.coalesce("_hi", "hi").alias("hi")))
+    return state.select("structure_id", F.col("lo").alias("spans"))
+
+
+def _bisection(size: Column, spans: Column, steps: int = 40) -> Column:
+    """The steps of a bisection over 0..size-1 in which k succeeds up to spans: array of (step, lo, hi, mid, best), each after its update."""
+    start = F.struct(F.lit(0).alias("lo"), (size - 1).alias("hi"), F.lit(0).alias("best"), F.expr("cast(array() as array<struct<step:int,lo:int,hi:int,mid:int,best:int>>)").alias("out"))
+
+    def step(acc: Column, i: Column) -> Column:
+        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        hit = mid <= spans
+        lo, hi, best = F.when(hit, mid + 1).otherwise(acc["lo"]), F.when(hit, acc["hi"]).otherwise(mid - 1), F.when(hit, mid).otherwise(acc["best"])
+        new = F.struct(lo.alias("lo"), hi.alias("hi"), best.alias("best"), F.array_append(acc["out"], F.struct(i.alias("step"), lo.alias("lo"), hi.alias("hi"), mid.alias("mid"), best.alias("best"))).alias("out"))
+        return F.when(acc["lo"] <= acc["hi"], new).otherwise(acc)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(steps)), start, step, lambda acc: acc["out"])
+
 
+def limiting_diameter(vox: DataFrame, grids: DataFrame, grid: float, probe: float = 0.0, compat: bool = True) -> DataFrame:
+    """(structure_id, pld): twice the largest radius whose voxels span the grid, over the distinct values of dmin. compat: the probe is
+    subtracted once more, and of the bisection over these values that stops where it has narrowed below half a grid step, the last middle
+    counts, spanning or not; else the largest spanning value does."""
     d = vox.withColumn("_d", F.col("dmin") - (probe if compat else 0.0)).select("structure_id", "ix", "iy", "iz", "vid", "_d")
     d = checkpointed(d.where("_d >= 0"))
     order = Window.partitionBy("structure_id").orderBy("_d")
-    values = checkpointed(d.select("structure_id", "_d").distinct().withColumn("k", F.row_number().over(order) - 1))
-    tol = grid / 2
-    size = values.groupBy("structure_id").agg(F.max("k").alias("hi"), F.max("_d").alias("most"))
-    state = grids.select("structure_id").join(size, "structure_id", "left")
-    state = state.select("structure_id", F.lit(0).alias("lo"), F.coalesce("hi", F.lit(-1)).alias("hi"), F.lit(0).alias("best"), F.coalesce(F.col("most") <= 0, F.lit(True)).alias("done"), F.lit(0.0).alias("r"), F.coalesce("most", F.lit(0.0)).alias("most"))
-
-    def test(s: DataFrame, level: Column) -> DataFrame:
-        at = s.where("not done").select("structure_id", level.alias("_level"))
-        near = d.join(F.broadcast(at), "structure_id")
-        return s.join(percolates(near, grids, "_d", F.col("_level")), "structure_id", "left")
-
-    s = test(checkpointed(state), F.lit(0.0))
-    s = checkpointed(s.withColumn("done", F.col("done") | ~F.col("hit")).drop("hit"))
-    s = test(s, F.col("most"))
-    s = checkpointed(s.withColumn("r", F.when(~F.col("done") & F.col("hit"), F.col("most")).otherwise(F.col("r"))).withColumn("done", F.col("done") | F.col("hit")).drop("hit"))
-    look = lambda s, c: s.join(values.select("structure_id", F.col("k").alias(c), F.col("_d").alias(f"_{c}")), ["structure_id", c], "left")
-    while not s.where("not done").isEmpty():
-        s = s.withColumn("mid", F.expr("cast((lo + hi) div 2 as int)"))
-        s = checkpointed(test(look(s, "mid"), F.col("_mid")))
-        on = ~F.col("done")
-        s = s.withColumns({
-            "best": F.when(on & F.col("hit"), F.col("mid")).otherwise(F.col("best")),
-            "lo": F.when(on & F.col("hit"), F.col("mid") + 1).otherwise(F.col("lo")),
-            "hi": F.when(on & ~F.col("hit"), F.col("mid") - 1).otherwise(F.col("hi")),
-        })
-        s = look(look(s.drop("_mid"), "lo"), "hi")
-        close = on & (F.coalesce(F.col("_hi") - F.col("_lo"), F.lit(-1.0)) < tol)
-        s = s.withColumn("best", F.when(close & F.lit(compat), F.col("mid")).otherwise(F.col("best")))
-        s = look(s.withColumn("done", F.col("done") | (F.col("lo") > F.col("hi")) | (close & F.lit(compat))), "best")
-        s = s.withColumn("r", F.when(on & F.col("best").isNotNull(), F.col("_best")).otherwise(F.col("r")))
-        s = checkpointed(s.select("structure_id", "lo", "hi", "best", "done", "r", "most"))
-    return s.select("structure_id", (2 * F.col("r")).alias("pld"))
+    values = checkpointed(d.select("structure_id", "_d").distinct().withColumn("k", (F.row_number().over(order) - 1).cast("int")))
+    top = values.groupBy("structure_id").agg((F.max("k") + 1).alias("size"), F.max("_d").alias("most"))
+    found = checkpointed(spanning_levels(d, values, grids).join(top, "structure_id", "left"))
+    at = lambda c: values.select("structure_id", F.col("k").alias(c), F.col("_d").alias(f"_{c}"))
+    chosen = found.where("spans >= 0 and most > 0").select("structure_id", F.col("spans").alias("best"))
+    if compat:
+        walk = found.where("spans >= 0 and spans < size - 1 and most > 0").select("structure_id", F.explode(_bisection(F.col("size"), F.col("spans"))).alias("s")).select("structure_id", "s.*")
+        walk = walk.join(at("lo"), ["structure_id", "lo"], "left").join(at("hi"), ["structure_id", "hi"], "left")
+        close = F.coalesce(F.col("_hi") - F.col("_lo"), F.lit(-1.0)) < grid / 2
+        ended = walk.groupBy("structure_id").agg(F.min_by("mid", F.when(close, F.col("step"))).alias("_mid"), F.max_by("best", "step").alias("_best"))
+        chosen = chosen.join(ended, "structure_id", "left").select("structure_id", F.coalesce("_mid", "_best", "best").alias("best"))
+    r = chosen.join(at("best"), ["structure_id", "best"])
+    return grids.select("structure_id").join(r, "structure_id", "left").select("structure_id", (2 * F.coalesce("_best", F.lit(0.0))).alias("pld"))
 
 
 def largest_ball(vox: DataFrame, nodes: DataFrame, grids: DataFrame) -> DataFrame:

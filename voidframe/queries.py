@@ -357,12 +357,40 @@ def j15(spark, sf_dir):
     return pores.largest_ball(labels, nodes, grids).select("structure_id", "vid", F.round("ball", 6).alias("ball"))
 
 
-@query("g12_limiting_diameter")
+def _sql_spans(name: str, asked: str) -> str:
+    """Of the levels in asked (structure_id, k, r), the greatest whose voxels lead from a low face to the one opposite."""
+    face = "case f.a when 0 then {0}.ix when 1 then {0}.iy else {0}.iz end"
+    return f"""{name}q as ({asked}),
+{name}f as (select w.structure_id, q.k, q.r, f.a, w.ix, w.iy, w.iz from d w join {name}q q on q.structure_id = w.structure_id and w.dmin >= q.r, (values (0), (1), (2)) f(a) where {face.format("w")} = 0
+  union select w.structure_id, f.k, f.r, f.a, w.ix, w.iy, w.iz from {name}f f join (values {_SIX}) o(a, b, c) on true join d w on w.structure_id = f.structure_id and w.ix = f.ix + o.a and w.iy = f.iy + o.b and w.iz = f.iz + o.c and w.dmin >= f.r),
+{name} as (select f.structure_id, max(f.k) as k from {name}f f join g using (structure_id) where {face.format("f")} = g.n - 1 group by 1)"""
+
+
+_EVERY = 24
+_SQL_PLD = f"""{_sql_field()},
+vals as (select structure_id, dmin as r, row_number() over (partition by structure_id order by dmin) - 1 as k from (select distinct structure_id, dmin from d where dmin >= 0)),
+top as (select structure_id, count(*) as n, max(r) as most from vals group by 1),
+{_sql_spans("pa", f"select * from vals where k % {_EVERY} = 0")},
+{_sql_spans("pb", f"select vals.* from vals join pa using (structure_id) where vals.k >= pa.k and vals.k < pa.k + {_EVERY}")},
+walk as (select structure_id, 0 as step, 0::bigint as lo, n - 1 as hi, 0::bigint as best, pb.k as spans, pb.k = n - 1 as done from top join pb using (structure_id)
+  union all select structure_id, step + 1, lo2, hi2, case when close then mid else best2 end, spans, close from (
+    select s.*, coalesce(h.r - l.r, -1) < {GRID}::double / 2 as close from (
+      select *, (lo + hi) // 2 as mid, case when (lo + hi) // 2 <= spans then (lo + hi) // 2 + 1 else lo end as lo2, case when (lo + hi) // 2 <= spans then hi else (lo + hi) // 2 - 1 end as hi2,
+        case when (lo + hi) // 2 <= spans then (lo + hi) // 2 else best end as best2 from walk where not done and lo <= hi) s
+    left join vals l on l.structure_id = s.structure_id and l.k = s.lo2 left join vals h on h.structure_id = s.structure_id and h.k = s.hi2)),
+ended as (select structure_id, arg_max(case when step = 0 then spans else best end, step) as k from walk group by 1)
+select g.structure_id, round(coalesce(2 * c.r, 0), 6) as pld, round(coalesce(2 * e.r, 0), 6) as pld_exact from g
+left join ended using (structure_id) left join vals c on c.structure_id = g.structure_id and c.k = ended.k left join pb on pb.structure_id = g.structure_id left join vals e on e.structure_id = g.structure_id and e.k = pb.k"""
+
+
+@query("g12_limiting_diameter", f"with recursive {_SQL_PLD}")
 def g12(spark, sf_dir):
     from .plans.session import checkpointed
 
     _, grids, vox = _field(spark, sf_dir)
-    return pores.limiting_diameter(checkpointed(vox), grids, GRID).select("structure_id", F.round("pld", 6).alias("pld"))
+    vox = checkpointed(vox)
+    found = [pores.limiting_diameter(vox, grids, GRID, compat=compat).select("structure_id", F.round("pld", 6).alias(name)) for compat, name in ((True, "pld"), (False, "pld_exact"))]
+    return found[0].join(found[1], "structure_id")
 
 
 @query("a18_block_means", f"""with {_sql_field()} select structure_id, (ix // 2)::int as ix, (iy // 2)::int as iy, (iz // 2)::int as iz, round(avg(void::int::double), 6) as f_void, round(avg(0.5::double * (1 + tanh(dmin / 0.1::double))), 6) as smooth from d
