@@ -1,16 +1,19 @@
 """Signed distance of voxels to the nearest atom surface.
 
 The neighbour join is an equi-join on spatial buckets: every atom is put into its own and the neighbouring cells (distinct after
-wrapping), so a voxel meets all atoms within one cell length. Where that does not settle the minimum, the voxel is compared with all
-atoms of its structure, so the distance is always exact.
+wrapping), so a voxel meets all atoms within one cell length. A minimum that an atom beyond that could undercut is open; open voxels go
+on to cells twice as long, round by round, until the cells around a voxel are the whole box, so the distance is always exact.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import cell_count, cell_index, distance
+from ..plans.session import small
 
 _BOX = ("lx", "ly", "lz")
 
@@ -25,7 +28,7 @@ def cells(structures: DataFrame, atoms: DataFrame, grid: float, probe: float = 0
 
 def in_cells(atoms: DataFrame, celled: DataFrame) -> DataFrame:
     """atoms with box, cell counts and one row for each distinct cell in their 27-cell neighbourhood: cx, cy, cz."""
-    placed = atoms.join(F.broadcast(celled.select("structure_id", *_BOX, "nx", "ny", "nz")), "structure_id")
+    placed = atoms.join(small(celled.select("structure_id", *_BOX, "nx", "ny", "nz")), "structure_id")
     around = lambda c: F.array_distinct(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.pmod(cell_index(F.col(c), F.col(f"l{c}"), F.col(f"n{c}")) + d, F.col(f"n{c}"))))
     for c in "xyz":
         placed = placed.withColumn(f"c{c}", F.explode(around(c)))
@@ -34,7 +37,7 @@ def in_cells(atoms: DataFrame, celled: DataFrame) -> DataFrame:
 
 def located(points: DataFrame, celled: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """points with the cell they lie in."""
-    own = points.join(F.broadcast(celled.select("structure_id", *_BOX, "nx", "ny", "nz", *extra)), "structure_id")
+    own = points.join(small(celled.select("structure_id", *_BOX, "nx", "ny", "nz", *extra)), "structure_id")
     return own.withColumns({f"c{c}": cell_index(F.col(c), F.col(f"l{c}"), F.col(f"n{c}")) for c in "xyz"})
 
 
@@ -52,26 +55,61 @@ def neighbour_gaps(points: DataFrame, keys: list[str], atoms: DataFrame, celled:
 
 def all_gaps(points: DataFrame, keys: list[str], atoms: DataFrame, structures: DataFrame) -> DataFrame:
     """(keys, atom_id, gap) for every point and every atom of its structure: the fallback for points far from all atoms."""
-    p = points.join(F.broadcast(structures.select("structure_id", *_BOX)), "structure_id").alias("p")
+    p = points.join(small(structures.select("structure_id", *_BOX)), "structure_id").alias("p")
     a = atoms.select("structure_id", "atom_id", "x", "y", "z", "radius").alias("a")
     return p.join(a, "structure_id").select("structure_id", *[F.col(f"p.{k}") for k in keys], F.col("a.atom_id"), surface_gap("p", "a").alias("gap"))
 
 
+def nearest(points: DataFrame, centres: DataFrame, boxes: DataFrame, periodic: bool = True, most_rounds: int = 40) -> DataFrame:
+    """points (structure_id, vid, x, y, z, ..) with gap, the least distance to the surface of one of the centres (structure_id, x, y, z, radius) of their
+    structure, and round, from 0, in which it was settled. boxes: structure_id, lx, ly, lz, rmax (greatest radius) and edge (least cell edge of the first
+    round). Points of a structure without centres are left out. Lineage is cut once a round."""
+    from ..plans.session import checkpointed
+
+    left, parts = points, []
+    for k in range(most_rounds):
+        sized = boxes.withColumns({f"n{c}": cell_count(F.col(f"l{c}"), F.col("edge") * float(1 << k)) for c in "xyz"})
+        # beyond this distance a centre may lie outside the cells around; an axis with few cells is covered whole
+        bound = F.least(*[F.when(F.col(f"n{c}") <= (3 if periodic else 2), F.lit(float("inf"))).otherwise(F.col(f"l{c}") / F.col(f"n{c}")) for c in "xyz"])
+        sized = sized.withColumn("_bound", bound - F.col("rmax"))
+        # a point on the far face of a box that does not wrap is in the last cell
+        cell = lambda c: cell_index(F.col(c), F.col(f"l{c}"), F.col(f"n{c}")) if periodic else F.least(F.floor(F.col(c) / F.col(f"l{c}") * F.col(f"n{c}")).cast("int"), F.col(f"n{c}") - 1)
+
+        def around(c: str) -> Column:
+            near = F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: cell(c) + d)
+            if periodic:
+                return F.array_distinct(F.transform(near, lambda i: F.pmod(i, F.col(f"n{c}"))))
+            return F.filter(near, lambda i: (i >= 0) & (i < F.col(f"n{c}")))
+
+        a = centres.select("structure_id", "x", "y", "z", "radius").join(sized, "structure_id")
+        for c in "xyz":
+            a = a.withColumn(f"c{c}", F.explode(around(c)))
+        a = a.select("structure_id", "cx", "cy", "cz", *[F.col(c).alias(f"_a{c}") for c in "xyz"], "radius")
+        p = left.join(sized.select("structure_id", *_BOX, "nx", "ny", "nz", "_bound"), "structure_id").withColumns({f"c{c}": cell(c) for c in "xyz"})
+        gap = [F.col(c) - F.col(f"_a{c}") for c in "xyz"]
+        gap = [d - F.rint(d / F.col(f"l{c}")) * F.col(f"l{c}") for d, c in zip(gap, "xyz", strict=True)] if periodic else gap
+        met = p.join(a, ["structure_id", "cx", "cy", "cz"], "left").withColumn("gap", F.sqrt(gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2]) - F.col("radius"))
+        found = checkpointed(met.groupBy(*points.columns, "_bound").agg(F.min("gap").alias("gap")))
+        settled = (F.col("_bound") == float("inf")) | F.coalesce(F.col("gap") <= F.col("_bound"), F.lit(False))
+        parts.append(found.where(settled).select(*points.columns, "gap", F.lit(k).alias("round")))
+        left = found.where(~settled).select(points.columns)
+        if left.isEmpty():
+            break
+    else:
+        raise RuntimeError(f"distances are open after {most_rounds} rounds")
+    return reduce(lambda x, y: x.unionByName(y), parts)
+
+
 def nearest_gap(vox: DataFrame, atoms: DataFrame, celled: DataFrame, probe: float = 0.0) -> DataFrame:
-    """voxels with gap, the exact distance to the nearest atom surface, and filled (whether the fallback was needed)."""
-    near = neighbour_gaps(vox, ["vid"], atoms, celled).groupBy("structure_id", "vid").agg(F.min("gap").alias("near"))
-    joined = vox.join(near, ["structure_id", "vid"], "left").join(F.broadcast(celled.select("structure_id", "cell", "rmax")), "structure_id")
-    # beyond this an atom outside the neighbouring cells could be nearer
-    open_ = F.col("near").isNull() | (F.col("near") > F.col("cell") - (F.col("rmax") + probe))
-    joined = joined.withColumn("filled", open_)
-    rest = all_gaps(joined.where("filled").select(*vox.columns), ["vid"], atoms, celled).groupBy("structure_id", "vid").agg(F.min("gap").alias("far"))
-    return joined.join(rest, ["structure_id", "vid"], "left").select(*[joined[c] for c in vox.columns], F.coalesce("far", "near").alias("gap"), "filled")
+    """voxels with gap, the exact distance to the nearest atom surface, and filled (whether cells of twice the greatest radius left it open)."""
+    boxes = celled.select("structure_id", *_BOX, "rmax", F.greatest(2 * F.col("rmax"), F.lit(1e-3)).alias("edge"))
+    return nearest(vox, atoms, boxes).withColumn("filled", F.col("round") > 0).drop("round")
 
 
 def masked(gaps: DataFrame, grids: DataFrame, probe: float = 0.0) -> DataFrame:
     """voxels with dmin (probe subtracted), vdw, void and boundary."""
     edge = F.greatest("dgx", "dgy", "dgz") * 0.7071068 + 1e-6
-    own = gaps.join(F.broadcast(grids.select("structure_id", edge.alias("_edge"))), "structure_id").withColumn("dmin", F.col("gap") - probe)
+    own = gaps.join(small(grids.select("structure_id", edge.alias("_edge"))), "structure_id").withColumn("dmin", F.col("gap") - probe)
     return own.withColumns({"vdw": F.col("gap") > 0, "void": F.col("dmin") > 0, "boundary": F.abs("dmin") < F.col("_edge")}).drop("_edge", "gap")
 
 
@@ -91,7 +129,7 @@ def shifted(vox: DataFrame, offsets, grids: DataFrame | None = None) -> DataFram
     out = vox.withColumn("_o", F.explode(moves))
     if grids is None:
         return out.withColumns({f"i{c}": F.col(f"i{c}") + F.col(f"_o.{c}") for c in "xyz"}).drop("_o")
-    out = out.join(F.broadcast(grids.select("structure_id", "gx", "gy", "gz")), "structure_id")
+    out = out.join(small(grids.select("structure_id", "gx", "gy", "gz")), "structure_id")
     return out.withColumns({f"i{c}": F.pmod(F.col(f"i{c}") + F.col(f"_o.{c}"), F.col(f"g{c}")) for c in "xyz"}).drop("_o", "gx", "gy", "gz")
 
 
@@ -106,7 +144,7 @@ def on_border(grids_alias: str = "") -> Column:
 def solid_boundary(vox: DataFrame, grids: DataFrame) -> DataFrame:
     """Solid voxels on the grid's border or beside a void voxel (six neighbours)."""
     beside = shifted(vox.where("void").select("structure_id", "ix", "iy", "iz"), SIX).select("structure_id", "ix", "iy", "iz").distinct().withColumn("_beside", F.lit(True))
-    own = vox.where("not void").join(F.broadcast(grids.select("structure_id", "gx", "gy", "gz")), "structure_id").join(beside, ["structure_id", "ix", "iy", "iz"], "left")
+    own = vox.where("not void").join(small(grids.select("structure_id", "gx", "gy", "gz")), "structure_id").join(beside, ["structure_id", "ix", "iy", "iz"], "left")
     return own.where(on_border() | F.coalesce("_beside", F.lit(False))).select(vox.columns)
 
 
@@ -118,13 +156,10 @@ def void_boundary(vox: DataFrame) -> DataFrame:
 
 
 def to_targets(vox: DataFrame, targets: DataFrame, grids: DataFrame, periodic: bool, correction: float = 0.0) -> DataFrame:
-    """(structure_id, vid, d): distance of each voxel to the nearest target voxel, less correction * grid, not below zero. An equi-join
-    on the structure and a minimum that is combined before the shuffle."""
-    g = F.broadcast(grids.select("structure_id", "lx", "ly", "lz", "gx", "gy", "gz", "dgx", "dgy", "dgz"))
-    t = targets.join(g, "structure_id").select("structure_id", *[((F.col(f"i{c}") + 0.5) * F.col(f"dg{c}")).alias(f"t{c}") for c in "xyz"])
-    v = vox.select("structure_id", "vid", "x", "y", "z").join(g, "structure_id")
-    gap = [F.col(c) - F.col(f"t{c}") for c in "xyz"]
-    if periodic:
-        gap = [d - F.rint(d / F.col(f"l{c}")) * F.col(f"l{c}") for d, c in zip(gap, "xyz", strict=True)]
-    met = v.join(t, "structure_id").groupBy("structure_id", "vid").agg(F.min(F.sqrt(sum((d * d for d in gap[1:]), gap[0] * gap[0]))).alias("d"), F.first("dgx").alias("dgx"))
-    return met.select("structure_id", "vid", F.greatest(F.col("d") - correction * F.col("dgx"), F.lit(0.0)).alias("d"))
+    """(structure_id, vid, d): distance of each voxel to the nearest target voxel, less correction * grid, not below zero. Structures without
+    a target are left out."""
+    g = grids.select("structure_id", "dgx", "dgy", "dgz")
+    t = targets.join(g, "structure_id").select("structure_id", *[((F.col(f"i{c}") + 0.5) * F.col(f"dg{c}")).alias(c) for c in "xyz"], F.lit(0.0).alias("radius"))
+    boxes = grids.join(targets.select("structure_id").distinct(), "structure_id", "left_semi").select("structure_id", *_BOX, F.lit(0.0).alias("rmax"), (2 * F.greatest("dgx", "dgy", "dgz")).alias("edge"))
+    met = nearest(vox.select("structure_id", "vid", "x", "y", "z"), t, boxes, periodic).join(g, "structure_id")
+    return met.select("structure_id", "vid", F.greatest(F.col("gap") - correction * F.col("dgx"), F.lit(0.0)).alias("d"))

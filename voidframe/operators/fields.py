@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import tanh_smooth
 from .percolation import ACCESSIBLE, TRAPPED
+from ..plans.session import small
 
 
 def cube_step(grid: float, space: float | None = None) -> int:
@@ -21,7 +22,7 @@ def downsampled(vox: DataFrame, grids: DataFrame, k: int, values: list[str], how
     if k <= 1:
         return vox.select("structure_id", "ix", "iy", "iz", *values)
     g = grids.select("structure_id", *[F.when(F.col(f"g{c}") >= k, F.expr(f"g{c} div {k}")).otherwise(F.raise_error(F.lit("the block is larger than the grid"))).alias(f"_n{c}") for c in "xyz"])
-    own = vox.join(F.broadcast(g), "structure_id").withColumns({f"i{c}": F.expr(f"cast(i{c} div {k} as int)") for c in "xyz"})
+    own = vox.join(small(g), "structure_id").withColumns({f"i{c}": F.expr(f"cast(i{c} div {k} as int)") for c in "xyz"})
     own = own.where(" and ".join(f"i{c} < _n{c}" for c in "xyz"))
     return own.groupBy("structure_id", "ix", "iy", "iz").agg(*[how(v).alias(v) for v in values])
 

@@ -15,6 +15,7 @@ from ..functions.geometry import faces_touch, min_image
 from ..plans.components import connected_components
 from .distance import SIX, cells, neighbour_gaps, on_border, shifted
 from .percolation import ACCESSIBLE, TRAPPED
+from ..plans.session import small
 
 TOP = 3
 
@@ -44,7 +45,7 @@ def forest(vox: DataFrame, atoms: DataFrame, grids: DataFrame, grid: float, prob
 
     celled = cells(grids, atoms, grid, probe, pore)
     roots = candidates(vox.where("boundary").select("structure_id", "ix", "iy", "iz", "vid", "x", "y", "z"), atoms, celled, probe)
-    here = roots.join(F.broadcast(grids.select("structure_id", "lx", "ly", "lz", "dgx", "dgy", "dgz")), "structure_id").withColumnRenamed("vid", "root").withColumns({"path": F.lit(1).cast("long"), "level": F.lit(0)})
+    here = roots.join(small(grids.select("structure_id", "lx", "ly", "lz", "dgx", "dgy", "dgz")), "structure_id").withColumnRenamed("vid", "root").withColumns({"path": F.lit(1).cast("long"), "level": F.lit(0)})
     here = checkpointed(here.withColumn("d", evaluated(probe)))
     levels = []
     for level in range(max_level):
@@ -64,7 +65,7 @@ def forest(vox: DataFrame, atoms: DataFrame, grids: DataFrame, grid: float, prob
 
 def leaf_edges(leaves: DataFrame, grids: DataFrame, tol: float = 1e-6) -> DataFrame:
     """(a, b) as (structure_id, root, path) of void leaves that share part of a face, in one root or in neighbouring roots."""
-    sized = leaves.join(F.broadcast(grids.select("structure_id", "dgx", "dgy", "dgz")), "structure_id").withColumns({f"h{c}": F.col(f"dg{c}") * 0.5 / F.pow(F.lit(2.0), F.col("level")) for c in "xyz"})
+    sized = leaves.join(small(grids.select("structure_id", "dgx", "dgy", "dgz")), "structure_id").withColumns({f"h{c}": F.col(f"dg{c}") * 0.5 / F.pow(F.lit(2.0), F.col("level")) for c in "xyz"})
     offsets = [(0, 0, 0), (1, 0, 0), (0, 1, 0), (0, 0, 1)]
     moves = F.array(*[F.struct(*[F.lit(d).alias(c) for c, d in zip("xyz", o, strict=True)]) for o in offsets])
     a = sized.withColumn("_o", F.explode(moves)).withColumns({f"j{c}": F.col(f"i{c}") + F.col(f"_o.{c}") for c in "xyz"}).alias("a")
@@ -90,7 +91,7 @@ def labelled_leaves(found: DataFrame, coarse: DataFrame, grids: DataFrame) -> Da
     """Void leaves with label: a component is accessible if one of its leaves lies in a border voxel or beside a coarse accessible voxel."""
     places = found.select("structure_id", "ix", "iy", "iz", F.col("root").alias("vid")).distinct()
     beside = shifted(places, SIX).join(coarse.where(F.col("label") == ACCESSIBLE).select("structure_id", "ix", "iy", "iz"), ["structure_id", "ix", "iy", "iz"], "left_semi").select("structure_id", F.col("vid").alias("root")).distinct().withColumn("_beside", F.lit(True))
-    own = found.join(F.broadcast(grids.select("structure_id", "gx", "gy", "gz")), "structure_id").join(beside, ["structure_id", "root"], "left")
+    own = found.join(small(grids.select("structure_id", "gx", "gy", "gz")), "structure_id").join(beside, ["structure_id", "root"], "left")
     hit = on_border() | F.coalesce("_beside", F.lit(False))
     by = own.groupBy("component").agg(F.bool_or(hit).alias("_hit"))
     return found.join(by, "component").withColumn("label", F.when(F.col("_hit"), ACCESSIBLE).otherwise(TRAPPED)).drop("_hit")
@@ -111,5 +112,5 @@ def percolation(coarse: DataFrame, nodes: DataFrame, grids: DataFrame) -> tuple[
 def leaf_volumes(nodes: DataFrame, grids: DataFrame) -> DataFrame:
     """structure_id, void, volume, leaves: total volume of leaves by class."""
     volume = F.col("dgx") * F.col("dgy") * F.col("dgz") / F.pow(F.lit(8.0), F.col("level"))
-    own = nodes.where("is_leaf").join(F.broadcast(grids.select("structure_id", "dgx", "dgy", "dgz")), "structure_id")
+    own = nodes.where("is_leaf").join(small(grids.select("structure_id", "dgx", "dgy", "dgz")), "structure_id")
     return own.groupBy("structure_id", "void").agg(F.sum(volume).alias("volume"), F.count(F.lit(1)).alias("leaves"))

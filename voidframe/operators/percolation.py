@@ -12,6 +12,7 @@ from pyspark.sql import Window
 
 from ..plans.components import connected_components
 from .distance import shifted
+from ..plans.session import small
 
 SOLID, TRAPPED, ACCESSIBLE = 0, 1, 2
 
@@ -35,7 +36,7 @@ def run_edges(found: DataFrame) -> DataFrame:
 
 def touch_bits(grids: DataFrame, found: DataFrame) -> DataFrame:
     """found with bits: which of the six faces a run touches."""
-    g = found.join(F.broadcast(grids.select("structure_id", "gx", "gy", "gz")), "structure_id")
+    g = found.join(small(grids.select("structure_id", "gx", "gy", "gz")), "structure_id")
     bit = lambda c, n: F.when(c, n).otherwise(0)
     faces = [F.col("ix") == 0, F.col("ix") == F.col("gx") - 1, F.col("iy") == 0, F.col("iy") == F.col("gy") - 1, F.col("z0") == 0, F.col("z1") == F.col("gz") - 1]
     bits: Column = bit(faces[0], 1)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.geometry import min_image, sphere_volume
-from ..plans.session import checkpointed
+from ..plans.session import checkpointed, small
 from .percolation import ACCESSIBLE, run_components
 
 CONTAINED, OVERLAP = "contained", "overlap"
@@ -34,7 +34,7 @@ def nodes_of(maxima: DataFrame) -> DataFrame:
 
 def _bucketed(nodes: DataFrame, grids: DataFrame, reach: DataFrame) -> tuple[DataFrame, DataFrame]:
     """nodes in buckets no shorter than their structure's reach, and nodes spread over neighbouring buckets."""
-    g = F.broadcast(grids.select("structure_id", "lx", "ly", "lz").join(reach, "structure_id"))
+    g = small(grids.select("structure_id", "lx", "ly", "lz").join(reach, "structure_id"))
     own = nodes.join(g, "structure_id")
     n = {c: F.greatest(F.floor(F.col(f"l{c}") / F.col("reach")).cast("int"), F.lit(1)) for c in "xyz"}
     own = own.withColumns({f"n{c}": n[c] for c in "xyz"})
@@ -57,7 +57,7 @@ def dominance(nodes: DataFrame, grids: DataFrame, mode: str, eps: Column | float
     scale = 1 if mode == CONTAINED else 2
     reach = nodes.groupBy("structure_id").agg(F.greatest(F.max("r") * scale, F.lit(1e-9)).alias("reach"))
     own, spread = _bucketed(nodes, grids, reach)
-    i = own.join(F.broadcast(extra), "structure_id").alias("i")
+    i = own.join(small(extra), "structure_id").alias("i")
     j = spread.alias("j")
     first = (F.col("i.r") > F.col("j.r")) | ((F.col("i.r") == F.col("j.r")) & (F.col("i.node_id") < F.col("j.node_id")))
     met = i.join(j, ["structure_id", "cx", "cy", "cz"]).where(first)
@@ -89,18 +89,25 @@ def pruned(nodes: DataFrame, grids: DataFrame, mode: str = OVERLAP, eps: Column
     return nodes if kept is None else nodes.join(kept, key("node_id"), "left_semi")
 
 
-def nearest_nodes(nodes: DataFrame, grids: DataFrame, k: int = 12) -> DataFrame:
-    """(structure_id, a, b, d, rank): each node's k nearest others, periodic, ties by node_id."""
-    g = F.broadcast(grids.select("structure_id", "lx", "ly", "lz"))
-    a, b = nodes.join(g, "structure_id").alias("a"), nodes.alias("b")
-    met = a.join(b, "structure_id").where("a.node_id <> b.node_id").select("structure_id", F.col("a.node_id").alias("a"), F.col("b.node_id").alias("b"), F.sqrt(_apart("a", "b")).alias("d"), F.col("a.r").alias("ra"), F.col("b.r").alias("rb"))
+def nearest_nodes(nodes: DataFrame, grids: DataFrame, k: int = 12, within: float | None = None) -> DataFrame:
+    """(structure_id, a, b, d, rank): each node's k nearest others, periodic, ties by node_id; with within, only those nearer than
+    so many times the structure's largest radius, which meet in buckets of that reach."""
+    if within is None:
+        g = grids.select("structure_id", "lx", "ly", "lz")
+        a, b, on = nodes.join(g, "structure_id").alias("a"), nodes.alias("b"), ["structure_id"]
+    else:
+        reach = nodes.groupBy("structure_id").agg(F.greatest(F.max("r") * within, F.lit(1e-9)).alias("reach"))
+        own, spread = _bucketed(nodes, grids, reach)
+        a, b, on = own.alias("a"), spread.alias("b"), ["structure_id", "cx", "cy", "cz"]
+    met = a.join(b, on).where("a.node_id <> b.node_id").select("structure_id", F.col("a.node_id").alias("a"), F.col("b.node_id").alias("b"), F.sqrt(_apart("a", "b")).alias("d"), F.col("a.r").alias("ra"), F.col("b.r").alias("rb"))
     rank = F.row_number().over(Window.partitionBy("structure_id", "a").orderBy("d", "b"))
     return met.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def centreline(nodes: DataFrame, grids: DataFrame, k: int = 12, alpha: float = 1.2, most: float | None = None) -> DataFrame:
-    """(structure_id, a, b): undirected edges between near nodes whose balls nearly touch."""
-    near = nearest_nodes(nodes, grids, k).where(F.col("d") <= alpha * (F.col("ra") + F.col("rb")))
+    """(structure_id, a, b): undirected edges between near nodes whose balls nearly touch. Longer ones than two largest balls allow are
+    never edges, so the k nearest are looked for within that reach."""
+    near = nearest_nodes(nodes, grids, k, 2 * alpha).where(F.col("d") <= alpha * (F.col("ra") + F.col("rb")))
     near = near if most is None else near.where(F.col("d") <= most)
     return near.select("structure_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -173,16 +180,20 @@ def _bisection(size: Column, spans: Column, steps: int = 40) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(steps)), start, step, lambda acc: acc["out"])
 
 
-def limiting_diameter(vox: DataFrame, grids: DataFrame, grid: float, probe: float = 0.0, compat: bool = True) -> DataFrame:
-    """(structure_id, pld): twice the largest radius whose voxels span the grid, over the distinct values of dmin. compat: the probe is
-    subtracted once more, and of the bisection over these values that stops where it has narrowed below half a grid step, the last middle
-    counts, spanning or not; else the largest spanning value does."""
-    d = vox.withColumn("_d", F.col("dmin") - (probe if compat else 0.0)).select("structure_id", "ix", "iy", "iz", "vid", "_d")
-    d = checkpointed(d.where("_d >= 0"))
+def spanning(vox: DataFrame, grids: DataFrame, less: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """(values, found): the distinct dmin - less that are not negative, numbered, and of each structure the greatest that spans, with its count and most."""
+    d = checkpointed(vox.select("structure_id", "ix", "iy", "iz", "vid", (F.col("dmin") - less).alias("_d")).where("_d >= 0"))
     order = Window.partitionBy("structure_id").orderBy("_d")
     values = checkpointed(d.select("structure_id", "_d").distinct().withColumn("k", (F.row_number().over(order) - 1).cast("int")))
     top = values.groupBy("structure_id").agg((F.max("k") + 1).alias("size"), F.max("_d").alias("most"))
-    found = checkpointed(spanning_levels(d, values, grids).join(top, "structure_id", "left"))
+    return values, checkpointed(spanning_levels(d, values, grids).join(top, "structure_id", "left"))
+
+
+def limiting_diameter(vox: DataFrame, grids: DataFrame, grid: float, probe: float = 0.0, compat: bool = True, known: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(structure_id, pld): twice the largest radius whose voxels span the grid, over the distinct values of dmin. compat: the probe is
+    subtracted once more, and of the bisection over these values that stops where it has narrowed below half a grid step, the last middle
+    counts, spanning or not; else the largest spanning value does. known: what `spanning` gives."""
+    values, found = known or spanning(vox, grids, probe if compat else 0.0)
     at = lambda c: values.select("structure_id", F.col("k").alias(c), F.col("_d").alias(f"_{c}"))
     chosen = found.where("spans >= 0 and most > 0").select("structure_id", F.col("spans").alias("best"))
     if compat:
@@ -202,7 +213,7 @@ def largest_ball(vox: DataFrame, nodes: DataFrame, grids: DataFrame) -> DataFram
     reach = nodes.groupBy("structure_id").agg(F.max("r").alias("rmax")).join(g, "structure_id").select("structure_id", (F.col("rmax") + F.col("eps")).alias("reach"))
     _, spread = _bucketed(nodes, grids, reach)
     own, _ = _bucketed(vox.select("structure_id", "vid", "x", "y", "z"), grids, reach)
-    v, n = own.join(F.broadcast(g.select("structure_id", "eps")), "structure_id").alias("v"), spread.alias("n")
+    v, n = own.join(small(g.select("structure_id", "eps")), "structure_id").alias("v"), spread.alias("n")
     limit = F.col("n.r") + F.col("v.eps")
     met = v.join(n, ["structure_id", "cx", "cy", "cz"]).where(_apart("v", "n") <= limit * limit)
     most = met.groupBy("structure_id", F.col("v.vid").alias("vid")).agg(F.max_by("n.r", F.struct("n.r", "n.node_id")).alias("ball"))

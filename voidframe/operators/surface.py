@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import min_image, sphere_area, wrap
 from .distance import SIX, in_cells, located
 from .percolation import ACCESSIBLE
+from ..plans.session import small
 
 SAMPLES = 1000
 
@@ -25,7 +26,7 @@ def directions(spark: SparkSession, samples: int = SAMPLES) -> DataFrame:
 def samples(atoms: DataFrame, grids: DataFrame, probe: float = 0.0, n: int = SAMPLES) -> DataFrame:
     """structure_id, atom_id, s, x, y, z (wrapped) of the points at radius + probe."""
     around = F.broadcast(directions(atoms.sparkSession, n))  # n rows
-    own = atoms.join(F.broadcast(grids.select("structure_id", "lx", "ly", "lz")), "structure_id").crossJoin(around)
+    own = atoms.join(small(grids.select("structure_id", "lx", "ly", "lz")), "structure_id").crossJoin(around)
     return own.select("structure_id", "atom_id", "s", *[wrap(F.col(c) + (F.col("radius") + probe) * F.col(f"u{c}"), F.col(f"l{c}")).alias(c) for c in "xyz"])
 
 
@@ -41,7 +42,7 @@ def atom_neighbours(atoms: DataFrame, celled: DataFrame, probe: float = 0.0) ->
 
 def covered(points: DataFrame, atoms: DataFrame, pairs: DataFrame, grids: DataFrame, probe: float = 0.0) -> DataFrame:
     """(structure_id, atom_id, s) of points strictly inside another atom's sphere."""
-    box = F.broadcast(grids.select("structure_id", "lx", "ly", "lz"))
+    box = small(grids.select("structure_id", "lx", "ly", "lz"))
     others = pairs.join(atoms.select("structure_id", F.col("atom_id").alias("other"), *[F.col(c).alias(f"o{c}") for c in "xyz"], F.col("radius").alias("_r")), ["structure_id", "other"])
     met = points.join(others, ["structure_id", "atom_id"]).join(box, "structure_id")
     gap = [min_image(F.col(c) - F.col(f"o{c}"), F.col(f"l{c}")) for c in "xyz"]
@@ -51,7 +52,7 @@ def covered(points: DataFrame, atoms: DataFrame, pairs: DataFrame, grids: DataFr
 
 def accessible_points(points: DataFrame, labels: DataFrame, grids: DataFrame) -> DataFrame:
     """(structure_id, atom_id, s) of points in or beside (periodic) an accessible voxel."""
-    g = F.broadcast(grids.select("structure_id", "gx", "gy", "gz", "dgx", "dgy", "dgz"))
+    g = small(grids.select("structure_id", "gx", "gy", "gz", "dgx", "dgy", "dgz"))
     # voxels that count are few next to points: the neighbourhood is spread on their side
     moves = F.array(*[F.struct(*[F.lit(d).alias(c) for c, d in zip("xyz", o, strict=True)]) for o in ((0, 0, 0), *SIX)])
     good = labels.where(F.col("label") == ACCESSIBLE).select("structure_id", "ix", "iy", "iz").join(g, "structure_id").withColumn("_o", F.explode(moves))

@@ -5,12 +5,26 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: What may be sent to every executor.
+BROADCAST_BYTES = 64 << 20
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint, if Spark's own estimate of its size (from the files behind it) is within BROADCAST_BYTES; else as it is, and adaptive
+    execution chooses the join by the size that it meets."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """df computed once, its lineage cut by files in the folder of spark.checkpoint.dir (a fresh one is set only where that is unset)."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        at = spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/spark-checkpoints-{uuid.uuid4().hex[:12]}"
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        at = at or f"/tmp/spark-checkpoints-{uuid.uuid4().hex[:12]}"
         spark.sparkContext.setCheckpointDir(at)
     return df.checkpoint(eager=True)

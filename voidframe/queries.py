@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .functions import elements, geometry
 from .operators import distance, fields, grid, octree, percolation, pores, stats, surface
 from .sources import sinks, structures
+from .plans.session import small
 
 GRID = 0.1
 #: Segment, element, radius in nm (half of sigma), mass, number.
@@ -29,7 +30,7 @@ def tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_nationkey").alias("structure_id"), "c_custkey", "c_mktsegment")
     edge = F.greatest(F.round(F.lit(0.25) * F.cbrt(F.count(F.lit(1)).cast("double")), 1), F.lit(0.5))
     s = c.groupBy("structure_id").agg(edge.alias("lx")).select("structure_id", "lx", F.col("lx").alias("ly"), F.col("lx").alias("lz"))
-    placed = c.join(F.broadcast(s), "structure_id")  # a row per nation
+    placed = c.join(small(s), "structure_id")  # a row per nation
     atoms = placed.select("structure_id", F.col("c_custkey").alias("atom_id"), F.expr(_case("c_mktsegment", 1)).alias("element"), *[((F.col("c_custkey") * p % 20011).cast("double") / 20011.0 * F.col("lx")).alias(a) for a, p in _PRIMES.items()], F.expr(_case("c_mktsegment", 2)).alias("radius"), F.expr(_case("c_mktsegment", 3)).alias("mass"), F.expr(_case("c_mktsegment", 4)).alias("z_number"))
     return atoms, grid.sized(s, GRID)
 
@@ -389,7 +390,8 @@ def g12(spark, sf_dir):
 
     _, grids, vox = _field(spark, sf_dir)
     vox = checkpointed(vox)
-    found = [pores.limiting_diameter(vox, grids, GRID, compat=compat).select("structure_id", F.round("pld", 6).alias(name)) for compat, name in ((True, "pld"), (False, "pld_exact"))]
+    known = pores.spanning(vox, grids)
+    found = [pores.limiting_diameter(vox, grids, GRID, compat=compat, known=known).select("structure_id", F.round("pld", 6).alias(name)) for compat, name in ((True, "pld"), (False, "pld_exact"))]
     return found[0].join(found[1], "structure_id")
 
 
