@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import linear_id
+from ..plans.session import spread
 
 
 def with_box(atoms: DataFrame, boxes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -32,6 +33,7 @@ def voxels(grids: DataFrame, partitions: int | None = None) -> DataFrame:
     structure is spread over the cluster."""
     keep = ["structure_id", "gy", "gz", "dgx", "dgy", "dgz"]
     slabs = grids.select(*keep, F.explode(F.sequence(F.lit(0), F.col("gx") - 1)).alias("ix"))
-    slabs = slabs.repartition(*([partitions] if partitions else []), "structure_id", "ix")
+    # a number that is given stands: tiny slabs would else be put together in one task
+    slabs = slabs.repartition(partitions or spread(grids), "structure_id", "ix")
     rows = slabs.select("*", F.explode(F.sequence(F.lit(0), F.col("gy") - 1)).alias("iy")).select("*", F.explode(F.sequence(F.lit(0), F.col("gz") - 1)).alias("iz"))
     return rows.select("structure_id", "ix", "iy", "iz", linear_id(F.col("ix"), F.col("iy"), F.col("iz"), F.col("gy"), F.col("gz")).alias("vid"), *[((F.col(f"i{c}") + 0.5) * F.col(f"dg{c}")).alias(c) for c in "xyz"])

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import faces_touch, min_image
+from ..functions.geometry import min_image
 from ..plans.components import connected_components
 from .distance import SIX, cells, neighbour_gaps, on_border, shifted
 from .percolation import ACCESSIBLE, TRAPPED
@@ -63,28 +63,41 @@ def forest(vox: DataFrame, atoms: DataFrame, grids: DataFrame, grid: float, prob
     return nodes.select("structure_id", "root", "ix", "iy", "iz", "path", "level", "x", "y", "z", "d", (F.col("d") > 0).alias("void"), "is_leaf")
 
 
-def leaf_edges(leaves: DataFrame, grids: DataFrame, tol: float = 1e-6) -> DataFrame:
-    """(a, b) as (structure_id, root, path) of void leaves that share part of a face, in one root or in neighbouring roots."""
-    sized = leaves.join(small(grids.select("structure_id", "dgx", "dgy", "dgz")), "structure_id").withColumns({f"h{c}": F.col(f"dg{c}") * 0.5 / F.pow(F.lit(2.0), F.col("level")) for c in "xyz"})
-    offsets = [(0, 0, 0), (1, 0, 0), (0, 1, 0), (0, 0, 1)]
-    moves = F.array(*[F.struct(*[F.lit(d).alias(c) for c, d in zip("xyz", o, strict=True)]) for o in offsets])
-    a = sized.withColumn("_o", F.explode(moves)).withColumns({f"j{c}": F.col(f"i{c}") + F.col(f"_o.{c}") for c in "xyz"}).alias("a")
-    b = sized.alias("b")
-    meets = F.col("a.structure_id") == F.col("b.structure_id")
-    for c in "xyz":
-        meets = meets & (F.col(f"a.j{c}") == F.col(f"b.i{c}"))
-    box = lambda s: [(F.col(f"{s}.{c}"), F.col(f"{s}.h{c}")) for c in "xyz"]
-    once = (F.col("a.root") != F.col("b.root")) | (F.col("a.path") < F.col("b.path"))
-    node = lambda s: F.struct(*[F.col(f"{s}.{c}").alias(c) for c in ("structure_id", "root", "path")])
-    return a.join(b, meets & once & faces_touch(box("a"), box("b"), tol)).select(node("a").alias("a"), node("b").alias("b"))
+#: Parts of a voxel's edge in which leaves are placed: deeper levels than this has bits are not told apart.
+PARTS = 1 << 16
 
 
-def leaf_components(nodes: DataFrame, grids: DataFrame, tol: float = 1e-6) -> DataFrame:
-    """Void leaves with component, a (structure_id, root, path)."""
-    leaves = nodes.where("is_leaf and void")
-    named = connected_components(leaf_edges(leaves, grids, tol), "a", "b")
-    own = F.struct("structure_id", "root", "path")
-    return leaves.withColumn("node", own).join(named, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("node")
+def leaf_edges(leaves: DataFrame, grids: DataFrame) -> DataFrame:
+    """(a, b) of the node numbers of leaves that share part of a face, in one root or in neighbouring roots. Leaves lie on a grid of
+    PARTS to a voxel, so upper faces meet lower faces by an equi-join on axis, plane and voxel column; only those of one plane and column
+    are compared."""
+    g = small(grids.select("structure_id", "dgx", "dgy", "dgz"))
+    own = leaves.join(g, "structure_id").withColumn("_n", (PARTS / F.pow(F.lit(2.0), F.col("level"))).cast("long"))
+    own = own.withColumns({f"_{c}": F.rint(F.col(c) / F.col(f"dg{c}") * PARTS - F.col("_n") / 2).cast("long") for c in "xyz"})
+
+    def faces(upper: bool) -> DataFrame:
+        each = []
+        for axis, (c, u, v) in enumerate((("x", "y", "z"), ("y", "x", "z"), ("z", "x", "y"))):
+            plane = F.col(f"_{c}") + F.col("_n") if upper else F.col(f"_{c}")
+            each.append(F.struct(F.lit(axis).alias("axis"), plane.alias("plane"), F.col(f"i{u}").alias("iu"), F.col(f"i{v}").alias("iv"), F.col(f"_{u}").alias("u"), F.col(f"_{v}").alias("v")))
+        return own.select("structure_id", "node", "_n", F.explode(F.array(*each)).alias("f")).select("structure_id", "node", "_n", "f.*")
+
+    a, b = faces(True).alias("a"), faces(False).alias("b")
+    meets = F.lit(True)
+    for k in ("structure_id", "axis", "plane", "iu", "iv"):
+        meets = meets & (F.col(f"a.{k}") == F.col(f"b.{k}"))
+    for k in "uv":
+        meets = meets & (F.col(f"a.{k}") < F.col(f"b.{k}") + F.col("b._n")) & (F.col(f"b.{k}") < F.col(f"a.{k}") + F.col("a._n"))
+    return a.join(b, meets).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+
+
+def leaf_components(nodes: DataFrame, grids: DataFrame) -> DataFrame:
+    """Void leaves with component, a number."""
+    from ..plans.session import checkpointed
+
+    leaves = checkpointed(nodes.where("is_leaf and void").withColumn("node", F.monotonically_increasing_id()))
+    named = connected_components(leaf_edges(leaves, grids), "a", "b")
+    return leaves.join(named, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("node")
 
 
 def labelled_leaves(found: DataFrame, coarse: DataFrame, grids: DataFrame) -> DataFrame:
@@ -111,6 +124,7 @@ def percolation(coarse: DataFrame, nodes: DataFrame, grids: DataFrame) -> tuple[
 
 def leaf_volumes(nodes: DataFrame, grids: DataFrame) -> DataFrame:
     """structure_id, void, volume, leaves: total volume of leaves by class."""
-    volume = F.col("dgx") * F.col("dgy") * F.col("dgz") / F.pow(F.lit(8.0), F.col("level"))
-    own = nodes.where("is_leaf").join(small(grids.select("structure_id", "dgx", "dgy", "dgz")), "structure_id")
-    return own.groupBy("structure_id", "void").agg(F.sum(volume).alias("volume"), F.count(F.lit(1)).alias("leaves"))
+    # shares of a voxel add up without rounding
+    own = nodes.where("is_leaf").groupBy("structure_id", "void").agg(F.sum(F.pow(F.lit(8.0), -F.col("level"))).alias("_voxels"), F.count(F.lit(1)).alias("leaves"))
+    volume = F.col("_voxels") * (F.col("dgx") * F.col("dgy") * F.col("dgz"))
+    return own.join(small(grids.select("structure_id", "dgx", "dgy", "dgz")), "structure_id").select("structure_id", "void", volume.alias("volume"), "leaves")

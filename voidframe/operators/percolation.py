@@ -12,7 +12,7 @@ from pyspark.sql import Window
 
 from ..plans.components import connected_components
 from .distance import shifted
-from ..plans.session import small
+from ..plans.session import checkpointed, small
 
 SOLID, TRAPPED, ACCESSIBLE = 0, 1, 2
 
@@ -25,13 +25,12 @@ def runs(void: DataFrame) -> DataFrame:
 
 
 def run_edges(found: DataFrame) -> DataFrame:
-    """Pairs of runs in neighbouring columns that overlap in z: nodes a, b as (structure_id, run)."""
-    node = lambda s: F.struct(F.col(f"{s}.structure_id").alias("structure_id"), F.col(f"{s}.run").alias("id"))
+    """Pairs a, b of the node numbers of runs in neighbouring columns that overlap in z."""
     b = found.alias("b")
     # both neighbours of a column in one join
     step = found.withColumn("_to", F.explode(F.array(F.struct((F.col("ix") + 1).alias("x"), F.col("iy").alias("y")), F.struct(F.col("ix").alias("x"), (F.col("iy") + 1).alias("y"))))).alias("a")
     meets = (F.col("a.structure_id") == F.col("b.structure_id")) & (F.col("a._to.x") == F.col("b.ix")) & (F.col("a._to.y") == F.col("b.iy"))
-    return step.join(b, meets & (F.col("a.z0") <= F.col("b.z1")) & (F.col("b.z0") <= F.col("a.z1"))).select(node("a").alias("a"), node("b").alias("b"))
+    return step.join(b, meets & (F.col("a.z0") <= F.col("b.z1")) & (F.col("b.z0") <= F.col("a.z1"))).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
 
 
 def touch_bits(grids: DataFrame, found: DataFrame) -> DataFrame:
@@ -55,11 +54,12 @@ def spans(bits: Column) -> Column:
 
 def run_components(void: DataFrame, grids: DataFrame) -> DataFrame:
     """Runs with component (the least vid of it) and label."""
-    found = touch_bits(grids, runs(void))
-    named = connected_components(run_edges(found), "a", "b").select(F.col("node.structure_id").alias("structure_id"), F.col("node.id").alias("run"), F.col("component.id").alias("component"))
-    own = found.join(named, ["structure_id", "run"], "left").withColumn("component", F.coalesce("component", "run"))
-    label = own.groupBy("structure_id", "component").agg(F.bit_or("bits").alias("bits")).select("structure_id", "component", F.when(spans(F.col("bits")), ACCESSIBLE).otherwise(TRAPPED).alias("label"))
-    return own.drop("bits").join(label, ["structure_id", "component"])
+    found = checkpointed(touch_bits(grids, runs(void)).withColumn("node", F.monotonically_increasing_id()))
+    named = connected_components(run_edges(found), "a", "b")
+    own = found.join(named, "node", "left").withColumn("_comp", F.coalesce("component", "node")).drop("component")
+    whole = own.groupBy("_comp").agg(F.bit_or("bits").alias("_bits"), F.min("run").alias("component"))
+    label = whole.select("_comp", "component", F.when(spans(F.col("_bits")), ACCESSIBLE).otherwise(TRAPPED).alias("label"))
+    return own.drop("bits", "node").join(label, "_comp").drop("_comp")
 
 
 def labelled(vox: DataFrame, grids: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import min_image, sphere_area, wrap
 from .distance import SIX, in_cells, located
 from .percolation import ACCESSIBLE
-from ..plans.session import small
+from ..plans.session import small, spread
 
 SAMPLES = 1000
 
@@ -23,11 +23,11 @@ def directions(spark: SparkSession, samples: int = SAMPLES) -> DataFrame:
     return spark.range(samples).select(F.col("id").cast("int").alias("s"), (r * F.cos(turn)).alias("ux"), (r * F.sin(turn)).alias("uy"), z.alias("uz"))
 
 
-def samples(atoms: DataFrame, grids: DataFrame, probe: float = 0.0, n: int = SAMPLES) -> DataFrame:
-    """structure_id, atom_id, s, x, y, z (wrapped) of the points at radius + probe."""
+def samples(atoms: DataFrame, grids: DataFrame, probe: float = 0.0, n: int = SAMPLES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """structure_id, atom_id, s, x, y, z (wrapped) of the points at radius + probe, and columns to keep."""
     around = F.broadcast(directions(atoms.sparkSession, n))  # n rows
     own = atoms.join(small(grids.select("structure_id", "lx", "ly", "lz")), "structure_id").crossJoin(around)
-    return own.select("structure_id", "atom_id", "s", *[wrap(F.col(c) + (F.col("radius") + probe) * F.col(f"u{c}"), F.col(f"l{c}")).alias(c) for c in "xyz"])
+    return own.select("structure_id", "atom_id", "s", *keep, *[wrap(F.col(c) + (F.col("radius") + probe) * F.col(f"u{c}"), F.col(f"l{c}")).alias(c) for c in "xyz"])
 
 
 def atom_neighbours(atoms: DataFrame, celled: DataFrame, probe: float = 0.0) -> DataFrame:
@@ -40,14 +40,23 @@ def atom_neighbours(atoms: DataFrame, celled: DataFrame, probe: float = 0.0) ->
     return a.join(b, ["structure_id", "cx", "cy", "cz"]).where((F.col("a.atom_id") != F.col("b.atom_id")) & (d2 < reach * reach)).select("structure_id", F.col("a.atom_id").alias("atom_id"), F.col("b.atom_id").alias("other")).distinct()
 
 
-def covered(points: DataFrame, atoms: DataFrame, pairs: DataFrame, grids: DataFrame, probe: float = 0.0) -> DataFrame:
-    """(structure_id, atom_id, s) of points strictly inside another atom's sphere."""
-    box = small(grids.select("structure_id", "lx", "ly", "lz"))
-    others = pairs.join(atoms.select("structure_id", F.col("atom_id").alias("other"), *[F.col(c).alias(f"o{c}") for c in "xyz"], F.col("radius").alias("_r")), ["structure_id", "other"])
-    met = points.join(others, ["structure_id", "atom_id"]).join(box, "structure_id")
-    gap = [min_image(F.col(c) - F.col(f"o{c}"), F.col(f"l{c}")) for c in "xyz"]
-    reach = F.col("_r") + probe
-    return met.where(gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2] < reach * reach).select("structure_id", "atom_id", "s").distinct()
+def open_points(atoms: DataFrame, grids: DataFrame, probe: float = 0.0, n: int = SAMPLES) -> DataFrame:
+    """The samples that lie in no other atom's sphere. Each atom's row carries the spheres that meet its own (as many as fit around
+    it), so its points meet these and are judged where they are made: no point is shuffled."""
+    from .distance import cells
+
+    celled = cells(grids, atoms.withColumn("radius", 2 * (F.col("radius") + probe)), 0.0)
+    pairs = atom_neighbours(atoms, celled, probe)
+    others = pairs.join(atoms.select("structure_id", F.col("atom_id").alias("other"), "x", "y", "z", (F.col("radius") + probe).alias("r")), ["structure_id", "other"])
+    around = others.groupBy("structure_id", "atom_id").agg(F.collect_list(F.struct("x", "y", "z", "r")).alias("_around"))
+    own = atoms.join(around, ["structure_id", "atom_id"], "left").repartition(spread(atoms), "structure_id", "atom_id")
+    points = samples(own, grids, probe, n, ("lx", "ly", "lz", "_around"))
+
+    met = points.withColumn("_o", F.explode_outer("_around"))
+    gap = [min_image(F.col(c) - F.col(f"_o.{c}"), F.col(f"l{c}")) for c in "xyz"]
+    hidden = F.coalesce(gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2] < F.col("_o.r") * F.col("_o.r"), F.lit(False))
+    judged = met.groupBy("structure_id", "atom_id", "s", "x", "y", "z").agg(F.bool_or(hidden).alias("_hidden"))
+    return judged.where(~F.col("_hidden")).drop("_hidden")
 
 
 def accessible_points(points: DataFrame, labels: DataFrame, grids: DataFrame) -> DataFrame:
@@ -63,12 +72,7 @@ def accessible_points(points: DataFrame, labels: DataFrame, grids: DataFrame) ->
 
 def areas(atoms: DataFrame, labels: DataFrame, grids: DataFrame, probe: float = 0.0, n: int = SAMPLES) -> DataFrame:
     """structure_id, s_acc, s_total in nm2: each atom's sphere times its share of points that count."""
-    from .distance import cells
-
-    celled = cells(grids, atoms.withColumn("radius", 2 * (F.col("radius") + probe)), 0.0)
-    points = samples(atoms, grids, probe, n)
-    hidden = covered(points, atoms, atom_neighbours(atoms, celled, probe), grids, probe)
-    open_ = points.join(hidden, ["structure_id", "atom_id", "s"], "left_anti")
+    open_ = open_points(atoms, grids, probe, n)
     total = open_.groupBy("structure_id", "atom_id").agg(F.count(F.lit(1)).alias("n_total"))
     acc = accessible_points(open_, labels, grids).groupBy("structure_id", "atom_id").agg(F.count(F.lit(1)).alias("n_acc"))
     own = atoms.join(total, ["structure_id", "atom_id"], "left").join(acc, ["structure_id", "atom_id"], "left")

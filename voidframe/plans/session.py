@@ -28,3 +28,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
         at = at or f"/tmp/spark-checkpoints-{uuid.uuid4().hex[:12]}"
         spark.sparkContext.setCheckpointDir(at)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> int:
+    """How many parts few rows that are about to become many are dealt to."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -197,7 +197,10 @@ def g1(spark, sf_dir):
     return _labels(spark, sf_dir)[2].select("structure_id", "vid", "label")
 
 
-@query("g8_components_26")
+@query("g8_components_26", f"""with recursive {_sql_field()}, w as (select structure_id, vid, ix, iy, iz from d where void),
+near as (select p.structure_id, p.vid as a, q.vid as b from w p join w q on q.structure_id = p.structure_id and q.vid <> p.vid and abs(q.ix - p.ix) <= 1 and abs(q.iy - p.iy) <= 1 and abs(q.iz - p.iz) <= 1),
+reach as (select structure_id, vid as src, vid from w union select r.structure_id, r.src, n.b from reach r join near n on n.structure_id = r.structure_id and n.a = r.vid and n.b > r.src)
+select structure_id, vid, min(src) as component from reach group by 1, 2""")
 def g8(spark, sf_dir):
     return percolation.voxel_components(_field(spark, sf_dir)[2], 26)
 
@@ -228,58 +231,83 @@ def a13(spark, sf_dir):
 
 
 _EVAL = "coalesce(list_min(list_transform(cand, lambda c: sqrt({}) - c.radius)), 1e9)".format(" + ".join(f"pow({{{c}}} - c.{c} - round_even(({{{c}}} - c.{c}) / l, 0) * l, 2)" for c in "xyz"))
-_SQL_TREE = f"""{_TOP},
+_LEVELS = 4
+
+
+def _sql_tree() -> str:
+    """Nodes of all levels; a level's are born from those above that are split."""
+    own = "structure_id, root, l, dg, ix, iy, iz, path, level, x, y, z, cand"
+    parts = [f"""{_TOP},
 k as (select c.structure_id, c.vid, list({{'radius': a.radius, 'x': a.x, 'y': a.y, 'z': a.z}} order by rank) as cand from c join a using (structure_id, atom_id) where rank < 3 group by 1, 2),
-t0 as (select d.structure_id, d.vid as root, d.l, d.dg, d.ix, d.iy, d.iz, 1::bigint as path, 0 as level, x, y, z, cand, {_EVAL.format(x="x", y="y", z="z")} as dist from d left join k using (structure_id, vid) where boundary),
-t1 as (select *, abs(dist) <= 0.5 * dg * 1.4142136::double + 1e-6::double as split from t0),
-c1 as (select structure_id, root, l, dg, ix, iy, iz, path * 8 + o as path, 1 as level, x + (case when o & 1 > 0 then 1 else -1 end) * dg * 0.25 as x, y + (case when o & 2 > 0 then 1 else -1 end) * dg * 0.25 as y, z + (case when o & 4 > 0 then 1 else -1 end) * dg * 0.25 as z, cand from t1, range(8) r(o) where split),
-t2 as (select *, {_EVAL.format(x="x", y="y", z="z")} as dist from c1),
-t3 as (select *, abs(dist) <= 0.25 * dg * 1.4142136::double + 1e-6::double as split from t2),
-c2 as (select structure_id, root, l, dg, ix, iy, iz, path * 8 + o as path, 2 as level, x + (case when o & 1 > 0 then 1 else -1 end) * dg * 0.125 as x, y + (case when o & 2 > 0 then 1 else -1 end) * dg * 0.125 as y, z + (case when o & 4 > 0 then 1 else -1 end) * dg * 0.125 as z, cand from t3, range(8) r(o) where split),
-t4 as (select *, {_EVAL.format(x="x", y="y", z="z")} as dist, false as split from c2),
-tree as (select structure_id, root, path, level, dist, split, dg from t1 union all select structure_id, root, path, level, dist, split, dg from t3 union all select structure_id, root, path, level, dist, split, dg from t4)"""
+c0_ as (select d.structure_id, d.vid as root, d.l, d.dg, d.ix, d.iy, d.iz, 1::bigint as path, 0 as level, x, y, z, cand from d left join k using (structure_id, vid) where boundary)"""]
+    for level in range(_LEVELS):
+        half = 0.5 / 2**level
+        split = f"abs(dist) <= {half} * dg * 1.4142136::double + 1e-6::double" if level + 1 < _LEVELS else "false"
+        parts.append(f"t{level} as (select *, {split} as split from (select {own}, {_EVAL.format(x='x', y='y', z='z')} as dist from c{level}_))")
+        if level + 1 < _LEVELS:
+            born = ", ".join(f"{c} + (case when o & {1 << b} > 0 then 1 else -1 end) * dg * {half / 2} as {c}" for b, c in enumerate("xyz"))
+            parts.append(f"c{level + 1}_ as (select structure_id, root, l, dg, ix, iy, iz, path * 8 + o as path, {level + 1} as level, {born}, cand from t{level}, range(8) r(o) where split)")
+    parts.append("tree as (" + " union all ".join(f"select structure_id, root, ix, iy, iz, path, level, x, y, z, dist, split, dg from t{level}" for level in range(_LEVELS)) + ")")
+    return ",\n".join(parts)
+
+
+_SQL_TREE = _sql_tree()
 
 
 @query("h1_octree", f"with {_SQL_TREE} select structure_id, level, count(*) as nodes, count_if(not split)::bigint as leaves, count_if(dist > 0 and not split)::bigint as void_leaves from tree group by 1, 2")
 def h1(spark, sf_dir):
     atoms, grids, vox = _field(spark, sf_dir)
-    nodes = octree.forest(vox, atoms, grids, GRID, max_level=3)
+    nodes = octree.forest(vox, atoms, grids, GRID)
     return nodes.groupBy("structure_id", "level").agg(F.count(F.lit(1)).alias("nodes"), F.count_if("is_leaf").alias("leaves"), F.count_if(F.col("void") & F.col("is_leaf")).alias("void_leaves"))
 
 
-@query("a8_leaf_volumes", f"with {_SQL_TREE} select structure_id, dist > 0 as void, round(sum(dg * dg * dg / pow(8.0::double, level)), 9) as volume, count(*) as leaves from tree where not split group by 1, 2")
+@query("a8_leaf_volumes", f"with {_SQL_TREE} select structure_id, dist > 0 as void, round(sum(pow(8.0::double, -level)) * any_value(dg * dg * dg), 12) as volume, count(*) as leaves from tree where not split group by 1, 2")
 def a8(spark, sf_dir):
     atoms, grids, vox = _field(spark, sf_dir)
-    found = octree.leaf_volumes(octree.forest(vox, atoms, grids, GRID, max_level=3), grids)
-    return found.select("structure_id", "void", F.round("volume", 9).alias("volume"), "leaves")
-
-
-@query("g5_octree_percolation")
+    found = octree.leaf_volumes(octree.forest(vox, atoms, grids, GRID), grids)
+    return found.select("structure_id", "void", F.round("volume", 12).alias("volume"), "leaves")
+
+
+_SQL_LEAVES = f"""{_SQL_TREE}, {_sql_flood()},
+leaf as (select row_number() over () as id, structure_id, root, ix, iy, iz, level, dg, (65536 / pow(2, level))::bigint as s, round_even(x / dg * 65536 - 32768 / pow(2, level), 0)::bigint as x0, round_even(y / dg * 65536 - 32768 / pow(2, level), 0)::bigint as y0, round_even(z / dg * 65536 - 32768 / pow(2, level), 0)::bigint as z0 from tree where not split and dist > 0),
+touch as ({" union all ".join(f"select a.id as a, b.id as b from leaf a join leaf b on a.structure_id = b.structure_id and a.{c}0 + a.s = b.{c}0 and a.i{u} = b.i{u} and a.i{v} = b.i{v} and a.{u}0 < b.{u}0 + b.s and b.{u}0 < a.{u}0 + a.s and a.{v}0 < b.{v}0 + b.s and b.{v}0 < a.{v}0 + a.s" for c, u, v in ("xyz", "yxz", "zxy"))}),
+ways as (select a, b from touch union all select b, a from touch),
+seed as (select leaf.id from leaf join g using (structure_id) where ix in (0, n - 1) or iy in (0, n - 1) or iz in (0, n - 1)
+  union select f.id from leaf f, (values {_SIX}) o(a, b, c), lab where lab.label = 2 and lab.structure_id = f.structure_id and lab.ix = f.ix + o.a and lab.iy = f.iy + o.b and lab.iz = f.iz + o.c),
+reach as (select id from seed union select w.b from reach join ways w on w.a = reach.id),
+named as (select leaf.*, case when reach.id is not null then 2 else 1 end as label from leaf left join reach using (id)),
+most as (select structure_id, root, max(label) as label from named group by 1, 2),
+fin as (select lab.structure_id, lab.dg, lab.void, lab.boundary, greatest(lab.label, coalesce(most.label, 0)) as label from lab left join most on most.structure_id = lab.structure_id and most.root = lab.vid),
+fine as (select structure_id, sum(pow(8.0::double, -level)) as f_void, sum(case when label = 2 then pow(8.0::double, -level) else 0 end) as f_acc, sum(case when label = 1 then pow(8.0::double, -level) else 0 end) as f_trap from named group by 1),
+size as (select structure_id, count(*) as nodes, count_if(not split)::bigint as leaves from tree group by 1)"""
+
+
+@query("g5_octree_percolation", f"""with recursive {_SQL_LEAVES} select f.structure_id, any_value(coalesce(nodes, 0)) as nodes, any_value(coalesce(leaves, 0)) as leaves, count_if(label = 2)::bigint as n_acc, count_if(label = 1)::bigint as n_trap,
+{", ".join(f"round((count_if({w} and not boundary) + any_value(coalesce(f_{k}, 0))) * any_value(dg * dg * dg), 12) as v_{k}" for k, w in (("void", "void"), ("acc", "label = 2"), ("trap", "label = 1")))}
+from fin f left join fine using (structure_id) left join size using (structure_id) group by 1""")
 def g5(spark, sf_dir):
     from .plans.session import checkpointed
 
     atoms, grids, labels = _labels(spark, sf_dir)
-    nodes = checkpointed(octree.forest(labels, atoms, grids, GRID, max_level=3))
+    nodes = checkpointed(octree.forest(labels, atoms, grids, GRID))
     final, leaves = octree.percolation(labels, nodes, grids)
     found = stats.volumes(checkpointed(final), grids, checkpointed(leaves), nodes)
-    return found.select("structure_id", "nodes", "leaves", "n_acc", "n_trap", *[F.round(f"v_{k}", 9).alias(f"v_{k}") for k in ("void", "acc", "trap")])
+    return found.select("structure_id", "nodes", "leaves", "n_acc", "n_trap", *[F.round(f"v_{k}", 12).alias(f"v_{k}") for k in ("void", "acc", "trap")])
 
 
-_N = 60
+_N = surface.SAMPLES
 _SQL_POINTS = f"""u as (select i as s, sqrt(greatest(0.0::double, 1 - zz * zz)) * cos(t) as ux, sqrt(greatest(0.0::double, 1 - zz * zz)) * sin(t) as uy, zz as uz from (select i, 1 - 2 * (i + 0.5::double) / {_N} as zz, pi() * (3 - sqrt(5.0::double)) * (i + 0.5::double) as t from range({_N}) r(i))),
 q0 as (select a.structure_id, a.atom_id, a.radius, u.s, l, {", ".join(f"a.{c} + a.radius * u{c} as {c}" for c in "xyz")} from a join g using (structure_id), u),
 q as (select structure_id, atom_id, radius, s, l, {", ".join(f"{c} - floor({c} / l) * l as {c}" for c in "xyz")} from q0),
 hid as (select distinct q.structure_id, q.atom_id, q.s from q join a on a.structure_id = q.structure_id and a.atom_id <> q.atom_id where pow({_sql_gap("q", "a", "q.l")}, 2) < a.radius * a.radius)"""
 
 
-@query("j12_open_surface", f"with {_SQL_BASE}, {_SQL_POINTS} select structure_id, count(*) as open_points, round(sum(4 * pi() * radius * radius / {_N}), 6) as s_total from q anti join hid using (structure_id, atom_id, s) group by 1")
+@query("j12_open_surface", f"with {_SQL_BASE}, {_SQL_POINTS} select structure_id, sum(n)::bigint as open_points, round(sum(4 * pi() * radius * radius * n / {_N}), 6) as s_total from (select structure_id, atom_id, any_value(radius) as radius, count(*) as n from q anti join hid using (structure_id, atom_id, s) group by 1, 2) group by 1")
 def j12(spark, sf_dir):
     atoms, grids = tables(spark, sf_dir)
-    celled = distance.cells(grids, atoms.withColumn("radius", 2 * F.col("radius")), 0.0)
-    points = surface.samples(atoms, grids, 0.0, _N)
-    open_ = points.join(surface.covered(points, atoms, surface.atom_neighbours(atoms, celled), grids), ["structure_id", "atom_id", "s"], "left_anti")
+    open_ = surface.open_points(atoms, grids).groupBy("structure_id", "atom_id").agg(F.count(F.lit(1)).alias("n"))
     own = open_.join(atoms.select("structure_id", "atom_id", "radius"), ["structure_id", "atom_id"])
-    return own.groupBy("structure_id").agg(F.count(F.lit(1)).alias("open_points"), F.round(F.sum(geometry.sphere_area(F.col("radius")) / _N), 6).alias("s_total"))
+    return own.groupBy("structure_id").agg(F.sum("n").alias("open_points"), F.round(F.sum(geometry.sphere_area(F.col("radius")) * F.col("n") / _N), 6).alias("s_total"))
 
 
 @query("a14_accessible_surface", f"""with recursive {_sql_field()}, {_sql_flood()}, {_SQL_POINTS},
@@ -288,7 +316,7 @@ hit as (select distinct p.structure_id, p.atom_id, p.s, p.radius from open_ p, (
 select g.structure_id, round(coalesce(sum(4 * pi() * radius * radius / {_N}), 0), 6) as s_acc from g left join hit using (structure_id) group by 1""")
 def a14(spark, sf_dir):
     atoms, grids, labels = _labels(spark, sf_dir)
-    return surface.areas(atoms, labels, grids, 0.0, _N).select("structure_id", F.round("s_acc", 6).alias("s_acc"))
+    return surface.areas(atoms, labels, grids).select("structure_id", F.round("s_acc", 6).alias("s_acc"))
 
 
 _SQL_MAXIMA = f"""{_sql_field()}, {_sql_flood()},
@@ -314,7 +342,12 @@ def j13(spark, sf_dir):
     return pores.dominance(nodes, grids, pores.OVERLAP, 1e-6)
 
 
-@query("g9_pruned_balls")
+@query("g9_pruned_balls", f"""with recursive {_SQL_MAXIMA}, o as (select *, row_number() over (partition by structure_id order by r desc, vid) as k from m),
+walk as (select structure_id, k, [{{'x': x, 'y': y, 'z': z, 'r': r, 'vid': vid}}] as kept from o where k = 1
+  union all select o.structure_id, o.k, case when len(list_filter(w.kept, lambda b: b.r + o.r - 1e-6::double > 0 and {" + ".join(f"pow(b.{c} - o.{c} - round_even((b.{c} - o.{c}) / o.l, 0) * o.l, 2)" for c in "xyz")} < pow(b.r + o.r - 1e-6::double, 2))) > 0 then w.kept else list_append(w.kept, {{'x': o.x, 'y': o.y, 'z': o.z, 'r': o.r, 'vid': o.vid}}) end as kept
+    from walk w join o on o.structure_id = w.structure_id and o.k = w.k + 1),
+ends as (select structure_id, arg_max(kept, k) as kept from walk group by 1)
+select structure_id, b.vid as node_id, round(b.r, 6) as r from ends, unnest(kept) u(b)""")
 def g9(spark, sf_dir):
     grids, nodes = _nodes(spark, sf_dir)
     return pores.pruned(nodes, grids, pores.OVERLAP, 1e-6).select("structure_id", "node_id", F.round("r", 6).alias("r"))
