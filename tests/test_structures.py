@@ -47,6 +47,12 @@ def test_formats(spark, tmp_path):
     assert sorted(atoms) == [("O", 0.0, 0.0, 0.0), ("O", 0.0, 0.5, 0.0), ("Zn", 0.25, 0.1, 0.5), ("Zn", 0.75, 0.6, 0.5)] and box == [1, 1, 1]
 
 
+def test_operators_that_permute_axes(spark, tmp_path):
+    text = CIF.replace("x,y,z\n'-x,1/2+y,-z'", "x,y,z\n'z,x,y'\n'y+1/2,z,x'\n'-x,-y,-z'").replace("O1 O 0.0 0.0(1) 0.0\n", "").replace("0.25 0.1 0.5", "0.1 0.2 0.3")
+    atoms, _ = rows(spark, tmp_path, "p.cif", text)
+    assert sorted(atoms) == [("Zn", 0.1, 0.2, 0.3), ("Zn", 0.3, 0.1, 0.2), ("Zn", 0.7, 0.3, 0.1), ("Zn", 0.9, 0.8, 0.7)]
+
+
 def test_unknown_format_and_skewed_cell(spark, tmp_path):
     with pytest.raises(Exception, match="Unsupported file format"):
         rows(spark, tmp_path, "a.mol", GRO)

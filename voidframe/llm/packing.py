@@ -33,7 +33,7 @@ CAPACITY, PIECE, END_ID = 2048, 512, 1
 #: What is not among the characters on which the quick split agrees with the tokenizer's own: ASCII without its odd separators, Latin-1 letters and some marks.
 _ODD = "[^\\x00-\\x1b\\x20-\\x7eÀ-ÖØ-öø-ÿŒœ–—‘’“”…]|<\\|"
 _SPLIT = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
-_KEPT_WORDS = 200_000
+_KEPT_WORDS = 120_000
 _loaded: dict[str, _Quick] = {}
 
 
@@ -135,7 +135,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, piece: int = PI
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
-            for part in portions(batch, 1):
+            for part in portions(batch, 1, 4 << 20):
                 rows = []
                 for doc_id, ids in zip(part.column(0).to_pylist(), encode(part.column(1), path), strict=True):
                     ids += end

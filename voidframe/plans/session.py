@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame
@@ -14,7 +15,8 @@ BROADCAST_BYTES = 64 << 20
 def small(df: DataFrame) -> DataFrame:
     """df with a broadcast hint, if Spark's own estimate of its size (from the files behind it) is within BROADCAST_BYTES; else as it is, and adaptive
     execution chooses the join by the size that it meets."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    said = re.match(r"sizeInBytes=([0-9.]+) (B|KiB|MiB)\b", df._jdf.queryExecution().optimizedPlan().stats().simpleString())
+    size = float(said[1]) * {"B": 1, "KiB": 1 << 10, "MiB": 1 << 20}[said[2]] if said else float("inf")  # larger units are not small
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 

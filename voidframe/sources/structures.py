@@ -74,7 +74,8 @@ def read_pdb(found: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _applied(op: Column) -> Column:
-    """One coordinate of a symmetry operator such as 1/2-x, at the fractional position fx, fy, fz."""
+    """One coordinate of a symmetry operator such as 1/2-x, at the fractional position sx, sy, sz (names that no result has: inside a
+    lambda, Spark takes a result of the same select before an input column)."""
     parts = F.regexp_extract_all(F.lower(F.regexp_replace(op, r"\s+", "")), F.lit(r"[+-]?[^+-]+"), F.lit(0))
 
     def value(t: Column) -> Column:
@@ -84,7 +85,7 @@ def _applied(op: Column) -> Column:
         factor = F.regexp_extract(body, r"^([0-9.]+)", 1)
         over = F.regexp_extract(body, r"/([0-9.]+)", 1)
         number = F.when(factor == "", 1.0).otherwise(factor.try_cast("double")) / F.when(over == "", 1.0).otherwise(over.try_cast("double"))
-        return sign * number * F.when(axis == "x", F.col("fx")).when(axis == "y", F.col("fy")).when(axis == "z", F.col("fz")).otherwise(1.0)
+        return sign * number * F.when(axis == "x", F.col("sx")).when(axis == "y", F.col("sy")).when(axis == "z", F.col("sz")).otherwise(1.0)
 
     return F.aggregate(F.transform(parts, value), F.lit(0.0), lambda a, b: a + b)
 
@@ -112,7 +113,7 @@ def read_cif(found: DataFrame, tolerance: float = 1e-3) -> tuple[DataFrame, Data
     at = lambda name: F.get(F.col("c"), (F.array_position("tags", name) - 1).cast("int"))
     number = lambda name: F.regexp_replace(at(name), r"\(.*\)", "").cast("double")
     named = F.coalesce(F.when(F.array_position("tags", "_atom_site_type_symbol") > 0, at("_atom_site_type_symbol")), at("_atom_site_label"))
-    sites = sites.select("structure_id", "site", F.regexp_extract(named, r"^([A-Z][a-z]?)", 1).alias("element"), *[number(f"_atom_site_fract_{x}").alias(f"f{x}") for x in "xyz"])
+    sites = sites.select("structure_id", "site", F.regexp_extract(named, r"^([A-Z][a-z]?)", 1).alias("element"), *[number(f"_atom_site_fract_{x}").alias(f"s{x}") for x in "xyz"])
     spread = sites.join(ops, "structure_id").withColumn("p", F.split("op", ","))
     pos = spread.select("structure_id", "site", "element", *[F.pmod(_applied(F.col("p")[i]), F.lit(1.0)).alias(f"f{x}") for i, x in enumerate("xyz")])
     # A copy goes if an earlier one lies within the tolerance: copies meet in buckets of the cell and the buckets around.
