@@ -18,7 +18,9 @@ def gro(path, atoms, box):
 
 
 def test_single_atom(spark, tmp_path):
-    found = analyse(spark, gro(tmp_path / "one.gro", [(0.2, 0.2, 0.2)], (0.4, 0.4, 0.4)), grid=0.05, probe=0.01, pore=True, stats=True, no_octree=True)
+    (tmp_path / "own.atoms").write_text("# symbol Z mass sigma epsilon\nH 1 1.0 0.2571 0\n")
+    path = gro(tmp_path / "one.gro", [(0.2, 0.2, 0.2)], (0.4, 0.4, 0.4))
+    found = analyse(spark, path, grid=0.05, probe=0.01, atoms=str(tmp_path / "own.atoms"), pore=True, stats=True, no_octree=True)
     s = found.stats.first()
     assert (s.n_void, s.n_acc, s.n_trap, s.n_boundary) == (424, 424, 0, 128)
     assert abs(s.lcd_global / 2 - 0.164559) < 1e-6 and abs(s.density - 0.025946) < 1e-6 and s.pld > 0
