@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, dedup, fingerprint, html_text, language, packing, pii, quality, secrets, sharding
+from . import chat, decontaminate, dedup, fingerprint, html_text, language, packing, pii, quality, secrets, sharding
 from .common import documents
 
 QUERIES = {
@@ -16,10 +16,10 @@ QUERIES = {
     "op8_dedup": lambda spark, sf_dir: dedup.digest(documents(spark, sf_dir)),
     "op9_quality": lambda spark, sf_dir: quality.digest(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")),
     "op10_decontaminate": lambda spark, sf_dir: decontaminate.digest(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")),
+    "op11_chat": lambda spark, sf_dir: chat.digest(spark.read.parquet(f"{sf_dir}/conversations.parquet")),
 }
 
 
-
 def _pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -28,4 +28,4 @@ def _pipeline(spark, sf_dir):
 
 QUERIES["pipeline"] = _pipeline
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_chat": chat.SQL}
