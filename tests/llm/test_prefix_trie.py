@@ -68,7 +68,7 @@ def test_trie_against_brute_force(spark, table, shard, band):
 
 
 def test_sql(spark, table):
-    conversations = table.select("conv_id", "turn", "role", "text").toPandas()
+    conversations = table.select("conv_id", "turn", "role", "text").toArrow()
     db = duckdb.connect()
     db.register("conversations", conversations)
     got = db.execute(f"select {', '.join(COLS)} from ({prefix_trie.SQL})").fetchall()
