@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ..plans.order import in_parts, ranked, running
 from .common import written
 
-SHARD, BAND = 2048, 128
+SHARD, BAND = 512, 128
 
 _LOCAL = "depth long, ka long, kb long, pa long, pb long, chars long, n long, conv_id long, shard long, ends string"
 _NODE = "depth long, ka long, kb long, pa long, pb long, chars long, n long, conv_id long, ends_sha256 string"
