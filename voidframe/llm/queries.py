@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, dedup, fingerprint, html_text, language, packing, pii, prefix_trie, quality, secrets, sharding
+from . import chat, decontaminate, dedup, fingerprint, html_text, language, packing, pii, prefix_trie, quality, ranked_search, secrets, sharding
 from .common import documents
 
 QUERIES = {
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_quality": lambda spark, sf_dir: quality.digest(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")),
     "op10_decontaminate": lambda spark, sf_dir: decontaminate.digest(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")),
     "op11_chat": lambda spark, sf_dir: chat.digest(spark.read.parquet(f"{sf_dir}/conversations.parquet")),
+    "op12_search": lambda spark, sf_dir: ranked_search.digest(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")),
     "op13_prefix_trie": lambda spark, sf_dir: prefix_trie.digest(spark.read.parquet(f"{sf_dir}/conversations.parquet")),
 }
 
@@ -29,4 +30,4 @@ def _pipeline(spark, sf_dir):
 
 QUERIES["pipeline"] = _pipeline
 
-ORACLE_SQL: dict[str, str] = {"op11_chat": chat.SQL, "op13_prefix_trie": prefix_trie.SQL}
+ORACLE_SQL: dict[str, str] = {"op11_chat": chat.SQL, "op12_search": ranked_search.SQL, "op13_prefix_trie": prefix_trie.SQL}
