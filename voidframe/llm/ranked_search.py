@@ -47,7 +47,7 @@ _LOWER[0x41:0x5B] += 32
 _TABLE = np.random.Generator(np.random.PCG64(12)).integers(0, 1 << 64, (64, 256), dtype=np.uint64)
 _TABLE = _TABLE[:, _LOWER].ravel()  # letters of either case have one value
 _ODD, _MIX, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0xD6E8FEB86659FD93)
-_STRETCH = 1 << 21
+_STRETCH = 1 << 18
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -141,7 +141,7 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 bits = min(MOST_BITS, max(8, int(BITS * entries[i] * 2 // 3).bit_length()))
                 docs = held.setdefault(bits, [])
                 docs.append((ids[i], n[i], term[cut[i] : cut[i + 1]].copy(), count[cut[i] : cut[i + 1]].copy()))
-                if len(docs) >= min(ROWS, max(8, (1 << 23) >> bits)):
+                if len(docs) >= min(ROWS, max(8, (1 << 22) >> bits)):
                     yield _arrow([_block(bits, held.pop(bits))])
     for bits, docs in held.items():
         yield _arrow([_block(bits, docs)])
