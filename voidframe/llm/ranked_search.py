@@ -2,7 +2,7 @@
 
 `build` cuts documents into blocks of up to ROWS rows of like size. A document's signature has a bit for each hash of (term, level): level j says that
 the term occurs at least LEVELS[j] times. The block keeps the signatures bit-sliced, a bitmap over its rows for each bit, and beside them the counted
-terms of its documents for exact scores. BITS bits an entry keep false entries near one in a thousand, for short and long documents alike; above 2^20
+terms of its documents for exact scores. BITS bits an entry keep false entries near one in two hundred, for short and long documents alike; above 2^20
 bits a signature only gets fuller, which loosens a bound and loses nothing.
 
 `search` takes items in groups of bounded size. The slices of a term's hashes, cut with each other, overestimate the rows that hold it; summed with the
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import portions, written
 
-ROWS, BITS, HASHES, MOST_BITS = 512, 24, 4, 20
+ROWS, BITS, HASHES, MOST_BITS = 256, 16, 4, 20
 #: Fixed values of the contract.
 TOP, SCALE = 50, 1_000_000_000
 LEVELS = np.array([1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 64, 128, 512, 2048, 1 << 40], dtype=np.int64)
@@ -140,7 +140,7 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in np.flatnonzero(n):
                 bits = min(MOST_BITS, max(8, int(BITS * entries[i] * 2 // 3).bit_length()))
                 docs = held.setdefault(bits, [])
-                docs.append((ids[i], n[i], term[cut[i] : cut[i + 1]].copy(), count[cut[i] : cut[i + 1]].copy()))
+                docs.append((ids[i], n[i], term[cut[i] : cut[i + 1]].copy(), count[cut[i] : cut[i + 1]].astype(np.uint32)))
                 if len(docs) >= min(ROWS, max(8, (1 << 22) >> bits)):
                     yield _arrow([_block(bits, held.pop(bits))])
     for bits, docs in held.items():
