@@ -143,6 +143,8 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 docs.append((ids[i], n[i], term[cut[i] : cut[i + 1]].copy(), count[cut[i] : cut[i + 1]].astype(np.uint32)))
                 if len(docs) >= min(ROWS, max(8, (1 << 22) >> bits)):
                     yield _arrow([_block(bits, held.pop(bits))])
+        del batch, part  # the next batch comes before this one would go
+        pa.default_memory_pool().release_unused()
     for bits, docs in held.items():
         yield _arrow([_block(bits, docs)])
 
@@ -275,8 +277,11 @@ def _pass(q: Queries, keep: int, seeds: int, floors: np.ndarray | None):
                 value = np.array([0 if x is None else x for x in ids], dtype=np.int64)[doc[good]]
                 found.append(np.stack([item[good], score[good], has, value], axis=1))
                 n += len(found[-1])
-                if n > 1 << 18:
+                if n > 1 << 17:
                     best, found, n = _best([best, *found], keep), [], 0
+                del row, block
+            del batch
+            pa.default_memory_pool().release_unused()
         best = _best([best, *found], keep)
         if len(best):
             ids = pa.array(best[:, 3], mask=best[:, 2] == 0)
