@@ -198,3 +198,62 @@ def test_inferred_box(spark):
     s = sized.first()
     assert s.box_inferred and np.allclose([s.lx, s.ly, s.lz], [1.3, 0.4, 0.8])
     assert np.allclose([moved.orderBy("atom_id").first()[c] for c in "xyz"], [0.1, 0.2, 0.1])
+
+
+def lattice(n):
+    k = np.arange(n) + 0.5
+    z = 1 - 2 * k / n
+    turn = np.pi * (3 - np.sqrt(5.0)) * k
+    return np.stack([np.sqrt(1 - z * z) * np.cos(turn), np.sqrt(1 - z * z) * np.sin(turn), z], -1)
+
+
+@pytest.mark.parametrize("n", [100, 1000])
+def test_covered_points_in_a_long_box(spark, n):
+    """Masks, counts and open points against plain loops; axes differ, so none can be taken for another."""
+    rng, box = np.random.default_rng(n), np.array([0.8, 1.1, 1.7])
+    pos, rad = rng.random((25, 3)) * box, rng.uniform(0.1, 0.25, 25)
+    atoms = spark.createDataFrame([("s", i, *map(float, p), float(r)) for i, (p, r) in enumerate(zip(pos, rad, strict=True))] + [("alone", 0, 0.1, 0.1, 0.1, 0.1)], "structure_id string, atom_id int, x double, y double, z double, radius double")
+    grids = checkpointed(grid.sized(spark.createDataFrame([("s", *map(float, box)), ("alone", 1.0, 1.0, 1.0)], "structure_id string, lx double, ly double, lz double"), G))
+    got = {r.atom_id: r.n for r in surface.masks(atoms, grids, 0.02, n).withColumn("n", surface.open_count(n)).where("structure_id = 's'").collect()}
+    points = {(r.atom_id, r.s): (r.x, r.y, r.z) for r in surface.open_points(atoms, grids, 0.02, n).where("structure_id = 's'").collect()}
+    grown = rad + 0.02
+    for i in range(25):
+        at = pos[i] + grown[i] * lattice(n)
+        gap = at[:, None] - np.delete(pos, i, 0)
+        gap -= np.rint(gap / box) * box
+        free = ~((gap**2).sum(-1) < np.delete(grown, i) ** 2).any(1)
+        assert got[i] == free.sum() and {s for a, s in points if a == i} == set(np.flatnonzero(free))
+        for s in np.flatnonzero(free):
+            assert np.allclose(points[i, s], np.mod(at[s], box))
+    assert surface.open_points(atoms, grids, 0.02, n).where("structure_id = 'alone'").count() == n
+
+
+def test_candidates_keep_three_before_the_shuffle(cell):
+    g, vox = cell["grids"], cell["vox"]
+    found = octree.candidates(vox.where("boundary"), cell["atoms"], distance.cells(g, cell["atoms"], G, 0.01), 0.01)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2
+    c = (np.arange(N) + 0.5) * (L / N)
+    for r in found.collect()[::7]:
+        d = np.array([c[r.ix], c[r.iy], c[r.iz]]) - cell["pos"]
+        d -= np.rint(d / L) * L
+        best = np.argsort(np.sqrt((d**2).sum(-1)) - cell["rad"], kind="stable")
+        assert r.atom1 == best[0] and all(r[f"ar{k}"] == cell["rad"][r[f"atom{k}"]] for k in (1, 2, 3) if r[f"atom{k}"] is not None)
+
+
+@pytest.mark.parametrize("periodic", [True, False])
+def test_distance_transform(spark, periodic):
+    """A box with three different axes, one with a single target and one without any."""
+    rng, shape, step = np.random.default_rng(2), (7, 9, 12), np.array([0.1, 0.11, 0.09])
+    grids = checkpointed(spark.createDataFrame([(k, *map(int, shape), *map(float, step)) for k in "abc"], "structure_id string, gx int, gy int, gz int, dgx double, dgy double, dgz double"))
+    ids = np.arange(np.prod(shape)).reshape(shape)
+    rows = [(k, *map(int, p), int(ids[tuple(p)])) for k in "abc" for p in np.argwhere(ids >= 0)]
+    vox = spark.createDataFrame(rows, "structure_id string, ix int, iy int, iz int, vid long")
+    where = {"a": np.argwhere(rng.random(shape) < 0.02), "b": np.array([[6, 0, 11]])}
+    targets = spark.createDataFrame([(k, *map(int, p)) for k, v in where.items() for p in v], "structure_id string, ix int, iy int, iz int")
+    got = distance.to_targets(vox, targets, grids, periodic, 0.5).collect()
+    assert {r.structure_id for r in got} == {"a", "b"} and len(got) == 2 * ids.size
+    for r in got:
+        gap = np.array(np.unravel_index(r.vid, shape)) - where[r.structure_id]
+        gap = gap - np.rint(gap / shape) * shape if periodic else gap
+        assert abs(r.d - max(0, np.sqrt(((gap * step) ** 2).sum(-1)).min() - 0.05)) < 1e-9

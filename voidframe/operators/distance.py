@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,7 +91,9 @@ def nearest(points: DataFrame, centres: DataFrame, boxes: DataFrame, periodic: b
         gap = [F.col(c) - F.col(f"_a{c}") for c in "xyz"]
         gap = [d - F.rint(d / F.col(f"l{c}")) * F.col(f"l{c}") for d, c in zip(gap, "xyz", strict=True)] if periodic else gap
         met = p.join(a, ["structure_id", "cx", "cy", "cz"], "left").withColumn("gap", F.sqrt(gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2]) - F.col("radius"))
-        found = checkpointed(met.groupBy(*points.columns, "_bound").agg(F.min("gap").alias("gap")))
+        # what follows from the key is carried, not hashed
+        rest = [F.first(c).alias(c) for c in (*points.columns, "_bound") if c not in ("structure_id", "vid")]
+        found = checkpointed(met.groupBy("structure_id", "vid").agg(F.min("gap").alias("gap"), *rest))
         settled = (F.col("_bound") == float("inf")) | F.coalesce(F.col("gap") <= F.col("_bound"), F.lit(False))
         parts.append(found.where(settled).select(*points.columns, "gap", F.lit(k).alias("round")))
         left = found.where(~settled).select(points.columns)
@@ -155,11 +159,61 @@ def void_boundary(vox: DataFrame) -> DataFrame:
     return void.join(met, ["structure_id", "vid"], "left_anti")
 
 
+def _envelope(f: np.ndarray, step: float, periodic: bool) -> np.ndarray:
+    """Along axis 0: the least of f[j] + (distance from i to j)^2, over all j. Offsets stop where even a value of 0 could not improve anything."""
+    out, n = f.copy(), len(f)
+    for k in range(1, n // 2 + 1 if periodic else n):
+        rise = (k * step) ** 2
+        if rise >= out.max():
+            break
+        if periodic:
+            np.minimum(out, np.roll(f, k, axis=0) + rise, out=out)
+            np.minimum(out, np.roll(f, -k, axis=0) + rise, out=out)
+        else:
+            np.minimum(out[k:], f[:-k] + rise, out=out[k:])
+            np.minimum(out[:-k], f[k:] + rise, out=out[:-k])
+    return out
+
+
+def _planes(periodic: bool):
+    """A plane of one ix: squared distances to its targets, along z and y. Rows in: one a target line; rows out: one a line of the plane."""
+
+    def run(table: pa.Table) -> pa.Table:
+        first = {c: table[c][0].as_py() for c in ("gy", "gz", "dgy", "dgz")}
+        f = np.full((first["gy"], first["gz"]), np.inf)
+        for iy, zs in zip(table["iy"].to_pylist(), table["zs"].to_pylist(), strict=True):
+            f[iy, zs] = 0.0
+        f = _envelope(f.T, first["dgz"], periodic).T
+        f = _envelope(f, first["dgy"], periodic)
+        n = len(f)
+        return pa.table({"structure_id": table["structure_id"].take(pa.array([0] * n)), "ix": table["ix"].take(pa.array([0] * n)), "iy": pa.array(range(n), pa.int32()), "f": pa.array(list(f), pa.list_(pa.float64()))})
+
+    return run
+
+
+def _across(periodic: bool):
+    """A plane of one iy: squared distances with x counted too. Lines that lack (planes without a target) are infinitely far."""
+
+    def run(table: pa.Table) -> pa.Table:
+        gx, step = table["gx"][0].as_py(), table["dgx"][0].as_py()
+        lines = table["f"].combine_chunks()
+        f = np.full((gx, len(lines[0])), np.inf)
+        f[table["ix"].to_numpy()] = lines.values.to_numpy().reshape(len(lines), -1)
+        d = np.sqrt(_envelope(f, step, periodic))
+        same = pa.array([0] * gx)
+        return pa.table({"structure_id": table["structure_id"].take(same), "ix": pa.array(range(gx), pa.int32()), "iy": table["iy"].take(same), "d": pa.array(list(d), pa.list_(pa.float64()))})
+
+    return run
+
+
 def to_targets(vox: DataFrame, targets: DataFrame, grids: DataFrame, periodic: bool, correction: float = 0.0) -> DataFrame:
     """(structure_id, vid, d): distance of each voxel to the nearest target voxel, less correction * grid, not below zero. Structures without
-    a target are left out."""
-    g = grids.select("structure_id", "dgx", "dgy", "dgz")
-    t = targets.join(g, "structure_id").select("structure_id", *[((F.col(f"i{c}") + 0.5) * F.col(f"dg{c}")).alias(c) for c in "xyz"], F.lit(0.0).alias("radius"))
-    boxes = grids.join(targets.select("structure_id").distinct(), "structure_id", "left_semi").select("structure_id", *_BOX, F.lit(0.0).alias("rmax"), (2 * F.greatest("dgx", "dgy", "dgz")).alias("edge"))
-    met = nearest(vox.select("structure_id", "vid", "x", "y", "z"), t, boxes, periodic).join(g, "structure_id")
-    return met.select("structure_id", "vid", F.greatest(F.col("gap") - correction * F.col("dgx"), F.lit(0.0)).alias("d"))
+    a target are left out. An exact separable transform: the least sum of squares over z and y is found in the planes of one ix, then over x in
+    the planes of one iy; a task holds one plane, and two shuffles of planes are all, however far the targets are."""
+    kind = dict(targets.dtypes)["structure_id"]
+    g = small(grids.select("structure_id", "gx", "gy", "gz", "dgx", "dgy", "dgz"))
+    lines = targets.groupBy("structure_id", "ix", "iy").agg(F.collect_list("iz").alias("zs")).select("structure_id", F.col("ix").cast("int").alias("ix"), F.col("iy").cast("int").alias("iy"), "zs").join(g, "structure_id")
+    planes = lines.groupBy("structure_id", "ix").applyInArrow(_planes(periodic), f"structure_id {kind}, ix int, iy int, f array<double>")
+    found = planes.join(g, "structure_id").groupBy("structure_id", "iy").applyInArrow(_across(periodic), f"structure_id {kind}, ix int, iy int, d array<double>")
+    asked = vox.select("structure_id", "vid", "ix", "iy", "iz").join(found, ["structure_id", "ix", "iy"]).join(small(grids.select("structure_id", "dgx")), "structure_id")
+    return asked.select("structure_id", "vid", F.greatest(F.get("d", F.col("iz")) - correction * F.col("dgx"), F.lit(0.0)).alias("d"))

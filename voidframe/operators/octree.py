@@ -1,19 +1,18 @@
 """Refinement of boundary voxels by an octree, and percolation through its leaves.
 
 A node's place is its path: the child numbers from the root, in base 8 behind a leading 1. Each level is one step: nodes that need
-it are expanded into eight children, evaluated against their root's nearest atoms. There are no pointers.
+it are expanded into eight children, evaluated against their root's nearest atoms, which are flat columns. There are no pointers.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from ..functions.geometry import min_image
 from ..plans.components import connected_components
-from .distance import SIX, cells, neighbour_gaps, on_border, shifted
+from .distance import SIX, cells, in_cells, located, on_border, shifted, surface_gap
 from .percolation import ACCESSIBLE, TRAPPED
 from ..plans.session import small
 
@@ -21,46 +20,51 @@ TOP = 3
 
 
 def candidates(roots: DataFrame, atoms: DataFrame, celled: DataFrame, probe: float, top: int = TOP) -> DataFrame:
-    """roots (voxels) with cand: their `top` nearest distinct atoms by surface distance, ties by atom_id."""
-    near = neighbour_gaps(roots, ["vid"], atoms, celled).select("structure_id", "vid", F.struct((F.col("gap") - probe).alias("score"), "atom_id").alias("c"))
-    best = near.groupBy("structure_id", "vid").agg(F.slice(F.array_sort(F.collect_list("c")), 1, top).alias("best"))
-    ranked = best.select("structure_id", "vid", F.posexplode("best").alias("rank", "c")).select("structure_id", "vid", "rank", "c.atom_id")
-    placed = ranked.join(atoms.select("structure_id", "atom_id", "x", "y", "z", "radius"), ["structure_id", "atom_id"])
-    return roots.join(placed.groupBy("structure_id", "vid").agg(F.array_sort(F.collect_list(F.struct("rank", "atom_id", "x", "y", "z", "radius"))).alias("cand")), ["structure_id", "vid"], "left")
+    """roots (voxels) with their `top` nearest distinct atoms by surface distance, ties by atom_id, as flat columns: atom1, ax1, ay1, az1, ar1, atom2, ..;
+    null where there are fewer in the cells around. A voxel meets all its atoms in one task, so the group limit keeps `top` of them before the shuffle."""
+    p = located(roots, celled).alias("p")
+    a = in_cells(atoms, celled).select("structure_id", "atom_id", "x", "y", "z", "radius", "cx", "cy", "cz").alias("a")
+    own = [F.col(f"p.{c}") for c in roots.columns if c != "structure_id"]
+    near = p.join(a, ["structure_id", "cx", "cy", "cz"], "left").select("structure_id", *own, (surface_gap("p", "a") - probe).alias("_score"), F.col("a.atom_id").alias("_atom"), *[F.col(f"a.{c}").alias(f"_a{c[0]}") for c in ("x", "y", "z", "radius")])
+    rank = F.row_number().over(Window.partitionBy("structure_id", "vid").orderBy("_score", "_atom"))
+    best = near.withColumn("_k", rank).where(F.col("_k") <= top)
+    flat = [F.max(F.when(F.col("_k") == k, F.col(f"_{c}"))).alias(f"{c}{k}") for k in range(1, top + 1) for c in ("atom", "ax", "ay", "az", "ar")]
+    rest = [F.first(c).alias(c) for c in roots.columns if c not in ("structure_id", "vid")]
+    return best.groupBy("structure_id", "vid").agg(*rest, *flat).select(*roots.columns, *[f"{c}{k}" for k in range(1, top + 1) for c in ("atom", "ax", "ay", "az", "ar")])
 
 
-def evaluated(probe: float) -> Column:
-    """Distance of (x, y, z) to the nearest of cand, less the probe; far away without candidates."""
+def evaluated(probe: float, top: int = TOP) -> Column:
+    """Distance of (x, y, z) to the nearest of the candidates, less the probe; far away without candidates."""
 
-    def gap(a: Column) -> Column:
-        dx, dy, dz = (min_image(F.col(c) - a[c], F.col(f"l{c}")) for c in "xyz")
-        return F.sqrt(dx * dx + dy * dy + dz * dz) - a["radius"] - probe
+    def gap(k: int) -> Column:
+        dx, dy, dz = (min_image(F.col(c) - F.col(f"a{c}{k}"), F.col(f"l{c}")) for c in "xyz")
+        return F.sqrt(dx * dx + dy * dy + dz * dz) - F.col(f"ar{k}") - probe
 
-    return F.coalesce(F.array_min(F.transform("cand", gap)), F.lit(1e9))
+    return F.coalesce(F.least(*[gap(k) for k in range(1, top + 1)]) if top > 1 else gap(1), F.lit(1e9))
 
 
 def forest(vox: DataFrame, atoms: DataFrame, grids: DataFrame, grid: float, probe: float = 0.0, max_level: int = 4, min_size: float = 0.001, pore: bool = False) -> DataFrame:
-    """structure_id, root (vid), ix, iy, iz, path, level, x, y, z, d, void, is_leaf."""
-    from ..plans.session import checkpointed
-
+    """structure_id, root (vid), ix, iy, iz, path, level, x, y, z, d, void, is_leaf. A level is one expansion: a node that is split gives itself and its
+    eight children, any other gives itself, so all levels are made in one pass over the roots, without a union or a second derivation."""
     celled = cells(grids, atoms, grid, probe, pore)
     roots = candidates(vox.where("boundary").select("structure_id", "ix", "iy", "iz", "vid", "x", "y", "z"), atoms, celled, probe)
-    here = roots.join(small(grids.select("structure_id", "lx", "ly", "lz", "dgx", "dgy", "dgz")), "structure_id").withColumnRenamed("vid", "root").withColumns({"path": F.lit(1).cast("long"), "level": F.lit(0)})
-    here = checkpointed(here.withColumn("d", evaluated(probe)))
-    levels = []
-    for level in range(max_level):
-        half = F.greatest("dgx", "dgy", "dgz") * (0.5 / 2**level)
-        split = F.lit(False) if level + 1 >= max_level else (half > min_size * 0.5) & (F.abs("d") <= half * 1.4142136 + 1e-6)
-        here = here.withColumn("is_leaf", ~split)
-        levels.append(here)
-        if level + 1 >= max_level:
-            break
-        signs = F.array(*[F.struct(F.lit(k).alias("k"), *[F.lit(1.0 if k >> b & 1 else -1.0).alias(c) for b, c in enumerate("xyz")]) for k in range(8)])
-        step = 0.5 / 2 ** (level + 1)
-        born = here.where("not is_leaf").withColumn("_s", F.explode(signs)).withColumns({c: F.col(c) + F.col(f"_s.{c}") * F.col(f"dg{c}") * step for c in "xyz"})
-        here = born.withColumns({"path": F.col("path") * 8 + F.col("_s.k"), "level": F.lit(level + 1)}).drop("_s").withColumn("d", evaluated(probe))
-    nodes = reduce(lambda a, b: a.unionByName(b), levels)
-    return nodes.select("structure_id", "root", "ix", "iy", "iz", "path", "level", "x", "y", "z", "d", (F.col("d") > 0).alias("void"), "is_leaf")
+    here = roots.join(small(grids.select("structure_id", "lx", "ly", "lz", "dgx", "dgy", "dgz")), "structure_id").withColumnRenamed("vid", "root")
+    here = here.withColumns({"path": F.lit(1).cast("long"), "level": F.lit(0), "is_leaf": F.lit(True), "d": evaluated(probe)})
+    with_children, alone = (F.array(*map(F.lit, ks)) for ks in (range(-1, 8), (-1,)))
+    for level in range(max_level - 1):
+        half, step = F.greatest("dgx", "dgy", "dgz") * (0.5 / 2**level), 0.5 / 2 ** (level + 1)
+        split = (F.col("level") == level) & (half > min_size * 0.5) & (F.abs("d") <= half * 1.4142136 + 1e-6)
+        here = here.withColumn("_split", split).withColumn("_k", F.explode(F.when(F.col("_split"), with_children).otherwise(alone)))
+        born = F.col("_k") >= 0
+        sign = lambda b: F.when(F.shiftright("_k", b).bitwiseAND(1) == 1, 1.0).otherwise(-1.0)
+        here = here.withColumns({c: F.when(born, F.col(c) + sign(b) * F.col(f"dg{c}") * step).otherwise(F.col(c)) for b, c in enumerate("xyz")})
+        here = here.withColumns({
+            "path": F.when(born, F.col("path") * 8 + F.col("_k")).otherwise(F.col("path")),
+            "level": F.when(born, F.lit(level + 1)).otherwise(F.col("level")),
+            "is_leaf": born | (F.col("is_leaf") & ~F.col("_split")),
+            "d": F.when(born, evaluated(probe)).otherwise(F.col("d")),
+        }).drop("_split", "_k")
+    return here.select("structure_id", "root", "ix", "iy", "iz", "path", "level", "x", "y", "z", "d", (F.col("d") > 0).alias("void"), "is_leaf")
 
 
 #: Parts of a voxel's edge in which leaves are placed: deeper levels than this has bits are not told apart.

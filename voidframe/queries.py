@@ -164,7 +164,8 @@ c as (select *, row_number() over (partition by structure_id, vid order by score
 def j4(spark, sf_dir):
     atoms, grids, vox = _field(spark, sf_dir)
     found = octree.candidates(vox.where("boundary"), atoms, distance.cells(grids, atoms, GRID), 0.0)
-    return found.select("structure_id", "vid", F.explode("cand").alias("c")).select("structure_id", "vid", "c.rank", "c.atom_id")
+    ranks = F.explode(F.array(*[F.struct(F.lit(k).alias("rank"), F.col(f"atom{k + 1}").alias("atom_id")) for k in range(octree.TOP)]))
+    return found.select("structure_id", "vid", ranks.alias("c")).select("structure_id", "vid", "c.rank", "c.atom_id").where("atom_id is not null")
 
 
 @query("p15_solid_boundary", f"""with {_sql_field()} select structure_id, count(*) as n from d where not void and (ix = 0 or iy = 0 or iz = 0 or ix = n - 1 or iy = n - 1 or iz = n - 1
@@ -305,8 +306,7 @@ hid as (select distinct q.structure_id, q.atom_id, q.s from q join a on a.struct
 @query("j12_open_surface", f"with {_SQL_BASE}, {_SQL_POINTS} select structure_id, sum(n)::bigint as open_points, round(sum(4 * pi() * radius * radius * n / {_N}), 6) as s_total from (select structure_id, atom_id, any_value(radius) as radius, count(*) as n from q anti join hid using (structure_id, atom_id, s) group by 1, 2) group by 1")
 def j12(spark, sf_dir):
     atoms, grids = tables(spark, sf_dir)
-    open_ = surface.open_points(atoms, grids).groupBy("structure_id", "atom_id").agg(F.count(F.lit(1)).alias("n"))
-    own = open_.join(atoms.select("structure_id", "atom_id", "radius"), ["structure_id", "atom_id"])
+    own = surface.masks(atoms, grids).withColumn("n", surface.open_count()).where("n > 0")
     return own.groupBy("structure_id").agg(F.sum("n").alias("open_points"), F.round(F.sum(geometry.sphere_area(F.col("radius")) * F.col("n") / _N), 6).alias("s_total"))
 
 
