@@ -35,8 +35,7 @@ from .common import portions, text_of, written
 RUN, SHARE, SHORT_SHARE = 8, 0.1, 0.5
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)")
-_NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'<>]++)))?+")
 #: HTML element names, and names of classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd mark q s samp small span strong sub sup time tt u var wbr label".split())
@@ -141,6 +140,14 @@ def blocks(page: str) -> list[tuple[str, bool, str]]:
     return out
 
 
+def _attributes(raw: str) -> dict[str, str]:
+    """An element's attributes by lower-case name, values as they stand; of a name that comes twice, the first counts."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(raw):
+        out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
+
+
 def _boiler(tag: str, attributes: str, place: str) -> float:
     """1: boilerplate, 0: not, between: repetition decides. An article's own header is not a page's."""
     if tag == "header" and place == "article":
@@ -149,11 +156,13 @@ def _boiler(tag: str, attributes: str, place: str) -> float:
         return 1
     if not attributes or tag in ("body", "html", "article", "main"):
         return 0
-    if _HIDDEN.search(attributes):
+    named = _attributes(attributes)
+    # a class called hidden says little: it often stands beside one that shows the element on wide screens
+    if "hidden" in named or named.get("aria-hidden", "").strip().lower() == "true":
         return 1
     found = 0.0
-    for m in _NAMED.finditer(attributes):
-        for name in (m[1] or m[2] or m[3] or "").lower().split():
+    for key in ("class", "id", "role"):
+        for name in named.get(key, "").lower().split():
             parts = [w for w in re.split(r"[^a-z0-9]+", name) if w]
             if not BOILER_NAMES.isdisjoint(parts):
                 whole = all(w in BOILER_NAMES or w in FILLERS for w in parts)
