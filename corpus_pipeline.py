@@ -22,17 +22,38 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return named.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
 
 
+def by_row(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """(docs with _row, whether that is only a number): the doc_id where each row has its own; else rows are numbered, and written so that the
+    numbers stand."""
+    ids = docs.groupBy("doc_id").count()
+    if ids.where("doc_id is null or count > 1").isEmpty():
+        return docs.withColumn("_row", F.col("doc_id")), False
+    return written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows"), True
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs whose _row is not in gone."""
+    return docs.join(gone.select(F.col("_row").alias("_gone")).distinct(), F.col("_row") == F.col("_gone"), "left_anti").drop("_row")
+
+
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity 0.8), the document with the least doc_id stays."""
-    gone = dedup.near_duplicates(docs, words=5, at_least=80).where("component_id < doc_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """Of each group of near duplicates (five-word shingles, similarity 0.8), the row with the least doc_id stays (a null one is last; of equal
+    ids any). Equal texts are near duplicates; rows without words stay."""
+    rows, numbered = by_row(docs)
+    found = dedup.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), words=5, at_least=80).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
+    if numbered:
+        order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")
+        found = found.join(rows.select("_row", "doc_id"), "_row").select("_row", "_group", order.alias("_order"))
+        best = found.groupBy("_group").agg(F.min("_order")["_row"].alias("_best"))
+        return without(rows, found.join(best, "_group").where("_row <> _best"))
+    return without(rows, found.where("_group < _row"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, word for word or with other parameters, go."""
+    """Rows that hold a benchmark item, word for word or with other parameters, go; other rows with their doc_id stay."""
+    rows, _ = by_row(docs)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    gone = decontaminate.leaks(docs, benchmark).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    return without(rows, decontaminate.leaks(rows.select(F.col("_row").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_row")))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
