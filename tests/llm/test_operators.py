@@ -608,3 +608,32 @@ def test_pipeline(spark, odd, tmp_path):
     assert not any(secrets_brute(r.text) for r in docs.collect())
     for _, stage in cp.STAGES:
         assert stage(spark, odd, SF).count() >= 0
+
+
+def test_stages_keep_rows_not_ids(spark):
+    """Null and repeated doc_ids: a row goes for what it says, whatever other rows have its id; of equal rows one stays."""
+    import corpus_pipeline as cp
+
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    clean = ["Quiet rivers carry old stories past the sleeping mill and on.", "Seven lamps were lit before anyone spoke about the harvest again.", "Nobody in town remembered who had painted the tall blue gate."]
+    near = "one two three four five six seven eight nine ten " * 3 + " ".join(f"w{k}" for k in range(40))
+    rows = [(None, f"Before. {item} After."), (None, clean[0]), (4, f"{item}"), (4, clean[1]), (5, clean[2])]
+    frame = lambda rows: spark.createDataFrame([(i, t, "en", None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = cp.decontamination_stage(spark, frame(rows), SF)
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted([(0, clean[0]), (4, clean[1]), (5, clean[2])]) and "_row" not in kept.columns
+    rows = [(7, near), (7, near), (7, near), (None, near + " tail"), (3, near + " end"), (7, clean[0]), (None, clean[1]), (None, clean[1]), (9, ""), (9, None)]
+    kept = cp.dedup_stage(spark, frame(rows), SF).collect()
+    assert sorted(((r.doc_id or 0), r.text or "") for r in kept) == sorted([(3, near + " end"), (7, clean[0]), (0, clean[1]), (9, ""), (9, "")])
+    plain = frame([(1, near), (2, near + " end"), (3, clean[0])])
+    assert sorted(r.doc_id for r in cp.dedup_stage(spark, plain, SF).collect()) == [1, 3]
+
+
+def test_attributes_by_exact_name():
+    for raw in ("title='a hidden gem'", "data-id='notice'", "data-role='menu'", "onclick=\"x(class='menu')\"", "class='foo hidden md:block'", "data-hidden=true", "title=menu id=x", "aria-hidden='false'"):
+        assert html_kept(f"<article><p>a</p><div {raw}>b</div></article>") == ["a", "b"], raw
+    for raw in ("hidden", "HIDDEN=''", "aria-hidden=true", "class=menu", "id = 'cookie'", "role=\"navigation\"", "title='x' class='menu' class='y'"):
+        assert html_kept(f"<article><p>a</p><div {raw}>b</div></article>") == ["a"], raw
+
+
+def html_kept(page):
+    return [t for _, t in html_text.settled(html_text.blocks(page))[0]]
