@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voidframe.operators import distance, fields, grid, octree, percolation, pores, stats, surface
+from voidframe.operators import distance, fields, grid, octree, percolation, pores, stats, surface, widest
 from voidframe.plans.components import connected_components
 from voidframe.plans.session import checkpointed
 
@@ -257,3 +257,37 @@ def test_distance_transform(spark, periodic):
         gap = np.array(np.unravel_index(r.vid, shape)) - where[r.structure_id]
         gap = gap - np.rint(gap / shape) * shape if periodic else gap
         assert abs(r.d - max(0, np.sqrt(((gap * step) ** 2).sum(-1)).min() - 0.05)) < 1e-9
+
+
+@pytest.mark.parametrize("most", [20, 90, 10**6])
+def test_widest_path(spark, most):
+    """Grids of different axes, cut into many slabs, few and none; ties and holes; against a search by flooding."""
+    rng, shapes = np.random.default_rng(6), {"a": (9, 4, 5), "b": (13, 3, 2), "c": (1, 6, 6), "d": (20, 2, 2), "e": (6, 6, 6)}
+    fields = {k: np.round(rng.random(s), 2) for k, s in shapes.items()}
+    fields["a"][rng.random(shapes["a"]) < 0.3] = -1
+    fields["e"][:] = -1
+    fields["e"][2, 2, 2] = 0.5
+    rows = [(k, *map(int, p), float(f[tuple(p)])) for k, f in fields.items() for p in np.argwhere(f >= 0)]
+    d = spark.createDataFrame(rows, "structure_id string, ix int, iy int, iz int, _d double")
+    grids = checkpointed(spark.createDataFrame([(k, *s) for k, s in shapes.items()], "structure_id string, gx int, gy int, gz int"))
+    got = {r.structure_id: r.w for r in widest.spanning_value(d, grids, most).collect()}
+    for k, f in fields.items():
+        best = None
+        for value in np.unique(f[f >= 0]):
+            open_ = f >= value
+            for axis in range(3):
+                seen = np.zeros(f.shape, bool)
+                todo = [tuple(p) for p in np.argwhere(open_) if p[axis] == 0]
+                for p in todo:
+                    seen[p] = True
+                while todo:
+                    p = todo.pop()
+                    for o in ((1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)):
+                        q = tuple(np.add(p, o))
+                        if all(0 <= x < n for x, n in zip(q, f.shape, strict=True)) and open_[q] and not seen[q]:
+                            seen[q] = True
+                            todo.append(q)
+                if seen.take(-1, axis).any():
+                    best = value
+        assert got.get(k) == best, k
+    assert "e" not in got and len(got) == 4

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.geometry import min_image, sphere_volume
+from ..plans.order import ranked
 from ..plans.session import checkpointed, small
 from .percolation import ACCESSIBLE, run_components
+from .widest import spanning_value
 
 CONTAINED, OVERLAP = "contained", "overlap"
 
@@ -146,26 +148,6 @@ def percolates(vox: DataFrame, grids: DataFrame, value: str, at_least: Column) -
     return grids.select("structure_id").join(found, "structure_id", "left").select("structure_id", F.coalesce(F.col("label") == ACCESSIBLE, F.lit(False)).alias("hit"))
 
 
-def spanning_levels(d: DataFrame, values: DataFrame, grids: DataFrame, ways: int = 15) -> DataFrame:
-    """(structure_id, spans): the greatest k whose voxels (_d >= the value of k) span the grid, -1 if none does; values has (structure_id,
-    k, _d), k from 0 by rising _d. A voxel set only shrinks as k rises, so each round asks `ways` levels of every structure in one labelling
-    and keeps the gap in which the answer lies."""
-    size = values.groupBy("structure_id").agg((F.max("k") + 1).alias("hi"))
-    state = checkpointed(grids.select("structure_id").join(size, "structure_id", "left").select("structure_id", F.lit(-1).alias("lo"), F.coalesce("hi", F.lit(0)).cast("int").alias("hi")))
-    while not (open_ := state.where("hi - lo > 1")).isEmpty():
-        between = F.transform(F.sequence(F.lit(1), F.lit(ways)), lambda j: (F.col("lo") + F.floor((F.col("hi") - F.col("lo")) * j / (ways + 1))).cast("int"))
-        asked = open_.select("structure_id", F.explode(F.array_distinct(F.filter(between, lambda k: k > F.col("lo")))).alias("k"))
-        asked = checkpointed(asked.join(values, ["structure_id", "k"]))
-        levels = asked.groupBy("structure_id").agg(F.collect_list(F.struct("k", "_d")).alias("_levels"))  # at most `ways` of them
-        copies = d.join(levels, "structure_id").withColumn("_l", F.explode(F.filter("_levels", lambda x: x["_d"] <= F.col("_d"))))
-        both = F.struct("structure_id", F.col("_l.k").alias("k"))
-        near = copies.select(both.alias("structure_id"), "ix", "iy", "iz", "vid", "_d")
-        own = grids.join(asked.select("structure_id", "k"), "structure_id").withColumn("structure_id", F.struct("structure_id", "k"))
-        hits = percolates(near, own, "_d", F.lit(0.0)).select("structure_id.*", "hit").groupBy("structure_id").agg(F.max(F.when(F.col("hit"), F.col("k"))).alias("_lo"), F.min(F.when(~F.col("hit"), F.col("k"))).alias("_hi"))
-        state = checkpointed(state.join(hits, "structure_id", "left").select("structure_id", F.coalesce("_lo", "lo").alias("lo"), F.coalesce("_hi", "hi").alias("hi")))
-    return state.select("structure_id", F.col("lo").alias("spans"))
-
-
 def _bisection(size: Column, spans: Column, steps: int = 40) -> Column:
     """The steps of a bisection over 0..size-1 in which k succeeds up to spans: array of (step, lo, hi, mid, best), each after its update."""
     start = F.struct(F.lit(0).alias("lo"), (size - 1).alias("hi"), F.lit(0).alias("best"), F.expr("cast(array() as array<struct<step:int,lo:int,hi:int,mid:int,best:int>>)").alias("out"))
@@ -181,12 +163,14 @@ def _bisection(size: Column, spans: Column, steps: int = 40) -> Column:
 
 
 def spanning(vox: DataFrame, grids: DataFrame, less: float = 0.0) -> tuple[DataFrame, DataFrame]:
-    """(values, found): the distinct dmin - less that are not negative, numbered, and of each structure the greatest that spans, with its count and most."""
-    d = checkpointed(vox.select("structure_id", "ix", "iy", "iz", "vid", (F.col("dmin") - less).alias("_d")).where("_d >= 0"))
-    order = Window.partitionBy("structure_id").orderBy("_d")
-    values = checkpointed(d.select("structure_id", "_d").distinct().withColumn("k", (F.row_number().over(order) - 1).cast("int")))
+    """(values, found): the distinct dmin - less that are not negative, numbered by k from 0 (over ranges of them, so that no task numbers a structure
+    alone), and of each structure the greatest k whose voxels span the grid (-1 if none does), with its count and most."""
+    d = checkpointed(vox.select("structure_id", "ix", "iy", "iz", (F.col("dmin") - less).alias("_d")).where("_d >= 0"))
+    values = checkpointed(ranked(d.select("structure_id", "_d").distinct(), ["structure_id"], ["_d"]).select("structure_id", "_d", F.col("at").cast("int").alias("k")))
     top = values.groupBy("structure_id").agg((F.max("k") + 1).alias("size"), F.max("_d").alias("most"))
-    return values, checkpointed(spanning_levels(d, values, grids).join(top, "structure_id", "left"))
+    best = spanning_value(d, grids).withColumnRenamed("w", "_d").join(values, ["structure_id", "_d"]).select("structure_id", F.col("k").alias("spans"))
+    found = grids.select("structure_id").join(best, "structure_id", "left").join(top, "structure_id", "left")
+    return values, checkpointed(found.withColumn("spans", F.coalesce("spans", F.lit(-1))))
 
 
 def limiting_diameter(vox: DataFrame, grids: DataFrame, grid: float, probe: float = 0.0, compat: bool = True, known: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:

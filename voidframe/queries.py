@@ -428,6 +428,13 @@ def g12(spark, sf_dir):
     return found[0].join(found[1], "structure_id")
 
 
+@query("a21_percolates", f"""with recursive {_sql_field()}, {_sql_spans("pa", "select structure_id, 0 as k, 0.05::double as r from g")}
+select g.structure_id, pa.k is not null as hit from g left join pa using (structure_id)""")
+def a21(spark, sf_dir):
+    _, grids, vox = _field(spark, sf_dir)
+    return pores.percolates(vox, grids, "dmin", F.lit(0.05))
+
+
 @query("a18_block_means", f"""with {_sql_field()} select structure_id, (ix // 2)::int as ix, (iy // 2)::int as iy, (iz // 2)::int as iz, round(avg(void::int::double), 6) as f_void, round(avg(0.5::double * (1 + tanh(dmin / 0.1::double))), 6) as smooth from d
 where ix < n // 2 * 2 and iy < n // 2 * 2 and iz < n // 2 * 2 group by 1, 2, 3, 4""")
 def a18(spark, sf_dir):
