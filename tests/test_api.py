@@ -56,3 +56,39 @@ def test_few_voxels_need_wider_cells(spark, box):
     want = all_gaps(grid.voxels(grids), ["vid"], atoms, grids).groupBy("vid").agg(F.min("gap").alias("want"))
     assert vox.join(want, "vid").where(F.abs(F.col("dmin") - F.col("want")) > 1e-12).count() == 0 and vox.count() == want.count()
     assert vox.where("filled").count() < 0.05 * vox.count()
+
+
+def test_record_has_every_field(spark, tmp_path):
+    (tmp_path / "a.pdb").write_text("\n".join([f"CRYST1{4.0:9.3f}{5.0:9.3f}{6.0:9.3f}{90.0:7.2f}{90.0:7.2f}{90.0:7.2f}"] + [f"ATOM  {i:5d} {n:4s} UNL A   1    {x:8.3f}{2.0:8.3f}{2.0:8.3f}{1.0:6.2f}{0.0:6.2f}          {e:>2s}" for i, (n, e, x) in enumerate([("H", "H", 1.0), ("Q", "*", 2.5), ("C", "C", 3.5)])] + ["END"]))
+    path = str(tmp_path / "a.pdb")
+    found = analyse(spark, path, grid=0.1, stats=True, pore=True, atoms="UFF.atoms", oct_level=2)
+    got = json.loads(next((tmp_path / "a_g_0.1_p_0.0_stats.json").glob("*.json")).read_text())
+    assert set(got) == {"structure_id", "info", "settings", "stats", "run_envs", "timings"}
+    assert set(got["info"]) >= {"box_nm", "grid_shape", "voxels", "grid_space_set_nm", "grid_space_real_nm", "voxel_volume_nm3", "probe_nm", "octree_used", "octree_root_voxels", "octree_nodes", "octree_root_nodes", "octree_leaf_nodes", "box_inferred"}
+    assert set(got["stats"]) == {"atoms", "mass_g/mol", "density_g/cm3", "Vcell_nm3", "Vvoid_nm3", "Vprobe_nm3", "Vacc_nm3", "Vtrap_nm3", "Vvoid_frac", "Vacc_frac", "Vtrap_frac", "Sacc_nm2", "Sacc_m2/g", "Stotal_nm2", "Stotal_m2/g", "PLD_nm", "LCD_nm", "LCD_global_nm"}
+    assert set(got["timings"]) == {"init", "io", "cell", "grid", "octree", "volume", "surface", "pore", "cube", "stats"} and got["timings"]["grid"] > 0
+    assert set(got["run_envs"]) == {"python_exe", "cwd", "platform", "full_command", "time", "execution_time"}
+    assert got["info"]["grid_shape"] == [4, 5, 6] and got["info"]["voxels"] == 120 and got["info"]["octree_used"] and not got["info"]["box_inferred"]
+    assert got["info"]["octree_nodes"] >= got["info"]["octree_leaf_nodes"] > 0 and got["info"]["defaulted_elements"] == 1
+    # the packaged table's values: hydrogen 1, carbon 12, and the unknown atom as carbon
+    assert abs(got["stats"]["mass_g/mol"] - 25.0) < 1e-9
+    assert found.timings["stats"] > 0
+    with pytest.raises(Exception, match="unknown element"):
+        analyse(spark, path, grid=0.1, cube=True, no_octree=True, no_surface=True)
+
+
+def test_atom_table_by_path_or_by_name(spark, tmp_path):
+    from voidframe.functions import elements
+
+    (tmp_path / "UFF.atoms").write_text("H 1 1.0 0.25\nD 1 2.0 0.50\nQ 7 5.0 0.1\nQ 8 6.0 0.2\n")
+    own = elements.read_parameters(elements.parameter_lines(spark, str(tmp_path / "UFF.atoms")))
+    names, values = elements.tables(spark, own)
+    by_z = {r.z: (r.mass, r.radius_ang) for r in values.collect()}
+    assert by_z[1] == (2.0, 2.5) and by_z[7] == (5.0, 0.5) and by_z[8] == (6.0, 1.0)
+    assert {r.symbol: r.z for r in names.collect()}["Q"] == 8
+    gaps = {r.z: r.mass for r in elements.tables(spark, own, overwrite=False)[1].collect()}
+    assert gaps[1] == 1.008
+    packaged = elements.read_parameters(elements.parameter_lines(spark, "no/such/folder/UFF.atoms"))
+    assert packaged.count() == 95 and packaged.where("symbol = 'C'").first().mass == 12
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        elements.parameter_lines(spark, "no/such/other.atoms")

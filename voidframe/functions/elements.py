@@ -5,6 +5,9 @@ Unknown symbols count as carbon unless `strict`. A table of atom parameters repl
 
 from __future__ import annotations
 
+from pathlib import Path
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -98,34 +101,53 @@ def parameters(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(int(r[2]), float(r[3]), None if r[4] == "-" else float(r[4])) for r in _ROWS], "z int, mass double, radius_ang double")
 
 
+def packaged(name: str) -> Path:
+    """Where a table of this name lies in the package (UFF.atoms)."""
+    return Path(__file__).parent.parent / "data" / Path(name).name
+
+
+def parameter_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(lineno, value) of an atom file; if there is none at the path, of the packaged table of that name."""
+    try:
+        text = spark.read.text(path, wholetext=True)
+    except AnalysisException:
+        if not packaged(path).exists():
+            raise
+        return spark.createDataFrame(list(enumerate(packaged(path).read_text().splitlines())), "lineno int, value string")  # about a hundred lines
+    return text.select(F.posexplode(F.split("value", "\n")).alias("lineno", "value"))
+
+
 def read_parameters(lines: DataFrame) -> DataFrame:
-    """symbol, z, mass, radius_ang from (lineno, value) rows of an atom file: `symbol Z mass sigma_nm ...`, # comments. The radius is half
-    of sigma; of lines with one symbol or number the last counts; a line with fewer than four columns is an error."""
+    """symbol, z, mass, radius_ang, lineno from (lineno, value) rows of an atom file: `symbol Z mass sigma_nm ...`, # comments. The radius is half
+    of sigma; of lines with one symbol and number the last counts; a line with fewer than four columns is an error."""
     cut = lines.select("lineno", F.trim("value").alias("s")).where("s <> '' and s not like '#%'").select("lineno", "s", F.split("s", r"\s+").alias("c"))
     checked = cut.withColumn("c", F.when(F.size("c") >= 4, F.col("c")).otherwise(F.raise_error(F.concat(F.lit("atom file: four columns are needed: "), "s"))))
     rows = checked.select("lineno", F.col("c")[0].alias("symbol"), F.col("c")[1].cast("int").alias("z"), F.col("c")[2].cast("double").alias("mass"), (F.col("c")[3].cast("double") * 10 * 0.5).alias("radius_ang"))
-    last = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("lineno")))
-    return rows.withColumn("_n", last).where("_n = 1").drop("_n", "lineno")
+    last = F.row_number().over(Window.partitionBy("symbol", "z").orderBy(F.desc("lineno")))
+    return rows.withColumn("_n", last).where("_n = 1").select("symbol", "z", "mass", "radius_ang", "lineno")
 
 
 def tables(spark: SparkSession, updates: DataFrame | None = None, overwrite: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(symbols, parameters), with the rows of an atom file put over the built-in ones, or only into their gaps."""
+    """(symbols, parameters), with the rows of an atom file put over the built-in ones, or only into their gaps. Of lines with one symbol, and of
+    lines with one number, whatever their symbols, the last counts; in gaps the first."""
     names, values = symbols(spark), parameters(spark)
     if updates is None:
         return names, values
-    new_names = updates.select("symbol", F.col("z").alias("new_z"))
+    counts = (lambda c: F.max_by(c, "lineno")) if overwrite else (lambda c: F.min_by(c, "lineno"))
+    new_names = updates.groupBy("symbol").agg(counts("z").alias("new_z"))
     first, second = ("new_z", "z") if overwrite else ("z", "new_z")
     names = names.join(new_names, "symbol", "full").select("symbol", F.coalesce(first, second).alias("z"))
-    by_z = updates.groupBy("z").agg(F.max_by("mass", "symbol").alias("m2"), F.max_by("radius_ang", "symbol").alias("r2"))
+    by_z = updates.groupBy("z").agg(counts("mass").alias("m2"), counts("radius_ang").alias("r2"))
     pick = (lambda a, b: F.coalesce(b, a)) if overwrite else F.coalesce
     values = values.join(by_z, "z", "full").select("z", pick(F.col("mass"), F.col("m2")).alias("mass"), pick(F.col("radius_ang"), F.col("r2")).alias("radius_ang"))
     return names, values
 
 
 def bind(atoms: DataFrame, names: DataFrame, values: DataFrame, strict: bool = False) -> DataFrame:
-    """atoms with z, radius (nm) and mass. The element tables have a row per element, so they are broadcast."""
+    """atoms with z, radius (nm), mass, and defaulted (the element is unknown and counts as carbon; strict: an error). The element tables have a row
+    per element, so they are broadcast."""
     known = atoms.join(F.broadcast(names.withColumnRenamed("symbol", "element")), "element", "left")
     z = F.coalesce("z", F.raise_error(F.concat(F.lit("unknown element "), "element")) if strict else F.lit(CARBON)).cast("int")
     carbon = values.where(F.col("z") == CARBON).select(F.col("mass").alias("_cm"), F.col("radius_ang").alias("_cr"))
-    out = known.withColumn("z", z).join(F.broadcast(values), "z", "left").join(F.broadcast(carbon))
-    return out.select(*atoms.columns, "z", (F.coalesce("radius_ang", "_cr") * 0.1).alias("radius"), F.coalesce("mass", "_cm").alias("mass"))
+    out = known.withColumns({"z": z, "defaulted": F.col("z").isNull()}).join(F.broadcast(values), "z", "left").join(F.broadcast(carbon))
+    return out.select(*atoms.columns, "z", (F.coalesce("radius_ang", "_cr") * 0.1).alias("radius"), F.coalesce("mass", "_cm").alias("mass"), "defaulted")

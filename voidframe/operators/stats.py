@@ -11,8 +11,9 @@ AVOGADRO = 6.02214076e23
 
 
 def masses(atoms: DataFrame, grids: DataFrame) -> DataFrame:
-    """structure_id, atoms, mass (g/mol), density (g/cm3), v_cell."""
-    own = atoms.groupBy("structure_id").agg(F.count(F.lit(1)).alias("atoms"), F.sum("mass").alias("mass"))
+    """structure_id, atoms, mass (g/mol), defaulted (atoms of unknown elements, if atoms says so), density (g/cm3), v_cell."""
+    defaulted = F.count_if("defaulted") if "defaulted" in atoms.columns else F.lit(0).cast("long")
+    own = atoms.groupBy("structure_id").agg(F.count(F.lit(1)).alias("atoms"), F.sum("mass").alias("mass"), defaulted.alias("defaulted"))
     cell = F.col("lx") * F.col("ly") * F.col("lz")
     return own.join(grids.select("structure_id", cell.alias("v_cell")), "structure_id").withColumn("density", F.col("mass") / AVOGADRO / (F.col("v_cell") * 1e-21))
 
@@ -45,3 +46,23 @@ def record(grids: DataFrame, mass: DataFrame, volume: DataFrame, surface: DataFr
         **{f"{k}_frac": F.col(f"v_{k}") / F.col("v_cell") for k in ("void", "acc", "trap")},
         **{f"{k}_per_g": F.when(grams > 0, F.col(k) * 1e-18 / grams).otherwise(0.0) for k in ("s_acc", "s_total")},
     })
+
+
+def nested(found: DataFrame, settings: dict, run: dict, timings: dict, octree: bool) -> DataFrame:
+    """structure_id and the record as it is written: info, settings, stats, run_envs, timings. found: what `record` gives."""
+    col, lit = F.col, F.lit
+    per = lambda c: F.array(*[col(f"{c}{x}") for x in "xyz"])
+    tree = lambda c: (col(c) if octree else lit(0)).cast("long")
+    # The names of the record's fields.
+    info = {
+        "box_nm": per("l"), "box_inferred": col("box_inferred"), "grid_shape": per("g"), "voxels": col("voxels"), "grid_space_set_nm": lit(settings["grid"]), "grid_space_real_nm": per("dg"),
+        "voxel_volume_nm3": col("voxel"), "probe_nm": lit(settings["probe"]), "octree_used": lit(octree), "octree_root_voxels": tree("n_boundary"), "octree_nodes": tree("nodes"),
+        "octree_root_nodes": tree("n_boundary"), "octree_leaf_nodes": tree("leaves"), "defaulted_elements": col("defaulted"),
+    }
+    stats = {
+        "atoms": "atoms", "mass_g/mol": "mass", "density_g/cm3": "density", "Vcell_nm3": "v_cell", "Vvoid_nm3": "v_void", "Vprobe_nm3": "v_probe", "Vacc_nm3": "v_acc", "Vtrap_nm3": "v_trap",
+        "Vvoid_frac": "void_frac", "Vacc_frac": "acc_frac", "Vtrap_frac": "trap_frac", "Sacc_nm2": "s_acc", "Sacc_m2/g": "s_acc_per_g", "Stotal_nm2": "s_total", "Stotal_m2/g": "s_total_per_g",
+        "PLD_nm": "pld", "LCD_nm": "lcd", "LCD_global_nm": "lcd_global",
+    }
+    of = lambda d: F.struct(*[(v if not isinstance(v, (str, int, float)) else lit(v)).alias(k) for k, v in d.items()])
+    return found.select("structure_id", of(info).alias("info"), of(settings).alias("settings"), F.struct(*[col(v).alias(k) for k, v in stats.items()]).alias("stats"), of(run).alias("run_envs"), of(timings).alias("timings"))

@@ -122,6 +122,17 @@ def s6(spark, sf_dir):
     return elements.read_parameters(lines).select("symbol", "z", "mass", F.round("radius_ang", 6).alias("radius_ang"))
 
 
+@query("s6_shared_numbers", """with l as (select p_partkey, 'Q' || (p_partkey % 50) as symbol, (200 + p_partkey % 20)::int as z, p_size::double as mass, p_retailprice / 1000 as sigma from part)
+select z, arg_max(mass, p_partkey) as mass, round(arg_max(sigma, p_partkey) * 10 * 0.5::double, 6) as radius_ang, (select string_agg(symbol, ',' order by symbol) from (select symbol, arg_max(z, p_partkey) as last from l group by 1) n where n.last = l.z) as symbols from l group by z""")
+def s6_shared(spark, sf_dir):
+    """Symbols that share a number, and change it: the last line with a number gives its values, the last with a symbol its number."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    lines = part.select(F.col("p_partkey").alias("lineno"), F.concat_ws(" ", F.concat(F.lit("Q"), F.col("p_partkey") % 50), F.lit(200) + F.col("p_partkey") % 20, F.col("p_size"), F.col("p_retailprice") / 1000).alias("value"))
+    names, values = elements.tables(spark, elements.read_parameters(lines))
+    by = names.where("z >= 200").groupBy("z").agg(F.array_join(F.array_sort(F.collect_list("symbol")), ",").alias("symbols"))
+    return values.where("z >= 200").join(by, "z", "left").select("z", "mass", F.round("radius_ang", 6).alias("radius_ang"), "symbols")
+
+
 @query("p6_box_inference", f"""with {_SQL_BASE} select structure_id, {", ".join(f"round(max({c} + radius) - min({c} - radius), 9) as l{c}" for c in "xyz")}, true as box_inferred from a group by 1""")
 def p6(spark, sf_dir):
     atoms, grids = tables(spark, sf_dir)
@@ -146,6 +157,27 @@ def j2(spark, sf_dir):
     return _field(spark, sf_dir, 0.02)[2].select("structure_id", "vid", F.round("dmin", 6).alias("dmin"), "vdw", "void", "boundary")
 
 
+_SQL_LONG = f"""with {_SQL_BASE},
+b as (select structure_id, l as lx, round(l * 1.3::double, 1) as ly, round(l * 0.8::double, 1) as lz from s),
+h as (select *, {", ".join(f"greatest(cast(round_even(l{c} / {GRID}::double, 0) as int), 1) as g{c}" for c in "xyz")} from b),
+p as (select a.structure_id, a.radius, {", ".join(f"a.{c} / s.l * b.l{c} as {c}" for c in "xyz")} from a join s using (structure_id) join b using (structure_id)),
+v as (select h.*, {", ".join(f"({i}.{i} + 0.5::double) * (l{c} / g{c}) as {c}" for c, i in zip("xyz", "ijk"))} from h, range(200) i(i), range(200) j(j), range(200) k(k) where i.i < gx and j.j < gy and k.k < gz),
+d as (select v.structure_id, gx, gy, gz, lx, ly, lz, v.x, v.y, v.z, min(sqrt({" + ".join(f"pow(v.{c} - p.{c} - round_even((v.{c} - p.{c}) / l{c}, 0) * l{c}, 2)" for c in "xyz")}) - p.radius) as gap from v join p on p.structure_id = v.structure_id group by all)
+select structure_id, gx, gy, gz, count(*) as voxels, count_if(gap > 0)::bigint as n_void, count_if(abs(gap) < greatest(lx / gx, ly / gy, lz / gz) * 0.7071068::double + 1e-6::double)::bigint as n_boundary, round(sum(gap), 5) as total from d group by 1, 2, 3, 4"""
+
+
+@query("j2_long_boxes", _SQL_LONG)
+def j2_long(spark, sf_dir):
+    """Boxes whose axes differ, so none can stand for another."""
+    atoms, cubes = tables(spark, sf_dir)
+    boxes = cubes.select("structure_id", "lx", F.round(F.col("lx") * 1.3, 1).alias("ly"), F.round(F.col("lx") * 0.8, 1).alias("lz"))
+    cube = cubes.select("structure_id", F.col("lx").alias("_l"))
+    grids = grid.sized(boxes, GRID)
+    moved = atoms.join(small(cube), "structure_id").join(small(boxes), "structure_id").withColumns({c: F.col(c) / F.col("_l") * F.col(f"l{c}") for c in "xyz"}).select(atoms.columns)
+    vox = distance.field(moved, grids, GRID).groupBy("structure_id").agg(F.count(F.lit(1)).alias("voxels"), F.count_if("void").alias("n_void"), F.count_if("boundary").alias("n_boundary"), F.round(F.sum("dmin"), 5).alias("total"))
+    return grids.select("structure_id", "gx", "gy", "gz").join(vox, "structure_id")
+
+
 @query("j3_all_atoms", f"with {_sql_field()} select structure_id, round(sum(gap), 4) as total, count(*) as voxels from d group by 1")
 def j3(spark, sf_dir):
     atoms, grids = tables(spark, sf_dir)
@@ -376,6 +408,46 @@ def w4(spark, sf_dir):
     return pores.centres(nodes).select("structure_id", "n", *[F.round(c, 6).alias(c) for c in ("x", "y", "z", "diameter")])
 
 
+_SQL_WALK = """{0}o as (select *, row_number() over (partition by structure_id order by r desc, vid) as k from {1}),
+{0}w as (select structure_id, k, [{{'x': x, 'y': y, 'z': z, 'r': r, 'vid': vid}}] as kept from {0}o where k = 1
+  union all select o.structure_id, o.k, case when len(list_filter(w.kept, lambda b: {2})) > 0 then w.kept else list_append(w.kept, {{'x': o.x, 'y': o.y, 'z': o.z, 'r': o.r, 'vid': o.vid}}) end as kept
+    from {0}w w join {0}o o on o.structure_id = w.structure_id and o.k = w.k + 1),
+{0} as (select e.structure_id, g.l, g.dg, b.vid, b.x, b.y, b.z, b.r from (select structure_id, arg_max(kept, k) as kept from {0}w group by 1) e join g using (structure_id), unnest(kept) u(b))"""
+_SQL_D2 = "(" + " + ".join(f"pow(b.{c} - o.{c} - round_even((b.{c} - o.{c}) / o.l, 0) * o.l, 2)" for c in "xyz") + ")"
+_SQL_EPS = "2 * sqrt(3 * o.dg * o.dg)"
+
+
+@query("g11_pore_nodes", f"""with recursive {_SQL_MAXIMA},
+{_SQL_WALK.format("alone", "m", f"{_SQL_D2} <= b.r * b.r and b.r - o.r + {_SQL_EPS} > 0 and {_SQL_D2} <= pow(b.r - o.r + {_SQL_EPS}, 2)")},
+{_SQL_WALK.format("apart", "alone", f"b.r + o.r - {_SQL_EPS} > 0 and {_SQL_D2} < pow(b.r + o.r - {_SQL_EPS}, 2)")}
+select structure_id, vid as node_id, round(r, 6) as r from apart""")
+def g11(spark, sf_dir):
+    _, grids, labels = _labels(spark, sf_dir)
+    return pores.pore_nodes(labels, grids).select("structure_id", "node_id", F.round("r", 6).alias("r"))
+
+
+@query("k2_size_lines", f"""with recursive {_SQL_MAXIMA}, b as (select structure_id, max(2 * r) as most, sum(4.0::double / 3 * pi() * r * r * r) as total from m group by 1),
+e as (select structure_id, total, k from b, range(400) t(k) where k <= ceil((most + 10 * 0.1::double) / 0.1::double) - 2),
+c as (select e.structure_id, e.k, e.total, count(m.vid) as n, coalesce(sum(4.0::double / 3 * pi() * m.r * m.r * m.r), 0) / e.total as v from e left join m on m.structure_id = e.structure_id and 2 * m.r >= e.k * 0.1::double and 2 * m.r < (e.k + 1) * 0.1::double group by 1, 2, 3)
+select structure_id, (k + 1)::bigint as at, concat_ws(chr(9), k + 1, printf('%.6f', (k + 0.5::double) * 0.1::double), n, printf('%.10e', v), printf('%.10e', sum(v) over (partition by structure_id order by k))) as line from c
+union all select structure_id, 0, '#N diameters_nm count volume cumulative' from b""")
+def k2(spark, sf_dir):
+    _, nodes = _nodes(spark, sf_dir)
+    found = pores.size_distribution(nodes, 0.1)
+    return sinks.psd_lines(found).select("structure_id", F.when(F.col("order")[0] == 0, 0).otherwise(F.col("order")[1]).alias("at"), "line")
+
+
+@query("k3_centre_lines", f"""with recursive {_SQL_MAXIMA}, n as (select *, row_number() over (partition by structure_id order by r desc, vid) as k from m)
+select structure_id, k + 1 as at, printf('He %.6f %.6f %.6f %.6f', x * 10, y * 10, z * 10, 2 * r) as line from n
+union all select structure_id, 0, count(*)::varchar from m group by 1
+union all select structure_id, 1, any_value(printf('Properties=species:S:1:pos:R:3:diameter_nm:R:1 Lattice="%.6f 0 0 0 %.6f 0 0 0 %.6f" pbc="T T T"', l * 10, l * 10, l * 10)) from m group by 1""")
+def k3(spark, sf_dir):
+    grids, nodes = _nodes(spark, sf_dir)
+    lines = sinks.centre_lines(pores.centres(nodes), grids.select("structure_id", "lx", "ly", "lz"))
+    part = F.col("order")[0]
+    return lines.select("structure_id", F.when(part < 2, part).otherwise(F.col("order")[1] + 1).alias("at"), "line")
+
+
 @query("a15_largest_cavity", f"with recursive {_SQL_MAXIMA} select structure_id, round(2 * max(r), 6) as lcd from m group by 1")
 def a15(spark, sf_dir):
     _, nodes = _nodes(spark, sf_dir)
@@ -465,3 +537,19 @@ def k1(spark, sf_dir):
     atoms, grids, vox = _field(spark, sf_dir)
     lines = sinks.cube_lines(vox.withColumn("f", F.col("void").cast("double")), "f", GRID, atoms)
     return lines.where(F.col("order")[0] == 2).select("structure_id", F.col("order")[1].cast("int").alias("ix"), F.col("order")[2].cast("int").alias("iy"), "line")
+
+
+_BOHR = 10.0 / 0.529177210903
+
+
+@query("k1_cube_head", f"""with {_SQL_BASE}, n as (select structure_id, count(*) as atoms, any_value(g.n) as n from a join g using (structure_id) group by 1)
+select structure_id, i as at, case i when 0 then 'Gaussian cube' when 1 then 'Volumetric data' when 2 then printf('%6d %12.6f %12.6f %12.6f', atoms, 0.0::double, 0.0::double, 0.0::double)
+ when 3 then printf('%5d %12.6f %12.6f %12.6f', n, s, 0.0::double, 0.0::double) when 4 then printf('%5d %12.6f %12.6f %12.6f', n, 0.0::double, s, 0.0::double) else printf('%5d %12.6f %12.6f %12.6f', n, 0.0::double, 0.0::double, s) end as line
+ from n, range(6) r(i), (select {GRID}::double * {_BOHR}::double as s)
+union all select structure_id, 10 + atom_id, printf('%5d %12.6f %12.6f %12.6f %12.6f', z_number, z_number::double, {", ".join(f"{c} * {_BOHR}::double" for c in "xyz")}) from a""")
+def k1_head(spark, sf_dir):
+    atoms, grids = tables(spark, sf_dir)
+    vox = grid.voxels(grids).withColumn("f", F.lit(1.0))
+    lines = sinks.cube_lines(vox, "f", GRID, atoms)
+    part, at = F.col("order")[0], F.col("order")[1]
+    return lines.where(part < 2).select("structure_id", F.when(part == 0, at).otherwise(at + 10).alias("at"), "line")
