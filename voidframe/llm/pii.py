@@ -115,52 +115,55 @@ def tags(spans: list[tuple[str, int, int]], length: int) -> np.ndarray:
 class Model:
     par: dict[str, np.ndarray]
 
-    def emissions(self, x: np.ndarray) -> tuple[np.ndarray, list]:
-        """Tag scores of windows x (windows x steps), and what the backward pass needs."""
-        p, kept, hs = self.par, [], []
-        for way in "fb":
-            ids = x if way == "f" else x[:, ::-1]
-            n, T = ids.shape
-            H = p[f"h{way}"].shape[0]
-            h, c = np.zeros((n, H)), np.zeros((n, H))
-            all_h, tape = np.empty((T, n, H)), []
-            for t in range(T):
-                z = p[f"x{way}"][ids[:, t]] + h @ p[f"h{way}"] + p[f"b{way}"]
-                s = 1 / (1 + np.exp(-z[:, : 3 * H]))
-                i, f, o, g = s[:, :H], s[:, H : 2 * H], s[:, 2 * H :], np.tanh(z[:, 3 * H :])
-                before, c_before = h, c
-                c = f * c + i * g
-                tc = np.tanh(c)
-                h = o * tc
-                all_h[t] = h
-                tape.append((before, c_before, i, f, o, g, tc))
-            kept.append((ids, tape))
-            hs.append(all_h if way == "f" else all_h[::-1])
-        both = np.concatenate(hs, axis=2)  # T x n x 2H
-        return (both @ p["out"] + p["bo"]).transpose(1, 0, 2), [both, kept]
+    def emissions(self, x: np.ndarray, train: bool = False) -> tuple[np.ndarray, list]:
+        """Tag scores of windows x (windows x steps), and what the backward pass needs. Both directions take a step together: axis 0 of the states
+        is the direction."""
+        p = self.par
+        ids = np.stack([x, x[:, ::-1]])
+        (_, n, T), H = ids.shape, p["h"].shape[1]
+        scale = np.repeat(np.array([0.5, 1], np.float32), [3 * H, H])  # a logistic function is a tanh of half its argument
+        way = np.arange(2)[:, None]
+        table = (p["x"] + p["b"][:, None]) * scale
+        weights = p["h"] * scale
+        h, c = np.zeros((2, n, H), np.float32), np.zeros((2, n, H), np.float32)
+        all_h, tape = np.empty((2, T, n, H), np.float32), []
+        for t in range(T):
+            z = np.tanh(table[way, ids[:, :, t]] + h @ weights)
+            s, g = 0.5 * z[:, :, : 3 * H] + 0.5, z[:, :, 3 * H :]
+            i, f, o = s[:, :, :H], s[:, :, H : 2 * H], s[:, :, 2 * H :]
+            if train:
+                tape.append((h, c, i, f, o, g))
+            c = f * c + i * g
+            tc = np.tanh(c)
+            h = o * tc
+            all_h[:, t] = h
+            if train:
+                tape[-1] += (tc,)
+        both = np.concatenate([all_h[0], all_h[1, ::-1]], axis=2)  # T x n x 2H
+        return (both @ p["out"] + p["bo"]).transpose(1, 0, 2), [both, ids, tape]
 
     def backward(self, de: np.ndarray, kept: list) -> dict[str, np.ndarray]:
-        p, (both, ways) = self.par, kept
-        d = de.transpose(1, 0, 2)
+        p, (both, ids, tape) = self.par, kept
+        d = np.ascontiguousarray(de.transpose(1, 0, 2), np.float32)
         grads = {"out": np.tensordot(both, d, ([0, 1], [0, 1])), "bo": d.sum((0, 1))}
         dh_all = d @ p["out"].T
-        H = p["hf"].shape[0]
-        for k, way in enumerate("fb"):
-            ids, tape = ways[k]
-            own = dh_all[:, :, :H] if way == "f" else dh_all[::-1, :, H:]
-            gx, gh, gb = np.zeros_like(p[f"x{way}"]), np.zeros_like(p[f"h{way}"]), np.zeros_like(p[f"b{way}"])
-            dh, dc = np.zeros_like(own[0]), np.zeros_like(own[0])
-            for t in range(len(tape) - 1, -1, -1):
-                before, c_before, i, f, o, g, tc = tape[t]
-                dh = dh + own[t]
-                dc = dc + dh * o * (1 - tc**2)
-                dz = np.concatenate([dc * g * i * (1 - i), dc * c_before * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - g**2)], axis=1)
-                gh += before.T @ dz
-                gb += dz.sum(0)
-                np.add.at(gx, ids[:, t], dz)
-                dh, dc = dz @ p[f"h{way}"].T, dc * f
-            grads |= {f"x{way}": gx, f"h{way}": gh, f"b{way}": gb}
-        return grads
+        H, (_, n, T) = p["h"].shape[1], ids.shape
+        own = np.stack([dh_all[:, :, :H], dh_all[::-1, :, H:]])  # direction x T x n x H
+        gh, dzs = np.zeros_like(p["h"]), np.empty((2, T, n, 4 * H), np.float32)
+        dh, dc = np.zeros((2, n, H), np.float32), np.zeros((2, n, H), np.float32)
+        back = p["h"].transpose(0, 2, 1)
+        for t in range(T - 1, -1, -1):
+            before, c_before, i, f, o, g, tc = tape[t]
+            dh = dh + own[:, t]
+            dc = dc + dh * o * (1 - tc * tc)
+            dz = dzs[:, t]
+            dz[:, :, :H], dz[:, :, H : 2 * H] = dc * g * i * (1 - i), dc * c_before * f * (1 - f)
+            dz[:, :, 2 * H : 3 * H], dz[:, :, 3 * H :] = dh * tc * o * (1 - o), dc * i * (1 - g * g)
+            gh += before.transpose(0, 2, 1) @ dz
+            dh, dc = dz @ back, dc * f
+        of = (ids.transpose(0, 2, 1)[..., None] == np.arange(CLASSES)).astype(np.float32).reshape(2, T * n, CLASSES)
+        flat = dzs.reshape(2, T * n, 4 * H)
+        return grads | {"x": of.transpose(0, 2, 1) @ flat, "h": gh, "b": flat.sum(1)}
 
 
 def _planted(rng: np.random.Generator) -> tuple[str | None, str]:
@@ -229,18 +232,17 @@ def examples(texts: list[str], most: int, seed: int = 9) -> tuple[np.ndarray, np
 def train(texts: list[str], most: int = 3000, hidden: int = 20, epochs: int = 7, batch: int = 64, rate: float = 0.02, seed: int = 9) -> Model:
     rng = np.random.default_rng(seed)
     x, y = examples(texts, most, seed)
-    par = {"out": rng.normal(0, 0.2, (2 * hidden, TAGS)), "bo": np.zeros(TAGS), "trans": np.zeros((TAGS, TAGS))}
-    for way in "fb":
-        bias = np.zeros(4 * hidden)
-        bias[hidden : 2 * hidden] = 1
-        par |= {f"x{way}": rng.normal(0, 0.3, (CLASSES, 4 * hidden)), f"h{way}": rng.normal(0, 0.2, (hidden, 4 * hidden)), f"b{way}": bias}
+    drawn = lambda scale, *shape: rng.normal(0, scale, shape).astype(np.float32)
+    bias = np.zeros((2, 4 * hidden), np.float32)
+    bias[:, hidden : 2 * hidden] = 1
+    par = {"out": drawn(0.2, 2 * hidden, TAGS), "bo": np.zeros(TAGS, np.float32), "trans": np.zeros((TAGS, TAGS)), "x": drawn(0.3, 2, CLASSES, 4 * hidden), "h": drawn(0.2, 2, hidden, 4 * hidden), "b": bias}
     model = Model(par)
     m, v, step = {k: np.zeros_like(a) for k, a in par.items()}, {k: np.zeros_like(a) for k, a in par.items()}, 0
     for epoch in range(epochs):
         order = rng.permutation(len(x))
         for i in range(0, len(order), batch):
             at = order[i : i + batch]
-            e, kept = model.emissions(x[at])
+            e, kept = model.emissions(x[at], train=True)
             n = e.shape[0] * e.shape[1]
             post, expected = forward_backward(e.reshape(n, TAGS), np.full(len(at), WIDTH), par["trans"], np.zeros(TAGS))
             post[np.arange(n), y[at].ravel()] -= 1
@@ -253,7 +255,7 @@ def train(texts: list[str], most: int = 3000, hidden: int = 20, epochs: int = 7,
             for k, g in grads.items():
                 m[k] = 0.9 * m[k] + 0.1 * g
                 v[k] = 0.999 * v[k] + 0.001 * g**2
-                par[k] = par[k] - pace * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
+                par[k] = (par[k] - pace * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(g.dtype)
     return model
 
 
