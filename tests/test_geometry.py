@@ -82,12 +82,46 @@ def test_percolation(cell):
         assert {r.vid: r.component for r in got} == {v: least[c] for v, c in enumerate(flat) if c >= 0}
 
 
-def test_bfs_depth_and_parent(cell):
-    comp = percolation.voxel_components(cell["vox"])
-    got = {r.vid: r for r in percolation.bfs_parents(cell["vox"], comp).collect()}
-    assert len(got) == int((cell["dmin"] > 0).sum())
-    for r in got.values():
-        assert (r.depth == 0) == (r.parent is None) and (r.parent is None or got[r.parent].depth == r.depth - 1)
+def nearest_steps(void, offsets):
+    """Depth from the least voxel of each component, and the least neighbour one step nearer, by a queue."""
+    steps = [o for o in itertools.product((-1, 0, 1), repeat=3) if any(o) and (offsets == 26 or sum(map(abs, o)) == 1)]
+    depth, number = {}, lambda p: int(np.ravel_multi_index(p, void.shape))
+    for start in map(tuple, np.argwhere(void)):
+        if start in depth:
+            continue
+        depth[start], todo = 0, [start]
+        for p in todo:
+            for q in (tuple(np.add(p, o)) for o in steps):
+                if all(0 <= x < n for x, n in zip(q, void.shape, strict=True)) and void[q] and q not in depth:
+                    depth[q] = depth[p] + 1
+                    todo.append(q)
+    nearer = lambda p: [number(q) for o in steps if depth.get(q := tuple(np.add(p, o))) == depth[p] - 1]
+    return {number(p): (d, min(nearer(p), default=None)) for p, d in depth.items()}
+
+
+@pytest.mark.parametrize("offsets", [6, 26])
+def test_bfs_depth_and_parent(cell, offsets):
+    comp = percolation.voxel_components(cell["vox"], offsets)
+    got = percolation.bfs_parents(cell["vox"], comp, offsets).collect()
+    want = nearest_steps(cell["dmin"] > 0, offsets)
+    assert {r.vid: (r.depth, r.parent) for r in got} == want and len(got) == len(want)
+
+
+def test_bfs_rounds_go_with_bends(spark):
+    """Two structures of different shape: an open box with a wall, and a corridor that turns back four times."""
+    box = np.ones((24, 6, 5), bool)
+    box[12, :5] = False
+    snake = np.zeros((24, 9, 1), bool)
+    snake[:, ::2] = True
+    snake[23, 1], snake[0, 3], snake[23, 5], snake[0, 7] = True, True, True, True
+    rows = [(s, *map(int, p), int(np.ravel_multi_index(p, v.shape)), True) for s, v in (("box", box), ("snake", snake)) for p in np.argwhere(v)]
+    vox = checkpointed(spark.createDataFrame(rows, "structure_id string, ix int, iy int, iz int, vid int, void boolean"))
+    found, rounds = percolation.depths(vox, percolation.voxel_components(vox))
+    got = {(r.structure_id, r.vid): r.depth for r in found.collect()}
+    assert got == {(s, k): d for s, v in (("box", box), ("snake", snake)) for k, (d, _) in nearest_steps(v, 6).items()}
+    assert max(got.values()) > 100 and rounds < 24 / 3
+    empty = percolation.bfs_parents(vox.where("false"), percolation.voxel_components(vox.where("false")))
+    assert empty.count() == 0
 
 
 def test_maxima_and_pruning(cell):

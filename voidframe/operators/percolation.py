@@ -6,6 +6,8 @@ component that touches both faces of an axis is accessible. Connectivity is not
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -70,31 +72,64 @@ def labelled(vox: DataFrame, grids: DataFrame) -> DataFrame:
     return out.withColumn("label", F.coalesce("label", F.lit(SOLID)))
 
 
+def half_steps(neighbours: int) -> list[tuple[int, int, int]]:
+    """One of each two opposite steps to the 6 or 26 neighbours of a voxel; the first axis that changes goes up."""
+    steps = [(x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)]
+    return [d for d in steps if d > (0, 0, 0) and (neighbours == 26 or sum(map(abs, d)) == 1)]
+
+
 def voxel_components(vox: DataFrame, offsets: int = 6) -> DataFrame:
     """(structure_id, vid, component) of void voxels, joined by 6 or by 26 neighbours, voxel by voxel."""
-    half = [(x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1) if (x, y, z) > (0, 0, 0) and (offsets == 26 or abs(x) + abs(y) + abs(z) == 1)]
     void = vox.where("void").select("structure_id", "ix", "iy", "iz", "vid")
-    met = shifted(void, half).join(void.withColumnRenamed("vid", "other"), ["structure_id", "ix", "iy", "iz"])
+    met = shifted(void, half_steps(offsets)).join(void.withColumnRenamed("vid", "other"), ["structure_id", "ix", "iy", "iz"])
     node = lambda c: F.struct("structure_id", F.col(c).alias("id"))
     named = connected_components(met.select(node("vid").alias("a"), node("other").alias("b")), "a", "b")
     named = named.select(F.col("node.structure_id").alias("structure_id"), F.col("node.id").alias("vid"), F.col("component.id").alias("component"))
     return void.join(named, ["structure_id", "vid"], "left").select("structure_id", "vid", F.coalesce("component", "vid").alias("component"))
 
 
-def bfs_parents(vox: DataFrame, components: DataFrame) -> DataFrame:
-    """(structure_id, vid, depth, parent): breadth-first depth from the least voxel of each component, the parent being the least
-    neighbour one step nearer. One round per step of depth, until no voxel is new."""
-    from ..plans.session import checkpointed
+def _swept(state: DataFrame, step: tuple[int, int, int]) -> DataFrame:
+    """state whose depth has passed along each unbroken run of voxels in the direction of step, both ways: one shuffle by line."""
+    axis = next(k for k, d in enumerate(step) if d)
+    t = F.col(f"i{'xyz'[axis]}")
+    line = [F.col(f"i{c}") - d * t for k, (c, d) in enumerate(zip("xyz", step, strict=True)) if k != axis]
+    named = state.withColumns({"_p": line[0], "_q": line[1]})
+    named = named.withColumn("_run", t - F.row_number().over(Window.partitionBy("structure_id", "_p", "_q").orderBy(t)))
+    run = Window.partitionBy("structure_id", "_p", "_q", "_run").orderBy(t)
+    up = F.min(F.col("depth") - t).over(run.rowsBetween(Window.unboundedPreceding, 0)) + t
+    down = F.min(F.col("depth") + t).over(run.rowsBetween(0, Window.unboundedFollowing)) - t
+    return named.withColumn("depth", F.least(up, down)).drop("_p", "_q", "_run")
+
+
+def depths(vox: DataFrame, components: DataFrame, neighbours: int = 6) -> tuple[DataFrame, int]:
+    """(structure_id, ix, iy, iz, vid, component, depth) of void voxels, depth being the steps from the least voxel of the component (components
+    must be of the same neighbourhood), and the rounds taken.
 
+    A round passes depths along whole runs of voxels, in each direction of the neighbourhood (3 or 13) in turn, so the rounds grow with the
+    bends of a shortest path and not with its length. A component that a round leaves as it was is done, and takes no part in later rounds:
+    no neighbour is then more than a step further, so every depth is the least."""
     void = vox.where("void").select("structure_id", "ix", "iy", "iz", "vid")
-    done = checkpointed(components.where("vid = component").join(void, ["structure_id", "vid"]).select("structure_id", "ix", "iy", "iz", "vid", F.lit(0).alias("depth"), F.lit(None).cast("long").alias("parent")))
-    front, depth = done, 0
-    from .distance import SIX
-
-    while not front.isEmpty():
-        depth += 1
-        reached = shifted(front.select("structure_id", "ix", "iy", "iz", F.col("vid").alias("from")), SIX).groupBy("structure_id", "ix", "iy", "iz").agg(F.min("from").alias("parent"))
-        new = reached.join(void, ["structure_id", "ix", "iy", "iz"]).join(done.select("structure_id", "vid"), ["structure_id", "vid"], "left_anti")
-        front = checkpointed(new.select("structure_id", "ix", "iy", "iz", "vid", F.lit(depth).alias("depth"), "parent"))
-        done = done.union(front)
-    return done.select("structure_id", "vid", "depth", "parent")
+    first = F.when(F.col("vid") == F.col("component"), 0)
+    live = checkpointed(void.join(components, ["structure_id", "vid"]).withColumn("depth", first))
+    done, rounds = [], 0
+    while not live.isEmpty():
+        rounds += 1
+        state = live.withColumn("_was", F.col("depth"))
+        for step in half_steps(neighbours):
+            state = _swept(state, step)
+        state = checkpointed(state)
+        moved = state.where(~F.col("depth").eqNullSafe(F.col("_was"))).select("structure_id", "component").distinct()
+        done.append(checkpointed(state.join(moved, ["structure_id", "component"], "left_anti").drop("_was")))
+        live = checkpointed(state.join(moved, ["structure_id", "component"], "left_semi").drop("_was"))
+    return reduce(DataFrame.union, done, live), rounds
+
+
+def bfs_parents(vox: DataFrame, components: DataFrame, neighbours: int = 6) -> DataFrame:
+    """(structure_id, vid, depth, parent): breadth-first depth from the least voxel of each component; the parent is the least neighbour one step
+    nearer, null for the first voxel."""
+    found, _ = depths(vox, components, neighbours)
+    both = [d for s in half_steps(neighbours) for d in (s, tuple(-x for x in s))]
+    offered = shifted(found.select("structure_id", "ix", "iy", "iz", (F.col("depth") + 1).alias("depth"), F.col("vid").alias("parent")), both)
+    nearer = offered.join(found.select("structure_id", "ix", "iy", "iz", "vid", "depth"), ["structure_id", "ix", "iy", "iz", "depth"])
+    nearest = nearer.groupBy("structure_id", "vid").agg(F.min("parent").alias("parent"))
+    return found.select("structure_id", "vid", "depth").join(nearest, ["structure_id", "vid"], "left")

@@ -238,6 +238,32 @@ def g8(spark, sf_dir):
     return percolation.voxel_components(_field(spark, sf_dir)[2], 26)
 
 
+def _sql_steps(near: str) -> str:
+    """Depths by a queue: a voxel is kept with the depth at which it is first reached."""
+    return f"""{_sql_field()}, w as (select structure_id, vid, ix, iy, iz from d where void),
+near as (select p.structure_id, p.vid as a, q.vid as b from w p join w q on q.structure_id = p.structure_id and {near}),
+reach as (select structure_id, vid as src, vid from w union select r.structure_id, r.src, n.b from reach r join near n on n.structure_id = r.structure_id and n.a = r.vid and n.b > r.src),
+first as (select structure_id, vid from reach group by 1, 2 having min(src) = vid),
+steps(structure_id, vid, depth) using key (structure_id, vid) as (select structure_id, vid, 0 from first
+  union select s.structure_id, n.b, min(s.depth + 1) from steps s join near n on n.structure_id = s.structure_id and n.a = s.vid left join recurring.steps k on k.structure_id = n.structure_id and k.vid = n.b where k.vid is null group by 1, 2)
+select s.structure_id, s.vid, any_value(s.depth)::int as depth, min(p.vid) as parent from steps s left join near n on n.structure_id = s.structure_id and n.a = s.vid
+left join steps p on p.structure_id = n.structure_id and p.vid = n.b and p.depth = s.depth - 1 group by 1, 2"""
+
+
+def _bfs(neighbours: int):
+    def run(spark, sf_dir):
+        from .plans.session import checkpointed
+
+        vox = checkpointed(_field(spark, sf_dir)[2])
+        return percolation.bfs_parents(vox, checkpointed(percolation.voxel_components(vox, neighbours)), neighbours)
+
+    return run
+
+
+query("g8_parents", "with recursive " + _sql_steps("abs(q.ix - p.ix) + abs(q.iy - p.iy) + abs(q.iz - p.iz) = 1"))(_bfs(6))
+query("g8_parents_26", "with recursive " + _sql_steps("q.vid <> p.vid and abs(q.ix - p.ix) <= 1 and abs(q.iy - p.iy) <= 1 and abs(q.iz - p.iz) <= 1"))(_bfs(26))
+
+
 @query("g3_runs", f"""with {_sql_field()}, r as (select *, iz - row_number() over (partition by structure_id, ix, iy order by iz) as k from d where void)
 select structure_id, ix::int as ix, iy::int as iy, min(iz)::int as z0, max(iz)::int as z1, min(vid) as run from r group by structure_id, ix, iy, k""")
 def g3(spark, sf_dir):
