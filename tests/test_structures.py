@@ -85,5 +85,68 @@ def test_gro_round_trip(spark, tmp_path):
     atoms, boxes = structures.read_structures(spark, str(tmp_path / "a.gro"))
     one = atoms.withColumn("structure_id", F.lit("s"))
     sinks.write_lines(sinks.gro_lines(one, boxes.withColumn("structure_id", F.lit("s"))), str(tmp_path / "out"))
-    again, _ = structures.read_gro(spark.read.text(str(tmp_path / "out" / "structure_id=s"), wholetext=True).select(F.lit("s").alias("structure_id"), F.col("value").alias("text")))
+    again, _ = structures.read_gro(structures.lines(spark.read.text(str(tmp_path / "out" / "structure_id=s"), wholetext=True).select(F.lit("s").alias("structure_id"), F.col("value").alias("text"))))
     assert again.orderBy("atom_id").collect() == one.orderBy("atom_id").collect()
+
+
+def test_bad_files_are_named(spark, tmp_path):
+    bad = {
+        "count.gro": "title\nmany\n",
+        "short.gro": GRO.rsplit("\n", 2)[0] + "\n",
+        "one.gro": "title\n",
+        "word.gro": GRO.replace("0.745", "x.745"),
+        "box.gro": GRO.replace("2.6   2.5\t2.4", "2.6 2.5"),
+        "short.xyz": XYZ.replace("\n2\n", "\n3\n"),
+        "blank.xyz": "\n\n",
+        "three.xyz": XYZ.replace(" 24.9", ""),
+        "none.pdb": PDB.split("ATOM")[0],
+        "empty.cif": "",
+    }
+    for name, text in bad.items():
+        (tmp_path / name).write_text(text)
+        with pytest.raises(Exception, match=name.replace(".", "[.]")):
+            atoms, boxes = structures.read_structures(spark, [str(tmp_path / name)])
+            atoms.collect(), boxes.collect()
+
+
+def test_a_file_is_split_over_tasks_and_read_once(spark, tmp_path):
+    """Files of all formats in one folder, in splits of a few lines: the same atoms as from whole texts."""
+    folder = tmp_path / "a folder"
+    folder.mkdir()
+    n = 3000
+    big = "\n".join(["title", str(n), *[f"    1UNL  {'CU' if i % 3 else 'H1':>5s}{i % 99999:5d}{i / 1000:8.3f}{0.5:8.3f}{i % 7:8.3f}" for i in range(n)], "9.0 8.0 7.0", ""])
+    for name, text in {"big.gro": big, "b.GRO": GRO, "c.xyz": "\n" + XYZ, "d.pdb": PDB, "e.cif": CIF}.items():
+        (folder / name).write_text(text)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        rows = structures.file_lines(spark, [str(folder)], "gro")
+        assert rows.where("structure_id like '%big.gro'").select(F.spark_partition_id()).distinct().count() > 8
+        atoms, boxes = structures.read_structures(spark, str(folder))
+        got = {(r.structure_id.rpartition("/")[2], r.atom_id): (r.element, r.x, r.z) for r in atoms.collect()}
+        assert boxes.count() == 5
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {k: v for k, v in got.items() if k[0] == "big.gro"} == {("big.gro", i): ("Cu" if i % 3 else "H", float(f"{i / 1000:.3f}"), float(i % 7)) for i in range(n)}
+    assert len(got) == n + 2 + 2 + 2 + 4
+    # the parsed tables come from what was read once
+    assert "FileScan" not in atoms._jdf.queryExecution().toString()
+
+
+def test_files_that_arrive(spark, tmp_path):
+    from voidframe.streaming import watch_gro
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.gro").write_text(GRO)
+    seen = []
+
+    def handle(atoms, boxes, batch):
+        seen.append((batch, [(r.element, r.x, r.z_number, r.mass) for r in atoms.orderBy("atom_id").collect()], boxes.first().lz))
+
+    for k in range(2):
+        query = watch_gro(spark, str(tmp_path / "in"), handle, str(tmp_path / "state"))
+        query.awaitTermination(120)
+        (tmp_path / "in" / "b.gro").write_text(GRO.replace("0.745", "0.845"))
+    assert [s[0] for s in seen] == [0, 1] and seen[0][1][0] == ("Cu", 0.745, 29, 63.546) and seen[1][1][0][1] == 0.845 and seen[0][2] == 2.4

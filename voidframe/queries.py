@@ -555,7 +555,7 @@ def s2(spark, sf_dir):
     lines = sinks.gro_lines(atoms, grids.select("structure_id", "lx", "ly", "lz"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("order", "line"))), lambda x: x["line"]), "\n")
     files = lines.groupBy("structure_id").agg(text.alias("text")).withColumn("structure_id", F.col("structure_id").cast("string"))
-    return structures.read_gro(files)[0]
+    return structures.read_gro(structures.lines(files))[0]
 
 
 @query("k1_cube_rows", f"""with {_sql_field()} select structure_id, ix::int as ix, iy::int as iy, string_agg(printf('%.8f', void::int::double), ' ' order by iz) as line from d group by 1, 2, 3""")
