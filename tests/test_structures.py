@@ -150,3 +150,30 @@ def test_files_that_arrive(spark, tmp_path):
         query.awaitTermination(120)
         (tmp_path / "in" / "b.gro").write_text(GRO.replace("0.745", "0.845"))
     assert [s[0] for s in seen] == [0, 1] and seen[0][1][0] == ("Cu", 0.745, 29, 63.546) and seen[1][1][0][1] == 0.845 and seen[0][2] == 2.4
+
+
+@pytest.mark.parametrize("parts", [7, None])
+def test_parts_of_a_text_and_whole_files(spark, tmp_path, parts):
+    """A cube of one large structure is written by several tasks; parts in order, and the file put together, hold its lines in order."""
+    g = (12, 9, 5)
+    cells = spark.range(g[0] * g[1] * g[2]).select(*[F.expr(e).cast("int").alias(c) for c, e in (("ix", "id div 45"), ("iy", "id div 5 % 9"), ("iz", "id % 5"))], (F.col("id") / 7).alias("f"))
+    field = cells.withColumn("structure_id", F.lit("file:///a b/c=1+2.gro")).union(cells.where("ix < 2 and iy < 2 and iz < 2").withColumn("structure_id", F.lit("tiny")))
+    atoms = spark.createDataFrame([("file:///a b/c=1+2.gro", i, 6, 0.1 * i, 0.2, 0.3) for i in range(11)] + [("tiny", 0, 1, 0.0, 0.0, 0.0)], "structure_id string, atom_id int, z_number int, x double, y double, z double")
+    lines = sinks.cube_lines(field, "f", 0.1, atoms)
+    want = {}
+    for r in sorted(lines.collect(), key=lambda r: (r.structure_id, r.order)):
+        want.setdefault(r.structure_id, []).append(r.line)
+    sinks.write_lines(lines, str(tmp_path / "cube"), parts)
+    found = sinks.part_files(spark, str(tmp_path / "cube")).orderBy("structure_id", "number").collect()
+    assert {r.structure_id for r in found} == set(want)
+    if parts:
+        assert sum(r.structure_id != "tiny" for r in found) >= 5
+    out = {r.structure_id: r for r in sinks.whole_files(spark, str(tmp_path / "cube"), str(tmp_path / "whole"), ".cube").collect()}
+    again = sinks.whole_files(spark, str(tmp_path / "cube"), f"file:{tmp_path}/whole", ".cube")
+    assert again.count() == len(out) == len(list((tmp_path / "whole").iterdir())) == 2
+    for name, own in want.items():
+        text = open(out[name].path).read()
+        assert text.splitlines() == own and len(text) == out[name].bytes
+    assert out["tiny"].path.endswith("/tiny.cube") and len(want["tiny"]) == 6 + 1 + 4
+    rows = want["file:///a b/c=1+2.gro"]
+    assert len(rows) == 6 + 11 + 12 * 9 and rows[-1] == " ".join(f"{(535 + k) / 7:.8f}" for k in range(5))

@@ -1,16 +1,23 @@
 """Writers: cube fields, pore size tables, pore centres, statistics, intermediate tables.
 
-A text result is a table of (structure_id, order, line). It is written with one folder per structure, which holds one file with the
-lines in order; the lines of a structure are sorted by Spark and streamed, never held whole.
+A text result is a table of (structure_id, order, line). Many tasks write it, each a range of the order of (structure_id, order), so one
+structure's text is spread over parts in a folder of its own, in order of their numbers. `whole_files` puts the parts of each structure
+together as one file, part after part, in a job with a task for each structure that streams bytes.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.session import checkpointed
+
 #: Bohr per nm.
 BOHR = 10.0 / 0.529177210903
 
@@ -66,8 +73,61 @@ def gro_lines(atoms: DataFrame, structures: DataFrame) -> DataFrame:
     return head.union(rows).union(n.select(*_line(_key(2), F.format_string("%10.5f%10.5f%10.5f", "lx", "ly", "lz"))))
 
 
-def write_lines(lines: DataFrame, path: str) -> None:
-    lines.repartition("structure_id").sortWithinPartitions("structure_id", "order").select("structure_id", "line").write.partitionBy("structure_id").text(path)
+def write_lines(lines: DataFrame, path: str, parts: int | None = None) -> None:
+    """A folder structure_id=<id> for each structure. Parts are ranges of about equal size, as many as given or as adaptive execution finds
+    worth a task; lines of one structure in several parts go on from part to part."""
+    dealt = lines.repartitionByRange(parts, "structure_id", "order") if parts else lines.repartitionByRange("structure_id", "order")
+    dealt.sortWithinPartitions("structure_id", "order").select("structure_id", "line").write.partitionBy("structure_id").text(path)
+
+
+#: Bytes that are held while a part is copied.
+COPY_BYTES = 8 << 20
+
+
+def part_files(spark: SparkSession, path: str) -> DataFrame:
+    """structure_id, number and path of the parts under a folder of write_lines."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", True).load(path).select("path")
+    return found.select(F.url_decode(F.replace(F.regexp_extract("path", "/structure_id=([^/]*)/", 1), F.lit("+"), F.lit("%2B"))).alias("structure_id"), F.regexp_extract("path", r"/part-(\d+)-", 1).cast("long").alias("number"), "path")
+
+
+def whole_files(spark: SparkSession, path: str, to: str, ending: str = "") -> DataFrame:
+    """Each structure of a folder of write_lines as one file in the folder `to`, which all executors reach; (structure_id, path, bytes). A file is
+    written under a name of its task's own and then renamed, so a task that is run again leaves a whole file. Characters of a structure's name
+    that a file name can't hold become _; the names are told apart by a hash of the name then."""
+    safe = F.regexp_replace("structure_id", r"[^A-Za-z0-9._-]", "_")
+    name = F.concat(F.when(safe == F.col("structure_id"), safe).otherwise(F.concat(safe, F.lit("-"), F.hex(F.xxhash64("structure_id")))), F.lit(ending))
+    each = part_files(spark, path).groupBy("structure_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("number", "path"))), lambda p: p["path"]).alias("paths"))
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = []
+            for target, paths in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                files, place = _filesystem(target)
+                files.create_dir(place.rpartition("/")[0], recursive=True)
+                own, size = f"{place}.{uuid.uuid4().hex[:12]}.tmp", 0
+                with files.open_output_stream(own) as out:
+                    for p in paths:
+                        source, at = _filesystem(p)
+                        with source.open_input_stream(at) as part:
+                            while chunk := part.read(COPY_BYTES):
+                                size += out.write(chunk)
+                files.move(own, place)
+                sizes.append(size)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64())], names=["structure_id", "path", "bytes"])
+
+    # the parts of a structure are names here, not text
+    named = each.select("structure_id", F.concat(F.lit(to.rstrip("/") + "/"), name).alias("path"), "paths").repartition("structure_id")
+    return checkpointed(named.mapInArrow(joined, "structure_id string, path string, bytes long"))
+
+
+def _filesystem(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of a path or URI as Spark writes it (file:/a stands for file:///a), and the path in it."""
+    if ":/" not in path:
+        return pyarrow.fs.LocalFileSystem(), path
+    if path.startswith("file:"):
+        return pyarrow.fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    scheme, rest = path.split("://", 1)
+    return pyarrow.fs.FileSystem.from_uri(f"{scheme}://{rest.partition('/')[0]}/")[0], rest if scheme not in ("hdfs", "viewfs") else "/" + rest.partition("/")[2]
 
 
 def write_stats(record: DataFrame, path: str) -> None:
