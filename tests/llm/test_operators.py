@@ -488,7 +488,7 @@ def test_large_buckets_are_cut_into_blocks(spark):
     sets = dedup.shingle_sets(df, df.select("doc_id"), 4).withColumnRenamed("doc_id", "rep")
     whole, start = dedup_brute(texts, 4), {r.rep: r.comp for r in members.select("rep", "comp").distinct().collect()}
     for block in (1024, 2):
-        groups = dedup.in_blocks(members, block)
+        groups = dedup.in_blocks(members, dedup.mixed_buckets(members, block))
         assert groups.groupBy("key", "lo", "hi").agg(F.count_distinct("own").alias("n")).agg(F.max("n")).first()[0] <= 2
         held = dedup.suspects(groups, 80)
         found = dedup.joining(held.join(sets, ["rep", "n"]), 80).collect()
@@ -504,6 +504,36 @@ def test_large_buckets_are_cut_into_blocks(spark):
         assert groups_of(up) == groups_of({i: whole[i][1] for i in texts})
 
 
+def crowd(n, copies):
+    """Documents that share two thirds of their shingles, too few for a link, and near copies of some."""
+    rng = np.random.default_rng(11)
+    shared = [f"s{x}" for x in range(40)]
+    out = {i: [*shared, *(f"w{x}" for x in rng.integers(0, 10**9, 20))] for i in range(n)}
+    for k in range(copies):
+        out[n + k] = [*out[k * 7 % n][:58], f"c{k}", f"d{k}"]
+    return {i: " ".join(w) for i, w in out.items()}
+
+
+def test_members_of_crowded_buckets_meet_by_rare_shingles(spark):
+    """The same components as brute force; the unlinked crowd gives rows in proportion to its members, where blocks would square them."""
+    from pyspark.sql import functions as F
+
+    texts = crowd(500, 80)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in dedup.near_duplicates(df, block=4).collect()}
+    assert got == dedup_brute(texts, 4) and len({c for _, c in got.values()}) < len(texts)
+    sets = dedup.shingle_sets(df, df.select("doc_id"), 4)
+    rare = dedup.rare_shingles(sets, 80)
+    # every linked pair meets
+    meets = {(r.a, r.b) for r in rare.alias("a").join(rare.alias("b"), "key").where("a.rep < b.rep").select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).collect()}
+    own = {i: set(dedup.shingles(t).tolist()) for i, t in texts.items()}
+    linked = {(a, b) for a in own for b in own if a < b and 100 * len(own[a] & own[b]) >= 80 * len(own[a] | own[b])}
+    assert linked and linked <= meets and len(meets) < len(texts)
+    members = rare.select("key", "rep", F.col("rep").alias("comp"), F.lit(-1).alias("slot"), F.lit(57).alias("n"), F.lit(0).alias("sig"), F.lit(0).alias("fine"))
+    assert dedup.in_blocks(members, dedup.mixed_buckets(members, 4)).count() < 20 * len(texts)
+    assert dedup.rare_shingles(sets.where("false"), 80).count() == 0
+
+
 def test_rows_of_one_doc_id_are_one_node(spark):
     t = [" ".join(f"{w}{k}" for k in range(30)) for w in "abc"]
     rows = [(3, t[0]), (5, t[0]), (5, t[1]), (9, t[1]), (11, t[2]), (11, t[2]), (12, None), (5, "")]

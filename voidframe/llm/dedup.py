@@ -11,7 +11,10 @@ of its bucket; components of the confirmed links follow; then only members of di
 compared, inside the bucket's task, each pair in one bucket only. Members that no signature speaks for drop out; the others' full sets
 join them, pairs are taken by rising signature distance, those that links have joined by then are passed over, the rest are confirmed,
 and only links that join components leave the task, fewer than it has members. So no link that could join two components is lost.
-A large bucket is cut into blocks that meet two by two; blocks of its largest component do not meet each other.
+A large bucket is cut into blocks that meet two by two; blocks of its largest component do not meet each other. Where more than FEW_BLOCKS
+blocks would have to meet all others, the bucket's members meet by rare shingles instead: sets of similarity 0.8 share one of the rarest
+fifth (and one) of the shingles of either, in any order of rarity that all follow, so a group for each shingle that stands there loses no link,
+and members that only have frequent shingles in common do not meet.
 
 A pair of similarity 0.8 is missed with a probability below 1e-4 (that more than MOST of SLOTS, or MOST_ALL of all slots differ).
 
@@ -27,13 +30,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.components import connected_components
 from .common import portions, text_of, written
 
 SLOTS, CHUNKS, MOST = 64, 14, 27
+#: Blocks of members outside a bucket's largest component, above which they meet by rare shingles.
+FEW_BLOCKS = 4
 FINE, MOST_ALL = 192, 77
 _rng = np.random.default_rng(20240229)
 _MULTIPLIERS = _rng.integers(1, 1 << 63, SLOTS + FINE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -133,7 +138,7 @@ _STARTS = np.array([p[0] for p in _PARTS])
 def near(i: np.ndarray, j: np.ndarray, n: np.ndarray, sig: np.ndarray, fine: np.ndarray, at_least: int, slot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Of pairs of rows (i, j), the places of those whose sizes and signatures allow a link, and how many slots differ; with slot, only of
     those for which this bucket stands first: of the first chunk with at most one error, the one that leaves out the error (or the chunk's
-    first slot)."""
+    first slot). A slot below 0 is no bucket's, and takes every pair."""
     places, apart = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for at in range(0, len(i), 20_000):
         a, b = i[at : at + 20_000], j[at : at + 20_000]
@@ -151,7 +156,7 @@ def near(i: np.ndarray, j: np.ndarray, n: np.ndarray, sig: np.ndarray, fine: np.
             inside = np.arange(SLOTS) >= _STARTS[first][:, None]
             inside &= np.arange(SLOTS) < np.r_[_STARTS[1:], SLOTS][first][:, None]
             hit = differs & inside
-            good = np.where(hit.any(axis=1), hit.argmax(axis=1), _STARTS[first]) == slot[a[fits]]
+            good = (np.where(hit.any(axis=1), hit.argmax(axis=1), _STARTS[first]) == slot[a[fits]]) | (slot[a[fits]] < 0)
             fits, d = fits[good], d[good]
         places.append(at + fits)
         apart.append(d)
@@ -179,16 +184,24 @@ def near_pairs(pairs: DataFrame, reps: DataFrame, at_least: int) -> DataFrame:
 _GROUP = ("key", "lo", "hi")
 
 
-def in_blocks(members: DataFrame, block: int = 256, usual: int = 512) -> DataFrame:
-    """members (key, slot, rep, comp, n, sig, fine) of buckets with several comp, in groups (key, lo, hi) of two blocks at most. A block holds
-    about `block` members (fewer if their sets are larger than `usual`); own is a member's block. Members of a bucket's largest comp
-    have blocks of their own, numbered behind the others', which meet only the others'."""
-    weighed = members.withColumn("_w", F.greatest(F.lit(1), F.ceil(F.col("n") / usual)).cast("long"))
-    by_comp = weighed.groupBy("key", "comp").agg(F.sum("_w").alias("w"))
+def _weighed(members: DataFrame, usual: int = 512) -> DataFrame:
+    """members with _w, what a set counts for in a block."""
+    return members.withColumn("_w", F.greatest(F.lit(1), F.ceil(F.col("n") / usual)).cast("long"))
+
+
+def mixed_buckets(members: DataFrame, block: int = 256) -> DataFrame:
+    """Buckets with several comp: key, _main (the largest comp), how many blocks the others' members and its own members take (_few, _many). A
+    block holds about `block` members, fewer if their sets are large."""
+    by_comp = _weighed(members).groupBy("key", "comp").agg(F.sum("_w").alias("w"))
     mixed = by_comp.groupBy("key").agg(F.max(F.struct("w", "comp")).alias("_top"), F.sum("w").alias("_all")).where(F.col("_top.w") < F.col("_all"))
     blocks = lambda w: F.ceil(w / block).cast("int")
-    mixed = mixed.select("key", F.col("_top.comp").alias("_main"), blocks(F.col("_all") - F.col("_top.w")).alias("_few"), blocks(F.col("_top.w")).alias("_many"))
-    own = weighed.join(mixed, "key").withColumn("_is_main", F.col("comp") == F.col("_main"))
+    return mixed.select("key", F.col("_top.comp").alias("_main"), blocks(F.col("_all") - F.col("_top.w")).alias("_few"), blocks(F.col("_top.w")).alias("_many"))
+
+
+def in_blocks(members: DataFrame, mixed: DataFrame) -> DataFrame:
+    """members (key, slot, rep, comp, n, sig, fine) of the buckets `mixed`, in groups (key, lo, hi) of two blocks at most; own is a member's block.
+    Members of a bucket's largest comp have blocks of their own, numbered behind the others', which meet only the others'."""
+    own = members.join(mixed, "key").withColumn("_is_main", F.col("comp") == F.col("_main"))
     h = F.xxhash64(F.lit(5), "rep")
     own = own.withColumn("own", F.when(F.col("_is_main"), F.col("_few") + F.pmod(h, F.col("_many"))).otherwise(F.pmod(h, F.col("_few"))).cast("int"))
     others = F.sequence(F.lit(0), F.when(F.col("_is_main"), F.col("_few")).otherwise(F.col("_few") + F.col("_many")) - 1)
@@ -196,6 +209,30 @@ def in_blocks(members: DataFrame, block: int = 256, usual: int = 512) -> DataFra
     return own.withColumn("g", F.explode(meets)).select("key", "g.lo", "g.hi", "own", "slot", "rep", "comp", "n", "sig", "fine")
 
 
+def rare_shingles(sets: DataFrame, at_least: int) -> DataFrame:
+    """(key, rep): for each set (doc_id, n, set), those of its n - o + 1 rarest shingles that other sets hold too, o being the least number of
+    shingles that it shares with any set it is linked with, ceil(at_least * n / 100). Two linked sets share such a key. Rarity is counted over
+    the sets given, ties go by the shingle's hash."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rep, own in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = np.frombuffer(own.as_buffer(), "<i8")
+                # rows that share a doc_id may hold several sets
+                which = np.int64(xxhash.xxh64_intdigest(found.tobytes()) >> 1)
+                for at in range(0, len(found), 1 << 16):
+                    part = found[at : at + (1 << 16)]
+                    same = [pa.array(np.full(len(part), v, np.int64)) for v in (rep, which, len(found))]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(part)], names=["rep", "which", "n", "key"])
+
+    each = written(sets.select("doc_id", "set").mapInArrow(spread, "rep long, which long, n long, key long"), "spread")
+    often = each.groupBy("key").agg(F.count(F.lit(1)).alias("_often")).where("_often > 1")
+    own = Window.partitionBy("rep", "which")
+    # shingles of this set alone are the rarest and come first
+    ranked = each.join(often, "key").select("key", "rep", "n", F.row_number().over(own.orderBy("_often", "key")).alias("_rank"), F.count(F.lit(1)).over(own).alias("_held"))
+    return ranked.where(f"_rank <= _held - (n * {at_least} + 99) div 100 + 1").select("key", "rep").distinct()
+
+
 def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Tables of whole groups, from rows sorted by group."""
     held: pa.Table | None = None
@@ -337,8 +374,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, at_least: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, at_least: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id reachable over links) of each document."""
+def near_duplicates(docs: DataFrame, words: int = 4, at_least: int = 80, block: int = 256) -> DataFrame:
+    """doc_id, n_shingles, component_id (least doc_id reachable over links) of each document; block is about how many members meet at once."""
     all_docs = written(sketches(docs, words), "sketches")
     linkable = all_docs.where("n > 0 and doc_id is not null")
     reps = written(linkable.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("fine").alias("fine")), "classes")
@@ -357,7 +394,16 @@ def near_duplicates(docs: DataFrame, words: int = 4, at_least: int = 80) -> Data
 
     # members of different components that share a bucket
     placed = buckets.select("key", "slot", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "slot", "rep", F.coalesce("component", "rep").alias("comp"))
-    groups = in_blocks(placed.join(reps.select("rep", "n", "sig", "fine"), "rep"))
+    signed = reps.select("rep", "n", "sig", "fine")
+    members = placed.join(signed, "rep")
+    mixed = written(mixed_buckets(members, block), "mixed")
+    groups = in_blocks(members, mixed.where(F.col("_few") <= FEW_BLOCKS))
+    crowded = mixed.where(F.col("_few") > FEW_BLOCKS)
+    if not crowded.isEmpty():
+        crowd = written(placed.join(crowded.select("key"), "key", "left_semi").select("rep", "comp").distinct(), "crowd")
+        rare = written(rare_shingles(sets.join(crowd.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), at_least), "rare")
+        by_shingle = rare.join(crowd, "rep").join(signed, "rep").select("key", F.lit(-1).cast("byte").alias("slot"), "rep", "comp", "n", "sig", "fine")
+        groups = groups.union(in_blocks(by_shingle, mixed_buckets(by_shingle, block)))
     held = written(suspects(groups, at_least), "suspects")
     more = written(joining(held.join(sets.select(F.col("doc_id").alias("rep"), "n", "set"), ["rep", "n"]), at_least), "joining")
     if not more.isEmpty():
