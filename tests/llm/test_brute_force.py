@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from voidframe.llm import decontaminate, language, quality, sharding
+from voidframe.llm import decontaminate, language, quality, secrets, sharding
 
 SF = "/root/testdata/sf0.001"
 
@@ -142,3 +142,67 @@ def test_recall_on_questions_with_other_parameters(spark, docs):
     print("recall", len(got & want) / len(want), "others", sorted(got - want)[:10])
     assert len(got & want) >= 0.9 * len(want)
     assert got <= want
+
+
+#: Stated apart from the operator: kind, first characters, the characters that follow, how many of these at least and at most.
+_FORMS = [
+    ("github", [f"gh{c}_" for c in "pousr"], "alnum", 36, None),
+    ("slack", [f"xox{c}-" for c in "abprs"], "alnum-", 10, None),
+    ("google", ["AIza"], "alnum_-", 35, 35),
+    ("stripe", ["rk_live_", "sk_live_"], "alnum", 16, None),
+]
+
+
+def _plain_secrets(text):
+    """Leftmost non-overlapping spans of these forms, character by character."""
+    out = []
+    for kind, heads, follow, least, most in _FORMS:
+        fits = lambda c: c.isascii() and (c.isalnum() or c in follow.removeprefix("alnum"))  # noqa: B023, E731
+        at = 0
+        while at < len(text):
+            head = next((h for h in heads if text.startswith(h, at)), None)
+            end = at + len(head) if head else at
+            while head and end < len(text) and fits(text[end]) and (most is None or end < at + len(head) + most):
+                end += 1
+            if head and end - at - len(head) >= least:
+                out.append(f"{kind}:{at}:{end}")
+                at = end
+            else:
+                at += 1
+    return sorted(out)
+
+
+def test_added_secret_rules_against_a_plain_scan(spark):
+    """Forms one character too short, exact, longer, inside one another and beside others; the index must not lose a text."""
+    rng = random.Random(9)
+    letters = "abcXYZ019"
+    rows = []
+    for k in range(400):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            kind, heads, follow, least, _ = rng.choice(_FORMS)
+            body = "".join(rng.choice(letters + follow.removeprefix("alnum")) for _ in range(least + rng.choice([-1, 0, 0, 1, 9])))
+            parts.append(rng.choice(["", "x", "é😀", " ", "gh", "-"]) + rng.choice(heads) + body)
+        rows.append((k, rng.choice(["", " ", ", ", "\n"]).join(parts)))
+    rows += [(1000, None), (1001, ""), (1002, "ghp_" * 20 + "a" * 36), (1003, "word " * 20_000 + "sk_live_" + "a1" * 8), (1004, "AIza" + "AIza" * 20)]
+    kinds = {f[0] for f in _FORMS}
+    found = 0
+    for r in secrets.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        want = _plain_secrets(dict(rows)[r.doc_id] or "")
+        got = sorted(s for s in r.spans.split(",") if s.split(":")[0] in kinds)
+        assert got == want, r.doc_id
+        found += len(want)
+    assert found > 300
+
+
+def test_keys_tokens_and_addresses_with_passwords(spark):
+    """pem, jwt and url: what matches, what lacks a character, and where two stand side by side."""
+    rows = [
+        (1, "a -----BEGIN RSA PRIVATE KEY----- b -----BEGIN PRIVATE KEY-----", "pem:2:33,pem:36:63"),
+        (2, "-----BEGIN PUBLIC KEY----- -----BEGIN rsa PRIVATE KEY-----", ""),
+        (3, "eyJ" + "a" * 8 + ".eyJ" + "b" * 8 + "." + "c" * 8, "jwt:0:32"),
+        (4, "eyJ" + "a" * 7 + ".eyJ" + "b" * 8 + "." + "c" * 8, ""),
+        (5, "é ftp://me:pw1@host.org, https://u:p@h.org http://h.org:80/x@y", "url:2:23"),
+    ]
+    got = {r.doc_id: r.spans for r in secrets.digest(spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")).collect()}
+    assert got == {k: want for k, _, want in rows}
