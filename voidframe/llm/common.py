@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,44 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: What an Arrow batch on its way to a Python task holds at most. Both sides keep several copies of a batch outside the heap, on the JVM's side in
+#: buffers that double; of 27 MB (a whole task's texts) these add up to hundreds of MB in an executor that runs two tasks.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
+def lean(spark: SparkSession) -> None:
+    """From now on this session's Arrow batches hold BATCH_BYTES at most, unless the session has a limit of its own. A batch is cut by rows: no result
+    depends on it. It stays set, since frames that operators return are computed later."""
+    if not spark._jsparkSession.sessionState().conf().contains(BATCH):
+        spark.conf.set(BATCH, f"{BATCH_BYTES}b")
+
+
+#: What operators keep in a Python worker from task to task, by the operator's name.
+kept: dict[str, dict] = {}
+
+
+def task(run: Callable, keeps: str = "") -> Callable:
+    """run, a function over Arrow batches, as the task of a worker that serves many operators: what others than `keeps` have kept goes before it,
+    and freed memory goes back to the system after it, where the C library would hold on to it."""
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name in kept.keys() - {keeps}:
+            kept[name].clear()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return within
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's own
+    if trim:
+        trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir; set to a fresh one only where it is unset and all run on one machine."""
     at = spark.conf.get("spark.checkpoint.dir", None)
@@ -33,6 +72,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: columns that a reader leaves out are not read again."""
+    lean(df.sparkSession)
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import portions, text_of, written
+from .common import portions, task, text_of, written
 
 WINDOW, LEAST = 5, 3
 BLOOM_BITS = 1 << 24
@@ -248,7 +248,7 @@ def template_windows(texts: DataFrame, key: str, lengths: list[int] | None = Non
             rows = rows_of(idents, texts, lengths) if lengths else [r for x in zip(idents, texts, strict=True) for r in rows_of_item(*x)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
-    return texts.select(F.col(key).cast("long"), text_of().alias("_text")).mapInArrow(cut, f"{key} long, at int, place int, n int, h long, slots array<string>, total int")
+    return texts.select(F.col(key).cast("long"), text_of().alias("_text")).mapInArrow(task(cut), f"{key} long, at int, place int, n int, h long, slots array<string>, total int")
 
 
 def bloom_of(windows: DataFrame) -> np.ndarray:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.components import connected_components
-from .common import portions, text_of, written
+from .common import portions, task, text_of, written
 
 SLOTS, CHUNKS, MOST = 64, 14, 27
 #: Blocks of members outside a bucket's largest component, above which they meet by rare shingles.
@@ -86,7 +86,7 @@ def sketches(docs: DataFrame, words: int = 4) -> DataFrame:
             columns = zip(*rows, strict=True) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, f.type) for x, f in zip(columns, list(schema)[1:], strict=True))], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), text_of().alias("_text")).mapInArrow(sketch, "doc_id long, n long, h1 long, h2 long, sig array<long>, fine array<long>")
+    return docs.select(F.col("doc_id").cast("long"), text_of().alias("_text")).mapInArrow(task(sketch), "doc_id long, n long, h1 long, h2 long, sig array<long>, fine array<long>")
 
 
 _PARTS = np.array_split(np.arange(SLOTS), CHUNKS)
@@ -118,7 +118,7 @@ def keyed(reps: DataFrame) -> DataFrame:
                 rep = np.repeat(part.column(0).to_numpy(zero_copy_only=False), keys.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(slots, len(keys))), pa.array(rep)], names=["key", "slot", "rep"])
 
-    return reps.select("rep", "sig").mapInArrow(spread, "key long, slot byte, rep long")
+    return reps.select("rep", "sig").mapInArrow(task(spread), "key long, slot byte, rep long")
 
 
 def _slots(column: pa.ListArray, kind: str, width: int) -> np.ndarray:
@@ -178,7 +178,7 @@ def near_pairs(pairs: DataFrame, reps: DataFrame, at_least: int) -> DataFrame:
 
     side = lambda s: reps.select(F.col("rep").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "sig", "fine")])
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.select("a", "b", "n_a", "n_b", "sig_a", "sig_b", "fine_a", "fine_b").mapInArrow(judge, "a long, b long")
+    return both.select("a", "b", "n_a", "n_b", "sig_a", "sig_b", "fine_a", "fine_b").mapInArrow(task(judge), "a long, b long")
 
 
 _GROUP = ("key", "lo", "hi")
@@ -225,7 +225,7 @@ def rare_shingles(sets: DataFrame, at_least: int) -> DataFrame:
                     same = [pa.array(np.full(len(part), v, np.int64)) for v in (rep, which, len(found))]
                     yield pa.RecordBatch.from_arrays([*same, pa.array(part)], names=["rep", "which", "n", "key"])
 
-    each = written(sets.select("doc_id", "set").mapInArrow(spread, "rep long, which long, n long, key long"), "spread")
+    each = written(sets.select("doc_id", "set").mapInArrow(task(spread), "rep long, which long, n long, key long"), "spread")
     often = each.groupBy("key").agg(F.count(F.lit(1)).alias("_often")).where("_often > 1")
     own = Window.partitionBy("rep", "which")
     # shingles of this set alone are the rarest and come first
@@ -282,7 +282,7 @@ def suspects(groups: DataFrame, at_least: int) -> DataFrame:
             yield from table.take(pa.array(np.unique(np.r_[i, j]))).to_batches()
 
     dealt = groups.repartition(*_GROUP).sortWithinPartitions(*_GROUP)
-    return dealt.mapInArrow(judge, groups.schema)
+    return dealt.mapInArrow(task(judge), groups.schema)
 
 
 class _Joined(dict):
@@ -342,7 +342,7 @@ def joining(groups: DataFrame, at_least: int) -> DataFrame:
                             b.append(max(rep[rows[x[k]]], rep[rows[y[k]]]))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return groups.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(judge, "a long, b long")
+    return groups.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(task(judge), "a long, b long")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -354,7 +354,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 packed = [shingles(t, words).tobytes() for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 8 for x in packed], pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "n", "set"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_of().alias("_text")).join(wanted, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, n long, set binary")
+    return docs.select(F.col("doc_id").cast("long"), text_of().alias("_text")).join(wanted, "doc_id", "left_semi").mapInArrow(task(sets), "doc_id long, n long, set binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, at_least: int) -> DataFrame:
@@ -371,7 +371,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, at_least: int) -> DataFrame:
 
     first = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), "a")
     both = first.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(task(check), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, at_least: int = 80, block: int = 256) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import portions
+from .common import lean, portions, task
 
 BITS = 16
 BUCKETS = 1 << BITS
@@ -203,6 +203,7 @@ def train(rows: list[tuple[list[str], str]], epochs: int = 4, batch: int = 48, r
 def learn(docs: DataFrame, per_language: int = 400) -> Model:
     """A model from about per_language rows of each lang, drawn by hash among the rows with text and lang whose crc32(doc_id) mod 3 is not 1.
     Of each drawn text a few runs of words reach the driver."""
+    lean(docs.sparkSession)
     usable = docs.where("text is not null and lang is not null and not (crc32(cast(coalesce(cast(doc_id as string), '') as binary)) % 3 <=> 1)").select("doc_id", "text", "lang")
     counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
     if not counts:
@@ -216,7 +217,7 @@ def learn(docs: DataFrame, per_language: int = 400) -> Model:
             for part in portions(batch, 0):
                 yield pa.RecordBatch.from_arrays([pa.array([runs(t) for t in part.column(0).to_pylist()], pa.list_(pa.list_(pa.string()))), part.column(1)], names=["runs", "lang"])
 
-    rows = drawn.mapInArrow(cut, "runs array<array<string>>, lang string").limit(2 * per_language * len(counts)).collect()
+    rows = drawn.mapInArrow(task(cut), "runs array<array<string>>, lang string").limit(2 * per_language * len(counts)).collect()
     return train(sorted((list(x), r["lang"]) for r in rows for x in r["runs"] if x))
 
 
@@ -267,6 +268,7 @@ def _judged(texts: list[str | None], scored: _Scored) -> tuple[np.ndarray, np.nd
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """docs with lang_pred and score, from the whole text alone. A task holds the words of about 4 MB of text at a time (or of one longer text)."""
+    lean(docs.sparkSession)
     docs = docs.drop("lang_pred", "score")
     docs = docs.withColumn("text", F.col("text").cast("string"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: the weight table
@@ -282,7 +284,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 named = names.take(pa.array(np.where(best < 0, len(names) - 1, best)))
                 yield pa.RecordBatch.from_arrays([*part.columns, named, pa.array(score, pa.float64())], names=[*columns, "lang_pred", "score"])
 
-    return docs.mapInArrow(label, T.StructType([*docs.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(task(label), T.StructType([*docs.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def digest(docs: DataFrame) -> DataFrame:

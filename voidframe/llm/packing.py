@@ -27,14 +27,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import portions, text_of, written
+from .common import kept, portions, task, text_of, written
 
 CAPACITY, PIECE, END_ID = 2048, 512, 1
 #: What is not among the characters on which the quick split agrees with the tokenizer's own: ASCII without its odd separators, Latin-1 letters and some marks.
 _ODD = "[^\\x00-\\x1b\\x20-\\x7eÀ-ÖØ-öø-ÿŒœ–—‘’“”…]|<\\|"
 _SPLIT = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 _KEPT_WORDS = 120_000
-_loaded: dict[str, _Quick] = {}
+_loaded: dict[str, _Quick] = kept.setdefault("packing", {})
 
 
 def tokenizer_path() -> str:
@@ -146,7 +146,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, piece: int = PI
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=False)], schema=schema)
 
     ddl = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
-    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(cut, ddl)
+    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(task(cut, "packing"), ddl)
 
 
 def differencing(lengths: np.ndarray, k: int) -> tuple[np.ndarray, int]:
