@@ -98,3 +98,31 @@ def test_empty(spark, none, odd):
     assert rs.search(rs.build(none), items).count() == 0
     assert rs.search(rs.build(odd), items.where("false")).count() == 0
     assert rs.search(rs.build(odd.where("text = ''")), items).count() == 0
+
+
+def test_passes_read_few_blocks_at_once(spark, monkeypatch):
+    """Blocks of several MB do not meet in one batch."""
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.range(0, 640, 1, 1).selectExpr("id as doc_id", "array_join(transform(sequence(1, 3000), x -> cast(id * 3000 + x as string)), ' ') as text")
+    index, items = rs.build(docs), spark.createDataFrame([(1, "7 1919999"), (2, "none")], "item_id long, text string")
+    seen, own = spark.sparkContext.accumulator(0), rs._frequencies
+    blocks = index.count()
+
+    def watched(q):
+        run = own(q)
+
+        def counted(batches):
+            def each():
+                for batch in batches:
+                    if batch.num_rows > 2:
+                        seen.add(1)
+                    yield batch
+
+            yield from run(each())
+
+        return counted
+
+    monkeypatch.setattr(rs, "_frequencies", watched)
+    got = rs.search(index, items).collect()
+    assert blocks >= 5 and seen.value == 0
+    assert [(r.item_id, r["rank"], r.doc_id) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 1, 0), (1, 2, 639)]

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import portions, written
+from .common import portions, task, written
 
 ROWS, BITS, HASHES, MOST_BITS = 256, 16, 4, 20
 #: Fixed values of the contract.
@@ -152,7 +152,7 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def build(docs: DataFrame) -> DataFrame:
     """The index of all documents, written in the shared folder: one row a block."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return written(own.mapInArrow(_index, _INDEX), "search-index")
+    return written(own.mapInArrow(task(_index), _INDEX), "search-index")
 
 
 def _terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,7 +312,7 @@ def search(index: DataFrame, items: DataFrame, k: int = TOP) -> DataFrame:
     passes over the index."""
     spark = index.sparkSession
     asked = items.select(F.monotonically_increasing_id().alias("row"), F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    asked = written(asked.mapInArrow(_terms_of, "row long, item_id long, terms binary").where("octet_length(terms) > 0"), "search-items")
+    asked = written(asked.mapInArrow(task(_terms_of), "row long, item_id long, terms binary").where("octet_length(terms) > 0"), "search-items")
     size = asked.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("terms")), F.lit(0)).alias("b")).first()
     whole = index.select("rows", "total", F.spark_partition_id().alias("task")).agg(F.sum("rows").cast("long").alias("n"), F.sum("total").alias("l"), F.count(F.lit(1)).alias("blocks"), F.approx_count_distinct("task").alias("tasks")).first()
     out = spark.createDataFrame([], "item_id long, rank int, doc_id long, score long")
@@ -323,14 +323,14 @@ def search(index: DataFrame, items: DataFrame, k: int = TOP) -> DataFrame:
         if not q.rows:
             continue
         df = np.zeros(len(q.terms), dtype=np.int64)
-        for r in index.select("terms").mapInArrow(_frequencies(q), "at long, df long").groupBy("at").agg(F.sum("df").alias("df")).collect():  # the group's terms
+        for r in index.select("terms").mapInArrow(task(_frequencies(q)), "at long, df long").groupBy("at").agg(F.sum("df").alias("df")).collect():  # the group's terms
             df[r["at"]] = r["df"]
         q.weigh(df, whole.n, whole.l)
-        seeds = index.drop("total").mapInArrow(_pass(q, some(whole.tasks), some(whole.blocks), None), "item long, doc_id long, score long")
+        seeds = index.drop("total").mapInArrow(task(_pass(q, some(whole.tasks), some(whole.blocks), None)), "item long, doc_id long, score long")
         floors = np.zeros(len(q.rows), dtype=np.int64)
         for r in _ranked(seeds, k).where(F.col("rank") == k).select("item", "score").collect():  # one row an item of the group
             floors[r["item"]] = r["score"]
-        best = _ranked(index.drop("total").mapInArrow(_pass(q, k, 0, floors), "item long, doc_id long, score long"), k)
+        best = _ranked(index.drop("total").mapInArrow(task(_pass(q, k, 0, floors)), "item long, doc_id long, score long"), k)
         names = spark.createDataFrame([(i, r["item_id"]) for i, r in enumerate(q.rows)], "item long, item_id long")
         found = best.join(F.broadcast(names), "item").select("item_id", "rank", "doc_id", "score")  # as many names as a group has items
         out = out.unionByName(found if groups == 1 else written(found, "search-found"))
