@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from voidframe.llm import decontaminate, dedup, fingerprint, html_text, language, packing, pii, quality, secrets, sharding
@@ -234,6 +235,48 @@ def test_packing(spark, odd, none, docs, texts):
     assert packing.digest(none).count() == 0
 
 
+def test_packing_cuts_stretches_once(monkeypatch):
+    """Stretches met before are not cut into words again, nor are words encoded again that stand in other stretches."""
+    path = packing.tokenizer_path()
+    own, asked, cut = packing._Quick(path), [], []
+    monkeypatch.setitem(packing._loaded, path, own)
+
+    class Counted:
+        def encode_batch_fast(self, texts, model=own.words_only, **how):
+            asked.extend(w for t in texts for w in t.split())
+            return model.encode_batch_fast(texts, **how)
+
+    class Cut:
+        def findall(self, text, split=packing._SPLIT):
+            cut.extend(text.split())
+            return split.findall(text)
+
+    own.words_only = Counted()
+    monkeypatch.setattr(packing, "_SPLIT", Cut())
+    names = ["".join(chr(97 + i // 26**k % 26) for k in range(5)) for i in range(0, 26**5, 370)]
+    marked = [f"{w}," for w in names]
+    for words in (names, names, marked, marked):
+        list(packing.encode([pa.array([" ".join(words)])], path))
+    assert sorted(cut) == sorted(names + marked) and sorted(asked) == sorted([*names, ","])
+
+
+def test_packing_forgets(monkeypatch, docs):
+    """Ids are the tokenizer's own however little is kept, and whichever arrays of a run have nothing for the quick way."""
+    path = packing.tokenizer_path()
+    own = packing._Quick(path)
+    monkeypatch.setitem(packing._loaded, path, own)
+    monkeypatch.setattr(packing, "_KEPT", 2000)
+    texts = [r.text or "" for r in docs.orderBy("doc_id").limit(120).collect()]
+    edges = ["", "日本 x", "  it's a_b!!'s 12a3 \x00'll, ", "It's It's, don't", "é É <|endoftext|>"]
+    found = 0
+    for k in range(0, len(texts), 20):
+        run = [["日本"], texts[k : k + 10], [""], [], edges, texts[k + 10 : k + 20]]
+        for part, got in zip(run, packing.encode([pa.array(p, pa.string()) for p in run], path), strict=True):
+            assert got == [np.array(own.model.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in part]
+        found = max(found, len(own.number))
+    assert found > 2000 and list(own.number.values()) == list(range(len(own.sizes))) and own.sizes.sum() == len(own.ids)
+
+
 def test_differencing():
     rng = np.random.default_rng(1)
     lengths = rng.integers(1, 513, 300)

@@ -20,6 +20,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +28,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, portions, task, text_of, written
+from .common import give_back, kept, portions, task, text_of, written
 
 CAPACITY, PIECE, END_ID = 2048, 512, 1
 #: What is not among the characters on which the quick split agrees with the tokenizer's own: ASCII without its odd separators, Latin-1 letters and some marks.
 _ODD = "[^\\x00-\\x1b\\x20-\\x7eÀ-ÖØ-öø-ÿŒœ–—‘’“”…]|<\\|"
 _SPLIT = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
-_KEPT_WORDS = 120_000
+#: Stretches and words that a worker keeps at most before it forgets half of them; about 150 bytes each.
+_KEPT = 200_000
 _loaded: dict[str, _Quick] = kept.setdefault("packing", {})
 
 
@@ -44,7 +46,8 @@ def tokenizer_path() -> str:
 
 
 class _Quick:
-    """The tokenizer with the ids of words met before. When they are many, they become the older half, and what is asked for again moves back."""
+    """The tokenizer with the ids of stretches and words met before. Each has a number, in the order met; the ids of all lie one after another.
+    When they are many, the half that was asked for most often stays."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -56,25 +59,58 @@ class _Quick:
         self.words_only.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.ends = np.zeros(self.model.get_vocab_size(), bool)
         self.ends[[i for token, i in self.model.get_vocab().items() if token.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def of(self, words: list[str]) -> list[bytes]:
-        """The ids of each word. New words are encoded as texts of many words; an id that ends a word ends its share."""
-        if len(self.known) > _KEPT_WORDS:
-            self.known, self.older = {}, self.known
-        new = [w for w in words if w not in self.known]
-        if self.older:
-            self.known.update((w, self.older[w]) for w in new if w in self.older)
-            new = [w for w in new if w not in self.known]
-        for i in range(0, len(new), 65536):
-            part = new[i : i + 65536]
+        self.number: dict[str, int] = {"\n": 0}  # what stands after each stretch when these are cut into words: no ids
+        self.ids, self.sizes, self.used = np.zeros(0, "<u4"), np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def put(self, names: list[str], ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Keeps names that are not known yet; their numbers."""
+        numbers = np.arange(len(self.number), len(self.number) + len(names))
+        self.number.update(zip(names, numbers.tolist(), strict=True))
+        self.ids, self.sizes, self.used = np.r_[self.ids, ids], np.r_[self.sizes, sizes], np.r_[self.used, np.ones(len(names), np.int64)]
+        return numbers
+
+    def forget(self) -> None:
+        self.used[0] = self.used.max() + 1
+        stay = np.sort(np.argsort(-self.used, kind="stable")[: _KEPT // 2])
+        names = list(self.number)
+        self.number = {names[i]: k for k, i in enumerate(stay.tolist())}
+        self.ids, self.sizes, self.used = self.ids[_expanded(stay, self.sizes)[0]], self.sizes[stay], self.used[stay] // 2
+
+    def numbers(self, names: list[str]) -> np.ndarray:
+        """The number of each distinct name; -1 for unknown ones."""
+        out = np.fromiter(map(self.number.get, names, repeat(-1)), np.int64, len(names))
+        self.used[out[out >= 0]] += 1
+        return out
+
+    def learn(self, stretches: list[str]) -> np.ndarray:
+        """The numbers of unknown stretches, cut into words. New words are encoded as texts of many words; an id that ends a word ends its share."""
+        words = pa.array(_SPLIT.findall("\n".join(stretches) + "\n"), pa.string()).dictionary_encode()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False)
+        number = self.numbers(distinct)
+        new = number < 0
+        if new.any():
+            part = distinct[new].tolist()
             found = self.words_only.encode_batch_fast([" ".join(part[k : k + 1024]) for k in range(0, len(part), 1024)], add_special_tokens=False)
             ids = np.concatenate([np.array(e.ids, "<u4") for e in found])
-            edges = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
-            raw = ids.tobytes()
-            self.known.update(zip(part, (raw[a:b] for a, b in zip(edges, edges[1:], strict=False)), strict=True))
-        return list(map(self.known.__getitem__, words))
+            number[new] = self.put(part, ids, np.diff(np.flatnonzero(self.ends[ids]), prepend=-1))
+        word = number[words.indices.to_numpy(zero_copy_only=False)]
+        marks = np.flatnonzero(word == 0)
+        out, more = word[marks - 1], np.diff(marks, prepend=-1) != 2  # a stretch of one word is that word
+        at, ends = _expanded(word, self.sizes)
+        sizes = np.diff(ends[marks], prepend=0)
+        out[more] = self.put(list(compress(stretches, more)), self.ids[at[np.repeat(more, sizes)]], sizes[more])
+        return out
+
+    def of(self, stretches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct stretches, one after another, and how many each has."""
+        if len(self.number) > _KEPT:
+            self.forget()
+        number = self.numbers(stretches)
+        unknown = np.flatnonzero(number < 0)
+        for i in range(0, len(unknown), 65536):
+            part = unknown[i : i + 65536]
+            number[part] = self.learn(stretches[part].tolist())
+        return self.ids[_expanded(number, self.sizes)[0]], self.sizes[number]
 
 
 def _tokenizer(path: str) -> _Quick:
@@ -90,30 +126,42 @@ def _expanded(number: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.repeat((np.cumsum(sizes) - sizes)[number] - ends + n, n) + np.arange(n.sum()), ends
 
 
-def encode(texts: pa.Array, path: str) -> list[bytes]:
-    """Each text's ids as little-endian unsigned 32-bit numbers. The tokenizer's words never cross white space and are treated alone, so
-    the stretches between white space are numbered, each distinct one is cut into words once, these are numbered too, each distinct word is
-    looked up or encoded, and ids are put in place by number."""
+def encode(texts: list[pa.Array], path: str) -> Iterator[list[bytes]]:
+    """For each array, each text's ids as little-endian unsigned 32-bit numbers. The tokenizer's words never cross white space and are treated
+    alone, so the stretches between white space are numbered over all arrays, each distinct one is looked up, or cut into words that are looked
+    up or encoded, and ids are put in place by number."""
     own = _tokenizer(path)
-    odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False).astype(bool)
-    out = [b""] * len(texts)
-    for i in np.flatnonzero(odd):
-        out[i] = array("I", own.model.encode(texts[i].as_py(), add_special_tokens=False).ids).tobytes()
-    split = pc.ascii_split_whitespace(pc.utf8_lower(texts.filter(pa.array(~odd))))
-    stretches = split.flatten().dictionary_encode()
-    words = pa.array(_SPLIT.findall("".join(f"{s}\n" for s in stretches.dictionary.to_pylist())), pa.string()).dictionary_encode()
-    distinct, word = words.dictionary.to_pylist(), words.indices.to_numpy(zero_copy_only=False)
-    marks = np.flatnonzero(word == distinct.index("\n")) if distinct else np.zeros(0, np.int64)  # the end of each stretch
-    at_word, stretch_ends = _expanded(stretches.indices.to_numpy(zero_copy_only=False), np.diff(marks, prepend=-1))
-    found = own.of([w for w in distinct if w != "\n"])
-    if distinct:
-        found.insert(distinct.index("\n"), b"")
-    at_id, word_ends = _expanded(word[at_word], np.fromiter(map(len, found), np.int64, len(found)) // 4)
-    ids = np.frombuffer(b"".join(found), "<u4")[at_id].tobytes()
-    edges = 4 * np.r_[0, word_ends][np.r_[0, stretch_ends][split.offsets.to_numpy() - split.offsets[0].as_py()]]
-    for i, a, b in zip(np.flatnonzero(~odd), edges, edges[1:], strict=False):
-        out[i] = ids[a:b]
-    return out
+    odds = [pc.match_substring_regex(t, _ODD).to_numpy(zero_copy_only=False).astype(bool) for t in texts]
+    splits = [pc.ascii_split_whitespace(pc.utf8_lower(t.filter(pa.array(~odd)))) for t, odd in zip(texts, odds, strict=True)]
+    edges = [s.offsets.to_numpy() - s.offsets[0].as_py() for s in splits]  # each text's stretches
+    stretches = pa.concat_arrays([s.flatten() for s in splits]).dictionary_encode()
+    del splits
+    found, sizes = own.of(stretches.dictionary.to_numpy(zero_copy_only=False))
+    numbers = np.split(stretches.indices.to_numpy(zero_copy_only=False), np.cumsum([e[-1] for e in edges])[:-1])
+    for text, odd, edge, number in zip(texts, odds, edges, numbers, strict=True):
+        out = [b""] * len(text)
+        for i in np.flatnonzero(odd):
+            out[i] = array("I", own.model.encode(text[i].as_py(), add_special_tokens=False).ids).tobytes()
+        at_id, ends = _expanded(number, sizes)
+        ids = found[at_id].tobytes()
+        cut = (4 * np.r_[0, ends][edge]).tolist()
+        for i, a, b in zip(np.flatnonzero(~odd), cut, cut[1:], strict=False):
+            out[i] = ids[a:b]
+        yield out
+
+
+def _runs(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[list[pa.RecordBatch]]:
+    """Portions of about 4 MB of text, together about `most`: a stretch that several of them have is looked up once."""
+    run, size = [], 0
+    for part in (part for batch in batches for part in portions(batch, 1, 4 << 20)):
+        if run and size + part.nbytes > most:
+            yield run
+            run, size = [], 0
+            give_back()
+        run.append(part)
+        size += part.nbytes
+    if run:
+        yield run
 
 
 def cuts(tokens: int, capacity: int, piece: int) -> list[tuple[int, int]]:
@@ -134,10 +182,10 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, piece: int = PI
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([END_ID], "<u4").tobytes()
-        for batch in batches:
-            for part in portions(batch, 1, 4 << 20):
+        for run in _runs(batches):
+            for part, found in zip(run, encode([p.column(1) for p in run], path), strict=True):
                 rows = []
-                for doc_id, ids in zip(part.column(0).to_pylist(), encode(part.column(1), path), strict=True):
+                for doc_id, ids in zip(part.column(0).to_pylist(), found, strict=True):
                     ids += end
                     n = len(ids) // 4
                     for start, length in cuts(n, capacity, piece):
