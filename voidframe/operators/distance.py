@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import cell_count, cell_index, distance
-from ..plans.session import small
+from ..plans.session import beside, checkpointed, fits, small
 
 _BOX = ("lx", "ly", "lz")
 
@@ -66,9 +66,8 @@ def nearest(points: DataFrame, centres: DataFrame, boxes: DataFrame, periodic: b
     """points (structure_id, vid, x, y, z, ..) with gap, the least distance to the surface of one of the centres (structure_id, x, y, z, radius) of their
     structure, and round, from 0, in which it was settled. boxes: structure_id, lx, ly, lz, rmax (greatest radius) and edge (least cell edge of the first
     round). Points of a structure without centres are left out. Lineage is cut once a round."""
-    from ..plans.session import checkpointed
-
-    left, parts = points, []
+    boxes = checkpointed(boxes)
+    few, left, parts = fits(boxes), points, []
     for k in range(most_rounds):
         sized = boxes.withColumns({f"n{c}": cell_count(F.col(f"l{c}"), F.col("edge") * float(1 << k)) for c in "xyz"})
         # beyond this distance a centre may lie outside the cells around; an axis with few cells is covered whole
@@ -83,11 +82,11 @@ def nearest(points: DataFrame, centres: DataFrame, boxes: DataFrame, periodic: b
                 return F.array_distinct(F.transform(near, lambda i: F.pmod(i, F.col(f"n{c}"))))
             return F.filter(near, lambda i: (i >= 0) & (i < F.col(f"n{c}")))
 
-        a = centres.select("structure_id", "x", "y", "z", "radius").join(sized, "structure_id")
+        a = centres.select("structure_id", "x", "y", "z", "radius").join(beside(sized, few), "structure_id")
         for c in "xyz":
             a = a.withColumn(f"c{c}", F.explode(around(c)))
         a = a.select("structure_id", "cx", "cy", "cz", *[F.col(c).alias(f"_a{c}") for c in "xyz"], "radius")
-        p = left.join(sized.select("structure_id", *_BOX, "nx", "ny", "nz", "_bound"), "structure_id").withColumns({f"c{c}": cell(c) for c in "xyz"})
+        p = left.join(beside(sized.select("structure_id", *_BOX, "nx", "ny", "nz", "_bound"), few), "structure_id").withColumns({f"c{c}": cell(c) for c in "xyz"})
         gap = [F.col(c) - F.col(f"_a{c}") for c in "xyz"]
         gap = [d - F.rint(d / F.col(f"l{c}")) * F.col(f"l{c}") for d, c in zip(gap, "xyz", strict=True)] if periodic else gap
         met = p.join(a, ["structure_id", "cx", "cy", "cz"], "left").withColumn("gap", F.sqrt(gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2]) - F.col("radius"))

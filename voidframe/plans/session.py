@@ -32,6 +32,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fits(df: DataFrame) -> bool:
+    """Whether df may be sent to every executor, by its rows, counted. For checkpointed tables of a row a structure: Spark's estimate of a join is its
+    inputs' sizes multiplied, so `small` takes none that came from one."""
+    return df.count() * sum(16 + (f.dataType.jsonValue() == "string") * 48 for f in df.schema.fields) <= BROADCAST_BYTES
+
+
+def beside(df: DataFrame, few: bool) -> DataFrame:
+    """df (few: as `fits` says) for a join with rows that were made from fewer by explode, such as voxels: Spark estimates these by what they were made
+    from, and would send them to every executor instead of df. Where df doesn't fit, both sides are merged by key."""
+    return F.broadcast(df) if few else df.hint("merge")
+
+
 def spread(df: DataFrame) -> int:
     """How many parts few rows that are about to become many are dealt to."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
