@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import cell_count, cell_index, distance
-from ..plans.session import beside, checkpointed, fits, small
+from ..plans.session import beside, checkpointed, fits, small, spread
 
 _BOX = ("lx", "ly", "lz")
 
@@ -68,6 +68,8 @@ def nearest(points: DataFrame, centres: DataFrame, boxes: DataFrame, periodic: b
     round). Points of a structure without centres are left out. Lineage is cut once a round."""
     boxes = checkpointed(boxes)
     few, left, parts = fits(boxes), points, []
+    # few rows that become many: dealt out first, a small file would else be one task
+    centres = centres.select("structure_id", "x", "y", "z", "radius").repartition(spread(points), "structure_id", "x", "y", "z")
     for k in range(most_rounds):
         sized = boxes.withColumns({f"n{c}": cell_count(F.col(f"l{c}"), F.col("edge") * float(1 << k)) for c in "xyz"})
         # beyond this distance a centre may lie outside the cells around; an axis with few cells is covered whole
@@ -82,17 +84,21 @@ def nearest(points: DataFrame, centres: DataFrame, boxes: DataFrame, periodic: b
                 return F.array_distinct(F.transform(near, lambda i: F.pmod(i, F.col(f"n{c}"))))
             return F.filter(near, lambda i: (i >= 0) & (i < F.col(f"n{c}")))
 
-        a = centres.select("structure_id", "x", "y", "z", "radius").join(beside(sized, few), "structure_id")
+        a = centres.join(beside(sized, few), "structure_id")
         for c in "xyz":
             a = a.withColumn(f"c{c}", F.explode(around(c)))
         a = a.select("structure_id", "cx", "cy", "cz", *[F.col(c).alias(f"_a{c}") for c in "xyz"], "radius")
         p = left.join(beside(sized.select("structure_id", *_BOX, "nx", "ny", "nz", "_bound"), few), "structure_id").withColumns({f"c{c}": cell(c) for c in "xyz"})
+        if k:  # the cells that open points lie in are few
+            a = a.join(p.select("structure_id", "cx", "cy", "cz").distinct(), ["structure_id", "cx", "cy", "cz"], "left_semi")
         gap = [F.col(c) - F.col(f"_a{c}") for c in "xyz"]
         gap = [d - F.rint(d / F.col(f"l{c}")) * F.col(f"l{c}") for d, c in zip(gap, "xyz", strict=True)] if periodic else gap
         met = p.join(a, ["structure_id", "cx", "cy", "cz"], "left").withColumn("gap", F.sqrt(gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2]) - F.col("radius"))
         # what follows from the key is carried, not hashed
         rest = [F.first(c).alias(c) for c in (*points.columns, "_bound") if c not in ("structure_id", "vid")]
-        found = checkpointed(met.groupBy("structure_id", "vid").agg(F.min("gap").alias("gap"), *rest))
+        # a point is in one cell: with the first, small cells among the keys it stays in the join's task; large cells are grouped apart
+        key = ("structure_id", "vid") if k else ("structure_id", "cx", "cy", "cz", "vid")
+        found = checkpointed(met.groupBy(*key).agg(F.min("gap").alias("gap"), *rest).drop("cx", "cy", "cz"))
         settled = (F.col("_bound") == float("inf")) | F.coalesce(F.col("gap") <= F.col("_bound"), F.lit(False))
         parts.append(found.where(settled).select(*points.columns, "gap", F.lit(k).alias("round")))
         left = found.where(~settled).select(points.columns)
