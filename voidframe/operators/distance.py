@@ -28,19 +28,21 @@ def cells(structures: DataFrame, atoms: DataFrame, grid: float, probe: float = 0
     return out.withColumns({f"n{c}": cell_count(F.col(f"l{c}"), F.col("cell")) for c in "xyz"})
 
 
-def in_cells(atoms: DataFrame, celled: DataFrame) -> DataFrame:
-    """atoms with box, cell counts and one row for each distinct cell in their 27-cell neighbourhood: cx, cy, cz."""
-    placed = atoms.join(small(celled.select("structure_id", *_BOX, "nx", "ny", "nz")), "structure_id")
+def in_cells(atoms: DataFrame, celled: DataFrame, few: bool | None = None) -> DataFrame:
+    """atoms with box, cell counts and one row for each distinct cell in their 27-cell neighbourhood: cx, cy, cz. few: whether celled fits, if counted."""
+    own = celled.select("structure_id", *_BOX, "nx", "ny", "nz")
+    placed = atoms.join(small(own) if few is None else beside(own, few), "structure_id")
     around = lambda c: F.array_distinct(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.pmod(cell_index(F.col(c), F.col(f"l{c}"), F.col(f"n{c}")) + d, F.col(f"n{c}"))))
     for c in "xyz":
         placed = placed.withColumn(f"c{c}", F.explode(around(c)))
     return placed
 
 
-def located(points: DataFrame, celled: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
-    """points with the cell they lie in."""
-    own = points.join(small(celled.select("structure_id", *_BOX, "nx", "ny", "nz", *extra)), "structure_id")
-    return own.withColumns({f"c{c}": cell_index(F.col(c), F.col(f"l{c}"), F.col(f"n{c}")) for c in "xyz"})
+def located(points: DataFrame, celled: DataFrame, few: bool | None = None) -> DataFrame:
+    """points with the cell they lie in. few: whether celled fits, if counted."""
+    own = celled.select("structure_id", *_BOX, "nx", "ny", "nz")
+    placed = points.join(small(own) if few is None else beside(own, few), "structure_id")
+    return placed.withColumns({f"c{c}": cell_index(F.col(c), F.col(f"l{c}"), F.col(f"n{c}")) for c in "xyz"})
 
 
 def surface_gap(p: str, a: str) -> Column:

@@ -14,7 +14,7 @@ from ..functions.geometry import min_image
 from ..plans.components import connected_components
 from .distance import SIX, cells, in_cells, located, on_border, shifted, surface_gap
 from .percolation import ACCESSIBLE, TRAPPED
-from ..plans.session import small
+from ..plans.session import checkpointed, fits, small, spread
 
 TOP = 3
 
@@ -22,15 +22,19 @@ TOP = 3
 def candidates(roots: DataFrame, atoms: DataFrame, celled: DataFrame, probe: float, top: int = TOP) -> DataFrame:
     """roots (voxels) with their `top` nearest distinct atoms by surface distance, ties by atom_id, as flat columns: atom1, ax1, ay1, az1, ar1, atom2, ..;
     null where there are fewer in the cells around. A voxel meets all its atoms in one task, so the group limit keeps `top` of them before the shuffle."""
-    p = located(roots, celled).alias("p")
-    a = in_cells(atoms, celled).select("structure_id", "atom_id", "x", "y", "z", "radius", "cx", "cy", "cz").alias("a")
+    celled = checkpointed(celled)
+    few = fits(celled)
+    dealt = atoms.select("structure_id", "atom_id", "x", "y", "z", "radius").repartition(spread(atoms), "structure_id", "atom_id")  # few rows that become many
+    p = located(roots, celled, few).alias("p")
+    a = in_cells(dealt, celled, few).select("structure_id", "atom_id", "x", "y", "z", "radius", "cx", "cy", "cz").alias("a")
+    cell = ["structure_id", "cx", "cy", "cz", "vid"]  # a voxel's cell is in its key, so it stays in the join's task
     own = [F.col(f"p.{c}") for c in roots.columns if c != "structure_id"]
-    near = p.join(a, ["structure_id", "cx", "cy", "cz"], "left").select("structure_id", *own, (surface_gap("p", "a") - probe).alias("_score"), F.col("a.atom_id").alias("_atom"), *[F.col(f"a.{c}").alias(f"_a{c[0]}") for c in ("x", "y", "z", "radius")])
-    rank = F.row_number().over(Window.partitionBy("structure_id", "vid").orderBy("_score", "_atom"))
+    near = p.join(a, ["structure_id", "cx", "cy", "cz"], "left").select("structure_id", "cx", "cy", "cz", *own, (surface_gap("p", "a") - probe).alias("_score"), F.col("a.atom_id").alias("_atom"), *[F.col(f"a.{c}").alias(f"_a{c[0]}") for c in ("x", "y", "z", "radius")])
+    rank = F.row_number().over(Window.partitionBy(*cell).orderBy("_score", "_atom"))
     best = near.withColumn("_k", rank).where(F.col("_k") <= top)
     flat = [F.max(F.when(F.col("_k") == k, F.col(f"_{c}"))).alias(f"{c}{k}") for k in range(1, top + 1) for c in ("atom", "ax", "ay", "az", "ar")]
     rest = [F.first(c).alias(c) for c in roots.columns if c not in ("structure_id", "vid")]
-    return best.groupBy("structure_id", "vid").agg(*rest, *flat).select(*roots.columns, *[f"{c}{k}" for k in range(1, top + 1) for c in ("atom", "ax", "ay", "az", "ar")])
+    return best.groupBy(*cell).agg(*rest, *flat).select(*roots.columns, *[f"{c}{k}" for k in range(1, top + 1) for c in ("atom", "ax", "ay", "az", "ar")])
 
 
 def evaluated(probe: float, top: int = TOP) -> Column:
@@ -97,8 +101,6 @@ def leaf_edges(leaves: DataFrame, grids: DataFrame) -> DataFrame:
 
 def leaf_components(nodes: DataFrame, grids: DataFrame) -> DataFrame:
     """Void leaves with component, a number."""
-    from ..plans.session import checkpointed
-
     leaves = checkpointed(nodes.where("is_leaf and void").withColumn("node", F.monotonically_increasing_id()))
     named = connected_components(leaf_edges(leaves, grids), "a", "b")
     return leaves.join(named, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("node")

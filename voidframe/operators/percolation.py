@@ -1,13 +1,15 @@
 """Percolation: connected void that spans the grid is accessible, other void is trapped.
 
-Void voxels are first folded into runs along z (gaps and islands), so the graph has a node per run instead of one per voxel. A
-component that touches both faces of an axis is accessible. Connectivity is not periodic.
+The grid is cut into blocks of BLOCK voxels an edge. A block's void is put into parts in one task, so the graph that is left has a node per part and an
+edge where parts of two blocks meet. A component that touches both faces of an axis is accessible. Connectivity is not periodic.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -26,20 +28,11 @@ def runs(void: DataFrame) -> DataFrame:
     return own.groupBy("structure_id", "ix", "iy", "_island").agg(F.min("iz").alias("z0"), F.max("iz").alias("z1"), F.min("vid").alias("run")).drop("_island")
 
 
-def run_edges(found: DataFrame) -> DataFrame:
-    """Pairs a, b of the node numbers of runs in neighbouring columns that overlap in z."""
-    b = found.alias("b")
-    # both neighbours of a column in one join
-    step = found.withColumn("_to", F.explode(F.array(F.struct((F.col("ix") + 1).alias("x"), F.col("iy").alias("y")), F.struct(F.col("ix").alias("x"), (F.col("iy") + 1).alias("y"))))).alias("a")
-    meets = (F.col("a.structure_id") == F.col("b.structure_id")) & (F.col("a._to.x") == F.col("b.ix")) & (F.col("a._to.y") == F.col("b.iy"))
-    return step.join(b, meets & (F.col("a.z0") <= F.col("b.z1")) & (F.col("b.z0") <= F.col("a.z1"))).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
-
-
 def touch_bits(grids: DataFrame, found: DataFrame) -> DataFrame:
-    """found with bits: which of the six faces a run touches."""
+    """found (voxels) with bits: which of the six faces a voxel touches."""
     g = found.join(small(grids.select("structure_id", "gx", "gy", "gz")), "structure_id")
     bit = lambda c, n: F.when(c, n).otherwise(0)
-    faces = [F.col("ix") == 0, F.col("ix") == F.col("gx") - 1, F.col("iy") == 0, F.col("iy") == F.col("gy") - 1, F.col("z0") == 0, F.col("z1") == F.col("gz") - 1]
+    faces = [F.col("ix") == 0, F.col("ix") == F.col("gx") - 1, F.col("iy") == 0, F.col("iy") == F.col("gy") - 1, F.col("iz") == 0, F.col("iz") == F.col("gz") - 1]
     bits: Column = bit(faces[0], 1)
     for k, face in enumerate(faces[1:], 1):
         bits = bits.bitwiseOR(bit(face, 1 << k))
@@ -54,21 +47,17 @@ def spans(bits: Column) -> Column:
     return hit
 
 
-def run_components(void: DataFrame, grids: DataFrame) -> DataFrame:
-    """Runs with component (the least vid of it) and label."""
-    found = checkpointed(touch_bits(grids, runs(void)).withColumn("node", F.monotonically_increasing_id()))
-    named = connected_components(run_edges(found), "a", "b")
-    own = found.join(named, "node", "left").withColumn("_comp", F.coalesce("component", "node")).drop("component")
-    whole = own.groupBy("_comp").agg(F.bit_or("bits").alias("_bits"), F.min("run").alias("component"))
-    label = whole.select("_comp", "component", F.when(spans(F.col("_bits")), ACCESSIBLE).otherwise(TRAPPED).alias("label"))
-    return own.drop("bits", "node").join(label, "_comp").drop("_comp")
+def component_labels(found: DataFrame, grids: DataFrame) -> DataFrame:
+    """(structure_id, component, label) of the components of found (voxels with component)."""
+    whole = touch_bits(grids, found).groupBy("structure_id", "component").agg(F.bit_or("bits").alias("_bits"))
+    return whole.select("structure_id", "component", F.when(spans(F.col("_bits")), ACCESSIBLE).otherwise(TRAPPED).alias("label"))
 
 
 def labelled(vox: DataFrame, grids: DataFrame) -> DataFrame:
     """vox (with void) with component (null for solid) and label: 0 solid, 1 trapped, 2 accessible."""
-    found = run_components(vox.where("void"), grids)
-    flat = found.select("structure_id", "ix", "iy", F.explode(F.sequence("z0", "z1")).alias("iz"), "component", "label")
-    out = vox.drop("component", "label").join(flat, ["structure_id", "ix", "iy", "iz"], "left")
+    found = checkpointed(placed_components(vox, 6))
+    named = found.select("structure_id", "vid", "component").join(component_labels(found, grids), ["structure_id", "component"])
+    out = vox.drop("component", "label").join(named, ["structure_id", "vid"], "left")
     return out.withColumn("label", F.coalesce("label", F.lit(SOLID)))
 
 
@@ -78,14 +67,77 @@ def half_steps(neighbours: int) -> list[tuple[int, int, int]]:
     return [d for d in steps if d > (0, 0, 0) and (neighbours == 26 or sum(map(abs, d)) == 1)]
 
 
-def voxel_components(vox: DataFrame, offsets: int = 6) -> DataFrame:
-    """(structure_id, vid, component) of void voxels, joined by 6 or by 26 neighbours, voxel by voxel."""
-    void = vox.where("void").select("structure_id", "ix", "iy", "iz", "vid")
-    met = shifted(void, half_steps(offsets)).join(void.withColumnRenamed("vid", "other"), ["structure_id", "ix", "iy", "iz"])
+#: Voxels along an edge of a block: what a task holds at once.
+BLOCK = 48
+_PLACE = ("ix", "iy", "iz")
+
+
+def _in_blocks(vox: DataFrame) -> DataFrame:
+    """vox with bx, by, bz: the block that a voxel lies in."""
+    return vox.withColumns({f"b{c}": F.expr(f"cast(i{c} div {BLOCK} as int)") for c in "xyz"})
+
+
+def _on_faces() -> Column:
+    """Whether a voxel lies on a face of its block."""
+    return reduce(lambda p, q: p | q, [(F.col(c) % BLOCK).isin(0, BLOCK - 1) for c in _PLACE])
+
+
+def _meeting(at: np.ndarray, steps: list[tuple[int, int, int]]):
+    """For each step, the pairs of numbers in the grid `at` (-1: none) that are a step apart."""
+    for step in steps:
+        near = at[tuple(slice(max(0, -d), at.shape[k] - max(0, d)) for k, d in enumerate(step))]
+        far = at[tuple(slice(max(0, d), at.shape[k] - max(0, -d)) for k, d in enumerate(step))]
+        met = (near >= 0) & (far >= 0)
+        yield near[met], far[met]
+
+
+def least_of_parts(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """Of each of the numbers 0..n-1, the least that edges u, v lead to."""
+    up = np.arange(n)
+    while len(u):
+        a, b = up[u], up[v]
+        apart = a != b
+        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+        np.minimum.at(up, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(again := up[up], up):
+            up = again
+    return up
+
+
+def _parts(neighbours: int):
+    """The task of one block: its void voxels with part, the least vid that is reached inside the block."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("vid")
+        place = [table[c].to_numpy().astype(np.int64) for c in _PLACE]
+        place = [p - p.min() for p in place]
+        at = np.full([p.max() + 1 for p in place], -1)
+        at[tuple(place)] = np.arange(len(table))
+        met = list(_meeting(at, half_steps(neighbours)))
+        least = least_of_parts(np.concatenate([p for p, _ in met]), np.concatenate([q for _, q in met]), len(table))
+        return table.select(["structure_id", *_PLACE, "vid"]).append_column("part", table["vid"].take(pa.array(least)))
+
+    return run
+
+
+def placed_components(vox: DataFrame, neighbours: int) -> DataFrame:
+    """(structure_id, ix, iy, iz, vid, component) of void voxels."""
+    void = vox.where("void").select("structure_id", *_PLACE, F.col("vid").cast("long").alias("vid"))
+    kinds = dict(void.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in ("structure_id", *_PLACE, "vid")) + ", part long"
+    found = checkpointed(_in_blocks(void).groupBy("structure_id", "bx", "by", "bz").applyInArrow(_parts(neighbours), schema))
+    faces = _in_blocks(found.where(_on_faces()))
+    to = faces.select("structure_id", *_PLACE, F.col("part").alias("other"))
+    met = shifted(faces, half_steps(neighbours)).where(" or ".join(f"i{c} div {BLOCK} <> b{c}" for c in "xyz")).join(to, ["structure_id", *_PLACE])
     node = lambda c: F.struct("structure_id", F.col(c).alias("id"))
-    named = connected_components(met.select(node("vid").alias("a"), node("other").alias("b")), "a", "b")
-    named = named.select(F.col("node.structure_id").alias("structure_id"), F.col("node.id").alias("vid"), F.col("component.id").alias("component"))
-    return void.join(named, ["structure_id", "vid"], "left").select("structure_id", "vid", F.coalesce("component", "vid").alias("component"))
+    named = connected_components(met.select(node("part").alias("a"), node("other").alias("b")).distinct(), "a", "b")
+    named = named.select(F.col("node.structure_id").alias("structure_id"), F.col("node.id").alias("part"), F.col("component.id").alias("component"))
+    return found.join(named, ["structure_id", "part"], "left").select("structure_id", *_PLACE, "vid", F.coalesce("component", "part").alias("component"))
+
+
+def voxel_components(vox: DataFrame, offsets: int = 6) -> DataFrame:
+    """(structure_id, vid, component) of void voxels, joined by 6 or by 26 neighbours; component is the least vid of it."""
+    return placed_components(vox, offsets).select("structure_id", "vid", "component")
 
 
 def _swept(state: DataFrame, step: tuple[int, int, int]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from ..functions.geometry import min_image, sphere_volume
 from ..plans.order import ranked
 from ..plans.session import checkpointed, small
-from .percolation import ACCESSIBLE, run_components
+from .percolation import ACCESSIBLE, component_labels, placed_components
 from .widest import spanning_value
 
 CONTAINED, OVERLAP = "contained", "overlap"
@@ -144,7 +144,8 @@ def centres(nodes: DataFrame) -> DataFrame:
 
 def percolates(vox: DataFrame, grids: DataFrame, value: str, at_least: Column) -> DataFrame:
     """(structure_id, hit): whether voxels with value >= at_least span the grid."""
-    found = run_components(vox.where(F.col(value) >= at_least), grids).groupBy("structure_id").agg(F.max("label").alias("label"))
+    held = vox.withColumn("void", F.col(value) >= at_least)
+    found = component_labels(placed_components(held, 6), grids).groupBy("structure_id").agg(F.max("label").alias("label"))
     return grids.select("structure_id").join(found, "structure_id", "left").select("structure_id", F.coalesce(F.col("label") == ACCESSIBLE, F.lit(False)).alias("hit"))
 
 
