@@ -5,7 +5,7 @@ import pytest
 from voidframe import queries
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["a9_void_volume", "g1_percolation"]
+NAMES = ["a9_void_volume", "g1_percolation", "g8_components_26"]
 
 
 def each(seq):
