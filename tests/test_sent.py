@@ -5,7 +5,7 @@ import pytest
 from voidframe import queries
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["a9_void_volume", "g1_percolation", "g8_components_26", "j4_top_atoms", "g3_runs"]
+NAMES = ["a9_void_volume", "g1_percolation", "g8_components_26", "j4_top_atoms", "g3_runs", "h1_octree"]
 
 
 def each(seq):
