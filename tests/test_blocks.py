@@ -1,10 +1,13 @@
 """Work that is cut into blocks of the grid, with blocks so small that parts meet across many of them."""
 
+import itertools
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_geometry import N, flood, nearest_steps
 
-from voidframe.operators import percolation
+from voidframe.operators import percolation, pores
 from voidframe.plans.session import checkpointed
 
 CUT = 3
@@ -38,3 +41,27 @@ def test_labels_across_blocks(grains, monkeypatch):
         want[tuple(p.T)] = 2 if any(p[:, a].min() == 0 and p[:, a].max() == N - 1 for a in range(3)) else 1
     got = {r.vid: r.label for r in percolation.labelled(vox, grids).collect()}
     assert got == dict(enumerate(want.ravel().tolist())) and {0, 1, 2} == set(got.values())
+
+
+@pytest.mark.parametrize("offsets", [6, 26])
+def test_depths_across_blocks(grains, monkeypatch, offsets):
+    monkeypatch.setattr(percolation, "BLOCK", CUT)
+    void, vox, _ = grains
+    got = percolation.bfs_parents(vox, percolation.voxel_components(vox, offsets), offsets).collect()
+    want = nearest_steps(void, offsets)
+    assert {r.vid: (r.depth, r.parent) for r in got} == want and len(got) == len(want)
+
+
+def test_maxima_across_blocks(grains, monkeypatch):
+    monkeypatch.setattr(percolation, "BLOCK", CUT)
+    void, vox, _ = grains
+    d = np.random.default_rng(3).integers(-2, 9, (N, N, N)) / 8
+    labels = vox.withColumns({"label": F.when(F.col("void"), 2).otherwise(1), "dmin": F.get(F.lit(d.ravel().tolist()), F.col("vid"))})
+    for strict in (True, False):
+        want = set()
+        for p in map(tuple, np.argwhere(void)):
+            near = [d[q] for o in itertools.product((-1, 0, 1), repeat=3) if any(o) for q in [tuple(np.add(p, o))] if all(0 <= x < N for x in q) and void[q]]
+            if d[p] >= 0.005 and max(near, default=-9) <= d[p] and (not strict or min(near, default=9) < d[p]):
+                want.add(int(np.ravel_multi_index(p, d.shape)))
+        got = pores.local_maxima(labels, strict=strict)
+        assert got.columns == labels.columns and sorted(r.vid for r in got.collect()) == sorted(want) and want

@@ -140,37 +140,98 @@ def voxel_components(vox: DataFrame, offsets: int = 6) -> DataFrame:
     return placed_components(vox, offsets).select("structure_id", "vid", "component")
 
 
-def _swept(state: DataFrame, step: tuple[int, int, int]) -> DataFrame:
-    """state whose depth has passed along each unbroken run of voxels in the direction of step, both ways: one shuffle by line."""
-    axis = next(k for k, d in enumerate(step) if d)
-    t = F.col(f"i{'xyz'[axis]}")
-    line = [F.col(f"i{c}") - d * t for k, (c, d) in enumerate(zip("xyz", step, strict=True)) if k != axis]
-    named = state.withColumns({"_p": line[0], "_q": line[1]})
-    named = named.withColumn("_run", t - F.row_number().over(Window.partitionBy("structure_id", "_p", "_q").orderBy(t)))
-    run = Window.partitionBy("structure_id", "_p", "_q", "_run").orderBy(t)
-    up = F.min(F.col("depth") - t).over(run.rowsBetween(Window.unboundedPreceding, 0)) + t
-    down = F.min(F.col("depth") + t).over(run.rowsBetween(0, Window.unboundedFollowing)) - t
-    return named.withColumn("depth", F.least(up, down)).drop("_p", "_q", "_run")
+def haloed(vox: DataFrame) -> DataFrame:
+    """vox with bx, by, bz: a row for the block that a voxel lies in and for each one beside it that it touches. own: whether it lies there."""
+    for c in "xyz":
+        beside = F.array_distinct(F.array(*[F.floor((F.col(f"i{c}") + d) / BLOCK).cast("int") for d in (-1, 0, 1)]))
+        vox = vox.withColumn(f"b{c}", F.explode(beside)).where(F.col(f"b{c}") >= 0)
+    return vox.withColumn("own", reduce(lambda p, q: p & q, [F.col(f"b{c}") == F.floor(F.col(f"i{c}") / BLOCK) for c in "xyz"]))
+
+
+def by_block(vox: DataFrame, task, schema: str) -> DataFrame:
+    """What task makes of each block of vox, its rows and those of other blocks that touch it (own is false)."""
+    return haloed(vox).groupBy("structure_id", "bx", "by", "bz").applyInArrow(task, schema)
+
+
+def framed(table: pa.Table, column: str, none):
+    """(grid, places): a column's values in a grid with a rim, none where there is no row; and the rows' flat places in it."""
+    place = [table[c].to_numpy().astype(np.int64) for c in _PLACE]
+    place = [p - p.min() + 1 for p in place]
+    grid = np.full([p.max() + 2 for p in place], none)
+    at = np.ravel_multi_index(place, grid.shape)
+    grid.ravel()[at] = table[column].fill_null(none).to_numpy()
+    return grid, at
+
+
+def _moves(neighbours: int, shape: tuple[int, ...]) -> np.ndarray:
+    """The steps to all neighbours, in flat places."""
+    half = np.array([(x * shape[1] + y) * shape[2] + z for x, y, z in half_steps(neighbours)])
+    return np.concatenate([half, -half])
+
+
+_FAR = 1 << 30
+
+
+def _passed_on(neighbours: int):
+    """The task of one block: depths are passed on inside it, from the least up, a level at a time."""
+
+    def run(table: pa.Table) -> pa.Table:
+        grid, at = framed(table, "depth", _FAR)
+        depth, moves = grid.ravel(), _moves(neighbours, grid.shape)
+        void = np.zeros(len(depth), bool)
+        void[at] = True
+        known = at[depth[at] < _FAR]
+        known = known[np.argsort(depth[known], kind="stable")]
+        levels = depth[known]
+        level, new = (levels[0] if len(levels) else 0), known[:0]
+        while len(new) or level <= levels[-1:].max(initial=-1):
+            given = known[np.searchsorted(levels, level) : np.searchsorted(levels, level, "right")]
+            front = np.concatenate([new, given[depth[given] == level]])
+            to = (front[:, None] + moves).ravel()
+            new = np.unique(to[void[to] & (depth[to] > level + 1)])
+            level += 1
+            depth[new] = level
+        own = table["own"].to_numpy(zero_copy_only=False)
+        got = depth[at[own]]
+        return table.filter(table["own"]).drop_columns(["bx", "by", "bz", "own"]).rename_columns({"depth": "_was"}).append_column("depth", pa.array(got, pa.int32(), mask=got == _FAR))
+
+    return run
+
+
+def _with_parent(neighbours: int):
+    """The task of one block: of each voxel, the least neighbour one step nearer."""
+
+    def run(table: pa.Table) -> pa.Table:
+        grid, at = framed(table, "depth", _FAR)
+        none = np.iinfo(np.int64).max
+        vid, depth = framed(table, "vid", none)[0].ravel(), grid.ravel()
+        at = at[table["own"].to_numpy(zero_copy_only=False)]
+        parent = np.full(len(at), none)
+        for move in _moves(neighbours, grid.shape):
+            nearer = depth[at + move] == depth[at] - 1
+            parent[nearer] = np.minimum(parent[nearer], vid[at + move][nearer])
+        return table.filter(table["own"]).select(["structure_id", "vid", "depth"]).append_column("parent", pa.array(parent, pa.int64(), mask=parent == none))
+
+    return run
 
 
 def depths(vox: DataFrame, components: DataFrame, neighbours: int = 6) -> tuple[DataFrame, int]:
     """(structure_id, ix, iy, iz, vid, component, depth) of void voxels, depth being the steps from the least voxel of the component (components
     must be of the same neighbourhood), and the rounds taken.
 
-    A round passes depths along whole runs of voxels, in each direction of the neighbourhood (3 or 13) in turn, so the rounds grow with the
-    bends of a shortest path and not with its length. A component that a round leaves as it was is done, and takes no part in later rounds:
-    no neighbour is then more than a step further, so every depth is the least."""
-    void = vox.where("void").select("structure_id", "ix", "iy", "iz", "vid")
+    A round passes depths on inside each block, from those that the blocks beside it had, so the rounds grow with the blocks that a shortest path goes
+    through and not with its length. A component that a round leaves as it was is done, and takes no part in later rounds: no neighbour is then more
+    than a step further, so every depth is the least."""
+    void = vox.where("void").select("structure_id", *_PLACE, F.col("vid").cast("long").alias("vid"))
     first = F.when(F.col("vid") == F.col("component"), 0)
     live = checkpointed(void.join(components, ["structure_id", "vid"]).withColumn("depth", first))
+    kinds = dict(live.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in ("structure_id", "vid", *_PLACE, "component")) + ", _was int, depth int"
     done, rounds = [], 0
     while not live.isEmpty():
         rounds += 1
-        state = live.withColumn("_was", F.col("depth"))
-        for step in half_steps(neighbours):
-            state = _swept(state, step)
-        state = checkpointed(state)
-        moved = state.where(~F.col("depth").eqNullSafe(F.col("_was"))).select("structure_id", "component").distinct()
+        state = checkpointed(by_block(live, _passed_on(neighbours), schema))
+        moved = checkpointed(state.where(~F.col("depth").eqNullSafe(F.col("_was"))).select("structure_id", "component").distinct())
         done.append(checkpointed(state.join(moved, ["structure_id", "component"], "left_anti").drop("_was")))
         live = checkpointed(state.join(moved, ["structure_id", "component"], "left_semi").drop("_was"))
     return reduce(DataFrame.union, done, live), rounds
@@ -180,8 +241,6 @@ def bfs_parents(vox: DataFrame, components: DataFrame, neighbours: int = 6) -> D
     """(structure_id, vid, depth, parent): breadth-first depth from the least voxel of each component; the parent is the least neighbour one step
     nearer, null for the first voxel."""
     found, _ = depths(vox, components, neighbours)
-    both = [d for s in half_steps(neighbours) for d in (s, tuple(-x for x in s))]
-    offered = shifted(found.select("structure_id", "ix", "iy", "iz", (F.col("depth") + 1).alias("depth"), F.col("vid").alias("parent")), both)
-    nearer = offered.join(found.select("structure_id", "ix", "iy", "iz", "vid", "depth"), ["structure_id", "ix", "iy", "iz", "depth"])
-    nearest = nearer.groupBy("structure_id", "vid").agg(F.min("parent").alias("parent"))
-    return found.select("structure_id", "vid", "depth").join(nearest, ["structure_id", "vid"], "left")
+    kind = dict(found.dtypes)["structure_id"]
+    own = found.select("structure_id", *_PLACE, "vid", "depth")
+    return by_block(own, _with_parent(neighbours), f"structure_id {kind}, vid long, depth int, parent long")

@@ -2,31 +2,45 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.geometry import min_image, sphere_volume
 from ..plans.order import ranked
-from ..plans.session import checkpointed, small
-from .percolation import ACCESSIBLE, component_labels, placed_components
+from ..plans.session import beside, checkpointed, fits, small
+from .percolation import ACCESSIBLE, by_block, component_labels, framed, placed_components
 from .widest import spanning_value
 
 CONTAINED, OVERLAP = "contained", "overlap"
 
 
+def _peaks(rmin: float, strict: bool):
+    """The task of one block: its voxels that no neighbour exceeds."""
+
+    def run(table: pa.Table) -> pa.Table:
+        high, at = framed(table, "dmin", -np.inf)
+        low = framed(table, "dmin", np.inf)[0]
+        for axis in range(3):  # the rim is empty, so what rolls over the end is nothing
+            high = np.maximum(high, np.maximum(np.roll(high, 1, axis), np.roll(high, -1, axis)))
+            low = np.minimum(low, np.minimum(np.roll(low, 1, axis), np.roll(low, -1, axis)))
+        d = table["dmin"].to_numpy()
+        keep = table["own"].to_numpy(zero_copy_only=False) & (d >= rmin) & (d >= high.ravel()[at])
+        keep = keep & (low.ravel()[at] < d) if strict else keep
+        return table.select(["structure_id", "vid"]).filter(pa.array(keep))
+
+    return run
+
+
 def local_maxima(labels: DataFrame, rmin: float = 0.005, strict: bool = True) -> DataFrame:
     """Accessible voxels with dmin >= rmin that no accessible voxel of their 26 neighbours exceeds; strict: and that exceed one of these.
-    The block's greatest and least value come from three passes of a window over one axis each, on the dense grid."""
-    v = F.when(F.col("label") == ACCESSIBLE, F.col("dmin"))
-    dense = labels.withColumns({"_hi": v, "_lo": v})
-    for along, others in (("iz", ("ix", "iy")), ("iy", ("ix", "iz")), ("ix", ("iy", "iz"))):
-        w = Window.partitionBy("structure_id", *others).orderBy(along).rangeBetween(-1, 1)
-        dense = dense.withColumns({"_hi": F.max("_hi").over(w), "_lo": F.min("_lo").over(w)})
-    keep = (F.col("label") == ACCESSIBLE) & (F.col("dmin") >= rmin) & (F.col("dmin") >= F.col("_hi"))
-    if strict:
-        keep = keep & (F.col("_lo") < F.col("dmin"))
-    return dense.where(keep).drop("_hi", "_lo")
+    The greatest and least value around come from three passes along one axis each, in blocks of the grid."""
+    own = labels.where(F.col("label") == ACCESSIBLE).select("structure_id", "ix", "iy", "iz", "vid", "dmin")
+    kinds = dict(own.dtypes)
+    found = checkpointed(by_block(own, _peaks(rmin, strict), f"structure_id {kinds['structure_id']}, vid {kinds['vid']}"))
+    return labels.join(beside(found, fits(found)), ["structure_id", "vid"], "left_semi").select(labels.columns)
 
 
 def nodes_of(maxima: DataFrame) -> DataFrame:
