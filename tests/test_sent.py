@@ -5,7 +5,7 @@ import pytest
 from voidframe import queries
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["a9_void_volume", "g1_percolation", "g8_components_26", "j4_top_atoms", "g3_runs", "h1_octree", "a15_largest_cavity", "a13_volume_fractions", "a16_size_distribution", "k2_size_lines", "k3_centre_lines"]
+NAMES = ["a9_void_volume", "g1_percolation", "g8_components_26", "j4_top_atoms", "g3_runs", "h1_octree", "a15_largest_cavity", "a13_volume_fractions", "a16_size_distribution", "k2_size_lines", "k3_centre_lines", "j13_ball_overlaps"]
 
 
 def each(seq):
