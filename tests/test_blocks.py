@@ -5,9 +5,9 @@ import itertools
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from test_geometry import N, flood, nearest_steps
+from test_geometry import G, N, cell, flood, nearest_steps  # noqa: F401
 
-from voidframe.operators import percolation, pores
+from voidframe.operators import octree, percolation, pores, stats
 from voidframe.plans.session import checkpointed
 
 CUT = 3
@@ -65,3 +65,16 @@ def test_maxima_across_blocks(grains, monkeypatch):
                 want.add(int(np.ravel_multi_index(p, d.shape)))
         got = pores.local_maxima(labels, strict=strict)
         assert got.columns == labels.columns and sorted(r.vid for r in got.collect()) == sorted(want) and want
+
+
+@pytest.mark.parametrize("levels", [3, 4, 5])
+def test_parts_of_roots_stand_for_leaves(cell, monkeypatch, levels):  # noqa: F811
+    monkeypatch.setattr(percolation, "BLOCK", CUT)
+    atoms, grids = cell["atoms"], cell["grids"]
+    labels = checkpointed(percolation.labelled(cell["vox"], grids))
+    found = []
+    for way in (octree.forest, octree.root_parts):
+        own = checkpointed(way(labels, atoms, grids, G, 0.01, levels))
+        final, leaves = octree.percolation(labels, own, grids)
+        found.append((sorted(map(tuple, final.select("vid", "label").collect())), stats.volumes(final, grids, leaves, own).collect()))
+    assert found[0] == found[1] and len(found[0][0]) == N**3

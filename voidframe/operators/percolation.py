@@ -72,11 +72,16 @@ BLOCK = 48
 _PLACE = ("ix", "iy", "iz")
 
 
-def _in_blocks(vox: DataFrame) -> DataFrame:
+def in_blocks(vox: DataFrame) -> DataFrame:
     """vox with bx, by, bz: the block that a voxel lies in."""
     return vox.withColumns({f"b{c}": F.expr(f"cast(i{c} div {BLOCK} as int)") for c in "xyz"})
 
 
+def first_in_block(c: str) -> Column:
+    """Whether a voxel is in the first plane of its block along an axis."""
+    return F.col(c) % BLOCK == 0
+
+
 def _on_faces() -> Column:
     """Whether a voxel lies on a face of its block."""
     return reduce(lambda p, q: p | q, [(F.col(c) % BLOCK).isin(0, BLOCK - 1) for c in _PLACE])
@@ -125,8 +130,8 @@ def placed_components(vox: DataFrame, neighbours: int) -> DataFrame:
     void = vox.where("void").select("structure_id", *_PLACE, F.col("vid").cast("long").alias("vid"))
     kinds = dict(void.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in ("structure_id", *_PLACE, "vid")) + ", part long"
-    found = checkpointed(_in_blocks(void).groupBy("structure_id", "bx", "by", "bz").applyInArrow(_parts(neighbours), schema))
-    faces = _in_blocks(found.where(_on_faces()))
+    found = checkpointed(in_blocks(void).groupBy("structure_id", "bx", "by", "bz").applyInArrow(_parts(neighbours), schema))
+    faces = in_blocks(found.where(_on_faces()))
     to = faces.select("structure_id", *_PLACE, F.col("part").alias("other"))
     met = shifted(faces, half_steps(neighbours)).where(" or ".join(f"i{c} div {BLOCK} <> b{c}" for c in "xyz")).join(to, ["structure_id", *_PLACE])
     node = lambda c: F.struct("structure_id", F.col(c).alias("id"))

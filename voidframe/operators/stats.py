@@ -20,16 +20,17 @@ def masses(atoms: DataFrame, grids: DataFrame) -> DataFrame:
 
 def volumes(labels: DataFrame, grids: DataFrame, leaves: DataFrame | None = None, nodes: DataFrame | None = None) -> DataFrame:
     """structure_id, v_void, v_acc, v_trap, counts. With an octree, boundary voxels are replaced by their leaves: nodes (all) and
-    leaves (void ones, labelled)."""
+    leaves (void ones, labelled), or the parts of roots for both."""
     is_ = {"void": F.col("void"), "acc": F.col("label") == ACCESSIBLE, "trap": F.col("label") == TRAPPED}
     own = labels.groupBy("structure_id").agg(F.count(F.lit(1)).alias("voxels"), *[F.count_if(c).alias(f"n_{k}") for k, c in is_.items()], F.count_if("boundary").alias("n_boundary"), *[F.count_if(c & F.col("boundary")).alias(f"b_{k}") for k, c in is_.items()], F.max("dmin").alias("dmax"))
     own = own.join(grids.select("structure_id", (F.col("dgx") * F.col("dgy") * F.col("dgz")).alias("voxel")), "structure_id")
     if leaves is None or nodes is None:
         zero = F.lit(0).cast("long")
         return own.select("structure_id", "voxels", "n_void", "n_acc", "n_trap", "n_boundary", "dmax", "voxel", *[(F.col(f"n_{k}") * F.col("voxel")).alias(f"v_{k}") for k in is_], zero.alias("nodes"), zero.alias("leaves"))
-    share = F.pow(F.lit(8.0), -F.col("level"))
+    share = F.col("share") if "share" in leaves.columns else F.pow(F.lit(8.0), -F.col("level"))
     fine = leaves.groupBy("structure_id").agg(F.sum(share).alias("l_void"), F.sum(F.when(F.col("label") == ACCESSIBLE, share).otherwise(0.0)).alias("l_acc"), F.sum(F.when(F.col("label") == TRAPPED, share).otherwise(0.0)).alias("l_trap"))
-    size = nodes.groupBy("structure_id").agg(F.count(F.lit(1)).alias("nodes"), F.count_if("is_leaf").alias("leaves"))
+    counts = (F.count(F.lit(1)), F.count_if("is_leaf")) if "is_leaf" in nodes.columns else (F.sum("nodes"), F.sum("leaves"))
+    size = nodes.groupBy("structure_id").agg(*[n.alias(c) for n, c in zip(counts, ("nodes", "leaves"), strict=True)])
     own = own.join(fine, "structure_id", "left").join(size, "structure_id", "left")
     volume = lambda k: ((F.col(f"n_{k}") - F.col(f"b_{k}") + F.coalesce(f"l_{k}", F.lit(0.0))) * F.col("voxel")).alias(f"v_{k}")
     return own.select("structure_id", "voxels", "n_void", "n_acc", "n_trap", "n_boundary", "dmax", "voxel", *[volume(k) for k in is_], F.coalesce("nodes", F.lit(0)).alias("nodes"), F.coalesce("leaves", F.lit(0)).alias("leaves"))

@@ -348,9 +348,9 @@ def g5(spark, sf_dir):
     from .plans.session import checkpointed
 
     atoms, grids, labels = _labels(spark, sf_dir)
-    nodes = checkpointed(octree.forest(labels, atoms, grids, GRID))
-    final, leaves = octree.percolation(labels, nodes, grids)
-    found = stats.volumes(checkpointed(final), grids, checkpointed(leaves), nodes)
+    parts = checkpointed(octree.root_parts(labels, atoms, grids, GRID))
+    final, leaves = octree.percolation(labels, parts, grids)
+    found = stats.volumes(final, grids, leaves, parts)
     return found.select("structure_id", "nodes", "leaves", "n_acc", "n_trap", *[F.round(f"v_{k}", 12).alias(f"v_{k}") for k in ("void", "acc", "trap")])
 
 
