@@ -5,7 +5,7 @@ import pytest
 from voidframe import queries
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["a9_void_volume", "g1_percolation", "g8_components_26", "j4_top_atoms", "g3_runs", "h1_octree", "a15_largest_cavity", "a13_volume_fractions", "a16_size_distribution", "k2_size_lines", "k3_centre_lines", "j13_ball_overlaps", "g10_centreline_edges", "g9_pruned_balls", "g11_pore_nodes", "j15_largest_ball", "a14_accessible_surface", "g8_parents", "g8_parents_26", "a18_block_means", "a21_percolates", "g12_limiting_diameter", "a8_leaf_volumes"]
+NAMES = ["a9_void_volume", "g1_percolation", "g8_components_26", "j4_top_atoms", "g3_runs", "h1_octree", "a15_largest_cavity", "a13_volume_fractions", "a16_size_distribution", "k2_size_lines", "k3_centre_lines", "j13_ball_overlaps", "g10_centreline_edges", "g9_pruned_balls", "g11_pore_nodes", "j15_largest_ball", "a14_accessible_surface", "g8_parents", "g8_parents_26", "a18_block_means", "a21_percolates", "g12_limiting_diameter", "a8_leaf_volumes", "g5_octree_percolation"]
 
 
 def each(seq):
