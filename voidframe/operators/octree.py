@@ -24,22 +24,23 @@ from ..plans.session import checkpointed, fits, small, spread
 TOP = 3
 
 
-def candidates(roots: DataFrame, atoms: DataFrame, celled: DataFrame, probe: float, top: int = TOP) -> DataFrame:
+def candidates(roots: DataFrame, atoms: DataFrame, celled: DataFrame, probe: float, top: int = TOP, in_cell: bool = False) -> DataFrame:
     """roots (voxels) with their `top` nearest distinct atoms by surface distance, ties by atom_id, as flat columns: atom1, ax1, ay1, az1, ar1, atom2, ..;
-    null where there are fewer in the cells around. A voxel meets all its atoms in one task, so the group limit keeps `top` of them before the shuffle."""
+    null where there are fewer in the cells around. A voxel meets all its atoms in one task, so the group limit keeps `top` of them before the shuffle.
+    in_cell: there is none, the voxel is ranked and grouped in the task of its cell; for even atoms, since adaptive execution can't split a crowded cell then."""
     celled = checkpointed(celled)
     few = fits(celled)
     dealt = atoms.select("structure_id", "atom_id", "x", "y", "z", "radius").repartition(spread(atoms), "structure_id", "atom_id")  # few rows that become many
     p = located(roots, celled, few).alias("p")
     a = in_cells(dealt, celled, few).select("structure_id", "atom_id", "x", "y", "z", "radius", "cx", "cy", "cz").alias("a")
-    cell = ["structure_id", "cx", "cy", "cz", "vid"]  # a voxel's cell is in its key, so it stays in the join's task
+    key = ["structure_id", "cx", "cy", "cz", "vid"] if in_cell else ["structure_id", "vid"]
     own = [F.col(f"p.{c}") for c in roots.columns if c != "structure_id"]
     near = p.join(a, ["structure_id", "cx", "cy", "cz"], "left").select("structure_id", "cx", "cy", "cz", *own, (surface_gap("p", "a") - probe).alias("_score"), F.col("a.atom_id").alias("_atom"), *[F.col(f"a.{c}").alias(f"_a{c[0]}") for c in ("x", "y", "z", "radius")])
-    rank = F.row_number().over(Window.partitionBy(*cell).orderBy("_score", "_atom"))
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy("_score", "_atom"))
     best = near.withColumn("_k", rank).where(F.col("_k") <= top)
     flat = [F.max(F.when(F.col("_k") == k, F.col(f"_{c}"))).alias(f"{c}{k}") for k in range(1, top + 1) for c in ("atom", "ax", "ay", "az", "ar")]
     rest = [F.first(c).alias(c) for c in roots.columns if c not in ("structure_id", "vid")]
-    return best.groupBy(*cell).agg(*rest, *flat).select(*roots.columns, *[f"{c}{k}" for k in range(1, top + 1) for c in ("atom", "ax", "ay", "az", "ar")])
+    return best.groupBy(*key).agg(*rest, *flat).select(*roots.columns, *[f"{c}{k}" for k in range(1, top + 1) for c in ("atom", "ax", "ay", "az", "ar")])
 
 
 def evaluated(probe: float, top: int = TOP) -> Column:
@@ -54,7 +55,7 @@ def evaluated(probe: float, top: int = TOP) -> Column:
 
 def _roots(vox: DataFrame, atoms: DataFrame, grids: DataFrame, grid: float, probe: float, pore: bool) -> DataFrame:
     """Boundary voxels (root, ix, iy, iz, x, y, z) with their candidates, box and spacings."""
-    roots = candidates(vox.where("boundary").select("structure_id", "ix", "iy", "iz", "vid", "x", "y", "z"), atoms, cells(grids, atoms, grid, probe, pore), probe)
+    roots = candidates(vox.where("boundary").select("structure_id", "ix", "iy", "iz", "vid", "x", "y", "z"), atoms, cells(grids, atoms, grid, probe, pore), probe, in_cell=True)
     return roots.join(small(grids.select("structure_id", "lx", "ly", "lz", "dgx", "dgy", "dgz")), "structure_id").withColumnRenamed("vid", "root")
 
 

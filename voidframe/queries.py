@@ -195,7 +195,7 @@ c as (select *, row_number() over (partition by structure_id, vid order by score
 @query("j4_top_atoms", f"with {_TOP} select structure_id, vid, rank::int as rank, atom_id from c where rank < 3")
 def j4(spark, sf_dir):
     atoms, grids, vox = _field(spark, sf_dir)
-    found = octree.candidates(vox.where("boundary"), atoms, distance.cells(grids, atoms, GRID), 0.0)
+    found = octree.candidates(vox.where("boundary"), atoms, distance.cells(grids, atoms, GRID), 0.0, in_cell=True)
     ranks = F.explode(F.array(*[F.struct(F.lit(k).alias("rank"), F.col(f"atom{k + 1}").alias("atom_id")) for k in range(octree.TOP)]))
     return found.select("structure_id", "vid", ranks.alias("c")).select("structure_id", "vid", "c.rank", "c.atom_id").where("atom_id is not null")
 
